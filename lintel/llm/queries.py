@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import repetition
+from lintel.llm import repetition, webp_encode
 from lintel.llm.common import read_table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_co
 FROM s"""
 
 
+def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return webp_encode.store_texts(docs, keep_media=False).select("doc_id", *[f"webp.{c}" for c in webp_encode.MEDIA.names if c != "media"])
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
