@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import repetition, suffix_levels, webp_encode
+from lintel.llm import ppm, repetition, suffix_levels, webp_encode
 from lintel.llm.common import read_table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,16 @@ def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp_encode.store_texts(docs, keep_media=False).select("doc_id", *[f"webp.{c}" for c in webp_encode.MEDIA.names if c != "media"])
 
 
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("learn", _remainder(7) != 2)
+    out = ppm.scores(docs, "learn")
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_levels.removed_spans(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.expr("CAST(size(spans) DIV 2 AS BIGINT)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
