@@ -41,7 +41,7 @@ BEFORE = LENGTH - GRAM  # bytes before an anchor that a match through it can rea
 WIDE = BEFORE + LENGTH
 _MULT = mix64(np.arange(1, 24, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Anchors gathered by a task before it sends a parcel to each shard.
-FLUSH = 3_000_000
+FLUSH = 800_000
 
 
 def _words_at(buf: np.ndarray, n: int) -> np.ndarray:
@@ -276,6 +276,30 @@ def _entries(ids, keys, parcels: list[bytes]):
     return entry_doc, [c[entry] for c in columns]
 
 
+def _without(part: pa.RecordBatch, doc, start, end, schema: pa.Schema) -> pa.RecordBatch:
+    """The rows of a piece without the given spans of their bytes."""
+    buf, off = common.flat(part.column("t"))
+    edge = np.zeros(len(buf) + 1, np.int32)
+    np.add.at(edge, off[doc] + start, 1)
+    np.add.at(edge, np.minimum(off[doc] + end, off[doc + 1]), -1)
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    opens, closes = gone.copy(), gone.copy()  # first and last bytes of runs, which end with their text
+    opens[1:] &= ~gone[:-1]
+    closes[:-1] &= ~gone[1:]
+    inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(buf))]
+    opens[inner] |= gone[inner]
+    closes[inner - 1] |= gone[inner - 1]
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    owner = np.searchsorted(off, a, side="right") - 1
+    flat = (np.stack([a, b], 1) - off[owner][:, None]).reshape(-1)
+    counts = 2 * np.bincount(owner, minlength=part.num_rows)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int64()))
+    kept = buf[~gone]
+    total = np.concatenate([[0], np.cumsum(~gone, dtype=np.int32)])[off]
+    kept = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(total.astype(np.int32)), pa.py_buffer(kept)])
+    return pa.RecordBatch.from_arrays([part.column("i"), pa.array(np.diff(off), pa.int64()), lists, kept], schema=schema)
+
+
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = 8) -> DataFrame:
     """What of each text also starts in a smaller id.
 
@@ -287,7 +311,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
     """
     spark = docs.sparkSession
     common.ship(spark)
-    n = common.partitions(spark)
+    n = 2 * common.partitions(spark)  # shards and blocks: half a partition each, for memory
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
     src = src.withColumns({"k": F.xxhash64("t"), "b": common.block_of(src["i"], n)})
 
@@ -309,7 +333,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
 
         for batch in batches_in:
             batch = batch.filter(pc.is_valid(batch.column("i")))
-            for part in common.pieces(batch, "t", 1 << 20):
+            for part in common.pieces(batch, "t", 1 << 19):
                 buf, off = common.flat(part.column("t"))
                 at, gram, wide = anchors_of(buf, off)
                 row = np.searchsorted(off, at, side="right") - 1
@@ -369,33 +393,22 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
     result = pa.schema([("i", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
     def cut(table: pa.Table, spans: pa.Table) -> pa.Table:
-        ids, keys, buf, off = _table_texts(table)
-        edge = np.zeros(len(buf) + 1, np.int32)
+        table = table.combine_chunks()
+        doc = start = end = np.zeros(0, np.int64)
         if spans.num_rows:
-            doc, (start, end) = _entries(np.asarray(table.column("i").fill_null(0)), keys, spans.column("parcel").to_pylist())
+            ids, keys = np.asarray(table.column("i").fill_null(0)), table.column("k").to_numpy()
+            doc, (start, end) = _entries(ids, keys, spans.column("parcel").to_pylist())
             real = np.asarray(pc.is_valid(table.column("i").combine_chunks()))[doc]
             doc, start, end = doc[real], start[real], end[real]
-            np.add.at(edge, off[doc] + start, 1)
-            np.add.at(edge, np.minimum(off[doc] + end, off[doc + 1]), -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        step = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-        total = np.concatenate([[0], np.cumsum(~gone)])
-        cuts = np.unique(np.concatenate([np.flatnonzero(step), off[(off > 0) & (off < len(buf))][gone[off[(off > 0) & (off < len(buf))]]]])) if len(buf) else np.zeros(0, int)
-        kept = buf[~gone].tobytes()
-        runs, owner = [], []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if gone[a]:
-                runs.append((a, b))
-        if runs:
-            runs = np.array(runs)
-            owner = np.searchsorted(off, runs[:, 0], side="right") - 1
-            flat = (runs - off[owner][:, None]).reshape(-1)
-            counts = np.bincount(owner, minlength=len(ids)) * 2
-        else:
-            flat, counts = np.zeros(0, np.int64), np.zeros(len(ids), np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int64()))
-        bytes_ = [kept[total[off[k]] : total[off[k + 1]]] for k in range(len(ids))]
-        return pa.Table.from_arrays([table.column("i").combine_chunks(), pa.array(np.diff(off), pa.int64()), lists, pa.array(bytes_, pa.binary())], schema=result)
+            order = np.argsort(doc, kind="stable")
+            doc, start, end = doc[order], start[order], end[order]
+        out, base = [], 0
+        for batch in table.to_batches():
+            for part in common.pieces(batch, "t"):
+                lo, hi = np.searchsorted(doc, [base, base + part.num_rows])
+                out.append(_without(part, doc[lo:hi] - base, start[lo:hi].astype(np.int64), end[lo:hi].astype(np.int64), result))
+                base += part.num_rows
+        return pa.Table.from_batches(out, result)
 
     anchors = src.mapInArrow(anchor_parcels, _DDL).repartitionById(n, F.col("to"))
     first = common.checkpoint(anchors.mapInArrow(match, _DDL))
