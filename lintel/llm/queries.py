@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import ppm, repetition, suffix_levels, webp_encode
+from lintel.llm import chosen_path, ppm, repetition, suffix_levels, webp_encode
 from lintel.llm.common import read_table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,10 @@ def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp_encode.store_texts(docs, keep_media=False).select("doc_id", *[f"webp.{c}" for c in webp_encode.MEDIA.names if c != "media"])
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_groups(read_table(spark, sf_dir, "documents"))
+
+
 def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
