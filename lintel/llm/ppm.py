@@ -63,10 +63,6 @@ def shard_of_word(words: pa.Array, n: int) -> np.ndarray:
     return (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(n)).astype(np.uint32)
 
 
-def _counted(codes: np.ndarray, trained: np.ndarray | None, n: int) -> np.ndarray:
-    return np.bincount(codes if trained is None else codes[trained], minlength=n).astype(np.int64)
-
-
 class Node:
     """The contexts of one order in a shard: sorted, with T, D and what exclusion leaves of the parent."""
 
@@ -93,12 +89,17 @@ def shortened(gram: np.ndarray, order: int) -> np.ndarray:
     return gram & np.uint64((1 << 8 * (order + 1)) - 1)
 
 
-def summed(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams, ascending, with their counts; grams never trained on are left out."""
+def merged(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, ascending, with their counts."""
     order = np.argsort(gram)
     gram, count = gram[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-    gram, count = gram[first], np.add.reduceat(count, first) if len(first) else count
+    return gram[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def summed(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same without grams that were never trained on."""
+    gram, count = merged(gram, count)
     return gram[count > 0], count[count > 0]
 
 
@@ -164,15 +165,30 @@ def _block_words(texts: pa.Array):
     return rank[codes], row, pa.concat_arrays([words.take(pa.array(order)), pa.array([END_WORD], words.type)])
 
 
-def _block_grams(texts: pa.Array):
-    """(distinct grams ascending, code of each gram, where each text's begin)."""
-    buf, off = common.flat(texts)
-    gram, begin = grams_of(buf, off)
-    codes, distinct = pd.factorize(gram)
-    order = np.argsort(distinct)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return distinct[order], rank[codes], begin
+def _block_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams ascending, how often each comes in texts to learn from)."""
+    grams, counts = [], []
+    for batch in table.combine_chunks().to_batches():
+        for part in common.pieces(batch, "t"):
+            gram, begin = grams_of(*common.flat(part.column("t")))
+            codes, distinct = pd.factorize(gram)
+            learn = np.asarray(part.column("l").cast(pa.int8())).astype(bool)
+            grams.append(distinct)
+            counts.append(np.bincount(codes[np.repeat(learn, np.diff(begin))], minlength=len(distinct)))
+    return merged(np.concatenate(grams), np.concatenate(counts).astype(np.int64))
+
+
+def _text_scores(table: pa.Table, gram: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """The sum over each text of a block of its grams' values."""
+    out = []
+    for batch in table.combine_chunks().to_batches():
+        for part in common.pieces(batch, "t"):
+            own, begin = grams_of(*common.flat(part.column("t")))
+            codes, distinct = pd.factorize(own)
+            total = np.zeros(len(own) + 1)
+            np.cumsum(log[np.searchsorted(gram, distinct)][codes], out=total[1:])
+            out.append(total[begin[1:]] - total[begin[:-1]])
+    return np.concatenate(out)
 
 
 def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,8 +213,7 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
         texts = table.column("t").combine_chunks()
         learn = np.asarray(table.column("l").combine_chunks().cast(pa.int8())).astype(bool)
         block = table.column("b")[0].as_py()
-        gram, codes, begin = _block_grams(texts)
-        count = _counted(codes, np.repeat(learn, np.diff(begin)), len(gram))
+        gram, count = _block_grams(table)
         low = np.bincount((gram & np.uint64(0xFFFF)).astype(np.int64), count, 65536).astype(np.int64)
         rows = []
         shard = shard_of_gram(gram, n)
@@ -208,7 +223,7 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
         used = np.flatnonzero(low)
         rows.append((2, -1, pack(used.astype(np.uint16), low[used])))
         wcodes, row, words = _block_words(texts)
-        wcount = np.append(_counted(wcodes, learn[row], len(words) - 1), learn.sum())
+        wcount = np.append(np.bincount(wcodes[learn[row]], minlength=len(words) - 1), learn.sum())
         shard = shard_of_word(words, n)
         order = np.argsort(shard, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
@@ -268,13 +283,13 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
         for kind, p in zip(replies.column("kind").to_pylist(), replies.column("parcel").to_pylist()):
             shard, values = unpack(p)
             replied[kind][shard] = values
-        gram, codes, begin = _block_grams(texts)
+        gram, _ = _block_grams(table)
         log = np.empty(len(gram))
         shard = shard_of_gram(gram, n)
         for s, values in replied[0].items():
             log[shard == s] = values
-        total = np.concatenate([[0.0], np.cumsum(log[codes])])
-        del gram, codes, shard
+        score_ = _text_scores(table, gram, log)
+        del gram, log, shard
         codes, row, words = _block_words(texts)
         counts = np.empty(len(words), np.int64)
         shard = shard_of_word(words, n)
@@ -284,7 +299,7 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
         size = np.bincount(row, minlength=rows) + 1
         known = np.bincount(row[c > 0], minlength=rows) + int(counts[-1] > 0)
         base = np.bincount(row, logs[codes], rows) + logs[-1]
-        columns = [table.column("i").combine_chunks(), table.column("l").combine_chunks(), size, known, base, total[begin[1:]] - total[begin[:-1]]]
+        columns = [table.column("i").combine_chunks(), table.column("l").combine_chunks(), size, known, base, score_]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, result.types)], schema=result)
 
     by = src.groupBy("b")
