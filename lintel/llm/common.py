@@ -12,6 +12,7 @@ partitions, which the cluster sets to fit its executors.
 
 from __future__ import annotations
 
+import gc
 import os
 import pickle
 import tempfile
@@ -50,14 +51,22 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(out))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, free: bool = False) -> DataFrame:
     """Cut the lineage in the folder all executors share.
 
+    With `free`, the driver's garbage is collected, upon which Spark's cleaner
+    drops the shuffle files of what has been cut off.
+
     The folder is `spark.checkpoint.dir`. Only where that is unset, as in a
     local test session, a temporary one is used.
     """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    if free:
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -140,6 +149,23 @@ def unpack(parcel: bytes) -> tuple:
     return pickle.loads(pa.decompress(memoryview(parcel)[8:], size, codec="zstd", asbytes=True))
 
 
+PARCELS = pa.schema([("kind", pa.int32()), ("to", pa.int32()), ("parcel", pa.binary())])
+PARCEL_DDL = "kind int, to int, parcel binary"
+
+
+def parcel_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Rows (kind, shard or block, parcel)."""
+    columns = zip(*rows) if rows else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, PARCELS.types)], schema=PARCELS)
+
+
+def runs_of(values: np.ndarray):
+    """Slices of equal values of a sorted array."""
+    cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+    edges = [0, *cuts.tolist(), len(values)]
+    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
