@@ -311,7 +311,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
     """
     spark = docs.sparkSession
     common.ship(spark)
-    n = 2 * common.partitions(spark)  # shards and blocks: half a partition each, for memory
+    n = common.partitions(spark)
     src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
     src = src.withColumns({"k": F.xxhash64("t"), "b": common.block_of(src["i"], n)})
 
@@ -411,7 +411,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
         return pa.Table.from_batches(out, result)
 
     anchors = src.mapInArrow(anchor_parcels, _DDL).repartitionById(n, F.col("to"))
-    first = common.checkpoint(anchors.mapInArrow(match, _DDL))
+    first = common.checkpoint(anchors.mapInArrow(match, _DDL), free=True)
     by = src.groupBy("b")
     asked = first.where("kind = 1").withColumnRenamed("to", "b").groupBy("b")
     second = by.cogroup(asked).applyInArrow(fetch, _DDL).repartitionById(n, F.col("to")).mapInArrow(settle, _DDL)
