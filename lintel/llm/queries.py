@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import chosen_path, fuzzy_lines, ppm, repetition, suffix_levels, webp_encode
+from lintel.llm import chosen_path, fuzzy_lines, packing, ppm, repetition, suffix_levels, webp_encode
 from lintel.llm.common import read_table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_co
 FROM s"""
 
 
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = packing.packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.drop("ids")
+
+
 def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return webp_encode.store_texts(docs, keep_media=False).select("doc_id", *[f"webp.{c}" for c in webp_encode.MEDIA.names if c != "media"])
