@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import chosen_path, fuzzy_lines, packing, ppm, repetition, suffix_levels, webp_encode
+from lintel.llm import chosen_path, discriminant, fuzzy_lines, packing, ppm, repetition, suffix_levels, webp_encode
 from lintel.llm.common import read_table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +55,12 @@ def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp_encode.store_texts(docs, keep_media=False).select("doc_id", *[f"webp.{c}" for c in webp_encode.MEDIA.names if c != "media"])
 
 
+def op4_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.pmod(F.crc32(F.col("i").cast("string").cast("binary")), F.lit(3)) != 1
+    out = discriminant.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), learn)
+    return out.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_groups(read_table(spark, sf_dir, "documents"))
 
