@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lintel.llm import repetition
+from lintel.llm import chosen_path, fuzzy_lines, mixing, packing, queries, repetition
+from lintel.llm.common import shared_dir
+
+#: Tokens of the mixture, as a share of what the stage is given.
+MIX_SHARE = 0.9
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,16 +20,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return repetition.filtered(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One occurrence of near-duplicate lines stays; n_chars follows the text."""
+    out = fuzzy_lines.without_near_lines(docs)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return chosen_path.one_of_each(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture's budget takes, each at most once."""
+    taken = mixing.mixed(docs, queries.mixture(), queries.mixture_levels(), mixing.token_count(F.col("text")), share=MIX_SHARE, epochs=1, seed=queries.MIX_SEED)
+    taken = taken.select(F.col("doc_id").alias("__taken"))
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__taken")), "left_semi")
 
-#: Packing needs a tokenizer, which SQL cannot express.
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packing", pack)]
+
+#: Tokenisation and retrieval cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each one's output lies in the shared folder."""
-    from lintel.llm.common import shared_dir
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import chosen_path, discriminant, fuzzy_lines, packing, ppm, repetition, suffix_levels, webp_encode
+from lintel.llm import chosen_path, discriminant, fuzzy_lines, layout_html, mixing, packing, ppm, repetition, suffix_levels, webp_encode
 from lintel.llm.common import read_table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -61,10 +61,45 @@ def op4_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_layout_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout_html.rendered(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_groups(read_table(spark, sf_dir, "documents"))
 
 
+#: Domains by source, and the weights of the mixture. What the lists do not name goes by "other".
+DOMAINS = {"web": range(0, 10), "reference": range(10, 15), "forum": range(15, 20)}
+DOMAIN_WEIGHTS = {"web": 0.5, "reference": 0.25, "forum": 0.2, "other": 0.05}
+LANGUAGE_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1, "other": 0.05}
+MIX_SEED = 20240
+
+
+def mixture() -> dict:
+    """Every domain has every language, and in it its sources by equal weights."""
+
+    def sources(domain: str) -> dict:
+        return {f"src{k}": (1.0, None) for k in DOMAINS.get(domain, ())} or {"other": (1.0, None)}
+
+    return {d: (w, {lang: (v, sources(d)) for lang, v in LANGUAGE_WEIGHTS.items()}) for d, w in DOMAIN_WEIGHTS.items()}
+
+
+def mixture_levels() -> list:
+    """The columns domain, language and source of a document, with "other" for what is not named."""
+    domain = F.lit("other")
+    for name, numbers in DOMAINS.items():
+        domain = F.when(F.col("source").isin([f"src{k}" for k in numbers]), name).otherwise(domain)
+    named = F.col("source").isin([f"src{k}" for r in DOMAINS.values() for k in r])
+    language = F.when(F.col("lang").isin([x for x in LANGUAGE_WEIGHTS if x != "other"]), F.col("lang")).otherwise("other")
+    return [domain, language, F.when(named, F.col("source")).otherwise("other")]
+
+
+def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixture(), mixture_levels(), mixing.token_count(F.col("text")), share=0.8, epochs=2, seed=MIX_SEED)
+
+
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return fuzzy_lines.without_near_lines(docs, n_lines="n_lines", n_removed="n_removed")
