@@ -1,8 +1,8 @@
 """Packing documents into sequences by lexical retrieval.
 
-Documents are tokenised once; the ids are kept, compressed, in the shared folder.
-Document frequencies of the tokens and the mean length are counted over all
-documents: at most one figure for each entry of the vocabulary. Documents are
+Documents are tokenised once; the ids are kept in the shared folder. Document
+frequencies of the tokens and the mean length are counted over all documents on
+the way: at most one figure for each entry of the vocabulary. Documents are
 then dealt to shards by hash. A shard builds a BM25 inverted index of its
 documents, with the corpus's frequencies, and fills window after window: the
 seed is what was cut from the last window's end, or else the first unused
@@ -33,7 +33,7 @@ END = 2  # the id after each document
 K1, B = 1.2, 0.75
 QUERY_TERMS = 24
 #: Words whose ids a worker remembers.
-CACHE = 700_000
+CACHE = 1_000_000
 
 
 #: Words that lower-casing and composing treat letter by letter: printable ASCII and accented Latin-1 letters.
@@ -49,14 +49,35 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(other)) for b in range(256)]
 
 
-class WordTokenizer:
-    """Ids of whole texts, through the ids of their distinct words.
+# Kinds of bytes: white space, letters of one byte or two, digits, others, and those that need the library's whole way.
+_SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
+
+
+def _byte_kinds() -> np.ndarray:
+    kind = np.full(256, _HARD, np.uint8)
+    kind[33:127] = _OTHER
+    kind[[9, 10, 11, 12, 13, 32]] = _SPACE
+    kind[97:123] = _LETTER
+    kind[48:58] = _DIGIT
+    kind[ord("'")] = _HARD  # may begin a contraction
+    kind[0xC3] = kind[0x80:0xC0] = _LETTER  # a two-byte letter, if they come in pairs
+    return kind
+
 
-    The vocabulary's pre-tokeniser drops white space and never looks across it,
-    so a text's ids are those of its words in order. Plain words are lower-cased
-    and parted here and their parts looked up in the vocabulary's model; all
-    others, and texts in which a special token could be spelled, take the
-    library's whole way.
+_KIND = _byte_kinds()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class WordTokenizer:
+    """Ids of whole texts, through the ids of their distinct parts.
+
+    The vocabulary's pre-tokeniser drops white space and never looks across it.
+    Texts of ASCII without apostrophes and of accented Latin-1 letters are lower-
+    cased and parted here, all of a piece at once: runs of letters, single
+    digits, runs of other marks. Their distinct parts are looked up in the
+    vocabulary's model. All other texts go word by word, plain words parted by
+    an expression and the rest by the library's whole way.
     """
 
     _shared: dict[str, WordTokenizer] = {}
@@ -79,62 +100,83 @@ class WordTokenizer:
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.size: list[np.ndarray] = [np.zeros(0, np.int64)]
-
-    def _part(self, part: str) -> list[int]:
-        got = self.parts.get(part)
-        if got is None:
-            spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-            got = self.parts[part] = [t.id for t in self.model.tokenize(spelled)]
-        return got
-
-    def words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word."""
-        out: list = [None] * len(words)
-        hard = []
-        plain, parts, known = _PLAIN.fullmatch, _PARTS.findall, self._part
-        for k, w in enumerate(words):
-            if plain(w) and "<|" not in w:
-                split = parts(w.lower())
-                out[k] = known(split[0]) if len(split) == 1 else [i for p in split for i in known(p)]
-            else:
-                hard.append(k)
-        if hard:
-            for k, e in zip(hard, self.whole.encode_batch_fast([words[k] for k in hard], add_special_tokens=False)):
-                out[k] = e.ids
-        return out
+        self.pool = np.zeros(0, np.uint16)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+
+    def part(self, part: str) -> list[int]:
+        """The ids of a part, already lower-cased."""
+        spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+        return [t.id for t in self.model.tokenize(spelled)]
+
+    def word(self, word: str) -> list[int]:
+        """The ids of a word."""
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return [i for p in _PARTS.findall(word.lower()) for i in self.part(p)]
+        return self.whole.encode(word, add_special_tokens=False).ids
+
+    def slots(self, keys: list[str], ids_of) -> np.ndarray:
+        """The remembered places of parts or words; new ones are encoded."""
+        known = self.slot
+        new = [k for k in keys if k not in known]
+        if new:
+            got = [ids_of(k.removeprefix("\n")) for k in new]
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint16, int(size.sum()))])
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, where each text's begin)."""
         n = len(texts)
-        texts = pc.fill_null(texts, "")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.ascii_lower(texts)  # fewer distinct words
-        values, row = common.words_of(texts)
-        codes, words = common.codes_of(values)
-        words = words.to_pylist()
         if len(self.slot) > CACHE:
             self.clear()
-        new = [w for w in words if w not in self.slot]
-        if new:
-            got = self.words(new)
-            base = len(self.slot)
-            self.slot.update(zip(new, range(base, base + len(new))))
-            self.size = [np.concatenate([*self.size, np.fromiter(map(len, got), np.int64, len(got))])]
-            self.ids = [np.concatenate([*self.ids, np.fromiter(chain.from_iterable(got), np.uint32)])]
-        pool, size = self.ids[0], self.size[0]
-        first = np.cumsum(size) - size
-        slot = np.fromiter((self.slot[w] for w in words), np.int64, len(words))[codes]
-        # one id more after the last word of each text
-        count = size[slot]
-        per_text = np.bincount(row, count, n).astype(np.int64) + 1
-        begin = np.concatenate([[0], np.cumsum(per_text)])
-        out = np.full(int(begin[-1]), END, np.uint32)
-        flat = np.repeat(first[slot], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        place = np.arange(len(flat)) + np.repeat(row, count)
-        out[place] = pool[flat]
+        buf, off = common.flat(texts)
+        low = _LOWER[buf]
+        kind = _KIND[low]
+        lead = buf == 0xC3
+        after = np.zeros(len(buf), bool)
+        after[1:] = lead[:-1]
+        tail = (buf >= 0x80) & (buf < 0xC0)
+        low[after & (buf >= 0x80) & (buf <= 0x9E)] += 0x20
+        bad = (kind == _HARD) | (tail != after) | after & ((buf == 0x97) | (buf == 0xB7))
+        bad[1:] |= (buf[1:] == ord("|")) & (buf[:-1] == ord("<"))
+        row_of = lambda at: np.searchsorted(off, at, side="right") - 1
+        hard = np.zeros(n, bool)
+        hard[row_of(np.flatnonzero(bad))] = True
+        owner = np.repeat(np.arange(n), np.diff(off))
+        keep = (kind != _SPACE) & ~hard[owner]
+        opens = np.ones(len(buf), bool)
+        opens[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        inner = off[1:-1]
+        opens[inner[inner < len(buf)]] = True
+        opens &= keep
+        bytes_ = low[keep]
+        starts = np.append(np.flatnonzero(opens[keep]), len(bytes_)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(bytes_)])
+        codes, distinct = common.codes_of(parts)
+        row = owner[opens]
+        slot = self.slots(distinct.to_pylist(), self.part)[codes] if len(codes) else np.zeros(0, np.int64)
+        if hard.any():  # words are remembered under a mark, for they are not lower-cased parts
+            which = np.flatnonzero(hard)
+            values, word_row = common.words_of(pc.fill_null(texts, "").take(pa.array(which)))
+            codes, distinct = common.codes_of(values)
+            if len(codes):
+                slot = np.concatenate([slot, self.slots(["\n" + w for w in distinct.to_pylist()], self.word)[codes]])
+                row = np.concatenate([row, which[word_row]])
+                order = np.argsort(row, kind="stable")
+                slot, row = slot[order], row[order]
+        count = self.size[slot]
+        ends = np.cumsum(count)
+        begin = np.zeros(n + 1, np.int64)
+        begin[1:] = np.cumsum(np.bincount(row, count, n).astype(np.int64) + 1)
+        total = int(ends[-1]) if len(ends) else 0
+        out = np.full(int(begin[-1]), END, np.uint16)
+        is_end = np.zeros(len(out), bool)
+        is_end[begin[1:] - 1] = True
+        out[~is_end] = self.pool[np.repeat(self.first[slot] - (ends - count), count) + np.arange(total)]
         return out, begin
 
 
@@ -236,8 +278,8 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     repeated rows and null ids are no special case. An empty table gives an
     empty one. Other columns are left out. `length` must be a power of two.
     """
-    if length & (length - 1):
-        raise ValueError("length must be a power of two")
+    if length & (length - 1) or vocabulary > 1 << 16:
+        raise ValueError("length must be a power of two and ids fit in 16 bits")
     spark = docs.sparkSession
     common.ship(spark)
     n = common.partitions(spark)
@@ -246,24 +288,31 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
     def tokenise(batches):
         encoder = WordTokenizer.of(tokenizer)
+        seen = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for part in common.pieces(batch, "t"):
                 ids, begin = encoder.encode(part.column("t"))
-                parcels = [pack(ids[a:b].astype(np.uint16) if vocabulary <= 65536 else ids[a:b]) for a, b in zip(begin[:-1], begin[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("shard"), pa.array(np.diff(begin)), pa.array(parcels, pa.binary())], ["i", "shard", "n", "ids"])
+                rows = part.num_rows
+                pair = np.unique(np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(16), np.diff(begin)) | ids)
+                seen += np.bincount((pair & np.uint64(0xFFFF)).astype(np.int64), minlength=vocabulary)
+                raw = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("shard"), pa.array(np.diff(begin)), raw], ["i", "shard", "n", "ids"])
+        used = np.flatnonzero(seen)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([pack(used.astype(np.int32), seen[used])], pa.binary())], ["i", "shard", "n", "ids"])
 
-    tokens = common.checkpoint(src.mapInArrow(tokenise, "i long, shard int, n long, ids binary"))
+    held = common.checkpoint(src.mapInArrow(tokenise, "i long, shard int, n long, ids binary"))
+    tokens = held.where("shard >= 0")
 
     def count(batches):
-        seen = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for p in batch.column("ids").to_pylist():
-                seen[np.unique(unpack(p)[0])] += 1
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used])], ["term", "n"])
+                term, k = unpack(p)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(k)], ["term", "n"])
 
     frequency = np.zeros(vocabulary, np.int64)
-    for term, k in tokens.select("ids").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # one row a term
+    counts = held.where("shard < 0").select("ids").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n"))
+    for term, k in counts.collect():  # at most one row an entry of the vocabulary
         frequency[term] = k
     documents, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     known = spark.sparkContext.broadcast(frequency)
@@ -281,7 +330,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
             return
         place = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, parcels[k]))
         ids = [ids[k] for k in place]
-        docs_ = [unpack(parcels[k])[0] for k in place]
+        docs_ = [np.frombuffer(parcels[k], np.uint16) for k in place]
         del parcels
         sizes = np.array([len(d) for d in docs_])
         order = order_by_retrieval(sizes, Index(docs_, known.value, documents, mean), length)
