@@ -21,8 +21,8 @@ def directory(spark: SparkSession, root: str) -> DataFrame:
     store's concern.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    rel = F.substring_index(raw["path"], base, -1)
+    base = root.rstrip("/") + "/"
+    rel = F.substr(raw["path"], F.instr(raw["path"], base) + F.lit(len(base)))
     return raw.select(rel.alias("path"), "content", F.col("length").alias("size"))
 
 
