@@ -166,6 +166,12 @@ def runs_of(values: np.ndarray):
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by a sort: faster than hashing for integers."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

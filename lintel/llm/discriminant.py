@@ -74,7 +74,7 @@ def figures_of(texts: pa.Array) -> np.ndarray:
     mean = sums / np.maximum(words, 1)
     spread = np.sqrt(np.maximum(squares / np.maximum(words, 1) - mean**2, 0))
     code, _ = common.codes_of(values)
-    distinct = np.bincount(np.unique(row.astype(np.int64) << 32 | code) >> 32, minlength=n)
+    distinct = np.bincount(common.distinct(row.astype(np.int64) << 32 | code) >> 32, minlength=n)
     letters = (histogram > 0).sum(1)
     raw = _flat_first_bytes(values)
     line_count = histogram[:, 10] + 1

@@ -293,7 +293,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
             for part in common.pieces(batch, "t"):
                 ids, begin = encoder.encode(part.column("t"))
                 rows = part.num_rows
-                pair = np.unique(np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(16), np.diff(begin)) | ids)
+                pair = common.distinct(np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(16), np.diff(begin)) | ids)
                 seen += np.bincount((pair & np.uint64(0xFFFF)).astype(np.int64), minlength=vocabulary)
                 raw = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([part.column("i"), part.column("shard"), pa.array(np.diff(begin)), raw], ["i", "shard", "n", "ids"])

@@ -115,7 +115,7 @@ def stats_of(texts: pa.Array, min_repeat: int) -> dict[str, np.ndarray]:
     worded = np.asarray(pc.greater(pc.binary_length(pc.ascii_trim_whitespace(flat_lines)), 0))
     line, _ = common.codes_of(flat_lines.filter(pa.array(worded)))
     line_row = line_row[worded]
-    pairs = np.unique(line_row.astype(np.int64) << 32 | line.astype(np.int64))
+    pairs = common.distinct(line_row.astype(np.int64) << 32 | line.astype(np.int64))
     count = lambda rows, weights=None: np.bincount(rows, weights, n).astype(np.int64)
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, row, repeat)
