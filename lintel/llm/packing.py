@@ -32,8 +32,9 @@ LENGTH = 4096
 END = 2  # the id after each document
 K1, B = 1.2, 0.75
 QUERY_TERMS = 24
+CHUNK = 500_000  # tokens counted at a time
 #: Words whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 #: Words that lower-casing and composing treat letter by letter: printable ASCII and accented Latin-1 letters.
@@ -185,15 +186,20 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], frequency: np.ndarray, documents: int, mean: float):
         size = np.array([len(d) for d in docs])
-        term = np.concatenate(docs).astype(np.uint64)
-        pair, tf = np.unique(np.repeat(np.arange(len(docs)), size).astype(np.uint64) << np.uint64(32) | term, return_counts=True)
-        doc, term = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        chunk = np.cumsum(size) // CHUNK  # documents are counted some at a time, for memory
+        doc, term, weight = [], [], []
         idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+        for r in common.runs_of(chunk):
+            pair, tf = np.unique(np.repeat(np.arange(r.start, r.stop, dtype=np.uint64) << np.uint64(16), size[r]) | np.concatenate(docs[r]), return_counts=True)
+            at, own = (pair >> np.uint64(16)).astype(np.int32), (pair & np.uint64(0xFFFF)).astype(np.uint16)
+            doc.append(at)
+            term.append(own)
+            weight.append((idf[own] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[at] / mean))).astype(np.float32))
+        doc, term, weight = np.concatenate(doc), np.concatenate(term), np.concatenate(weight)
         self.doc_first = np.searchsorted(doc, np.arange(len(docs) + 1))
         self.doc_term, self.doc_weight = term, weight
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        self.doc, self.weight = doc[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(frequency) + 1))
         self.n = len(docs)
 
