@@ -49,12 +49,11 @@ def clean_path(path: Column) -> Column:
     return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
 
 
-def snippet(lines: Column, line: Column, context: int = 2) -> Column:
-    """The lines around a line, numbered, the line itself marked."""
-    first = F.greatest(line - context, F.lit(1))
-    part = F.slice(lines, first, line + context - first + 1)
+def snippet(around: Column, line: Column) -> Column:
+    """A line's neighbourhood, from two lines before it, numbered, the line itself marked."""
+    first = F.greatest(line - 2, F.lit(1))
     row = lambda x, i: F.format_string("%s%4d | %s\n", F.when(i + first == line, F.lit("> ")).otherwise(F.lit("  ")), i + first, x)
-    return F.array_join(F.transform(part, row), "")
+    return F.array_join(F.transform(around, row), "")
 
 
 def version_parts(version: Column) -> Column:

@@ -95,10 +95,12 @@ def vulnerable(deps: DataFrame) -> DataFrame:
 def dependency_findings(files: DataFrame) -> DataFrame:
     """The same as findings; they have no span on their line."""
     rows = vulnerable(dependencies(files))
+    from lintel.operators.detect import around, previous
+
     line = F.element_at("lines", F.col("line_no"))
-    previous = F.when(F.col("line_no") > 1, F.element_at("lines", F.greatest(F.col("line_no") - 1, F.lit(1))))
+    rows = rows.withColumn("around", around("lines", F.col("line_no")))
     return rows.select(
-        "path", "language", "line_no", line.alias("line"), previous.alias("previous"), F.lit(0).alias("pattern"), F.lit("dependency").alias("rule_id"), F.concat(F.lit("Vulnerable dependency: "), "name").alias("title"), "severity", F.lit("dependency").alias("category"),
+        "path", "language", "line_no", line.alias("line"), previous().alias("previous"), F.lit(0).alias("pattern"), F.lit("dependency").alias("rule_id"), F.concat(F.lit("Vulnerable dependency: "), "name").alias("title"), "severity", F.lit("dependency").alias("category"),
         F.lit("CWE-1104").alias("cwe"), F.lit(0.9).alias("confidence"), F.concat("name", F.lit(" version "), "version", F.lit(" is vulnerable to "), "cve", F.lit(": "), "description").alias("description"),
-        F.lit(0).alias("match_start"), F.lit(0).alias("match_end"), F.concat_ws(" ", "name", "version").alias("match_text"), X.snippet(F.col("lines"), F.col("line_no")).alias("code_snippet"),
+        F.lit(0).alias("match_start"), F.lit(0).alias("match_end"), F.concat_ws(" ", "name", "version").alias("match_text"), X.snippet(F.col("around"), F.col("line_no")).alias("code_snippet"),
     )

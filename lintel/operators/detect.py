@@ -20,11 +20,29 @@ DIRECTIVE = "lintel"
 
 
 def candidate_lines(files: DataFrame, literals, fold: bool = True) -> DataFrame:
-    """(path, language, lines, line_no, line) of lines with one of the literals."""
+    """(path, language, line_no, line, around) of lines with one of the literals.
+
+    `around` has the lines from two before to two after, so that a row never
+    carries its whole file.
+    """
     text = R.folded if fold else (lambda x: x)
-    at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: R.has_any(text(F.element_at("lines", i)), literals))
-    rows = files.select("path", "language", "lines", F.explode(at).alias("line_no"))
-    return rows.withColumn("line", F.element_at("lines", F.col("line_no")))
+    # the folded line is bound to a variable, or each literal would fold it again
+    good = lambda i: F.exists(F.array(text(F.element_at("lines", i))), lambda x: R.has_any(x, literals))
+    at = F.filter(F.sequence(F.lit(1), F.size("lines")), good)
+    rows = F.transform(at, lambda i: F.struct(i.alias("line_no"), F.element_at("lines", i).alias("line"), around("lines", i).alias("around")))
+    return files.select("path", "language", F.explode(rows).alias("c")).select("path", "language", "c.line_no", "c.line", "c.around")
+
+
+def around(lines, line_no: Column) -> Column:
+    """A line's neighbourhood of up to five lines."""
+    first = F.greatest(line_no - 2, F.lit(1))
+    return F.slice(lines, first, line_no + 2 - first + 1)
+
+
+def previous() -> Column:
+    """The line before, null for a file's first."""
+    n = F.col("line_no")
+    return F.when(n > 1, F.get("around", F.least(n, F.lit(3)) - 2))
 
 
 def all_lines(files: DataFrame) -> DataFrame:
@@ -37,8 +55,13 @@ def _applies(languages) -> Column:
 
 
 def _hits(rows: DataFrame, tries: list[tuple[Column, str]]) -> DataFrame:
-    """Rows with `pattern`, the number of each expression that matches: (condition, expression)."""
+    """Rows with `pattern`, the number of each expression that matches: (condition, expression).
+
+    Conditions may use `folded`, the line as literals see it; an expression is
+    run only where its condition holds.
+    """
     line = F.col("line")
+    rows = rows.withColumn("folded", R.folded(line))
     numbers = F.array(*[F.when(cond & R.matches(line, p), F.lit(k)) for k, (cond, p) in enumerate(tries)])
     rows = rows.withColumn("pattern", F.explode(F.array_compact(numbers)))
     first, text = F.lit(None).cast("int"), F.lit(None).cast("string")
@@ -49,10 +72,9 @@ def _hits(rows: DataFrame, tries: list[tuple[Column, str]]) -> DataFrame:
 
 
 def _finding(rows: DataFrame, rule: Column, title: Column, severity: Column, category: Column, cwe: Column, confidence: Column, description: Column) -> DataFrame:
-    previous = F.when(F.col("line_no") > 1, F.element_at("lines", F.greatest(F.col("line_no") - 1, F.lit(1))))
     return rows.select(
-        "path", "language", "line_no", "line", previous.alias("previous"), "pattern", rule.alias("rule_id"), title.alias("title"), severity.alias("severity"), category.alias("category"), cwe.alias("cwe"),
-        confidence.alias("confidence"), description.alias("description"), "match_start", "match_end", "match_text", X.snippet(F.col("lines"), F.col("line_no")).alias("code_snippet"),
+        "path", "language", "line_no", "line", previous().alias("previous"), "pattern", rule.alias("rule_id"), title.alias("title"), severity.alias("severity"), category.alias("category"), cwe.alias("cwe"),
+        confidence.alias("confidence"), description.alias("description"), "match_start", "match_end", "match_text", X.snippet(F.col("around"), F.col("line_no")).alias("code_snippet"),
     )
 
 
@@ -64,8 +86,8 @@ def pattern_findings(files: DataFrame) -> DataFrame:
     """Findings of the fourteen line rules."""
     rules = C.PATTERN_RULES
     rows = candidate_lines(files, sorted({x for r in rules for x in r.need}))
-    line = F.col("line")
-    tries = [(_applies(r.languages) & (~R.matches(line, r.exclude) if r.exclude else F.lit(True)), r.regex) for r in rules]
+    line, folded = F.col("line"), F.col("folded")
+    tries = [(_applies(r.languages) & R.has_any(folded, r.need) & (~R.matches(line, r.exclude) if r.exclude else F.lit(True)), r.regex) for r in rules]
     rows = _hits(rows, tries)
     col = lambda name: _by_rule([getattr(r, name) for r in rules])
     return _finding(rows, col("id"), col("title"), col("severity"), col("category"), col("cwe"), col("confidence"), col("description"))
