@@ -1,26 +1,70 @@
 """Connected components of a graph given as an edge table, by alternating stars.
 
-Each round every node links its larger neighbours to its smallest one, then its
-smaller ones (the large-star and small-star steps), until nothing changes. Edges
-stay rows; a node with many neighbours is handled by grouped minima alone, never
-by gathering its neighbours, and one round costs four aggregations.
+First each partition replaces its own edges by a spanning star of each of its own
+components. Then, each round, every node links its larger neighbours to its
+smallest one and after that its smaller ones (the large-star and small-star
+steps), until all that is left are stars around smallest nodes. Edges stay rows;
+a node with many neighbours is handled by grouped minima and joins that can be
+split, never by gathering its neighbours.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's larger (or other) neighbours to the smallest node of its star."""
-    both = edges.union(edges.select("v", "u")) if large else edges
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = both.join(low, "u")
-    linked = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return linked.where("u <> v").distinct()
+def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) without the smallest nodes themselves."""
+    node, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = np.split(code.reshape(-1), 2)
+    up = np.arange(len(node))
+    while True:  # hook roots to smaller neighbours' roots, then shorten all paths
+        x, y = up[a], up[b]
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        apart = high != low
+        if not apart.any():
+            break
+        np.minimum.at(up, high[apart], low[apart])
+        while True:
+            short = up[up]
+            if (short == up).all():
+                break
+            up = short
+    own = np.flatnonzero(up != np.arange(len(node)))
+    return node[own], node[up[own]]
+
+
+def _contract(batches):
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if held:
+        u, v = spanning_stars(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours go to the smallest of the node and its neighbours."""
+    both = edges.union(edges.select("v", "u"))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours go to the smallest of these."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    linked = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return linked.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node has one link and no node linked to has any."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("v", F.lit(0), F.lit(1)))
+    per = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return per.where((F.col("out") > 1) | (F.col("out") == 1) & (F.col("in") == 1)).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,13 +73,9 @@ def components(edges: DataFrame) -> DataFrame:
     Self-links, repeated edges and either direction are fine, rows with a null
     are no edges; nodes without an edge to another node do not appear.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    # u > v in every row from here on
-    edges, last = common.checkpoint(edges), None
-    while True:
-        edges = common.checkpoint(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last or now[0] == 0:
-            break
-        last = now
+    common.ship(edges.sparkSession)
+    edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_contract, "u long, v long")
+    edges = common.checkpoint(edges)  # u > v in every row from here on
+    while not _stars_only(edges):
+        edges = common.checkpoint(_small_star(_large_star(edges)))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
