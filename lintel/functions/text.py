@@ -96,7 +96,7 @@ def cvss_label(score: Column) -> Column:
 
 
 def bar_percent(count: Column, total: Column) -> Column:
-    return F.when(total <= 0, F.lit(0).cast("bigint")).otherwise(F.expr("1").cast("bigint") * F.floor(count * 100 / total))
+    return F.when(total <= 0, F.lit(0).cast("bigint")).otherwise(F.floor(count * 100 / total).cast("bigint"))
 
 
 def dash(text: Column) -> Column:

@@ -19,7 +19,11 @@ def compared(current: DataFrame, baseline: DataFrame | None) -> tuple[DataFrame,
     Without a baseline all is new. Of findings that share a fingerprint the one
     with the greatest remaining columns stands for all.
     """
-    once = lambda df: df.groupBy("fingerprint").agg(*[F.max(c).alias(c) for c in df.columns if c != "fingerprint"])
+
+    def once(df: DataFrame) -> DataFrame:
+        others = [F.max(c).alias(c) for c in df.columns if c != "fingerprint"]
+        return df.groupBy("fingerprint").agg(*others) if others else df.distinct()
+
     now = once(current)
     before = now.limit(0) if baseline is None else once(baseline)
     keys, old = now.select("fingerprint"), before.select("fingerprint")

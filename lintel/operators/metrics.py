@@ -89,3 +89,20 @@ def function_metrics(functions: DataFrame) -> DataFrame:
         F.count("*").alias("total_functions"), F.when(F.count("*") > 0, 1.0).otherwise(0.0).alias("average_function_size"), F.when(F.count("*") > 0, 1).otherwise(0).alias("largest_function"),
         F.count_if("is_exported").alias("exported_functions"), F.lit(0.0).alias("average_complexity"),
     )
+
+
+def summary(files: DataFrame, functions: DataFrame) -> DataFrame:
+    """One row with everything: totals, scores, language map, largest files, function figures.
+
+    Every part is one row, so the parts are put side by side by broadcasts.
+    """
+    by_language = F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "files"))))
+    parts = [
+        complexity_score(files), duplication_score(files), languages(files).agg(by_language.alias("language_breakdown")),
+        largest_files(files).agg(F.array_sort(F.collect_list(F.struct("path", "line_count", "size")), lambda a, b: F.when(a["line_count"] != b["line_count"], b["line_count"] - a["line_count"]).when(a["path"] > b["path"], -1).otherwise(1)).alias("largest_files")),
+        function_metrics(functions).select(F.struct("*").alias("functions")),
+    ]
+    out = totals(files)
+    for p in parts:
+        out = out.crossJoin(F.broadcast(p))
+    return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 from lintel.plans import catalog as C
 from lintel.plans import corpus
 from lintel.plans import queries as Q
+from lintel.sources import store
 
 TRIM = r"'^[\s\x{0b}\x{85}\p{Z}]+|[\s\x{0b}\x{85}\p{Z}]+$'"
 
@@ -254,6 +255,11 @@ def oracle_sql() -> dict[str, str]:
         "complexity_score": f"{lined}, {COMPLEXITY} SELECT round(coalesce(greatest(0, least(100, 100 - avg(complexity) * 5)), 100), 6) AS complexity_score FROM complexity",
         "duplication_score": f"{lined}, t AS (SELECT {_trim('line')} AS t FROM lines) SELECT round(coalesce(count(DISTINCT t)::DOUBLE / nullif(count(*), 0) * 100, 100), 6) AS duplication_score FROM t WHERE strlen(t) >= 10",
         "function_metrics": f"{lined}, {functions} SELECT count(*) AS total_functions, CASE WHEN count(*) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS average_function_size, CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS BIGINT) AS largest_function, count(*) FILTER (WHERE is_exported) AS exported_functions, 0.0::DOUBLE AS average_complexity FROM fn",
+        "code_summary": f"{lined}, {COMPLEXITY}, {functions} SELECT (SELECT count(*) FROM files) AS total_files, round(coalesce(greatest(0, least(100, 100 - (SELECT avg(complexity) FROM complexity) * 5)), 100), 6) AS complexity_score, (SELECT count(*) FROM files WHERE language = 'python') AS python_files, (SELECT path FROM files ORDER BY line_count DESC, path DESC LIMIT 1) AS largest, (SELECT least(10, count(*)) FROM files) AS n_largest, (SELECT count(*) FROM fn) AS total_functions",
+        "scan_lifecycle": "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, bs in store.NEXT.items() for b in bs) + ") AS t(status, target)",
+        "language_extensions": "SELECT language, string_agg(extension, ' ' ORDER BY extension) AS extensions FROM (VALUES " + ", ".join(f"({q(v)}, {q(k)})" for k, v in C.EXTENSIONS.items()) + ") AS t(language, extension) GROUP BY language",
+        "severity_bars": f"{one} SELECT severity, count(*) * 100 // (SELECT count(*) FROM found) AS percent FROM found GROUP BY severity",
+        "cvss_bands": f"{one} SELECT CASE WHEN cvss_score >= 9 THEN 'Critical' WHEN cvss_score >= 7 THEN 'High' WHEN cvss_score >= 4 THEN 'Medium' WHEN cvss_score > 0 THEN 'Low' ELSE 'None' END AS band, count(*) AS n FROM found GROUP BY band",
         "url_validation": f"WITH {URLS} SELECT page_id, lower({part(1)}) IN ('https', 'ssh') AND NOT (regexp_matches({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#@]*@') AND (lower({part(1)}) = 'https' OR contains({part(2)}, ':'))) AND lower({part(3)}) IN ('github.com', 'gitlab.com', 'bitbucket.org') AND NOT contains({part(4)}, '..') AS allowed FROM urls",
         "repository_from_url": f"WITH {URLS} SELECT page_id, string_split({full}, '/')[-1] AS name, {full} AS full_name, CASE WHEN contains({host}, 'github') THEN 'github' WHEN contains({host}, 'gitlab') THEN 'gitlab' WHEN contains({host}, 'bitbucket') THEN 'bitbucket' ELSE 'generic' END AS provider FROM urls WHERE starts_with(url, 'https://')",
         "changed_files": "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, md5(coalesce(text, '')) AS hash, doc_id FROM documents), a AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE hash END AS was FROM d WHERE doc_id % 3 <> 0), b AS (SELECT path, hash AS now FROM d WHERE doc_id % 5 <> 0) SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b USING (path) WHERE was IS NULL OR now IS NULL OR was <> now",

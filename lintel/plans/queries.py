@@ -10,6 +10,7 @@ from lintel.operators import delta, dependency, detect, metrics, report, structu
 from lintel.plans import catalog as C
 from lintel.plans import corpus
 from lintel.sources import files as sources
+from lintel.sources import store
 from lintel.streaming import incremental
 
 HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
@@ -339,6 +340,34 @@ def rate_limiter(spark, sf_dir):
     return incremental.rate_limited(e, 3, 86400).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
+def code_summary(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    out = metrics.summary(f, structure.functions(f))
+    return out.select("total_files", F.round("complexity_score", 6).alias("complexity_score"), F.element_at("language_breakdown", "python").alias("python_files"), F.col("largest_files")[0]["path"].alias("largest"), F.size("largest_files").cast("long").alias("n_largest"), "functions.total_functions")
+
+
+def scan_lifecycle(spark, sf_dir):
+    names = spark.createDataFrame([(x,) for x in store.NEXT], "s string")
+    a, b = names.select(F.col("s").alias("status")), names.select(F.col("s").alias("target"))
+    return a.join(b, F.col("status") != F.col("target")).where(store.may_become(F.col("status"), F.col("target")))
+
+
+def language_extensions(spark, sf_dir):
+    df = spark.createDataFrame([(v, k) for k, v in C.EXTENSIONS.items()], "language string, extension string")
+    return df.groupBy("language").agg(F.array_join(F.array_sort(F.collect_list("extension")), " ").alias("extensions"))
+
+
+def severity_bars(spark, sf_dir):
+    f = _findings(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
+    total = f.agg(F.sum("n").alias("total"))
+    return f.crossJoin(F.broadcast(total)).select("severity", X.bar_percent(F.col("n"), F.col("total")).alias("percent"))
+
+
+def cvss_bands(spark, sf_dir):
+    f = _findings(spark, sf_dir)
+    return f.groupBy(X.cvss_band(F.col("cvss_score")).alias("band")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     """All of them by name."""
     skip = {"queries"}
