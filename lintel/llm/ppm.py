@@ -48,11 +48,15 @@ def grams_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = off[:-1] + np.arange(n) * gap + ORDER
     which = np.repeat(start - off[:-1], size)
     stream[np.arange(len(buf)) + which] = _UPPER[buf]
-    g = np.zeros(len(stream), np.uint64)
-    for k in range(ORDER + 1):
-        g[k:] |= stream[: len(stream) - k].astype(np.uint64) << np.uint64(8 * k)
-    real = np.repeat(start - np.concatenate([[0], np.cumsum(size + 1)[:-1]]), size + 1)
-    return g[np.arange(int(off[-1]) + n) + real], np.concatenate([[0], np.cumsum(size + 1)])
+    # eight bytes from each place, the first highest; of these the first six are the gram of the sixth
+    wide = np.empty((len(stream) + 7) // 8 * 8, np.uint64)
+    padded = np.concatenate([stream, np.zeros(16, np.uint8)])
+    for k in range(8):
+        wide[k::8] = padded[k : k + len(wide)].view(">u8")
+    begin = np.zeros(n + 1, np.int64)
+    np.cumsum(size + 1, out=begin[1:])
+    real = np.repeat(start - ORDER - begin[:-1], size + 1)
+    return wide[np.arange(int(begin[-1])) + real] >> np.uint64(8 * (7 - ORDER)), begin
 
 
 def shard_of_gram(gram: np.ndarray, n: int) -> np.ndarray:
@@ -165,29 +169,38 @@ def _block_words(texts: pa.Array):
     return rank[codes], row, pa.concat_arrays([words.take(pa.array(order)), pa.array([END_WORD], words.type)])
 
 
-def _block_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct grams ascending, how often each comes in texts to learn from)."""
-    grams, counts = [], []
+def _pieces(table: pa.Table):
     for batch in table.combine_chunks().to_batches():
-        for part in common.pieces(batch, "t"):
-            gram, begin = grams_of(*common.flat(part.column("t")))
-            codes, distinct = pd.factorize(gram)
-            learn = np.asarray(part.column("l").cast(pa.int8())).astype(bool)
-            grams.append(distinct)
-            counts.append(np.bincount(codes[np.repeat(learn, np.diff(begin))], minlength=len(distinct)))
+        yield from common.pieces(batch, "t")
+
+
+def _piece_grams(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct grams, code of each gram, where each text's begin) of a piece."""
+    gram, begin = grams_of(*common.flat(part.column("t")))
+    codes, distinct = pd.factorize(gram)
+    return distinct, codes.astype(np.int32), begin
+
+
+def _asked_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams ascending, how often each comes in texts to learn from) of a block."""
+    grams, counts = [], []
+    for part in _pieces(table):
+        distinct, codes, begin = _piece_grams(part)
+        learn = np.asarray(part.column("l").cast(pa.int8())).astype(bool)
+        grams.append(distinct)
+        counts.append(np.bincount(codes[np.repeat(learn, np.diff(begin))], minlength=len(distinct)))
     return merged(np.concatenate(grams), np.concatenate(counts).astype(np.int64))
 
 
-def _text_scores(table: pa.Table, gram: np.ndarray, log: np.ndarray) -> np.ndarray:
-    """The sum over each text of a block of its grams' values."""
-    out = []
-    for batch in table.combine_chunks().to_batches():
-        for part in common.pieces(batch, "t"):
-            own, begin = grams_of(*common.flat(part.column("t")))
-            codes, distinct = pd.factorize(own)
-            total = np.zeros(len(own) + 1)
-            np.cumsum(log[np.searchsorted(gram, distinct)][codes], out=total[1:])
-            out.append(total[begin[1:]] - total[begin[:-1]])
+def _text_scores(table: pa.Table, values_of) -> np.ndarray:
+    """The sum over each text of a block of its grams' values, given those of the block's ascending grams."""
+    held = [_piece_grams(part) for part in _pieces(table)]
+    gram = common.distinct(np.concatenate([h[0] for h in held]))
+    value, out = values_of(gram), []
+    for distinct, codes, begin in held:
+        total = np.zeros(len(codes) + 1)
+        np.cumsum(value[np.searchsorted(gram, distinct)][codes], out=total[1:])
+        out.append(total[begin[1:]] - total[begin[:-1]])
     return np.concatenate(out)
 
 
@@ -213,7 +226,7 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
         texts = table.column("t").combine_chunks()
         learn = np.asarray(table.column("l").combine_chunks().cast(pa.int8())).astype(bool)
         block = table.column("b")[0].as_py()
-        gram, count = _block_grams(table)
+        gram, count = _asked_grams(table)
         low = np.bincount((gram & np.uint64(0xFFFF)).astype(np.int64), count, 65536).astype(np.int64)
         rows = []
         shard = shard_of_gram(gram, n)
@@ -283,13 +296,13 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
         for kind, p in zip(replies.column("kind").to_pylist(), replies.column("parcel").to_pylist()):
             shard, values = unpack(p)
             replied[kind][shard] = values
-        gram, _ = _block_grams(table)
-        log = np.empty(len(gram))
-        shard = shard_of_gram(gram, n)
-        for s, values in replied[0].items():
-            log[shard == s] = values
-        score_ = _text_scores(table, gram, log)
-        del gram, log, shard
+        def values_of(gram: np.ndarray) -> np.ndarray:
+            log, shard = np.empty(len(gram)), shard_of_gram(gram, n)
+            for s, values in replied[0].items():
+                log[shard == s] = values
+            return log
+
+        score_ = _text_scores(table, values_of)
         codes, row, words = _block_words(texts)
         counts = np.empty(len(words), np.int64)
         shard = shard_of_word(words, n)
