@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm import common
 from lintel.llm.common import mix64, pack, unpack
-from lintel.llm.components import components
+from lintel.llm.components import components, star_batch
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -315,8 +315,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run
             done.add(mark)
             own = owner[at : at + m][members[1]]
             links.update((int(names[own[x]]), int(names[own[y]])) for x, y in bucket_links(bits[own]))
-        u, v = zip(*links) if links else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        yield star_batch(links)
 
     met = first.mapInArrow(leaves, ddl).repartitionById(n, F.col("to")).mapInArrow(meet, "u long, v long")
     groups = components(met)  # of set hashes

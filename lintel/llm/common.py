@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time by the vectorised kernels.
 PIECE_BYTES = 2 << 20
+BATCH_ROWS = "1500"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
@@ -38,7 +40,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not have it on their path."""
+    """Get a session ready for the operators' Python parts.
+
+    Arrow batches of whole texts get `BATCH_ROWS` rows unless the session has
+    chosen a number, for both ends hold a batch at a time. Executors without
+    this package on their path are sent it.
+    """
+    if spark.conf.get(_ROWS) == "10000":  # Spark's own default
+        spark.conf.set(_ROWS, BATCH_ROWS)
     on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     app = spark.sparkContext.applicationId
     if str(_ROOT) in on_path or app in _shipped:
