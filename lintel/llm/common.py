@@ -12,6 +12,7 @@ partitions, which the cluster sets to fit its executors.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import pickle
@@ -27,13 +28,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time by the vectorised kernels.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 BATCH_ROWS = "1500"
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
 
+def _return_memory() -> None:
+    """Lets freed arrays go back to the system at once.
+
+    Workers live on between tasks; what the C library keeps of their largest
+    moment would count against the executor for as long.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # only glibc has it
+        m_mmap_threshold = -3
+        libc.mallopt(m_mmap_threshold, 1 << 20)
+
+
+_return_memory()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
