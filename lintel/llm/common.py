@@ -36,7 +36,7 @@ _shipped: set[str] = set()
 
 
 def _return_memory() -> None:
-    """Lets freed arrays go back to the system at once.
+    """Lets freed arrays go back to the system, but for some 64 MB.
 
     Workers live on between tasks; what the C library keeps of their largest
     moment would count against the executor for as long.
@@ -44,8 +44,9 @@ def _return_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):  # only glibc has it
-        m_mmap_threshold = -3
-        libc.mallopt(m_mmap_threshold, 1 << 20)
+        m_trim_threshold, m_mmap_threshold = -1, -3
+        libc.mallopt(m_mmap_threshold, 16 << 20)
+        libc.mallopt(m_trim_threshold, 64 << 20)
 
 
 _return_memory()

@@ -34,7 +34,7 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 24
 CHUNK = 500_000  # tokens counted at a time
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 
 
 #: Words that lower-casing and composing treat letter by letter: printable ASCII and accented Latin-1 letters.
