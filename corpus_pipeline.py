@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of near-duplicate lines stays; n_chars follows the text."""
-    out = fuzzy_lines.without_near_lines(docs)
+    out = fuzzy_lines.without_near_lines(docs, min_words=1)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 

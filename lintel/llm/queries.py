@@ -102,7 +102,7 @@ def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fuzzy_lines.without_near_lines(docs, n_lines="n_lines", n_removed="n_removed")
+    return fuzzy_lines.without_near_lines(docs, n_lines="n_lines", n_removed="n_removed", min_words=1)
 
 
 def _remainder(n: int):
