@@ -6,8 +6,12 @@ what may not stand in a table in front of it, and closes what is left open. The
 renderer walks the tree with a stack of its own, so depth is no limit. Blocks are
 kept apart by a line end, paragraphs, headings and tables by an empty line; list
 items carry bullets or numbers and are indented by level; table cells are laid
-out on a grid and padded to their columns' widths. Scripts do not run here, so
-<noscript> shows and scripts, styles, templates and embedded media do not.
+out on a grid and padded to their columns' widths. What is hidden is decided by
+the cascade of the page's own sheets and style attributes (`css_rules`), the
+`hidden` attribute and the elements that never show; other style is not
+followed: a block is one by its tag. Linked sheets are not at hand. Scripts do not
+run here, so <noscript> shows and scripts, styles, templates and embedded media do
+not.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintel.llm import common
+from lintel.llm.css_rules import Cascade, on_screen
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -35,17 +40,17 @@ SECTIONS = frozenset("tbody thead tfoot".split())
 CELLS = frozenset("td th".split())
 BARRIER = frozenset("table td th caption template html marquee object applet".split())
 HIDDEN = frozenset("head script style template title link meta base audio video canvas iframe object datalist area source track rp noembed noframes param".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure listing xmp dl fieldset".split())  # an empty line around them
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure listing plaintext xmp dl fieldset".split())  # an empty line around them
 BLOCKS = SPACED | frozenset("address article aside body center details dialog dd dir div dt figcaption footer form header hgroup hr html legend li main menu nav ol optgroup option search section summary ul caption".split())
 
-_TOKEN = re.compile(r"<!--(?:(?!--!?>).)*+(?:--!?>)?|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_WS = " \t\n\f\r"
+_TAG = re.compile(r"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)")
+_END_OF_COMMENT = re.compile(r"--!?>")
+_BETWEEN = re.compile(r"[ \t\n\f\r/]*+")
+#: A name (which may begin with "=") and its value: quoted, bare, or none before the tag's end.
+_ATTRIBUTE = re.compile(r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+(=)[ \t\n\f\r]*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'>])([^ \t\n\f\r>]++)|(?=>)))?")
+_OPEN_VALUE = re.compile(r"[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:[\"']|\Z)")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?")
-_GONE = re.compile(r"display\s*:\s*none", re.I)
-_UNSEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
-_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 
 
 class Node:
@@ -63,6 +68,7 @@ class Builder:
         self.open = [self.root]
         self.count: dict[str, int] = {}  # of open elements by tag, so that most searches end at once
         self.sheets: list[str] = []
+        self.on_screen = True
 
     def push(self, tag: str, attrs: dict) -> Node:
         node = Node(tag, attrs, None)
@@ -185,67 +191,106 @@ class Builder:
         self.cut(k)
 
 
-def attributes(source: str) -> dict:
-    """Names, lower-cased, and values; of a repeated name the first counts."""
+def attributes(html: str, at: int) -> tuple[dict, int]:
+    """(attributes, end) of a tag from behind its name; of a repeated name the first counts.
+
+    Names and values end as the standard's tokenizer ends them. The end is -1
+    where the page ends inside the tag, which then does not count.
+    """
     out: dict = {}
-    for name, a, b, c in _ATTRIBUTE.findall(source):
-        out.setdefault(name.lower(), unescape(a or b or c))
-    return out
+    n = len(html)
+    while True:
+        at = _BETWEEN.match(html, at).end()
+        if at >= n:
+            return out, -1
+        if html[at] == ">":
+            return out, at + 1
+        m = _ATTRIBUTE.match(html, at)
+        at = m.end()
+        if m[2] is None and _OPEN_VALUE.match(html, at):
+            return out, -1  # a quote that is never closed
+        value = m[3] if m[3] is not None else m[4] if m[4] is not None else m[5] or ""
+        out.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
 
 
-def parse(html: str) -> Builder:
-    """The tree of a page."""
-    b, at, n = Builder(), 0, len(html)
+def tokens(html: str):
+    """(kind, a, b) of a page: ("text", text, 0), ("start", name, attributes), ("end", name, 0).
+
+    Comments and declarations are left out. What a script or another raw element
+    holds comes as one ("raw", text, name).
+    """
+    at, n = 0, len(html)
     while at < n:
         less = html.find("<", at)
         if less < 0:
             less = n
         if less > at:
-            b.text(html[at:less])
+            yield "text", html[at:less], 0
         if less == n:
-            break
-        m = _TOKEN.match(html, less)
+            return
+        m = _TAG.match(html, less)
         if m is None:
-            b.text("<")
-            at = less + 1
+            after = html[less + 1 : less + 2]
+            if html.startswith("<!--", less):
+                if html.startswith((">", "->"), less + 4):
+                    at = html.index(">", less) + 1
+                else:
+                    end = _END_OF_COMMENT.search(html, less + 4)
+                    at = end.end() if end else n
+            elif after in ("!", "?") or after == "/" and less + 2 < n:
+                end = html.find(">", less)
+                at = end + 1 if end >= 0 else n
+            else:
+                yield "text", "<", 0
+                at = less + 1
             continue
         at = m.end()
-        if m[2] is None:
-            continue
+        if html[at : at + 1] == ">":
+            attrs: dict = {}
+            at += 1
+        else:
+            attrs, at = attributes(html, at)
+            if at < 0:
+                return
         tag = m[2].lower()
         if m[1]:
-            b.end(tag)
+            yield "end", tag, 0
             continue
-        b.start(tag, attributes(m[3]) if m[3] and not m[3].isspace() and m[3] != "/" else {})
+        yield "start", tag, attrs
         if tag in RAW or tag in ESCAPED:
-            close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
+            close = re.compile(f"</{re.escape(tag)}(?=[ \\t\\n\\f\\r/>])", re.I).search(html, at)
             stop = close.start() if close else n
-            inner = html[at:stop]
-            if tag == "style":
-                b.sheets.append(inner)
-            if b.open[-1].tag == tag:
-                b.open[-1].kids.append(unescape(inner) if tag in ESCAPED else inner)
-                b.pop()
-            at = html.find(">", stop) + 1 if close and html.find(">", stop) >= 0 else n
-    return b
+            yield "raw", html[at:stop], tag
+            if not close:
+                return
+            at = attributes(html, close.end())[1]
+            if at < 0:
+                return
+        elif tag == "plaintext":
+            yield "raw", html[at:], tag
+            return
 
 
-def hiding_rules(sheets: list[str]) -> list[tuple[str, str, str, bool]]:
-    """(tag, kind, name, gone) of the simple selectors that hide; gone: by display."""
-    out = []
-    for sheet in sheets:
-        if "none" not in sheet and "hidden" not in sheet:
-            continue
-        for selectors, body in _RULE.findall(_COMMENT.sub("", sheet)):
-            seen = _UNSEEN.search(body)
-            gone = bool(_GONE.search(body))
-            if not gone and (not seen or seen[1].lower() == "visible"):
-                continue
-            for s in selectors.split(","):
-                m = _SELECTOR.fullmatch(s.strip())
-                if m and m[0]:
-                    out.append(((m[1] or "").lower(), m[2] or "", m[3] or "", gone))
-    return out
+def parse(html: str) -> Builder:
+    """The tree of a page."""
+    b = Builder()
+    for kind, a, extra in tokens(html):
+        if kind == "text":
+            b.text(a)
+        elif kind == "start":
+            b.start(a, extra)
+            if a == "style":
+                b.on_screen = on_screen(extra.get("media", ""))
+        elif kind == "end":
+            b.end(a)
+        else:
+            if extra == "style" and b.on_screen:
+                b.sheets.append(a)
+            if b.open[-1].tag == extra:
+                b.open[-1].kids.append(unescape(a) if extra in ESCAPED else a)
+                if extra != "plaintext":
+                    b.pop()
+    return b
 
 
 class Lines:
@@ -370,21 +415,15 @@ def _number(value, default: int, most: int) -> int:
 
 def render(b: Builder) -> str:
     """The visible text of a tree."""
-    rules = hiding_rules(b.sheets)
+    cascade = Cascade(b.sheets)
 
-    def gone(node: Node) -> bool:
+    def gone(node: Node, said: dict) -> bool:
         tag, attrs = node.tag, node.attrs
-        if tag in HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found":
-            return True
-        if tag == "dialog" and "open" not in attrs or tag == "input" and attrs.get("type", "").lower() == "hidden":
+        if tag in HIDDEN or tag == "input" and attrs.get("type", "").lower() == "hidden":
             return True
-        return bool(attrs) and bool(_GONE.search(attrs.get("style", ""))) or any(r[3] and matches(node, r) for r in rules)
-
-    def matches(node: Node, rule) -> bool:
-        tag, kind, name, _ = rule
-        if tag and tag != node.tag:
-            return False
-        return not kind or (name in node.attrs.get("class", "").split() if kind == "." else node.attrs.get("id") == name)
+        if "display" in said and said["display"] not in ("revert", "revert-layer"):
+            return said["display"] == "none"
+        return "hidden" in attrs and attrs["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in attrs
 
     lines, outer, grids = Lines(), [], []
     lists: list[list] = []  # [numbered, next number, step] of open lists
@@ -431,25 +470,24 @@ def render(b: Builder) -> str:
                 lines.block(2 if tag == "blockquote" else 1)
             elif tag in BLOCKS:
                 lines.block(2 if tag in SPACED else 1)
-            if tag in ("pre", "listing", "xmp", "textarea"):
+            if tag in ("pre", "listing", "plaintext", "xmp", "textarea"):
                 pre -= 1
             continue
-        if gone(node):
+        said = cascade.computed(node) if cascade.by_key or node.attrs else {}
+        if gone(node, said):
             continue
         before = (seen, lines.indent, lists, pre)
-        style = node.attrs.get("style", "") if node.attrs else ""
-        change = _UNSEEN.search(style) if style else None
-        if change:
-            seen = change[1].lower() == "visible"
-        elif rules and any(not r[3] and matches(node, r) for r in rules):
-            seen = False
+        if "visibility" in said and said["visibility"] not in ("inherit", "unset", "revert", "revert-layer"):
+            seen = said["visibility"] not in ("hidden", "collapse")
         if tag == "br":
             if seen:
                 lines.newline()
+            seen = before[0]
             continue
         if tag == "hr" or tag == "wbr":
             if tag == "hr":
                 lines.block(1)
+            seen = before[0]
             continue
         if tag == "input":
             if seen and node.attrs.get("type", "").lower() in ("submit", "reset", "button") and node.attrs.get("value"):
@@ -496,7 +534,7 @@ def render(b: Builder) -> str:
             lines.indent += "  "
         elif tag in BLOCKS:
             lines.block(2 if tag in SPACED else 1)
-        if tag in ("pre", "listing", "xmp", "textarea"):
+        if tag in ("pre", "listing", "plaintext", "xmp", "textarea"):
             pre += 1
             if kids and isinstance(kids[0], str) and kids[0].startswith("\n"):
                 kids = [kids[0][1:], *kids[1:]]

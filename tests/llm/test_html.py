@@ -1,5 +1,7 @@
 """Layout-aware text of pages."""
 
+import random
+
 import pytest
 
 from lintel.llm import layout_html
@@ -38,6 +40,139 @@ def test_text(html, text):
     assert layout_html.text_of(html).strip("\n") == text.strip("\n")
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p title=it's>hello don't go</p><p>next</p>", "hello don't go\n\nnext"),
+        ('a<p title="unclosed>hello</p>', "a"),
+        ("<style>@media print{.a{display:none}}</style><p class=a>x", "x"),
+        ("<style>@media screen and (min-width:600px){.a{display:none}}</style><p class=a>x<p>y", "y"),
+        ("<style>@media (max-width:600px){.a{display:none}}</style><p class=a>x", "x"),
+        ("<style media=print>.a{display:none}</style><p class=a>x", "x"),
+        ("<style>.a{display:none} .a{display:block}</style><p class=a>x", "x"),
+        ("<style>.a{display:none !important} .a{display:block}</style><p class=a>x<p>y", "y"),
+        ("<style>#i{display:block} .a{display:none}</style><p class=a id=i>x", "x"),
+        ("<style>.m .a{display:none}</style><div class=m><p><b class=a>x</b>y</div><p class=a>z", "y\n\nz"),
+        ("<style>.m>.a{display:none}</style><div class=m><p><b class=a>x</b>y</div>", "xy"),
+        ("<style>.a.b,p[data-x='1']{display:none}</style><p class=a>1<p class='b a'>2<p data-x=1>3", "1"),
+        ("<style>h1+p{display:none} h2~p{visibility:hidden}</style><h1>t</h1><p>1<p>2<h2>u</h2><p>3<p>4", "t\n\n2\n\nu"),
+        ("<style>p:not(.k):first-child{display:none} a:hover{display:none} p::before{display:none}</style><div><p>1<p>2</div><div><p class=k>3</div><a>4</a>", "2\n\n3\n\n4"),
+        ("<style>li:nth-child(2n){display:none}</style><ul><li>1<li>2<li>3</ul>", "- 1\n- 3"),
+        ("<style>/* .a{display:none} */ .b{color:red;display:none}</style><p class=a>x<p class=b>y", "x"),
+        ("<style>@import url('x;y.css'); @font-face{font-family:x} .md\\:hide{display:none}</style><p class='md:hide'>x<p>y", "y"),
+        ("<style>[hidden]{display:block}</style><p hidden>x", "x"),
+        ("<p style='display:none;display:block'>x<p style='DISPLAY : NONE'>y", "x"),
+        ("<!-->a<!--->b<!-- c --!>d</ e>f</>g<!doctype x>h<?pi?>i", "abdfghi"),
+        ("<a b='1'c=\"2\"d==e f = g/ h>x</a i='>'>y<q", "xy"),
+        ("<div a=\"<p>\" / >x</div>", "x"),
+        ("<script><!-- </p> </scriptx> </script >x", "x"),
+        ("a<plaintext>b<p>c", "a\n\nb<p>c"),
+    ],
+)
+def test_tokens_and_cascade(html, text):
+    assert layout_html.text_of(html).strip("\n") == text
+
+
+def states(html):
+    """Tags and text of a page, character by character, by the states of the standard's tokenizer."""
+    out, state, k, quote = [], "data", 0, ""
+    name = attr = value = buf = ""
+    attrs, closing = {}, False
+    ws = " \t\n\f\r"
+
+    def text(c):
+        if out and out[-1][0] == "text":
+            out[-1] = ("text", out[-1][1] + c, 0)
+        else:
+            out.append(("text", c, 0))
+
+    def keep():
+        if attr:
+            attrs.setdefault(attr.lower(), value)
+
+    while k < len(html):
+        c = html[k]
+        k += 1
+        if state == "data":
+            if c != "<":
+                text(c)
+            elif html[k : k + 3] == "!--":
+                k, state, buf = k + 3, "comment", ""
+                if html[k : k + 1] == ">" or html[k : k + 2] == "->":
+                    k, state = html.index(">", k) + 1, "data"
+            elif html[k : k + 1] in ("!", "?") and k < len(html):
+                state = "bogus"
+            elif html[k : k + 1] == "/" and k + 1 < len(html):
+                if html[k + 1].isascii() and html[k + 1].isalpha():
+                    k, state, name, attrs, closing, attr, value = k + 1, "name", "", {}, True, "", ""
+                else:
+                    state = "bogus"
+            elif k < len(html) and html[k].isascii() and html[k].isalpha():
+                state, name, attrs, closing, attr, value = "name", "", {}, False, "", ""
+            else:
+                text(c)
+        elif state == "comment":
+            buf += c
+            if buf.endswith("-->") or buf.endswith("--!>"):
+                state = "data"
+        elif state == "bogus":
+            state = "data" if c == ">" else state
+        elif state == "name" and c not in ws + "/>":
+            name += c
+        elif state in ("name", "between", "slash") or state == "attr" and c in ws + "/>=" and attr or state == "after" or state == "bare" and c in ws + ">" or state == "closed":
+            if state == "attr" and c == "=" or state == "after" and c == "=":
+                state = "before value"
+                continue
+            if state == "attr" and c in ws or state == "after" and c in ws:
+                state = "after"
+                continue
+            if state in ("attr", "after", "bare", "closed"):
+                keep()
+                attr = value = ""
+            if c == ">":
+                out.append(("end", name.lower(), 0) if closing else ("start", name.lower(), attrs))
+                state = "data"
+            elif c in ws + "/":
+                state = "between"
+            else:
+                state, attr, value = "attr", c, ""
+        elif state == "attr":
+            attr += c
+        elif state == "before value":
+            if c in ws:
+                continue
+            if c in "\"'":
+                state, quote = "quoted", c
+            elif c == ">":
+                keep()
+                out.append(("end", name.lower(), 0) if closing else ("start", name.lower(), attrs))
+                state = "data"
+            else:
+                state, value = "bare", c
+        elif state == "quoted":
+            if c == quote:
+                state = "closed"
+            else:
+                value += c
+        elif state == "bare":
+            value += c
+    return out
+
+
+def test_tokens_against_the_states():
+    rng = random.Random(5)
+    pieces = ["<", "<", ">", ">", "/", "=", '"', "'", " ", "\n", "a", "b", "x1", "<p", "</p", "<!--", "-->", "--!>", "-", "!", "?", "é"]
+    for _ in range(30_000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 16)))
+        got = []
+        for kind, a, b in layout_html.tokens(html):
+            if kind == "text" and got and got[-1][0] == "text":
+                got[-1] = ("text", got[-1][1] + a, 0)
+            else:
+                got.append((kind, a, b))
+        assert got == states(html), html
+
+
 @pytest.mark.parametrize("piece", ["<div>", "<table><tr><td>", "<ul><li>", "<b>", "<p><b>", "<blockquote>", "<!--", "<a href='", "</p>", "<td>"])
 def test_deep_or_broken_pages_end(piece):
     layout_html.text_of(piece * 3000 + "x")
