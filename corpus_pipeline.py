@@ -21,8 +21,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One occurrence of near-duplicate lines stays; n_chars follows the text."""
-    out = fuzzy_lines.without_near_lines(docs, min_words=1)
+    """One occurrence of near-duplicate lines stays; n_chars follows the text.
+
+    A document that loses its last word with them is a copy as a whole and goes.
+    """
+    gone = next(c for c in (f"removed{k}" for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    out = fuzzy_lines.without_near_lines(docs, n_removed=gone, min_words=1)
+    emptied = (F.col(gone) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    out = out.where(~F.coalesce(emptied, F.lit(False))).drop(gone)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 

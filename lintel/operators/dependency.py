@@ -25,33 +25,32 @@ def _dep(name: Column, version: Column, line: Column) -> Column:
 
 
 def _numbered() -> Column:
-    """(line, number, what is open before it) of each line; `open` is filled by a fold."""
+    """(line, its number, trimmed) of each line."""
     return F.transform("lines", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("n"), X.trimmed(x).alias("t")))
 
 
 def _section(opens, closes) -> Column:
-    """The lines inside a section: a fold over the file's lines that carries whether one is open."""
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<x:string,n:int,t:string>>").alias("rows"))
+    """The lines inside a section: those whose last opening or closing line before them opens.
 
-    def step(acc, row):
-        inside = acc["open"] & ~opens(row) & ~closes(row)
-        return F.struct(
-            F.when(opens(row), True).when(acc["open"] & closes(row), False).otherwise(acc["open"]).alias("open"),
-            F.when(inside, F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]).alias("rows"),
-        )
-
-    return F.aggregate(_numbered(), start, step, lambda acc: acc["rows"])
+    Openings and closings are few, so each line looks for the last of them; no
+    rows are copied from line to line.
+    """
+    rows = _numbered()
+    marks = F.transform(F.filter(rows, lambda r: opens(r) | closes(r)), lambda r: F.struct(r["n"].alias("n"), opens(r).alias("open")))
+    # from here on a section is open or not up to the next mark
+    spans = F.filter(F.transform(marks, lambda m, i: F.struct(m["n"].alias("a"), F.coalesce(F.get(marks, i + 1)["n"], F.size("lines") + 1).alias("b"), m["open"].alias("open"))), lambda s: s["open"])
+    return F.filter(rows, lambda r: F.exists(spans, lambda s: (r["n"] > s["a"]) & (r["n"] < s["b"])))
 
 
 def _npm() -> Column:
-    pattern = r'"([^"]+)"\s*:\s*"([^"]+)"'
+    pattern = C.NPM_PAIR
     rows = _section(lambda r: r["t"].contains('"dependencies"') | r["t"].contains('"devDependencies"'), lambda r: r["t"] == "}")
     rows = F.filter(rows, lambda r: R.matches(r["x"], pattern))
     return F.transform(rows, lambda r: _dep(R.found(r["x"], pattern, 1), F.regexp_replace(F.regexp_replace(R.found(r["x"], pattern, 2), r"^\^", ""), "^~", ""), r["n"]))
 
 
 def _go() -> Column:
-    pattern = r"^\s*([^\s]+)\s+v?([0-9][^\s]*)"
+    pattern = C.GO_PAIR
     opens = lambda r: r["t"].startswith("require (")
     rows = F.filter(_section(opens, lambda r: r["t"] == ")"), lambda r: R.matches(r["t"], pattern))
     block = F.transform(rows, lambda r: _dep(R.found(r["t"], pattern, 1), R.found(r["t"], pattern, 2), r["n"]))
@@ -61,46 +60,54 @@ def _go() -> Column:
 
 
 def _pip() -> Column:
-    pattern = r"^([a-zA-Z0-9_-]+)\s*(?:==|>=|<=|~=|>|<)\s*([0-9][^\s;#]*)"
+    pattern = C.PIP_PAIR
     rows = F.filter(_numbered(), lambda r: R.matches(r["t"], pattern))
     return F.transform(rows, lambda r: _dep(F.lower(R.found(r["t"], pattern, 1)), R.found(r["t"], pattern, 2), r["n"]))
 
 
 def _gem() -> Column:
-    pattern = r"""gem\s+['"]([^'"]+)['"](?:,\s*['"]([^'"]+)['"])?"""
+    pattern = C.GEM_PAIR
     rows = F.filter(_numbered(), lambda r: ~r["t"].startswith("#") & R.matches(r["x"], pattern))
     version = lambda r: X.trimmed(F.regexp_replace(F.regexp_replace(R.found(r["x"], pattern, 2), "^~>", ""), "^>=", ""))
     return F.transform(rows, lambda r: _dep(R.found(r["x"], pattern, 1), version(r), r["n"]))
 
 
+def _found() -> Column:
+    """The dependencies of a file, null where it is no manifest that is read."""
+    kind = manifest_kind(F.col("path"))
+    return F.when(kind == "javascript", _npm().cast(_DEP)).when(kind == "go", _go().cast(_DEP)).when(kind == "python", _pip().cast(_DEP)).when(kind == "ruby", _gem().cast(_DEP))
+
+
 def dependencies(files: DataFrame) -> DataFrame:
     """(path, language, lines, name, version, line_no) of all manifests among the files."""
-    kind = manifest_kind(F.col("path"))
-    some = files.withColumn("kind", kind).where(F.col("kind").isin("javascript", "go", "python", "ruby"))
-    found = F.when(F.col("kind") == "javascript", _npm()).when(F.col("kind") == "go", _go()).when(F.col("kind") == "python", _pip()).otherwise(_gem())
-    rows = some.select("path", "language", "lines", F.explode(found.cast(_DEP)).alias("d"))
+    some = files.where(manifest_kind(F.col("path")).isin("javascript", "go", "python", "ruby"))
+    rows = some.select("path", "language", "lines", F.explode(_found()).alias("d"))
     return rows.select("path", "language", "lines", "d.name", "d.version", F.col("d.line").alias("line_no"))
 
 
-def known_vulnerable(spark) -> DataFrame:
-    return spark.createDataFrame(C.KNOWN_VULNERABLE, "name string, vulnerable_range string, fixed_version string, cve string, severity string, description string")
+def _known() -> Column:
+    names = ("name", "range", "cve", "severity", "description")
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, (r[0], r[1], r[3], r[4], r[5]))]) for r in C.KNOWN_VULNERABLE])
 
 
-def vulnerable(deps: DataFrame) -> DataFrame:
-    """Dependencies in a known vulnerable range; the list has nine rows and is broadcast."""
-    known = known_vulnerable(deps.sparkSession)
-    return deps.join(F.broadcast(known), "name").where(X.in_range(F.col("version"), F.col("vulnerable_range")))
+def vulnerable() -> Column:
+    """An array of (name, version, line, cve, severity, description) of a file's known vulnerable dependencies.
+
+    The list of known ones is a literal of nine, so this is a part of the file's
+    row and neither a join nor a second pass; empty where there is no manifest.
+    """
+    each = lambda d: F.transform(
+        F.filter(_known(), lambda k: (k["name"] == d["name"]) & X.in_range(d["version"], k["range"])),
+        lambda k: F.struct(d["name"].alias("name"), d["version"].alias("version"), d["line"].alias("line"), k["cve"].alias("cve"), k["severity"].alias("severity"), k["description"].alias("description")),
+    )
+    return F.coalesce(F.flatten(F.transform(_found(), each)), F.array().cast(VULNERABLE))
+
+
+VULNERABLE = "array<struct<name:string,version:string,line:int,cve:string,severity:string,description:string>>"
 
 
 def dependency_findings(files: DataFrame) -> DataFrame:
-    """The same as findings; they have no span on their line."""
-    rows = vulnerable(dependencies(files))
-    from lintel.operators.detect import around, previous
-
-    line = F.element_at("lines", F.col("line_no"))
-    rows = rows.withColumn("around", around("lines", F.col("line_no")))
-    return rows.select(
-        "path", "language", "line_no", line.alias("line"), previous().alias("previous"), F.lit(0).alias("pattern"), F.lit("dependency").alias("rule_id"), F.concat(F.lit("Vulnerable dependency: "), "name").alias("title"), "severity", F.lit("dependency").alias("category"),
-        F.lit("CWE-1104").alias("cwe"), F.lit(0.9).alias("confidence"), F.concat("name", F.lit(" version "), "version", F.lit(" is vulnerable to "), "cve", F.lit(": "), "description").alias("description"),
-        F.lit(0).alias("match_start"), F.lit(0).alias("match_end"), F.concat_ws(" ", "name", "version").alias("match_text"), X.snippet(F.col("around"), F.col("line_no")).alias("code_snippet"),
-    )
+    """Findings of the dependency rule alone; they have no span on their line."""
+    from lintel.operators.detect import findings_of
+
+    return findings_of(files, patterns=(), languages=(), secrets=False)

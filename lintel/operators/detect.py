@@ -1,10 +1,12 @@
 """From files to findings: rules, suppression, fingerprints and what is known of each rule.
 
-A file is one row with its lines as an array. Lines that hold none of the
-literals every match needs are dropped inside the array, so only candidate lines
-become rows; each is then tried against its family's expressions, which are
-literals in the plan and compiled once a task. No join on patterns, no shuffle up
-to the fingerprints, which need the findings of one file together.
+A file is one row with its lines as an array. All rules see it in one pass: lines
+that hold none of the literals a match needs are dropped inside the array, so only
+candidate lines become rows, next to the file's vulnerable dependencies; each is
+then tried against the expressions, which are literals in the plan and compiled
+once a task. What a file suppresses goes along with its rows. No join on patterns
+or paths, no second read; the one shuffle is by path and fingerprint, for the
+numbering of equal findings of a file.
 """
 
 from __future__ import annotations
@@ -62,61 +64,88 @@ def _hits(rows: DataFrame, tries: list[tuple[Column, str]]) -> DataFrame:
     """
     line = F.col("line")
     rows = rows.withColumn("folded", R.folded(line))
-    numbers = F.array(*[F.when(cond & R.matches(line, p), F.lit(k)) for k, (cond, p) in enumerate(tries)])
-    rows = rows.withColumn("pattern", F.explode(F.array_compact(numbers)))
-    first, text = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for k, (_, p) in enumerate(tries):
-        first = F.when(F.col("pattern") == k, R.start(line, p)).otherwise(first)
-        text = F.when(F.col("pattern") == k, R.found(line, p)).otherwise(text)
-    return rows.withColumn("match_start", first).withColumn("match_text", text).withColumn("match_end", F.col("match_start") + F.octet_length("match_text"))
-
-
-def _finding(rows: DataFrame, rule: Column, title: Column, severity: Column, category: Column, cwe: Column, confidence: Column, description: Column) -> DataFrame:
-    return rows.select(
-        "path", "language", "line_no", "line", previous().alias("previous"), "pattern", rule.alias("rule_id"), title.alias("title"), severity.alias("severity"), category.alias("category"), cwe.alias("cwe"),
-        confidence.alias("confidence"), description.alias("description"), "match_start", "match_end", "match_text", X.snippet(F.col("around"), F.col("line_no")).alias("code_snippet"),
-    )
+    hit = lambda k, p: F.struct(F.lit(k).alias("pattern"), R.start(line, p).alias("first"), R.found(line, p).alias("text"))
+    hits = F.array(*[F.when(cond & R.matches(line, p), hit(k, p)) for k, (cond, p) in enumerate(tries)])
+    rows = rows.withColumn("hit", F.explode(F.array_compact(hits)))
+    text = F.col("hit.text")
+    return rows.withColumns({"pattern": F.col("hit.pattern"), "match_start": F.col("hit.first"), "match_text": text, "match_end": F.col("hit.first") + F.octet_length(text)}).drop("hit")
 
 
-def _by_rule(values: list) -> Column:
+def _by_pattern(values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("pattern") + 1)
 
 
+def _tries(patterns, languages, secrets: bool) -> list[tuple]:
+    """(rule, condition, expression, literals, languages, whether the description ends with the line)."""
+    out = [(r, F.lit(True) if not r.exclude else ~R.matches(F.col("line"), r.exclude), r.regex, r.need, r.languages, False) for r in patterns]
+    for rule in languages:
+        out += [(rule, F.lit(True), p, rule.needed(p), langs, True) for langs, p in rule.patterns()]
+    if secrets:
+        out.append((C.SECRETS, F.lit(True), C.SECRETS_REGEX, ("basic",), (), False))
+    return out
+
+
+def _wanted(tries: list[tuple], folded: Column) -> Column:
+    """Whether a line has a literal that some expression for its file's language needs."""
+    by_language: dict[tuple, set] = {}
+    for _, _, _, need, langs, _ in tries:
+        by_language.setdefault(tuple(langs), set()).update(need)
+    out = F.lit(False)
+    for langs, need in by_language.items():
+        out = out | _applies(langs) & R.has_any(folded, sorted(need))
+    return out
+
+
+def findings_of(files: DataFrame, patterns=None, languages=None, secrets: bool = True, dependencies: bool = True, prefix: str = DIRECTIVE) -> DataFrame:
+    """Findings of the given rules (None: all of a kind), with `off`, the rules that their file turns off."""
+    from lintel.operators.dependency import VULNERABLE, vulnerable
+
+    tries = _tries(C.PATTERN_RULES if patterns is None else patterns, C.LANGUAGE_RULES if languages is None else languages, secrets)
+    bad = F.array().cast(VULNERABLE)
+    none = F.lit(None).cast(VULNERABLE.removeprefix("array<")[:-1])
+    at = F.array().cast("array<int>")
+    if tries:
+        # the folded line is bound to a variable, or each literal would fold it again
+        good = lambda i: F.exists(F.array(R.folded(F.element_at("lines", i))), lambda x: _wanted(tries, x))
+        at = F.filter(F.sequence(F.lit(1), F.size("lines")), good)
+    row = lambda i, dep: F.struct(i.alias("line_no"), F.element_at("lines", i).alias("line"), around("lines", i).alias("around"), dep.alias("dep"))
+    rows = F.concat(F.transform(at, lambda i: row(i, none)), F.transform(vulnerable() if dependencies else bad, lambda d: row(d["line"], d)))
+    rows = files.select("path", "language", off_of(prefix).alias("off"), F.explode(rows).alias("c")).select("path", "language", "off", "c.*")
+    line, dep, folded = F.col("line"), F.col("dep"), F.col("folded")
+    every = [(dep.isNull() & _applies(langs) & R.has_any(folded, need) & cond, p) for _, cond, p, need, langs, _ in tries]
+    hits = _hits(rows, [*every, (dep.isNotNull(), "^")])
+    is_dep = F.col("pattern") == len(tries)
+    col = lambda name, other: F.when(is_dep, other).otherwise(_by_pattern([getattr(t[0], name) for t in tries])) if tries else other
+    with_line = F.when(_by_pattern([t[5] for t in tries]), X.trimmed(line)).otherwise("") if tries else F.lit("")
+    name, version = F.col("dep.name"), F.col("dep.version")
+    said = F.concat(name, F.lit(" version "), version, F.lit(" is vulnerable to "), F.col("dep.cve"), F.lit(": "), F.col("dep.description"))
+    return hits.select(
+        "path", "language", "line_no", "line", previous().alias("previous"), "pattern", col("id", F.lit("dependency")).alias("rule_id"), col("title", F.concat(F.lit("Vulnerable dependency: "), name)).alias("title"), col("severity", F.col("dep.severity")).alias("severity"),
+        col("category", F.lit("dependency")).alias("category"), col("cwe", F.lit("CWE-1104")).alias("cwe"), col("confidence", F.lit(0.9)).alias("confidence"),
+        F.when(is_dep, said).otherwise(F.concat(_by_pattern([t[0].description for t in tries]), with_line) if tries else said).alias("description"),
+        "match_start", F.when(is_dep, 0).otherwise(F.col("match_end")).alias("match_end"), F.when(is_dep, F.concat_ws(" ", name, version)).otherwise(F.col("match_text")).alias("match_text"),
+        X.snippet(F.col("around"), F.col("line_no")).alias("code_snippet"), "off",
+    )
+
+
 def pattern_findings(files: DataFrame) -> DataFrame:
     """Findings of the fourteen line rules."""
-    rules = C.PATTERN_RULES
-    rows = candidate_lines(files, sorted({x for r in rules for x in r.need}))
-    line, folded = F.col("line"), F.col("folded")
-    tries = [(_applies(r.languages) & R.has_any(folded, r.need) & (~R.matches(line, r.exclude) if r.exclude else F.lit(True)), r.regex) for r in rules]
-    rows = _hits(rows, tries)
-    col = lambda name: _by_rule([getattr(r, name) for r in rules])
-    return _finding(rows, col("id"), col("title"), col("severity"), col("category"), col("cwe"), col("confidence"), col("description"))
+    return findings_of(files, languages=(), secrets=False, dependencies=False)
 
 
 def language_findings(files: DataFrame, rule: C.LanguageRule) -> DataFrame:
     """Findings of a rule that goes by language, one for each expression that matches."""
-    patterns = rule.patterns()
-    languages = sorted({x for langs, _ in patterns for x in langs})
-    rows = candidate_lines(files.where(F.col("language").isin(languages)), rule.need)
-    rows = _hits(rows, [(_applies(langs), p) for langs, p in patterns])
-    description = F.concat(F.lit(rule.description), X.trimmed(F.col("line")))
-    return _finding(rows, F.lit(rule.id), F.lit(rule.title), F.lit(rule.severity), F.lit(rule.category), F.lit(rule.cwe), F.lit(rule.confidence), description)
+    return findings_of(files, patterns=(), languages=(rule,), secrets=False, dependencies=False)
 
 
 def secret_findings(files: DataFrame) -> DataFrame:
-    """Basic credentials in a header; an own design within the known edges of the rule."""
-    rows = _hits(candidate_lines(files, ["authorization"]), [(F.lit(True), C.SECRETS_REGEX)])
-    return _finding(rows, F.lit("secrets"), F.lit("Hardcoded Secret"), F.lit("critical"), F.lit("secrets"), F.lit("CWE-798"), F.lit(0.8), F.lit("Potential hardcoded secret detected"))
-
+    """Basic credentials in a header or a string; an own design within the known edges of the rule."""
+    return findings_of(files, patterns=(), languages=(), dependencies=False)
 
-def raw_findings(files: DataFrame) -> DataFrame:
-    """All line rules' findings."""
-    from lintel.operators.dependency import dependency_findings
 
-    out = pattern_findings(files)
-    for rule in C.LANGUAGE_RULES:
-        out = out.unionByName(language_findings(files, rule))
-    return out.unionByName(secret_findings(files)).unionByName(dependency_findings(files))
+def raw_findings(files: DataFrame, prefix: str = DIRECTIVE) -> DataFrame:
+    """All rules' findings, in one pass over the files."""
+    return findings_of(files, prefix=prefix)
 
 
 def directive(line: Column, name: str) -> Column:
@@ -134,24 +163,27 @@ def directive(line: Column, name: str) -> Column:
     return F.when(good, F.filter(F.split(value, "[, \t]+"), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
-def file_suppressions(files: DataFrame, prefix: str = DIRECTIVE) -> DataFrame:
-    """(path, off): the rules that a file turns off as a whole; files without a directive are left out."""
+def off_of(prefix: str = DIRECTIVE) -> Column:
+    """The rules that a file turns off as a whole, [] for none."""
     name = f"{prefix}:ignore-file"
-    some = files.where(F.lower("content").contains(name))
     off = F.array_distinct(F.flatten(F.transform("lines", lambda x: directive(x, name))))
-    return some.select("path", off.alias("off")).where(F.size("off") > 0)
+    return F.when(F.lower("content").contains(name), off).otherwise(F.array().cast("array<string>"))
+
+
+def file_suppressions(files: DataFrame, prefix: str = DIRECTIVE) -> DataFrame:
+    """(path, off): the rules that a file turns off as a whole; files without a directive are left out."""
+    return files.select("path", off_of(prefix).alias("off")).where(F.size("off") > 0)
 
 
 def _turns_off(rules: Column) -> Column:
     return F.array_contains(rules, "all") | F.array_contains(rules, F.lower("rule_id"))
 
 
-def suppressed(findings: DataFrame, files: DataFrame, prefix: str = DIRECTIVE) -> DataFrame:
+def suppressed(findings: DataFrame, prefix: str = DIRECTIVE) -> DataFrame:
     """Findings without those turned off for their file, on their line or on the line before."""
     here = _turns_off(directive(F.col("line"), f"{prefix}:ignore"))
     above = _turns_off(directive(F.coalesce("previous", F.lit("")), f"{prefix}:ignore-next-line"))
-    kept = findings.where(~here & ~above)
-    return kept.join(file_suppressions(files, prefix), "path", "left").where(F.col("off").isNull() | ~_turns_off(F.col("off"))).drop("off")
+    return findings.where(~here & ~above & ~_turns_off(F.col("off"))).drop("off")
 
 
 def selected(findings: DataFrame, wanted=()) -> DataFrame:
@@ -217,12 +249,12 @@ def enriched(findings: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, wanted=(), prefix: str = DIRECTIVE) -> DataFrame:
     """The findings of parsed files, complete."""
-    return enriched(fingerprints(selected(suppressed(raw_findings(files), files, prefix), wanted)))
+    return enriched(fingerprints(selected(suppressed(raw_findings(files, prefix), prefix), wanted)))
 
 
 def security_markers(files: DataFrame) -> DataFrame:
     """(path, line_no, type, description, column, snippet) of security-sensitive calls."""
     names = list(C.MARKERS)
     rows = _hits(candidate_lines(files, ["(", "=", ":"], fold=False), [(F.lit(True), p) for p in C.MARKERS.values()])
-    kind = _by_rule(names)
+    kind = _by_pattern(names)
     return rows.select("path", "line_no", kind.alias("type"), F.concat(F.lit("Potential "), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(" usage")).alias("description"), (F.col("match_start") + 1).alias("column"), X.trimmed(F.col("line")).alias("snippet"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lintel.functions import text as X
 from lintel.sources import files as sources
 
-SUFFIXES = [".go", ".py", ".js", ".ts", ".java", ".php", ".rb", ".cs", ".html", ".sh", ".css", ".md"]
+SUFFIXES = [".go", ".py", ".js", ".ts", ".java", ".php", ".rb", ".cs", ".html", ".sh", ".css", ".md", "/package.json"]
 
 #: Own lines, one to three a fixture; each is given to files of every suffix.
 FIXTURES = [
@@ -58,6 +58,8 @@ FIXTURES = [
     'msg := "lintel:ignore all"; db.Query("a" + b)\nexec(a + b) /* LINTEL:IGNORE RULE-SQL-001 */',
     "the same line twice here\nthe same line twice here\nthe same line twice here",
     "plain words only",
+    'h := "Basic QWxhZGRpbjpvcGVuIHNlc2FtZQ=="\n{"Authorization": "Basic dXNlcjpwYXNz"}\nx = "Basic realm=Restricted"\ny = "basic information"',
+    '{\n  "dependencies": {\n    "lodash": "^4.17.20",\n    "axios": "0.21.2",\n    "left": "1.0"\n  },\n  "minimist": "0.1",\n  "devDependencies": {\n    "minimist": "~1.2.5",\n    "lodash": "1.0"\n  }\n}',
 ]
 
 #: Manifests by kind; @ stands for one of VERSIONS.
@@ -87,10 +89,13 @@ def documents(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
 def source_files(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     """The documents as parsed files of known languages.
 
-    Dealt out anew, since a Parquet file that is read as one split would leave
-    the expressions to one task.
+    Only where the table is read in fewer splits than there are cores, as a small
+    file of one row group is, the files are dealt out anew.
     """
-    f = documents(spark, sf_dir, shift).repartition(2 * spark.sparkContext.defaultParallelism)
+    f = documents(spark, sf_dir, shift)
+    cores = spark.sparkContext.defaultParallelism
+    if f.rdd.getNumPartitions() < cores:
+        f = f.repartition(2 * cores)
     return sources.parsed(f.withColumn("language", X.language(F.col("path"))).where("language IS NOT NULL"))
 
 

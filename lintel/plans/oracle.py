@@ -93,11 +93,27 @@ def _off(rules: str) -> str:
     return f"(list_contains({rules}, 'all') OR list_contains({rules}, lower(rule_id)))"
 
 
+def _secret_hits(s: str = "") -> str:
+    return _hit(0, C.SECRETS_REGEX, "TRUE", f"lines{s}", _head(C.SECRETS, q(C.SECRETS.description)))
+
+
+def _dependency_hits(s: str = "") -> str:
+    """Known vulnerable packages in the npm manifests among the files."""
+    t = _trim("line")
+    return f"""SELECT path, language, line_no, line, previous, 0 AS pattern, 'dependency' AS rule_id, 'Vulnerable dependency: ' || name AS title, severity, 'dependency' AS category, 'CWE-1104' AS cwe, CAST(0.9 AS DOUBLE) AS confidence,
+ name || ' version ' || version || ' is vulnerable to ' || cve || ': ' || description AS description, CAST(0 AS BIGINT) AS match_start, name || ' ' || version AS match_text
+ FROM (SELECT *, regexp_extract(line, {q(C.NPM_PAIR)}, 1) AS name, regexp_replace(regexp_replace(regexp_extract(line, {q(C.NPM_PAIR)}, 2), '^\\^', ''), '^~', '') AS version FROM
+ (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no), 0) AS inside FROM (SELECT *, CASE WHEN contains({t}, '"dependencies"') OR contains({t}, '"devDependencies"') THEN 1 WHEN {t} = '}}' THEN 0 END AS e FROM lines{s} WHERE ends_with(lower(path), 'package.json')))
+ WHERE inside = 1 AND e IS NULL AND regexp_matches(line, {q(C.NPM_PAIR)})) d JOIN (SELECT * FROM (VALUES {_known_rows()}) AS k(name, bound, fixed, cve, severity, description)) k USING (name) WHERE version <> '' AND {_key("version")} < {_key("bound")}"""
+
+
 def suppressed(s: str = "") -> str:
     """raw, off and kept."""
     return f"""raw{s} AS ({pattern_hits(s)}
 UNION ALL {language_hits(C.SQL_INJECTION, s)}
-UNION ALL {language_hits(C.XSS, s)}),
+UNION ALL {language_hits(C.XSS, s)}
+UNION ALL {_secret_hits(s)}
+UNION ALL {_dependency_hits(s)}),
 off{s} AS (SELECT path, list_distinct(flatten(list(d))) AS off FROM (SELECT path, {_directive("line", "lintel:ignore-file")} AS d FROM lines{s} WHERE contains(lower(line), 'lintel:ignore-file')) GROUP BY path HAVING len(flatten(list(d))) > 0),
 kept{s} AS (SELECT r.* FROM raw{s} r LEFT JOIN off{s} o USING (path) WHERE NOT {_off("(" + _directive("line", "lintel:ignore") + ")")} AND NOT {_off("(" + _directive("coalesce(previous, '')", "lintel:ignore-next-line") + ")")} AND NOT coalesce({_off("o.off")}, FALSE))"""
 
@@ -111,13 +127,13 @@ def _tls(x: str) -> str:
 
 def findings(shift: int = 0, s: str = "") -> str:
     """All CTEs up to found: the finished findings."""
-    links = {r.id: " ".join(r.references) for r in C.LANGUAGE_RULES}
+    links = {r[0]: " ".join(x for x in r[6] if x != r[4]) for r in C.rule_table()}
     return f"""{files(shift, s)},
 {suppressed(s)},
 based{s} AS (SELECT *, left(sha256(lower(rule_id) || chr(0) || path || chr(0) || {_collapse("line")}), 32) AS base FROM kept{s}),
 numbered{s} AS (SELECT *, row_number() OVER (PARTITION BY path, base ORDER BY line_no, rule_id, match_start, pattern) - 1 AS again FROM based{s}),
 found{s} AS (SELECT CASE WHEN again > 0 THEN left(sha256(base || chr(0) || again), 32) ELSE base END AS fingerprint, rule_id, title, severity, {_case("category", C.CATEGORIES, "'other'")} AS category, path AS file_path, line_no AS line_start, CAST(0 AS BIGINT) AS line_end,
- match_start + 1 AS column_start, match_start + strlen(match_text) + 1 AS column_end, confidence, description, CAST({_case("rule_id", {k: v[0] for k, v in C.CVSS.items()})} AS DOUBLE) AS cvss_score, {_case("rule_id", {k: v[1] for k, v in C.CVSS.items()})} AS cvss_vector,
+ CASE WHEN rule_id <> 'dependency' THEN match_start + 1 END AS column_start, CASE WHEN rule_id <> 'dependency' THEN match_start + strlen(match_text) + 1 END AS column_end, confidence, description, CAST({_case("rule_id", {k: v[0] for k, v in C.CVSS.items()})} AS DOUBLE) AS cvss_score, {_case("rule_id", {k: v[1] for k, v in C.CVSS.items()})} AS cvss_vector,
  cwe, {_case("rule_id", links, "''")} AS owasp, '' AS urls, match_text, CASE WHEN rule_id = 'RULE-TLS-001' THEN {_tls("match_text")} END AS replacement, {_case("rule_id", {k: v[0] for k, v in C.FIXES.items()})} AS summary, {_case("rule_id", {k: v[1] for k, v in C.FIXES.items()})} AS example,
  CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS weight FROM numbered{s})"""
 
@@ -153,7 +169,11 @@ def _key(version: str) -> str:
     return "[" + ", ".join(_number(f"split_part({version}, '.', {k})") for k in range(1, 7)) + "]"
 
 
-KNOWN = "known(name, bound, fixed, cve, severity, description) AS (VALUES " + ", ".join("(" + ", ".join(q(x.removeprefix("<") if k == 1 else x) for k, x in enumerate(row)) + ")" for row in C.KNOWN_VULNERABLE) + ")"
+def _known_rows() -> str:
+    return ", ".join("(" + ", ".join(q(x.removeprefix("<") if k == 1 else x) for k, x in enumerate(row)) + ")" for row in C.KNOWN_VULNERABLE)
+
+
+KNOWN = f"known(name, bound, fixed, cve, severity, description) AS (VALUES {_known_rows()})"
 
 SCANS = """scans AS (SELECT o_orderkey AS scan_id, o_custkey AS repository_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_days(CAST(o_orderkey % 40 AS INTEGER)) END AS completed_at FROM orders)"""
 STORED = f"""stored AS (SELECT l_orderkey AS scan_id, {_list(C.SEVERITIES)}[l_linenumber % 5 + 1] AS severity, l_returnflag AS category, l_shipdate AS created_at, l_quantity < 5 AS is_false_positive, l_discount > 0.08 AS suppressed, CASE WHEN l_tax < 0.02 THEN l_shipdate END AS fixed_at, l_linenumber AS line FROM lineitem)"""
@@ -183,6 +203,12 @@ def _structure(table: dict, trim: tuple) -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _whole(table: str, other: str) -> str:
+    """Whole findings that the other side has not, of each fingerprint the greatest by path, line, rule."""
+    columns = "file_path, line_start, rule_id, title, severity, column_start, confidence"
+    return f"SELECT fingerprint, unnest(f) FROM (SELECT fingerprint, arg_max({{{', '.join(f"'{c}': {c}" for c in columns.split(', '))}}}, row({columns})) AS f FROM {table} WHERE fingerprint NOT IN (SELECT fingerprint FROM {other}) GROUP BY fingerprint)"
+
+
 COMPLEXITY = "complexity AS (SELECT path, sum(" + " + ".join(f"CAST(contains({_trim('line')}, {q(w)}) AS INTEGER)" for w in C.COMPLEXITY_WORDS) + " + CASE WHEN length(regexp_extract(line, '^[ \\t]*')) > 16 THEN 0.5 ELSE 0 END)::DOUBLE / count(*) * 100 AS complexity FROM lines GROUP BY path)"
 
 
@@ -238,14 +264,18 @@ def oracle_sql() -> dict[str, str]:
         "sarif_results": f"{one} SELECT fingerprint, rule_id AS rule, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity IN ('low', 'info') THEN 'note' ELSE 'warning' END AS level, line_start AS line, replacement FROM found",
         "text_output": f"{one} SELECT fingerprint, '[' || upper(severity) || '] ' || file_path || ':' || line_start || ' ' || title || ' (' || rule_id || ')' AS line FROM found",
         "json_output": f"{one} SELECT fingerprint, rule_id, line_start, severity FROM found",
-        "delta_new": f"{both} SELECT fingerprint, max(rule_id) AS rule_id FROM found WHERE fingerprint NOT IN (SELECT fingerprint FROM found2) GROUP BY fingerprint",
-        "delta_resolved": f"{both} SELECT fingerprint, max(rule_id) AS rule_id FROM found2 WHERE fingerprint NOT IN (SELECT fingerprint FROM found) GROUP BY fingerprint",
+        "delta_new": f"{both} {_whole('found', 'found2')}",
+        "delta_resolved": f"{both} {_whole('found2', 'found')}",
+        "delta_classified": f"{both} SELECT change, count(*) AS n FROM (SELECT DISTINCT fingerprint, CASE WHEN fingerprint IN (SELECT fingerprint FROM found2) THEN 'unchanged' ELSE 'new' END AS change FROM found UNION ALL SELECT DISTINCT fingerprint, 'resolved' FROM found2 WHERE fingerprint NOT IN (SELECT fingerprint FROM found)) GROUP BY change",
         "delta_counts": f"{both} SELECT count(*) FILTER (WHERE fingerprint NOT IN (SELECT fingerprint FROM found2)) AS new, (SELECT count(DISTINCT fingerprint) FROM found2 WHERE fingerprint NOT IN (SELECT fingerprint FROM found)) AS resolved, count(*) FILTER (WHERE fingerprint IN (SELECT fingerprint FROM found2)) AS unchanged FROM found",
         "baseline_validity": f"{one}, b AS (SELECT CASE WHEN line_start % 5 = 0 THEN upper(fingerprint) ELSE fingerprint END AS f FROM found) SELECT count(*) AS entries, count(*) FILTER (WHERE regexp_matches(f, '^[0-9a-f]{{32}}$')) AS valid, count(*) <= 10000 AND count(*) = count(*) FILTER (WHERE regexp_matches(f, '^[0-9a-f]{{32}}$')) AS accepted FROM b",
         "findings_page": f"{one} SELECT severity, line_start, file_path, fingerprint FROM found ORDER BY severity, line_start, file_path, fingerprint LIMIT 200 OFFSET 200",
         "previous_scans": f"WITH {SCANS} SELECT s.scan_id, (SELECT p.scan_id FROM scans p WHERE p.repository_id = s.repository_id AND p.created_at < s.created_at AND p.status = 'completed' ORDER BY p.completed_at DESC, p.scan_id DESC LIMIT 1) AS previous_id FROM scans s",
         "visible_findings": f"WITH {STORED} SELECT severity, count(*) AS n FROM stored WHERE NOT is_false_positive AND NOT suppressed GROUP BY severity",
         "query_builder": f"WITH {STORED} SELECT category, count(*) AS n FROM stored WHERE severity = 'high' AND line >= 2 AND created_at < TIMESTAMP '1997-01-01' GROUP BY category",
+        "query_builder_page": f"WITH {STORED} SELECT scan_id, line, category FROM stored WHERE severity = 'high' ORDER BY created_at DESC, scan_id, line LIMIT 40 OFFSET 25",
+        "query_builder_count": f"WITH {STORED} SELECT count(*) AS n FROM stored WHERE severity = 'low' AND line >= 3",
+        "baseline_selection": f"WITH {SCANS}, me AS (SELECT * FROM scans WHERE scan_id = 33) SELECT scan_id, (SELECT p.scan_id FROM scans p WHERE p.repository_id = me.repository_id AND p.created_at < me.created_at AND p.status = 'completed' ORDER BY p.completed_at DESC, p.scan_id DESC LIMIT 1) AS baseline_id, NULL AS problem FROM me UNION ALL SELECT me.scan_id, o.scan_id, CASE WHEN o.scan_id IS NULL THEN 'baseline not found' WHEN o.scan_id = me.scan_id THEN 'baseline is the scan itself' WHEN o.repository_id IS DISTINCT FROM me.repository_id THEN 'baseline is of another repository' WHEN o.status <> 'completed' THEN 'baseline is not completed' END FROM me, (VALUES (33), (1), (3), (-7)) v(b) LEFT JOIN scans o ON o.scan_id = v.b",
         "vulnerability_statistics": f"WITH {SCANS}, {STORED} SELECT repository_id, strftime(v.created_at, '%Y-%m-%d') AS date, severity, category, count(*) AS count, count(*) FILTER (WHERE is_false_positive) AS false_positive_count, count(*) FILTER (WHERE suppressed) AS suppressed_count, count(*) FILTER (WHERE fixed_at IS NOT NULL) AS fixed_count FROM stored v JOIN scans s USING (scan_id) GROUP BY ALL",
         "scan_counters": f"WITH {STORED}, {COUNTERS} SELECT * FROM counters",
         "repository_scan_summary": f"WITH {SCANS}, {STORED}, {COUNTERS}, per AS (SELECT repository_id, count(*) AS total_scans, max((created_at, scan_id))[2] AS last_scan_id FROM scans GROUP BY repository_id) SELECT c_custkey AS repository_id, c_name AS full_name, coalesce(total_scans, 0) AS total_scans, last_scan_id, s.status AS last_scan_status, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(k.total_vulnerabilities, 0) END AS last_scan_vulnerabilities, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(k.critical_count, 0) END AS last_scan_critical, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(k.high_count, 0) END AS last_scan_high FROM customer LEFT JOIN per ON c_custkey = per.repository_id LEFT JOIN scans s ON s.scan_id = last_scan_id LEFT JOIN counters k ON k.scan_id = last_scan_id",
@@ -262,7 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "cvss_bands": f"{one} SELECT CASE WHEN cvss_score >= 9 THEN 'Critical' WHEN cvss_score >= 7 THEN 'High' WHEN cvss_score >= 4 THEN 'Medium' WHEN cvss_score > 0 THEN 'Low' ELSE 'None' END AS band, count(*) AS n FROM found GROUP BY band",
         "url_validation": f"WITH {URLS} SELECT page_id, lower({part(1)}) IN ('https', 'ssh') AND NOT (regexp_matches({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#@]*@') AND (lower({part(1)}) = 'https' OR contains({part(2)}, ':'))) AND lower({part(3)}) IN ('github.com', 'gitlab.com', 'bitbucket.org') AND NOT contains({part(4)}, '..') AS allowed FROM urls",
         "repository_from_url": f"WITH {URLS} SELECT page_id, string_split({full}, '/')[-1] AS name, {full} AS full_name, CASE WHEN contains({host}, 'github') THEN 'github' WHEN contains({host}, 'gitlab') THEN 'gitlab' WHEN contains({host}, 'bitbucket') THEN 'bitbucket' ELSE 'generic' END AS provider FROM urls WHERE starts_with(url, 'https://')",
-        "changed_files": "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, md5(coalesce(text, '')) AS hash, doc_id FROM documents), a AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE hash END AS was FROM d WHERE doc_id % 3 <> 0), b AS (SELECT path, hash AS now FROM d WHERE doc_id % 5 <> 0) SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b USING (path) WHERE was IS NULL OR now IS NULL OR was <> now",
+        "changed_files": "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, md5(coalesce(text, '')) AS hash, doc_id FROM documents), a AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old/' || path ELSE path END AS path, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE hash END AS was FROM d), b AS (SELECT path, hash AS now FROM d) SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b USING (path) WHERE was IS NULL OR now IS NULL OR was <> now",
         "recent_commits": "SELECT event_id AS commit_id FROM events ORDER BY ts DESC, event_id LIMIT 25",
         "rule_catalogue": f"SELECT * FROM (VALUES {catalogue}) AS t(rule_id, title, severity, category, cwe, confidence, refs)",
         "branding_colours": f"WITH c AS (SELECT doc_id, '#' || left(md5(CAST(doc_id AS VARCHAR)), 6) || CASE WHEN doc_id % 10 = 0 THEN 'g' ELSE '' END AS c FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id, CASE WHEN regexp_matches(c, '^#[0-9a-fA-F]{{6}}$') THEN '#' || {dark(2)} || {dark(4)} || {dark(6)} ELSE c END AS dark FROM c",

@@ -107,11 +107,7 @@ def file_suppressions(spark, sf_dir):
 
 
 def _line_findings(spark, sf_dir, shift=0):
-    f = _files(spark, sf_dir, shift)
-    out = detect.pattern_findings(f)
-    for rule in C.LANGUAGE_RULES:
-        out = out.unionByName(detect.language_findings(f, rule))
-    return detect.suppressed(out, f)
+    return detect.suppressed(detect.raw_findings(_files(spark, sf_dir, shift)))
 
 
 def suppressed_findings(spark, sf_dir):
@@ -204,14 +200,23 @@ def json_output(spark, sf_dir):
     return report.json_rows(_findings(spark, sf_dir)).select("fingerprint", F.get_json_object("json", "$.rule_id").alias("rule_id"), F.get_json_object("json", "$.line_start").cast("long").alias("line_start"), F.get_json_object("json", "$.severity").alias("severity"))
 
 
+_DELTA = ["fingerprint", "file_path", "line_start", "rule_id", "title", "severity", "column_start", "confidence"]
+
+
+def _both(spark, sf_dir):
+    return [_findings(spark, sf_dir, shift).select(_DELTA) for shift in (0, 1)]
+
+
 def delta_new(spark, sf_dir):
-    new, _, _ = delta.compared(_findings(spark, sf_dir).select("fingerprint", "rule_id"), _findings(spark, sf_dir, 1).select("fingerprint", "rule_id"))
-    return new
+    return _long(delta.compared(*_both(spark, sf_dir))[0])
 
 
 def delta_resolved(spark, sf_dir):
-    _, gone, _ = delta.compared(_findings(spark, sf_dir).select("fingerprint", "rule_id"), _findings(spark, sf_dir, 1).select("fingerprint", "rule_id"))
-    return gone
+    return _long(delta.compared(*_both(spark, sf_dir))[1])
+
+
+def delta_classified(spark, sf_dir):
+    return delta.classified(*_both(spark, sf_dir)).groupBy("change").agg(F.count("*").alias("n"))
 
 
 def delta_counts(spark, sf_dir):
@@ -257,6 +262,24 @@ def query_builder(spark, sf_dir):
     return s.groupBy("category").agg(F.count("*").alias("n"))
 
 
+def query_builder_page(spark, sf_dir):
+    s = delta.queried(_stored_findings(spark, sf_dir), {"severity": "high"}, order=("-created_at", "scan_id", "line"), limit=40, offset=25)
+    return _long(s.select("scan_id", "line", "category"))
+
+
+def query_builder_count(spark, sf_dir):
+    return delta.counted(_stored_findings(spark, sf_dir), equal={"severity": "low"}, least={"line": 3})
+
+
+def baseline_selection(spark, sf_dir):
+    """The previous scan of one scan, and what is wrong with some baselines that are named."""
+    scans = _scans(spark, sf_dir).where("scan_id IS NOT NULL")
+    out = delta.baseline_of(scans, 33)
+    for other in (33, 1, 3, -7):
+        out = out.unionByName(delta.baseline_of(scans, 33, other))
+    return out
+
+
 def vulnerability_statistics(spark, sf_dir):
     out = delta.vulnerability_statistics(_stored_findings(spark, sf_dir), _scans(spark, sf_dir))
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
@@ -315,8 +338,9 @@ def repository_from_url(spark, sf_dir):
 
 def changed_files(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("hash"), "doc_id")
-    old = d.where("doc_id % 3 <> 0").select("path", F.when(F.col("doc_id") % 4 == 0, "x").otherwise(F.col("hash")).alias("hash"))
-    return sources.manifest_changes(old, d.where("doc_id % 5 <> 0"))
+    # files that move are deleted at one path and added at another; all documents are on both sides
+    old = d.select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("doc_id") % 4 == 0, "x").otherwise(F.col("hash")).alias("hash"))
+    return sources.manifest_changes(old, d)
 
 
 def recent_commits(spark, sf_dir):

@@ -35,7 +35,8 @@ def rules(df):
         ("a.py", "hashlib.sha1(x)", "RULE-CRYPTO-002"),
         ("a.java", 'Cipher.getInstance("DES")', "RULE-CRYPTO-003"),
         ("a.py", "get(u, verify=False)", "RULE-TLS-001"),
-        ("a.py", 'h = {"Authorization": "Basic dXNlcjpwYXNz"}', None),
+        ("a.py", 'h = {"Authorization": "Basic dXNlcjpwYXNz"}', "secrets"),
+        ("a.go", 'header := "Basic QWxhZGRpbjpvcGVuIHNlc2FtZQ=="', "secrets"),
         ("a.txt.py", 'Authorization: "Basic dXNlcjpwYXNz"', "secrets"),
     ],
 )
@@ -44,7 +45,7 @@ def test_rule_fires(spark, path, line, rule):
     assert rule is None or rule in found
 
 
-@pytest.mark.parametrize("line", ['log("cannot DELETE row")', "redis.Eval(ctx, script)", 'x = "hello"', 'Authorization: Basic realm="x"'])
+@pytest.mark.parametrize("line", ['log("cannot DELETE row")', "redis.Eval(ctx, script)", 'x = "hello"', 'Authorization: Basic realm="x"', 'header := "Basic realm=Restricted"', 'x = "basic information"'])
 def test_safe_lines(spark, line):
     assert rules(detect.raw_findings(files_of(spark, ("a.go", line)))) == []
 
@@ -63,7 +64,7 @@ def test_spans_are_bytes(spark):
 def test_suppression(spark):
     body = "// lintel:ignore-next-line xss\nel.innerHTML = a\nel.innerHTML = b // lintel:ignore xss, RULE-XSS-001\nel.outerHTML = c // lintel:ignore sql_injection -- all inputs\n"
     f = files_of(spark, ("a.js", body), ("b.js", "# lintel:ignore-file all\neval(x)"), ("c.js", 's = "lintel:ignore all"; eval(x)'))
-    left = sorted((r.path, r.line_no, r.rule_id) for r in detect.suppressed(detect.raw_findings(f), f).collect())
+    left = sorted((r.path, r.line_no, r.rule_id) for r in detect.suppressed(detect.raw_findings(f)).collect())
     assert left == [("a.js", 2, "RULE-XSS-001"), ("a.js", 4, "RULE-XSS-001"), ("a.js", 4, "xss"), ("c.js", 2 - 1, "xss")]
 
 
@@ -132,6 +133,30 @@ def test_delta(spark):
     assert delta.compared(now, None)[0].count() == 2
 
 
+def test_findings_of_one_fingerprint_stay_whole(spark):
+    now = spark.createDataFrame([("f", "a.py", 9), ("f", "b.py", 3)], "fingerprint string, file_path string, line_start int")
+    assert [tuple(r) for r in delta.compared(now, None)[0].collect()] == [("f", "b.py", 3)]
+
+
+def test_a_scan_reads_each_side_once(spark, sf_dir):
+    from lintel.plans import queries
+
+    for name, reads in (("findings", 1), ("delta_counts", 2)):
+        df = queries.queries()[name](spark, sf_dir)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+        assert plan.count("FileScan parquet") == reads and "Join" not in plan.replace("SortMergeJoin", "" if reads == 2 else "Join").replace("BroadcastHashJoin", "")
+
+
+def test_baseline_of(spark):
+    rows = [(1, 7, "completed", 1, 2), (2, 7, "failed", 2, None), (3, 7, "completed", 3, 4), (4, 8, "completed", 1, 2)]
+    scans = spark.createDataFrame(rows, "scan_id int, repository_id int, status string, created_at int, completed_at int")
+    one = lambda *a: tuple(delta.baseline_of(scans, *a).first())
+    assert one(3) == (3, 1, None) and one(1) == (1, None, None) and one(3, 1) == (3, 1, None)
+    assert [one(3, b)[2] for b in (2, 3, 4, 9)] == ["baseline is not completed", "baseline is the scan itself", "baseline is of another repository", "baseline not found"]
+
+
 def test_versions(spark):
     pairs = [("1.2", "1.2.0", 0), ("10.0", "9.9", 1), ("latest", "1", -1), ("4.17.21-rc1", "4.17.21", 0), ("", "0", 0)]
     df = spark.createDataFrame([p[:2] for p in pairs], "a string, b string")
