@@ -84,10 +84,11 @@ def totals(files: DataFrame) -> DataFrame:
 
 
 def function_metrics(functions: DataFrame) -> DataFrame:
-    """One row over (start_line, is_exported); without an end line a function has one line and complexity 0."""
+    """One row over (start_line, end_line, is_exported, complexity); a function without an end has one line."""
+    lines = F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1))
     return functions.agg(
-        F.count("*").alias("total_functions"), F.when(F.count("*") > 0, 1.0).otherwise(0.0).alias("average_function_size"), F.when(F.count("*") > 0, 1).otherwise(0).alias("largest_function"),
-        F.count_if("is_exported").alias("exported_functions"), F.lit(0.0).alias("average_complexity"),
+        F.count("*").alias("total_functions"), F.coalesce(F.avg(lines), F.lit(0.0)).alias("average_function_size"), F.coalesce(F.max(lines), F.lit(0)).alias("largest_function"),
+        F.count_if("is_exported").alias("exported_functions"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"),
     )
 
 

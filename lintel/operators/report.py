@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from html import escape
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,11 +95,36 @@ def sarif_results(findings: DataFrame, key: str = "lintel/v1") -> DataFrame:
     return findings.select("fingerprint", F.to_json(result).alias("result"))
 
 
-def to_sarif(findings: DataFrame, name: str = "Lintel", version: str = "0") -> str:
-    """A SARIF 2.1.0 document. A document is one string, so this collects its results."""
-    results = [json.loads(r.result) for r in sarif_results(findings).collect()]
-    run = {"tool": {"driver": {"name": name, "version": version}}, "results": results}
-    return json.dumps({"$schema": "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2)
+_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
+
+
+def scan_order(findings: DataFrame) -> DataFrame:
+    """A scan's findings in a fixed order: path, line, rule, column, fingerprint."""
+    return findings.orderBy("file_path", "line_start", "rule_id", F.coalesce("column_start", F.lit(0)), "fingerprint")
+
+
+def sarif_parts(findings: DataFrame, name: str = "Lintel", version: str = "0", most: int | None = None) -> Iterator[str]:
+    """A SARIF 2.1.0 document piece by piece; the driver holds one partition at a time.
+
+    With `most` only so many results are written, in the order of the scan, and the
+    run's property `truncated` tells whether some are left out.
+    """
+    results = sarif_results(scan_order(findings) if most is None else scan_order(findings).limit(most + 1))
+    driver = {"name": name, "version": version}
+    yield f'{{\n  "$schema": "{_SCHEMA}",\n  "version": "2.1.0",\n  "runs": [\n    {{"tool": {json.dumps({"driver": driver})}, "results": ['
+    n = 0
+    for row in results.toLocalIterator():
+        if n == most:
+            n += 1
+            break
+        yield ("," if n else "") + "\n" + json.dumps(json.loads(row.result))
+        n += 1
+    yield f'], "properties": {{"truncated": {json.dumps(most is not None and n > most)}}}}}\n  ]\n}}\n'
+
+
+def to_sarif(findings: DataFrame, name: str = "Lintel", version: str = "0", most: int | None = None) -> str:
+    """The document as one string, for scans of a repository; larger ones are written by `sarif_parts`."""
+    return json.dumps(json.loads("".join(sarif_parts(findings, name, version, most))), indent=2)
 
 
 def json_rows(findings: DataFrame) -> DataFrame:
@@ -110,28 +138,148 @@ def text_rows(findings: DataFrame) -> DataFrame:
     return findings.select("fingerprint", line.alias("line"))
 
 
-def model(findings: DataFrame, most: int = 1000) -> dict:
-    """Aggregates and the worst `most` findings, for the templates; that many rows come to the driver."""
+def json_fields(findings: DataFrame) -> DataFrame:
+    """Findings with the names of the JSON document."""
+    return findings.select(
+        "rule_id", "fingerprint", "title", "description", "severity", "category", "file_path", "line_start", "line_end", "code_snippet", "confidence", F.col("refs.cwe").alias("cwe"), F.col("refs.owasp").alias("owasp"),
+        "cvss_score", "cvss_vector", "fix", "column_start", "column_end",
+    )
+
+
+def document(findings: DataFrame, files_scanned: int = 0, lines_scanned: int = 0, metrics: dict | None = None, most: int | None = None, new: DataFrame | None = None, unchanged: int = 0, resolved: list[str] | None = None) -> dict:
+    """A scan as one JSON document: summary, figures and findings, [] for none.
+
+    With `most`, only so many findings are in it, in the order of the scan, and
+    `truncated` says so; the summary counts all. `new` adds the comparison with a
+    baseline, held to the same number.
+    """
     total = histogram(findings).first().asDict()
-    rows = [r.asDict(recursive=True) for r in ordered(findings).limit(most).collect()]
-    return {"summary": total, "roadmap": [r.asDict() for r in roadmap(findings).collect()], "findings": rows, "by_category": {r.category: r.n for r in by_category(findings).collect()}}
+
+    def some(df: DataFrame) -> list[dict]:
+        rows = json_fields(scan_order(df)).select(F.to_json(F.struct("*")).alias("j"))
+        return [json.loads(r.j) for r in (rows if most is None else rows.limit(most)).collect()]
+
+    out = {"files_scanned": files_scanned, "lines_scanned": lines_scanned, "summary": total, "total_findings": total["total"], "truncated": most is not None and total["total"] > most, "metrics": metrics or {}, "vulnerabilities": some(findings)}
+    if new is not None:
+        out["delta"] = {"new": some(new), "unchanged": unchanged, "resolved_fingerprints": sorted(resolved or [])}
+    return out
+
+
+#: Colours of a report where a brand names none.
+DEFAULT_COLOURS = ("#1f3a5f", "#c0392b")
+
+
+@dataclass(frozen=True)
+class Brand:
+    """Who reports on what; colours that are no #rrggbb are replaced by the defaults."""
+
+    company: str = ""
+    assessor: str = ""
+    project: str = ""
+    client: str = ""
+    primary: str = DEFAULT_COLOURS[0]
+    accent: str = DEFAULT_COLOURS[1]
+
+    def colours(self) -> tuple[str, str]:
+        return tuple(c if re.fullmatch("#[0-9a-fA-F]{6}", c) else d for c, d in zip((self.primary, self.accent), DEFAULT_COLOURS))
 
 
-def to_markdown(report: dict, title: str = "Security report") -> str:
-    """A report as Markdown."""
+def model(findings: DataFrame, most: int | None = 1000) -> dict:
+    """Aggregates over all findings, and the worst `most` of them (None: all), numbered from 1, for the templates.
+
+    That many rows come to the driver; `truncated` says whether there are more.
+    """
+    total = histogram(findings).first().asDict()
+    rows = ordered(findings)
+    rows = [r.asDict(recursive=True) | {"index": k + 1} for k, r in enumerate((rows if most is None else rows.limit(most)).collect())]
+    return {
+        "summary": total, "roadmap": [r.asDict() for r in roadmap(findings).orderBy("priority").collect()], "findings": rows, "truncated": most is not None and total["total"] > most,
+        "by_category": {r.category: r.n for r in by_category(findings).collect()},
+    }
+
+
+def _label(score: float) -> str:
+    """A score with its band, a dash for none."""
+    band = "Critical" if score >= 9 else "High" if score >= 7 else "Medium" if score >= 4 else "Low"
+    return f"{score:.1f} ({band})" if score > 0 else "—"
+
+
+def _words(text: str) -> str:
+    return " ".join(w[:1].upper() + w[1:] for w in text.replace("_", " ").split())
+
+
+def _overview(report: dict, brand: Brand) -> str:
+    """The summary in a sentence."""
+    s = report["summary"]
+    worst = next((k for k in C.SEVERITIES if s[k]), None)
+    what = f"{s['total']} finding{'s' if s['total'] != 1 else ''}"
+    if worst is None:
+        return f"The scan{' of ' + brand.project if brand.project else ''} found nothing to report."
+    return f"The scan{' of ' + brand.project if brand.project else ''} has {what}, of which {s[worst]} {'is' if s[worst] == 1 else 'are'} {worst}. The roadmap below orders the work by severity."
+
+
+def _facts(f: dict) -> list[tuple[str, str]]:
+    """What is known of a finding, as names and values."""
+    refs = f.get("refs") or {}
+    return [
+        ("Location", f"{f['file_path']}:{f['line_start']}"), ("Rule", f["rule_id"]), ("Category", _words(f["category"])), ("CVSS", _label(f["cvss_score"])), ("Vector", f.get("cvss_vector") or "—"),
+        ("CWE", ", ".join(refs.get("cwe") or []) or "—"), ("Confidence", f"{round(100 * f['confidence'])} %"),
+    ]
+
+
+def _links(f: dict) -> list[str]:
+    refs = f.get("refs") or {}
+    return [*(refs.get("owasp") or []), *(refs.get("urls") or [])]
+
+
+def _fence(text: str) -> str:
+    """More backticks than the text has in a row."""
+    return "`" * max(3, 1 + max((len(m) for m in re.findall("`+", text)), default=0))
+
+
+def to_markdown(report: dict, title: str = "Security Assessment Report", brand: Brand = Brand()) -> str:
+    """A report as Markdown: summary, roadmap, and each finding with its facts, evidence, suggested fix and references."""
     s = report["summary"]
-    out = [f"# {title}", "", "| severity | findings |", "| --- | --- |", *[f"| {k} | {s[k]} |" for k in C.SEVERITIES], f"| total | {s['total']} |", ""]
+    who = [f"{k}: {v}" for k, v in (("Client", brand.client), ("Project", brand.project), ("Assessor", brand.assessor), ("Company", brand.company)) if v]
+    out = [f"# {title}", "", *[f"- {w}" for w in who], *([""] if who else []), "## Executive Summary", "", _overview(report, brand), "", "| Severity | Count |", "| --- | --- |", *[f"| {_words(k)} | {s[k]} |" for k in C.SEVERITIES], f"| Total | {s['total']} |", ""]
     if not report["findings"]:
         return "\n".join([*out, "No findings.", ""])
-    out += ["## Roadmap", "", *[f"{r['priority']}. {r['severity']}: {r['count']} ({r['sla']})" for r in report["roadmap"]], "", "## Findings", ""]
+    out += ["## Remediation Roadmap", "", "| Priority | Severity | Count | When |", "| --- | --- | --- | --- |", *[f"| {r['priority']} | {_words(r['severity'])} | {r['count']} | {r['sla']} |" for r in report["roadmap"]], "", "## Findings", ""]
     for f in report["findings"]:
-        out += [f"### {f['title']} ({f['severity']})", "", f"`{f['file_path']}:{f['line_start']}` — {f['rule_id']}, CVSS {f['cvss_score']}", "", "```", f["code_snippet"].rstrip("\n"), "```", ""]
+        cell = lambda v: v.replace("|", "\\|")
+        code = f["code_snippet"].rstrip("\n")
+        out += [f"### {f['index']}. {f['title']} ({_words(f['severity'])})", "", "| | |", "| --- | --- |", *[f"| {k} | {cell(v)} |" for k, v in _facts(f)], "", f["description"], "", "**Evidence**", "", _fence(code), code, _fence(code), ""]
+        fix = f.get("fix")
+        if fix:
+            after = fix["after"] or ""
+            out += ["**Suggested Fix**", "", fix["summary"], "", _fence(after), after, _fence(after), ""]
+        if _links(f):
+            out += ["**References**", "", *[f"- {x}" for x in _links(f)], ""]
+    if report["truncated"]:
+        out += [f"Only the {len(report['findings'])} worst of {s['total']} findings are listed.", ""]
     return "\n".join(out)
 
 
-def to_html(report: dict, title: str = "Security report") -> str:
-    """A report as HTML; everything taken from findings is escaped."""
-    s = report["summary"]
-    rows = "".join(f"<tr><td>{k}</td><td>{s[k]}</td></tr>" for k in C.SEVERITIES)
-    items = "".join(f'<section id="{escape(f["anchor"])}"><h3>{escape(f["title"])} ({f["severity"]})</h3><p><code>{escape(f["file_path"])}:{f["line_start"]}</code> {escape(f["rule_id"])}</p><pre>{escape(f["code_snippet"])}</pre></section>' for f in report["findings"])
-    return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>{rows}<tr><td>total</td><td>{s['total']}</td></tr></table>{items or '<p>No findings.</p>'}</body></html>"
+def to_html(report: dict, title: str = "Security Assessment Report", brand: Brand = Brand()) -> str:
+    """A report as one HTML page without scripts or remote parts; everything taken from findings is escaped."""
+    s, e = report["summary"], escape
+    primary, accent = brand.colours()
+    style = f"body{{font-family:sans-serif;margin:2em auto;max-width:60em}}h1,h2{{color:{primary}}}h3{{border-left:4px solid {accent};padding-left:.5em}}table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:.2em .6em;text-align:left}}pre{{background:#f6f6f6;padding:.8em;overflow:auto}}"
+    table = lambda rows: "<table>" + "".join("<tr>" + "".join(f"<td>{e(str(c))}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+    who = [(k, v) for k, v in (("Client", brand.client), ("Project", brand.project), ("Assessor", brand.assessor), ("Company", brand.company)) if v]
+    parts = [f"<h1>{e(title)}</h1>", table(who) if who else "", "<h2>Executive Summary</h2>", f"<p>{e(_overview(report, brand))}</p>", table([("Severity", "Count"), *[(_words(k), s[k]) for k in C.SEVERITIES], ("Total", s["total"])])]
+    if report["findings"]:
+        parts += ["<h2>Remediation Roadmap</h2>", table([("Priority", "Severity", "Count", "When"), *[(r["priority"], _words(r["severity"]), r["count"], r["sla"]) for r in report["roadmap"]]]), "<h2>Findings</h2>"]
+    else:
+        parts.append("<p>No findings.</p>")
+    for f in report["findings"]:
+        fix = f.get("fix")
+        parts += [f'<section id="{e(f["anchor"])}"><h3>{f["index"]}. {e(f["title"])} ({e(_words(f["severity"]))})</h3>', table(_facts(f)), f"<p>{e(f['description'])}</p><h4>Evidence</h4><pre>{e(f['code_snippet'])}</pre>"]
+        if fix:
+            parts.append(f"<h4>Suggested Fix</h4><p>{e(fix['summary'])}</p><pre>{e(fix['after'] or '')}</pre>")
+        if _links(f):
+            parts.append("<h4>References</h4><ul>" + "".join(f"<li>{e(x)}</li>" for x in _links(f)) + "</ul>")
+        parts.append("</section>")
+    if report["truncated"]:
+        parts.append(f"<p>Only the {len(report['findings'])} worst of {s['total']} findings are listed.</p>")
+    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{e(title)}</title><style>{style}</style></head><body>{"".join(parts)}</body></html>'

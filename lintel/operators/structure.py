@@ -1,4 +1,8 @@
-"""Imports, functions and string literals of source lines."""
+"""Imports, functions and string literals of source lines.
+
+Go is read as its formatter writes it: a function begins with `func` at the start of
+a line and ends with the next line that starts with a brace, or on its own line.
+"""
 
 from __future__ import annotations
 
@@ -20,39 +24,67 @@ def _matched(files: DataFrame, table: dict, trim: tuple) -> DataFrame:
     return rows.select("path", "language", "line_no", "line", F.explode(F.array_compact(hits)).alias("name"))
 
 
+def _go_imports(files: DataFrame) -> DataFrame:
+    """Single imports, and the lines between `import (` and the next closing bracket."""
+    row = F.transform("lines", lambda x, i: F.struct(x.alias("x"), (i + 1).cast("int").alias("n")))
+    marks = F.filter(row, lambda r: r["x"].startswith("import (") | r["x"].startswith(")"))
+    spans = F.filter(F.transform(marks, lambda m, i: F.struct(m["n"].alias("a"), F.coalesce(F.get(marks, i + 1)["n"], F.size("lines") + 1).alias("b"), m["x"].startswith("i").alias("open"))), lambda s: s["open"])
+    inside = lambda r: F.exists(spans, lambda s: (r["n"] > s["a"]) & (r["n"] < s["b"]))
+    name = lambda r: F.when(R.matches(r["x"], C.GO_IMPORT), R.found(r["x"], C.GO_IMPORT, 1)).when(inside(r) & R.matches(r["x"], C.GO_IMPORT_LINE), R.found(r["x"], C.GO_IMPORT_LINE, 1))
+    found = F.filter(F.transform(row, lambda r: F.struct(name(r).alias("name"), r["n"].alias("n"))), lambda f: f["name"].isNotNull())
+    rows = files.where((F.col("language") == "go") & F.col("content").contains("import")).select("path", "language", F.explode(found).alias("f"))
+    return rows.select("path", "language", "f.name", F.col("f.n").alias("line_no"))
+
+
 def imports(files: DataFrame) -> DataFrame:
     """(path, language, name, line_no)."""
-    return _matched(files, C.IMPORTS, ("python", "java")).select("path", "language", "name", "line_no")
+    return _matched(files, C.IMPORTS, ("python", "java")).select("path", "language", "name", "line_no").unionByName(_go_imports(files))
+
+
+def _go_functions(files: DataFrame) -> DataFrame:
+    """Functions and methods of Go with their last line and cyclomatic complexity.
+
+    One more than the branches in them: if, for, case, default, && and ||, strings
+    and comments left out.
+    """
+    row = F.transform("lines", lambda x, i: F.struct(x.alias("x"), (i + 1).cast("int").alias("n")))
+    starts = F.filter(row, lambda r: R.matches(r["x"], C.GO_FUNCTION))
+    closes = F.transform(F.filter(row, lambda r: r["x"].startswith("}")), lambda r: r["n"])
+    last = lambda r: F.when(R.matches(r["x"], C.GO_ONE_LINE), r["n"]).otherwise(F.coalesce(F.array_min(F.filter(closes, lambda c: c > r["n"])), F.size("lines")))
+    spans = F.transform(starts, lambda r: F.struct(r["x"].alias("x"), r["n"].alias("n"), last(r).alias("end")))
+    rows = files.where((F.col("language") == "go") & F.col("content").contains("func")).select("path", "language", F.explode(F.transform(spans, lambda s: F.struct(s["x"].alias("x"), s["n"].alias("n"), s["end"].alias("end"), F.array_join(F.slice("lines", s["n"], s["end"] - s["n"] + 1), "\n").alias("code")))).alias("f"))
+    name = R.found(F.col("f.x"), C.GO_FUNCTION, 1)
+    plain = F.regexp_replace("f.code", R.to_java(C.GO_PLAIN), " ")
+    return rows.select("path", "language", name.alias("name"), F.col("f.n").alias("start_line"), F.col("f.end").alias("end_line"), name.rlike(r"^\p{Lu}").alias("is_exported"), (F.regexp_count(plain, F.lit(R.to_java(C.GO_BRANCH))) + 1).alias("complexity"))
 
 
 def functions(files: DataFrame) -> DataFrame:
-    """(path, language, name, start_line, is_exported); Java's control words are no methods."""
+    """(path, language, name, start_line, end_line, is_exported, complexity).
+
+    Java's control words are no methods. Only for Go are the end and the complexity
+    known; they are 0 for others.
+    """
     rows = _matched(files, C.FUNCTIONS, ("ruby",))
     rows = rows.where(~((F.col("language") == "java") & F.col("name").isin(list(C.NOT_METHODS))))
     exported = (
         F.when(F.col("language").isin("javascript", "typescript"), F.col("line").contains("export")).when(F.col("language") == "java", F.col("line").contains("public")).when(F.col("language") == "php", False).otherwise(~F.col("name").startswith("_"))
     )
-    return rows.select("path", "language", "name", F.col("line_no").alias("start_line"), exported.alias("is_exported"))
+    rows = rows.select("path", "language", "name", F.col("line_no").alias("start_line"), F.lit(0).alias("end_line"), exported.alias("is_exported"), F.lit(0).alias("complexity"))
+    return rows.unionByName(_go_functions(files))
+
+
+#: What lies between literals, then a literal; each match begins where the last one ended, so an open quote ends the line's literals.
+_LITERAL = r"""(?s)\G((?:\\.|[^"'`\\])*)("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)"""
 
 
 def _strings(line: Column) -> Column:
-    """The literals of a line: a fold over its characters that carries quote, escape and start."""
-    kind = "struct<quote:string,escaped:boolean,start:int,text:string,at:int,out:array<struct<value:string,column:int,raw:boolean>>>"
-    zero = F.struct(F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit(0).alias("start"), F.lit("").alias("text"), F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
-
-    def step(acc, c):
-        opens = (acc["quote"] == "") & c.isin('"', "'", "`")
-        closes = (acc["quote"] != "") & (c == acc["quote"])
-        plain = ~acc["escaped"] & (c != "\\")
-        ends = plain & closes
-        grown = F.when(acc["quote"] != "", F.concat(acc["text"], c)).otherwise("")
-        value = F.struct(acc["text"].alias("value"), acc["start"].alias("column"), (acc["quote"] == "`").alias("raw"))
-        return F.struct(
-            F.when(plain & opens, c).when(ends, "").otherwise(acc["quote"]).alias("quote"), (~acc["escaped"] & (c == "\\")).alias("escaped"), F.when(plain & opens, acc["at"] + 1).otherwise(acc["start"]).alias("start"),
-            F.when(plain & (opens | closes), "").otherwise(grown).alias("text"), (acc["at"] + F.octet_length(c)).alias("at"), F.when(ends & (acc["text"] != ""), F.concat(acc["out"], F.array(value))).otherwise(acc["out"]).alias("out"),
-        ).cast(kind)
-
-    return F.aggregate(F.split(line, ""), zero, step, lambda acc: acc["out"])
+    """The literals of a line, with the byte columns of their quotes; empty ones are left out."""
+    before, quoted = (F.regexp_extract_all(line, F.lit(_LITERAL), F.lit(k)) for k in (1, 2))
+    pair = F.arrays_zip(before.alias("b"), quoted.alias("q"))
+    size = F.transform(pair, lambda p: F.octet_length(p["b"]) + F.octet_length(p["q"]))
+    start = lambda k: F.aggregate(F.slice(size, 1, k), F.lit(0), lambda a, x: a + x)
+    each = F.transform(pair, lambda p, k: F.struct(F.substring(p["q"], 2, F.length(p["q"]) - 2).alias("value"), (start(k) + F.octet_length(p["b"]) + 1).alias("column"), p["q"].startswith("`").alias("raw")))
+    return F.filter(each, lambda x: x["value"] != "")
 
 
 def string_literals(files: DataFrame) -> DataFrame:

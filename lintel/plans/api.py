@@ -19,7 +19,7 @@ class ScanOptions:
     exclude: tuple[str, ...] = sources.EXCLUDED_DIRS
     exclude_extensions: tuple[str, ...] = sources.EXCLUDED_EXTENSIONS
     max_bytes: int = sources.MAX_BYTES
-    max_files: int | None = sources.MAX_FILES
+    max_files: int | None = None
     path_prefix: str = ""
     directive: str = detect.DIRECTIVE
 
@@ -30,11 +30,12 @@ class ScanOptions:
 
 @dataclass(frozen=True)
 class ScanResult:
-    """Parsed files, findings and errors, all lazy."""
+    """Parsed files, findings, errors and what was left out (path, reason), all lazy."""
 
     files: DataFrame
     findings: DataFrame
     errors: DataFrame
+    skipped: DataFrame
 
     def metrics(self) -> DataFrame:
         return metrics.summary(self.files, structure.functions(self.files))
@@ -46,9 +47,18 @@ class ScanResult:
     def delta(self, baseline: DataFrame | None):
         return delta.compared(self.findings, baseline)
 
-    def report(self, most: int = 1000) -> dict:
+    def report(self, most: int | None = 1000) -> dict:
         return report.model(self.findings, most)
 
+    def document(self, most: int | None = None, baseline: DataFrame | None = None) -> dict:
+        """The scan as one JSON document, with what is new against a baseline if there is one."""
+        files, lines = self.totals().first()
+        extra = {}
+        if baseline is not None:
+            new, gone, same = self.delta(baseline)
+            extra = {"new": new, "unchanged": same.first()[0], "resolved": [r.fingerprint for r in gone.select("fingerprint").collect()]}
+        return report.document(self.findings, files, lines, self.metrics().first().asDict(recursive=True), most, **extra)
+
     def sarif(self) -> str:
         return report.to_sarif(self.findings)
 
@@ -56,13 +66,15 @@ class ScanResult:
 def scan_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> ScanResult:
     """A scan of (path, content binary, size)."""
     kept = sources.admitted(files, options.exclude, options.exclude_extensions, options.max_bytes)
+    named = files
     if options.max_files is not None:  # unreadable files count, too
         kept = sources.capped(kept, options.max_files)
+    skipped = sources.left_out(named, kept, options.max_bytes)
     if options.path_prefix:
-        kept = sources.prefixed(kept, options.path_prefix)
+        kept, skipped = (sources.prefixed(x, options.path_prefix) for x in (kept, skipped))
     text, errors = sources.readable(kept)
     parsed = sources.parsed(text)
-    return ScanResult(parsed, detect.scan(parsed, options.rules, options.directive), errors)
+    return ScanResult(parsed, detect.scan(parsed, options.rules, options.directive), errors, skipped)
 
 
 def scan_path(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> ScanResult:

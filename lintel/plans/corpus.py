@@ -59,6 +59,8 @@ FIXTURES = [
     "the same line twice here\nthe same line twice here\nthe same line twice here",
     "plain words only",
     'h := "Basic QWxhZGRpbjpvcGVuIHNlc2FtZQ=="\n{"Authorization": "Basic dXNlcjpwYXNz"}\nx = "Basic realm=Restricted"\ny = "basic information"',
+    'func (s *Server) Handle(w int, r string) error {\n\tif a && b || c {\n\t\treturn nil // if x\n\t}\n\tfor i := range xs {\n\t\tswitch i {\n\t\tcase 1:\n\t\tdefault:\n\t\t}\n\t}\n\treturn "if for" + `case\n if`\n}\nfunc small() {}\nfunc Open(a int) {\n\tx()',
+    'import (\n\t"fmt"\n\tq "net/http"\n\t_ "embed"\n)\nimport "os"\nvar x = "not/one"',
     '{\n  "dependencies": {\n    "lodash": "^4.17.20",\n    "axios": "0.21.2",\n    "left": "1.0"\n  },\n  "minimist": "0.1",\n  "devDependencies": {\n    "minimist": "~1.2.5",\n    "lodash": "1.0"\n  }\n}',
 ]
 

@@ -209,6 +209,13 @@ def _whole(table: str, other: str) -> str:
     return f"SELECT fingerprint, unnest(f) FROM (SELECT fingerprint, arg_max({{{', '.join(f"'{c}': {c}" for c in columns.split(', '))}}}, row({columns})) AS f FROM {table} WHERE fingerprint NOT IN (SELECT fingerprint FROM {other}) GROUP BY fingerprint)"
 
 
+GO_FUNCTIONS = f"""SELECT path, language, name, start_line, end_line, regexp_matches(name, '^\\p{{Lu}}') AS is_exported, CAST(len(regexp_extract_all(regexp_replace(code, {q(C.GO_PLAIN)}, ' ', 'g'), {q(C.GO_BRANCH)})) + 1 AS BIGINT) AS complexity FROM
+ (SELECT s.path, language, name, start_line, end_line, (SELECT array_to_string(f.lines[s.start_line:s.end_line], chr(10)) FROM files f WHERE f.path = s.path) AS code FROM
+ (SELECT l.path, language, regexp_extract(line, {q(C.GO_FUNCTION)}, 1) AS name, line_no AS start_line, CASE WHEN regexp_matches(line, {q(C.GO_ONE_LINE)}) THEN line_no ELSE coalesce((SELECT min(e.line_no) FROM lines e WHERE e.path = l.path AND e.line_no > l.line_no AND starts_with(e.line, '}}')), (SELECT max(e.line_no) FROM lines e WHERE e.path = l.path)) END AS end_line
+ FROM lines l WHERE language = 'go' AND regexp_matches(line, {q(C.GO_FUNCTION)})) s)"""
+GO_IMPORTS = f"""SELECT path, language, CASE WHEN regexp_matches(line, {q(C.GO_IMPORT)}) THEN regexp_extract(line, {q(C.GO_IMPORT)}, 1) ELSE regexp_extract(line, {q(C.GO_IMPORT_LINE)}, 1) END AS name, line_no FROM
+ (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no), 0) AS inside FROM (SELECT *, CASE WHEN starts_with(line, 'import (') THEN 1 WHEN starts_with(line, ')') THEN 0 END AS e FROM lines WHERE language = 'go'))
+ WHERE regexp_matches(line, {q(C.GO_IMPORT)}) OR inside = 1 AND e IS NULL AND regexp_matches(line, {q(C.GO_IMPORT_LINE)})"""
 COMPLEXITY = "complexity AS (SELECT path, sum(" + " + ".join(f"CAST(contains({_trim('line')}, {q(w)}) AS INTEGER)" for w in C.COMPLEXITY_WORDS) + " + CASE WHEN length(regexp_extract(line, '^[ \\t]*')) > 16 THEN 0.5 ELSE 0 END)::DOUBLE / count(*) * 100 AS complexity FROM lines GROUP BY path)"
 
 
@@ -223,7 +230,7 @@ def oracle_sql() -> dict[str, str]:
     full = r"regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/?([^?#]*)', 1), '\.git$', '')"
     host = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1))"
     dark = lambda at: f"format('{{:02x}}', CAST(floor(CAST('0x' || substr(c, {at}, 2) AS INTEGER) * 0.5) AS INTEGER))"
-    functions = f"fn AS (SELECT path, language, name, line_no AS start_line, CASE WHEN language IN ('javascript', 'typescript') THEN contains(line, 'export') WHEN language = 'java' THEN contains(line, 'public') WHEN language = 'php' THEN FALSE ELSE NOT starts_with(name, '_') END AS is_exported FROM ({_structure(C.FUNCTIONS, ('ruby',))}) WHERE NOT (language = 'java' AND name IN ('if', 'for', 'while', 'switch')))"
+    functions = f"fn AS (SELECT path, language, name, line_no AS start_line, CAST(0 AS BIGINT) AS end_line, CASE WHEN language IN ('javascript', 'typescript') THEN contains(line, 'export') WHEN language = 'java' THEN contains(line, 'public') WHEN language = 'php' THEN FALSE ELSE NOT starts_with(name, '_') END AS is_exported, CAST(0 AS BIGINT) AS complexity FROM ({_structure(C.FUNCTIONS, ('ruby',))}) WHERE NOT (language = 'java' AND name IN ('if', 'for', 'while', 'switch')) UNION ALL {GO_FUNCTIONS})"
     versions = ", ".join(f"({q(v)})" for v in [*corpus.VERSIONS, "", "latest", "9.9", "1.2.0", "1.2"])
     markers = lambda lines: "\nUNION ALL ".join(f"SELECT path, line_no, {q(k)} AS type, {q('Potential ' + k.replace('_', ' ') + ' usage')} AS description, {_start('line', p)} + 1 AS \"column\", {_trim('line')} AS snippet FROM {lines} WHERE regexp_matches(line, {q(p)})" for k, p in C.MARKERS.items())
     snippet = "array_to_string(list_transform(range(greatest(line_no - 2, 1), least(line_no + 2, len(f.lines)) + 1), lambda i: CASE WHEN i = line_no THEN '> ' ELSE '  ' END || lpad(CAST(i AS VARCHAR), CAST(greatest(4, length(CAST(i AS VARCHAR))) AS INTEGER), ' ') || ' | ' || f.lines[i] || chr(10)), '')"
@@ -250,7 +257,7 @@ def oracle_sql() -> dict[str, str]:
         "rule_selection": f"{lined}, {suppressed()} SELECT path, line_no, rule_id, match_text FROM kept WHERE lower(rule_id) IN ('xss', 'rule-tls-001') OR lower(category) IN ('xss', 'rule-tls-001')",
         "findings": f"{one} SELECT fingerprint, rule_id, title, severity, category, file_path, line_start, line_end, column_start, column_end, confidence, cvss_score, cvss_vector, cwe, owasp, urls FROM found",
         "suggested_fixes": f"{one} SELECT fingerprint, summary, CASE WHEN replacement IS NULL THEN 'guidance' ELSE 'safe_replace' END AS kind, match_text AS before, coalesce(replacement, example) AS after, replacement FROM found",
-        "imports": f"{lined} SELECT path, language, name, line_no FROM ({_structure(C.IMPORTS, ('python', 'java'))})",
+        "imports": f"{lined} SELECT path, language, name, line_no FROM ({_structure(C.IMPORTS, ('python', 'java'))}) UNION ALL {GO_IMPORTS}",
         "functions": f"{lined}, {functions} SELECT * FROM fn",
         "dependencies": f"WITH {_manifests()} SELECT path, name, version, line_no FROM deps",
         "vulnerable_dependencies": f"WITH {_manifests()}, {KNOWN} SELECT path, line_no, 'Vulnerable dependency: ' || name AS title, severity, name || ' version ' || version || ' is vulnerable to ' || cve || ': ' || description AS description, name || ' ' || version AS match_text FROM deps JOIN known USING (name) WHERE version <> '' AND {_key('version')} < {_key('bound')}",
@@ -284,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
         "file_complexity": f"{lined}, {COMPLEXITY} SELECT path, round(complexity, 6) AS complexity FROM complexity",
         "complexity_score": f"{lined}, {COMPLEXITY} SELECT round(coalesce(greatest(0, least(100, 100 - avg(complexity) * 5)), 100), 6) AS complexity_score FROM complexity",
         "duplication_score": f"{lined}, t AS (SELECT {_trim('line')} AS t FROM lines) SELECT round(coalesce(count(DISTINCT t)::DOUBLE / nullif(count(*), 0) * 100, 100), 6) AS duplication_score FROM t WHERE strlen(t) >= 10",
-        "function_metrics": f"{lined}, {functions} SELECT count(*) AS total_functions, CASE WHEN count(*) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS average_function_size, CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS BIGINT) AS largest_function, count(*) FILTER (WHERE is_exported) AS exported_functions, 0.0::DOUBLE AS average_complexity FROM fn",
+        "function_metrics": f"{lined}, {functions} SELECT count(*) AS total_functions, round(coalesce(avg(greatest(end_line - start_line + 1, 1)), 0), 6) AS average_function_size, coalesce(max(greatest(end_line - start_line + 1, 1)), 0) AS largest_function, count(*) FILTER (WHERE is_exported) AS exported_functions, round(coalesce(avg(complexity), 0), 6) AS average_complexity FROM fn",
         "code_summary": f"{lined}, {COMPLEXITY}, {functions} SELECT (SELECT count(*) FROM files) AS total_files, round(coalesce(greatest(0, least(100, 100 - (SELECT avg(complexity) FROM complexity) * 5)), 100), 6) AS complexity_score, (SELECT count(*) FROM files WHERE language = 'python') AS python_files, (SELECT path FROM files ORDER BY line_count DESC, path DESC LIMIT 1) AS largest, (SELECT least(10, count(*)) FROM files) AS n_largest, (SELECT count(*) FROM fn) AS total_functions",
         "scan_lifecycle": "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, bs in store.NEXT.items() for b in bs) + ") AS t(status, target)",
         "language_extensions": "SELECT language, string_agg(extension, ' ' ORDER BY extension) AS extensions FROM (VALUES " + ", ".join(f"({q(v)}, {q(k)})" for k, v in C.EXTENSIONS.items()) + ") AS t(language, extension) GROUP BY language",

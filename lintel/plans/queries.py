@@ -319,7 +319,8 @@ def duplication_score(spark, sf_dir):
 
 
 def function_metrics(spark, sf_dir):
-    return _long(metrics.function_metrics(structure.functions(_files(spark, sf_dir))))
+    m = metrics.function_metrics(structure.functions(_files(spark, sf_dir)))
+    return _long(m.withColumns({c: F.round(c, 6) for c in ("average_function_size", "average_complexity")}))
 
 
 def _urls(spark, sf_dir):

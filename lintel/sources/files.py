@@ -14,18 +14,31 @@ MAX_BYTES = 1 << 20
 MAX_FILES = 1000
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """A root as its store names it: absolute, with scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def directory(spark: SparkSession, root: str) -> DataFrame:
     """(path relative to `root`, content binary, size) of a directory tree.
 
     The listing and the length filter are Spark's; symbolic links are the
-    store's concern.
+    store's concern. `root` may be relative.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
+    base = qualified(spark, root).rstrip("/") + "/"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.substr(raw["path"], F.instr(raw["path"], base) + F.lit(len(base)))
     return raw.select(rel.alias("path"), "content", F.col("length").alias("size"))
 
 
+def left_out(files: DataFrame, kept: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, reason) of the files of known languages that a scan did not take: their size, an exclusion, or the cap."""
+    rest = files.withColumn("language", X.language(F.col("path"))).where("language IS NOT NULL").select("path", "size")
+    rest = rest.join(kept.select("path"), "path", "left_anti")
+    return rest.select("path", F.when(F.col("size") > max_bytes, "too large").otherwise("excluded or over the cap").alias("reason"))
+
+
 def admitted(files: DataFrame, exclude: tuple = EXCLUDED_DIRS, extensions: tuple = EXCLUDED_EXTENSIONS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Files a scan looks at, with their language.
 

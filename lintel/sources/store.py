@@ -24,9 +24,35 @@ def save_findings(findings: DataFrame, root: str, scan_id: str) -> None:
 
 
 def load_findings(spark: SparkSession, root: str, scan_id: str | None = None) -> DataFrame | None:
-    """All findings or those of a scan, by its partition alone; None where nothing is stored."""
+    """All findings or those of a scan, by its partition alone; None where nothing is stored.
+
+    Any other trouble with the store is raised: an unreadable baseline is not an empty one.
+    """
     try:
         df = spark.read.option("basePath", f"{root}/findings").parquet(f"{root}/findings")
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     return df if scan_id is None else df.where(F.col("scan_id") == scan_id)
+
+
+def save_scan(spark: SparkSession, findings: DataFrame, root: str, scan_id: str, repository_id: str, created_at, completed_at) -> None:
+    """A scan's findings and, after them, its row with the counts; the row alone makes the scan completed.
+
+    A run that dies in between leaves findings without a row, which the same call
+    replaces.
+    """
+    from lintel.operators import delta
+
+    save_findings(findings, root, scan_id)
+    stored = load_findings(spark, root, scan_id)
+    row = spark.createDataFrame([(scan_id, repository_id, "completed", created_at, completed_at)], "scan_id string, repository_id string, status string, created_at timestamp, completed_at timestamp")
+    counts = delta.scan_counters(stored.withColumn("scan_id", F.col("scan_id").cast("string")))
+    zero = {c: 0 for c in counts.columns if c != "scan_id"}
+    row.join(counts, "scan_id", "left").na.fill(zero).drop("scan_id").write.mode("overwrite").parquet(f"{root}/scans/scan_id={scan_id}")
+
+
+def load_scans(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all stored scans; their ids are strings."""
+    return spark.read.option("basePath", f"{root}/scans").parquet(f"{root}/scans").withColumn("scan_id", F.col("scan_id").cast("string"))

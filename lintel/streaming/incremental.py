@@ -41,13 +41,27 @@ def _limit(events: pd.DataFrame, start, used: int, limit: int, seconds: int):
 
 
 def rate_limited(events: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """(event_id, user_id, allowed) of a table of (event_id, user_id, ts), each client on its own."""
+    """(event_id, user_id, allowed) of a table of (event_id, user_id, ts), each client on its own.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        return pdf[["event_id", "user_id"]].assign(allowed=_limit(pdf, None, 0, limit, seconds)[0])
+    A window begins where the last one has run out, so a client's events are a
+    chain; they pass by in order, batch after batch, and only the last client's
+    window is kept, however many events one client has.
+    """
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(run, "event_id long, user_id long, allowed boolean")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, start, used = None, None, 0
+        for pdf in batches:
+            allowed: list[bool] = []
+            for user, part in pdf.groupby("user_id", sort=False, dropna=False):
+                if last is None or not (user == last[0] or pd.isna(user) and pd.isna(last[0])):
+                    start, used = None, 0
+                last = (user,)
+                own, start, used = _limit(part, start, used, limit, seconds)
+                allowed += own
+            yield pdf[["event_id", "user_id"]].assign(allowed=allowed)
+
+    ordered = events.select("event_id", "user_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return ordered.mapInPandas(run, "event_id long, user_id long, allowed boolean")
 
 
 def rate_limited_stream(events: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:

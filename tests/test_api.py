@@ -19,6 +19,72 @@ def test_scan_path(spark, tmp_path):
     assert "RULE-TLS-001" in r.sarif() and r.report()["summary"]["total"] == 3
 
 
+def test_relative_roots_and_left_out_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("hashlib.sha1(x)\n")
+    (tmp_path / "src" / "big.py").write_text("x" * 3000)
+    (tmp_path / "src" / "c.py").write_text("y = 1\n")
+    from pyspark.sql import functions as F
+
+    from lintel.sources import files as sources
+
+    here = sources.qualified(spark, str(tmp_path / "src" / ".."))
+    assert here.startswith("file:/")
+    r = api.scan_path(spark, str(tmp_path) + "/./src/", api.ScanOptions(max_bytes=2000, max_files=1))
+    assert [x.file_path for x in r.findings.collect()] == ["a.py"]
+    assert sorted(tuple(x) for x in r.skipped.collect()) == [("big.py", "too large"), ("c.py", "excluded or over the cap")]
+    assert r.findings.where(F.col("file_path").contains("file:")).count() == 0
+
+
+def test_document(spark, tmp_path):
+    (tmp_path / "x.py").write_text("hashlib.sha1(x)\npickle.load(f)\n")
+    r = api.scan_path(spark, str(tmp_path))
+    d = r.document()
+    assert d["summary"]["total"] == 2 == len(d["vulnerabilities"]) and not d["truncated"] and d["lines_scanned"] == 3
+    assert [v["line_start"] for v in d["vulnerabilities"]] == [1, 2] and d["vulnerabilities"][0]["cwe"] == ["CWE-328"]
+    short = r.document(1, r.findings.where("line_start = 1"))
+    assert short["truncated"] and len(short["vulnerabilities"]) == 1 and short["summary"]["total"] == 2
+    assert [v["line_start"] for v in short["delta"]["new"]] == [2] and short["delta"]["unchanged"] == 1 and short["delta"]["resolved_fingerprints"] == []
+    (tmp_path / "x.py").write_text("x = 1\n")
+    assert api.scan_path(spark, str(tmp_path)).document()["vulnerabilities"] == []
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from lintel import __main__ as cli
+
+    p = tmp_path / "x.py"
+    p.write_text("get(u, verify=False)\npickle.load(f)\n")
+    out = tmp_path / "out.json"
+    assert cli.main(["scan", str(tmp_path), "--rules", "RULE-DESER-001", "--output", str(out), "--fail-on-critical"]) == 1
+    assert '"RULE-DESER-001"' in out.read_text() and '"RULE-TLS-001"' not in out.read_text()
+    assert cli.main(["scan", str(tmp_path), "--format", "text", "--rules", "RULE-TLS-001"]) == 0
+    out.unlink()
+    assert cli.main(["fix", str(tmp_path)]) == 0 and "verify=False" in p.read_text()
+    assert cli.main(["fix", str(tmp_path), "--write"]) == 0 and p.read_text() == "get(u, verify=True)\npickle.load(f)\n"
+    assert cli.main(["report", str(tmp_path), "--format", "md", "--client", "Acme"]) == 0
+    assert cli.main(["rules"]) == 0 and cli.main(["version"]) == 0
+    said = capsys.readouterr().out
+    assert "+ get(u, verify=True)" in said and "Client: Acme" in said and "RULE-SSRF-001" in said
+
+
+def test_stored_scans(spark, tmp_path):
+    import datetime
+
+    import pytest
+
+    f = spark.createDataFrame([("a", "critical"), ("b", "low")], "fingerprint string, severity string")
+    day = datetime.datetime(2024, 1, 1)
+    store.save_scan(spark, f, str(tmp_path), "1", "r", day, day)
+    store.save_scan(spark, f.limit(0), str(tmp_path), "2", "r", day + datetime.timedelta(1), day + datetime.timedelta(1))
+    scans = store.load_scans(spark, str(tmp_path))
+    assert {(r.scan_id, r.total_vulnerabilities, r.critical_count) for r in scans.collect()} == {("1", 2, 1), ("2", 0, 0)}
+    assert tuple(delta.baseline_of(scans, "2").first()) == ("2", "1", None)
+    (tmp_path / "broken" / "findings").mkdir(parents=True)
+    (tmp_path / "broken" / "findings" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        store.load_findings(spark, str(tmp_path / "broken")).count()
+
+
 def test_options():
     o = api.ScanOptions(rules=("xss",)).requested(exclude=("gen/",))
     assert o.rules == ("xss",) and o.exclude[-1] == "gen/"

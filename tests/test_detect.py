@@ -116,6 +116,14 @@ def test_report(spark):
     m = report.model(f)
     assert [x["severity"] for x in m["findings"]] == ["critical", "medium"] and [r["priority"] for r in m["roadmap"]] == [1, 2]
     assert "pickle.load" in report.to_markdown(m) and "&gt;" in report.to_html(m)
+    md, html = report.to_markdown(m, brand=report.Brand(client="Acme Inc.")), report.to_html(m, brand=report.Brand(client="Acme <Inc.>", primary="red"))
+    for want in ("# Security Assessment Report", "| Severity | Count |", "## Remediation Roadmap", "**Suggested Fix**", "CWE-502", "9.8 (Critical)", "Acme Inc.", "Executive Summary", "5.3 (Medium)"):
+        assert want in md, want
+    for want in ("Executive Summary", "Remediation Roadmap", "Suggested Fix", "CWE-502", "9.8 (Critical)", "a.py:2", "<style", "Acme &lt;Inc.&gt;", report.DEFAULT_COLOURS[0]):
+        assert want in html, want
+    assert "<script" not in html and 'src="http' not in html and [x["index"] for x in m["findings"]] == [1, 2]
+    short = report.model(f, 1)
+    assert short["truncated"] and not m["truncated"] and "1 worst of 2" in report.to_markdown(short) and "1 worst of 2" in report.to_html(short)
     empty = report.model(f.limit(0))
     assert "No findings" in report.to_markdown(empty) and "No findings" in report.to_html(empty)
 
@@ -201,6 +209,16 @@ def test_structure(spark):
     assert sorted(r.name for r in structure.imports(f).collect()) == ["m", "os"]
 
 
+def test_go_structure(spark):
+    body = 'import (\n\t"fmt"\n\tq "a/b"\n)\nimport "os"\n\nfunc (s *T) Run(a int) error {\n\tif a > 1 && ok || x {\n\t\treturn nil // if for\n\t}\n\tfor {\n\t\tswitch a {\n\t\tcase 1:\n\t\tdefault:\n\t\t}\n\t}\n\treturn "if" + `case`\n}\n\nfunc small() { return }\n'
+    f = files_of(spark, ("a.go", body))
+    got = sorted((r.name, r.start_line, r.end_line, r.is_exported, r.complexity) for r in structure.functions(f).collect())
+    assert got == [("Run", 7, 18, True, 7), ("small", 20, 20, False, 1)]
+    assert sorted((r.name, r.line_no) for r in structure.imports(f).collect()) == [("a/b", 3), ("fmt", 2), ("os", 5)]
+    m = metrics.function_metrics(structure.functions(f)).first()
+    assert (m.total_functions, m.average_function_size, m.largest_function, m.exported_functions, m.average_complexity) == (2, 6.5, 12, 1, 4.0)
+
+
 def test_strings(spark):
     line = r"""s = 'one' + "t\"wo" + `th${r}` + "" + 'é' + 'open"""
     got = [(r.value, r.column, r.is_raw, r.is_template) for r in structure.string_literals(files_of(spark, ("a.js", line))).collect()]
