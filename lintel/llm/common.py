@@ -186,6 +186,28 @@ def parcel_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, PARCELS.types)], schema=PARCELS)
 
 
+def beside(rows: DataFrame, parcels: DataFrame, n: int) -> DataFrame:
+    """Rows with a block number `b` and parcels (kind, to, parcel), each block in the partition of its number.
+
+    Unlike a cogroup by `b` this neither hashes two blocks into one partition nor
+    sorts the rows.
+    """
+    both = rows.unionByName(parcels.withColumnRenamed("to", "b"), allowMissingColumns=True)
+    return both.repartitionById(n, F.col("b"))
+
+
+def apart(batches, names: list[str]) -> tuple[pa.Table | None, list[tuple[int, bytes]]]:
+    """(the rows with these columns, (kind, parcel) pairs) of one partition of `beside`."""
+    rows, parcels = [], []
+    for batch in batches:
+        kind = batch.column("kind")
+        is_row = pc.is_null(kind)
+        rows.append(batch.select(names).filter(is_row))
+        other = batch.filter(pc.invert(is_row))
+        parcels += zip(other.column("kind").to_pylist(), other.column("parcel").to_pylist())
+    return (pa.Table.from_batches(rows) if rows else None), parcels
+
+
 def runs_of(values: np.ndarray):
     """Slices of equal values of a sorted array."""
     cuts = np.flatnonzero(values[1:] != values[:-1]) + 1

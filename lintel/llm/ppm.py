@@ -12,9 +12,13 @@ A byte's probability depends only on the six bytes that end at it, so a block of
 texts needs each distinct six-gram once. Blocks send their grams and training
 counts to shards by the last two context bytes, which puts all nodes of orders 2
 to 5 that a gram can meet into one shard; orders 0 and 1 have at most 65,536
-nodes and are broadcast. Shards sum the counts, build their part of the trie and
-answer each block in the order it asked. Words take the same way, by hash, for the
-base score's counts. No table of the corpus is broadcast, collected or held whole.
+nodes and are broadcast. Contexts of two bytes that are frequent are split by the
+third byte; their nodes of order 2, counted over everything, are at most HEAVY x
+256 and are broadcast, too. Which ones are frequent is taken from SAMPLE texts: that
+decides where work is done, not what comes out. Shards sum the counts, build their
+part of the trie and answer each block in the order it asked. Words take the same
+way, by hash, for the base score's counts. No table of the corpus is broadcast,
+collected or held whole.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from lintel.llm import common
 from lintel.llm.common import mix64, pack, unpack
 
 ORDER = 5
+#: Contexts of two bytes that are split at most, the share of all bytes from which on, and the texts that this is taken from.
+HEAVY, HEAVY_SHARE, SAMPLE = 256, 0.001, 1000
 END_WORD = "\n"  # cannot be a word, so it stands for the end token
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
@@ -59,8 +65,22 @@ def grams_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wide[np.arange(int(begin[-1])) + real] >> np.uint64(8 * (7 - ORDER)), begin
 
 
-def shard_of_gram(gram: np.ndarray, n: int) -> np.ndarray:
-    return (mix64(gram >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(n)).astype(np.uint32)
+def shard_of_gram(gram: np.ndarray, n: int, heavy: np.ndarray | None = None) -> np.ndarray:
+    """The shard by two context bytes, or three where `heavy` (a flag for each two) says so."""
+    context = gram >> np.uint64(8)
+    two = context & np.uint64(0xFFFF)
+    if heavy is not None:
+        three = heavy[two.astype(np.int64)]
+        two[three] = (context[three] & np.uint64(0xFFFFFF)) + np.uint64(1 << 24)
+    return (mix64(two) % np.uint64(n)).astype(np.uint32)
+
+
+def heavy_contexts(count: np.ndarray, most: int = HEAVY, share: float = HEAVY_SHARE) -> np.ndarray:
+    """A flag for each two context bytes: the most frequent ones above a share."""
+    out = np.zeros(65536, bool)
+    top = np.argsort(-count, kind="stable")[:most]
+    out[top] = count[top] > share * max(1, count.sum())
+    return out
 
 
 def shard_of_word(words: pa.Array, n: int) -> np.ndarray:
@@ -108,15 +128,19 @@ def summed(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Trie:
-    """Orders 2 to 5 from a shard's grams; orders 0 and 1 as given for all."""
+    """Orders 2 to 5 from a shard's grams; orders 0 and 1 as given for all, and those of order 2 that `whole` has (grams, counts)."""
 
-    def __init__(self, gram: np.ndarray, count: np.ndarray, low: np.ndarray):
+    def __init__(self, gram: np.ndarray, count: np.ndarray, low: np.ndarray, whole=None, heavy: np.ndarray | None = None):
         low_gram = np.flatnonzero(low.reshape(-1)).astype(np.uint64)
         root = low.sum(0)
         seen = np.flatnonzero(root).astype(np.uint64)
         self.nodes = [Node(seen, root[seen.astype(np.int64)]), Node(low_gram, low.reshape(-1)[low_gram.astype(np.int64)])]
         for order in range(2, ORDER + 1):
-            self.nodes.append(Node(*summed(shortened(gram, order), count)))
+            own, n = summed(shortened(gram, order), count)
+            if order == 2 and whole is not None:
+                light = ~heavy[(own >> np.uint64(8)).astype(np.int64)]
+                own, n = summed(np.concatenate([own[light], whole[0]]), np.concatenate([n[light], whole[1]]))
+            self.nodes.append(Node(own, n))
         self.left: list = [None]  # by order: (T, D) of the parent without the symbols of the node
         for order in range(1, ORDER + 1):
             node, parent = self.nodes[order], self.nodes[order - 1]
@@ -154,11 +178,6 @@ class Trie:
         return out
 
 
-def _batch(schema: pa.Schema, rows: list) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
-
-
 def _block_words(texts: pa.Array):
     """(code of each word, its text, the words ascending and the end token last); lower-cased."""
     values, row = common.words_of(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -208,7 +227,8 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
     """One row per document: id, `trained`, n_tokens, n_known, train_tokens, vocabulary, base_score, score.
 
     `trained` names a boolean column that marks the rows to learn from (null:
-    not). A null text counts as empty: one end token. Rows without an id are
+    not). An id that is no integer counts as null. A NUL in a text is the same
+    symbol as a text's end. A null text counts as empty: one end token. Rows without an id are
     scored like others. Repeated rows count as often as they come. Without any training row
     N and V are 0 and the model gives each byte 1/256. An empty table gives
     an empty one. Other columns are left out.
@@ -216,46 +236,66 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     common.ship(spark)
     n = common.partitions(spark)
-    src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), F.coalesce(docs[f"`{trained}`"], F.lit(False)).alias("l"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
+    src = docs.select(docs[f"`{id_col}`"].try_cast("long").alias("i"), F.coalesce(docs[f"`{trained}`"], F.lit(False)).alias("l"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
     src = src.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
-    parcels = pa.schema([("kind", pa.int32()), ("to", pa.int32()), ("parcel", pa.binary())])
-    ddl = "kind int, to int, parcel binary"
+    ddl = common.PARCEL_DDL
+    names = ["i", "l", "t", "b"]
 
-    def ask(table: pa.Table) -> pa.Table:
+    def contexts(batches):
+        seen = np.zeros(65536, np.int64)
+        for batch in batches:
+            for part in common.pieces(batch, "t"):
+                gram, _ = grams_of(*common.flat(part.column("t")))
+                seen += np.bincount((gram >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64), minlength=65536)
+        yield common.parcel_batch([(0, 0, pack(seen))])
+
+    sampled = src.select("t").limit(SAMPLE).mapInArrow(contexts, ddl).collect()
+    heavy = heavy_contexts(sum((unpack(r.parcel)[0] for r in sampled), np.zeros(65536, np.int64)))
+
+    def ask(batches):
         """A block's distinct grams and words for each shard, with their training counts."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         texts = table.column("t").combine_chunks()
         learn = np.asarray(table.column("l").combine_chunks().cast(pa.int8())).astype(bool)
         block = table.column("b")[0].as_py()
         gram, count = _asked_grams(table)
         low = np.bincount((gram & np.uint64(0xFFFF)).astype(np.int64), count, 65536).astype(np.int64)
-        rows = []
-        shard = shard_of_gram(gram, n)
+        shard = shard_of_gram(gram, n, heavy)
         order = np.argsort(shard, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            rows.append((0, int(shard[part[0]]), pack(block, gram[part], count[part].astype(np.uint32))))
+            yield common.parcel_batch([(0, int(shard[part[0]]), pack(block, gram[part], count[part].astype(np.uint32)))])
         used = np.flatnonzero(low)
-        rows.append((2, -1, pack(used.astype(np.uint16), low[used])))
+        three = shortened(gram[heavy[(gram >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)]], 2)
+        three, k = summed(three, count[heavy[(gram >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)]])
+        yield common.parcel_batch([(2, -1, pack(np.concatenate([used, three.astype(np.int64) + 65536]).astype(np.int32), np.concatenate([low[used], k])))])
+        del gram, count
         wcodes, row, words = _block_words(texts)
         wcount = np.append(np.bincount(wcodes[learn[row]], minlength=len(words) - 1), learn.sum())
         shard = shard_of_word(words, n)
         order = np.argsort(shard, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            rows.append((1, int(shard[part[0]]), pack(block, words.take(pa.array(part)), wcount[part])))
-        return pa.Table.from_batches([_batch(parcels, rows)])
+            yield common.parcel_batch([(1, int(shard[part[0]]), pack(block, words.take(pa.array(part)), wcount[part]))])
 
-    asked = common.checkpoint(src.groupBy("b").applyInArrow(ask, ddl))
+    asked = common.checkpoint(src.repartitionById(n, F.col("b")).mapInArrow(ask, ddl))
 
     def spread(batches):
         for batch in batches:
             for p in batch.column("parcel").to_pylist():
                 pair, count = unpack(p)
-                yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(count)], ["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(count)], ["pair", "n"])
 
-    low = np.zeros(65536, np.int64)
+    low, whole = np.zeros(65536, np.int64), {}
     pairs = asked.where("kind = 2").mapInArrow(spread, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    for pair, count in pairs.collect():  # at most 65,536 rows
-        low[pair] = count
-    shared = spark.sparkContext.broadcast(low.reshape(256, 256))
+    for pair, count in pairs.collect():  # at most 65,536 rows of two bytes and HEAVY x 256 of three
+        if pair < 65536:
+            low[pair] = count
+        else:
+            whole[pair - 65536] = count
+    three = np.array(sorted(whole), np.uint64)
+    shared = spark.sparkContext.broadcast((low.reshape(256, 256), (three, np.array([whole[int(x)] for x in three], np.int64))))
 
     def answer(batches):
         """A shard's replies; kind 2 has its part of N and V."""
@@ -267,7 +307,7 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
         rows = []
         if grams:
             count = np.concatenate([p[2] for p in grams]).astype(np.int64)
-            trie = Trie(*summed(np.concatenate([p[1] for p in grams]), count), shared.value)
+            trie = Trie(*summed(np.concatenate([p[1] for p in grams]), count), *shared.value, heavy)
             rows += [(0, block, pack(shard, trie.log10(gram))) for block, gram, _ in grams]
         if words:
             codes, _ = common.codes_of(pa.concat_arrays([p[1] for p in words]))
@@ -275,7 +315,7 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
             cuts = np.cumsum([len(p[1]) for p in words])[:-1]
             rows += [(1, p[0], pack(shard, total[part])) for p, part in zip(words, np.split(codes, cuts))]
             rows.append((2, -1, pack(int(total.sum()), int((total > 0).sum()))))
-        yield _batch(parcels, rows)
+        yield common.parcel_batch(rows)
 
     answers = common.checkpoint(asked.where("kind < 2").repartitionById(n, F.col("to")).mapInArrow(answer, ddl))
 
@@ -288,16 +328,19 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
 
     result = pa.schema([("i", pa.int64()), ("l", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
-    def score(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.Table.from_batches([], result)
+    def score(batches):
+        table, replies = common.apart(batches, names)
+        if table is None or not table.num_rows:
+            return
         texts = table.column("t").combine_chunks()
         replied: tuple[dict, dict] = ({}, {})
-        for kind, p in zip(replies.column("kind").to_pylist(), replies.column("parcel").to_pylist()):
+        for kind, p in replies:
             shard, values = unpack(p)
             replied[kind][shard] = values
+        del replies
+
         def values_of(gram: np.ndarray) -> np.ndarray:
-            log, shard = np.empty(len(gram)), shard_of_gram(gram, n)
+            log, shard = np.empty(len(gram)), shard_of_gram(gram, n, heavy)
             for s, values in replied[0].items():
                 log[shard == s] = values
             return log
@@ -313,11 +356,9 @@ def scores(docs: DataFrame, trained: str, id_col: str = "doc_id", text: str = "t
         known = np.bincount(row[c > 0], minlength=rows) + int(counts[-1] > 0)
         base = np.bincount(row, logs[codes], rows) + logs[-1]
         columns = [table.column("i").combine_chunks(), table.column("l").combine_chunks(), size, known, base, score_]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, result.types)], schema=result)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, result.types)], schema=result)
 
-    by = src.groupBy("b")
-    replies = answers.where("kind < 2").withColumnRenamed("to", "b").groupBy("b")
-    out = by.cogroup(replies).applyInArrow(score, "i long, l boolean, n_tokens long, n_known long, base double, score double")
+    out = common.beside(src, answers.where("kind < 2"), n).mapInArrow(score, "i long, l boolean, n_tokens long, n_known long, base double, score double")
     out = out.crossJoin(F.broadcast(size))  # one row
     base = F.col("base") - F.col("n_tokens") * F.log10(F.col("N") + F.col("V") + 1)
     return out.select(F.col("i").alias(id_col), F.col("l").alias(trained), "n_tokens", "n_known", F.col("N").alias("train_tokens"), F.col("V").alias("vocabulary"), base.alias("base_score"), "score")
