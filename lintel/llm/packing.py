@@ -3,13 +3,20 @@
 Documents are tokenised once; the ids are kept in the shared folder. Document
 frequencies of the tokens and the mean length are counted over all documents on
 the way: at most one figure for each entry of the vocabulary. Documents are
-then dealt to shards by hash. A shard builds a BM25 inverted index of its
-documents, with the corpus's frequencies, and fills window after window: the
-seed is what was cut from the last window's end, or else the first unused
-document; its heaviest terms are looked up in the index, and the unused neighbours
-follow by falling score, the last one cut where the window ends. Only a shard's
-last window can stay short; it is cut into sequences whose lengths are powers of
-two, which need no padding.
+then dealt to shards of SHARD_TOKENS tokens by content, so that neighbours meet: a
+document's place on the line of all shards is that of the heaviest of its common
+terms (those in at least COMMON of all documents), and among documents with that
+term it goes by the second heaviest. Groups too large for a shard are spread over
+several by the hash of the document.
+
+A shard builds a BM25 inverted index of its documents, with the corpus's
+frequencies, and fills window after window: the seed is what was cut from the last
+window's end, or else the first unused document; its heaviest terms are looked up
+in the index, and the unused neighbours follow by falling score, as many as the
+window takes, the last one cut where it ends. Only when no unused document shares
+a term with the seed does the next one in order follow. Only a shard's last window
+can stay short; it is cut into sequences whose lengths are powers of two, which
+need no padding.
 """
 
 from __future__ import annotations
@@ -31,7 +38,12 @@ from lintel.llm.common import pack, unpack
 LENGTH = 4096
 END = 2  # the id after each document
 K1, B = 1.2, 0.75
+#: Terms of a seed that are looked up, the heaviest first (None: all).
 QUERY_TERMS = 24
+#: Tokens of a shard, in the mean.
+SHARD_TOKENS = 1 << 22
+#: The share of all documents in which a term must be to decide a document's place.
+COMMON = 0.05
 CHUNK = 500_000  # tokens counted at a time
 #: Words whose ids a worker remembers.
 CACHE = 600_000
@@ -181,6 +193,68 @@ class WordTokenizer:
         return out, begin
 
 
+def weights_of(term: np.ndarray, tf: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of terms that occur `tf` times in documents of `size` tokens."""
+    return (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))).astype(np.float32)
+
+
+def idf_of(frequency: np.ndarray, documents: int) -> np.ndarray:
+    """Inverse document frequencies."""
+    return np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
+
+
+def counted(ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, how often) of documents' ids, in that order."""
+    pair = np.sort(np.repeat(np.arange(len(begin) - 1, dtype=np.uint64) << np.uint64(16), np.diff(begin)) | ids)
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    pair, tf = pair[first], np.diff(np.append(first, len(pair)))
+    return (pair >> np.uint64(16)).astype(np.int32), (pair & np.uint64(0xFFFF)).astype(np.uint16), tf
+
+
+class Places:
+    """Where documents lie on the line of all shards, from 0 to 1.
+
+    `tokens` are the tokens of all documents by their first term; a term's documents
+    take a stretch of that width. `large` are (first, second) terms whose
+    documents hold half a shard or more.
+    """
+
+    def __init__(self, tokens: np.ndarray, large: set[tuple[int, int]]):
+        share = tokens / max(1, tokens.sum())
+        self.width, self.base = share, np.cumsum(share) - share
+        self.large = np.array(sorted(a << 16 | b for a, b in large), np.int64)
+
+    def of(self, first: np.ndarray, second: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Places by the two terms, or by the document's hash in large groups."""
+        pair = first.astype(np.int64) << 16 | second
+        spread = np.isin(pair, self.large)
+        mixed = np.where(spread, common.mix64(own.astype(np.uint64)), common.mix64(second.astype(np.uint64) + np.uint64(1)))
+        return self.base[first] + self.width[first] * ((mixed >> np.uint64(11)) / float(1 << 53))
+
+
+def leading_terms(ids: np.ndarray, begin: np.ndarray, frequency: np.ndarray, documents: int, mean: float, least: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's heaviest and second heaviest common term; ties go by the smaller, END stands for none."""
+    common_ = frequency >= least * documents
+    common_[END] = False
+    n = len(begin) - 1
+    owner, size = np.repeat(np.arange(n), np.diff(begin)), np.diff(begin)
+    keep = common_[ids]
+    doc, term, tf = counted(ids[keep], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=n))]))
+    weight = weights_of(term, tf, size[doc], idf_of(frequency, documents), mean)
+    have, start = np.unique(doc, return_index=True)
+    out = []
+    for _ in range(2):
+        best = np.full(n, END)
+        if len(have):
+            top = np.zeros(n, np.float32)
+            top[have] = np.maximum.reduceat(weight, start)
+            at = np.minimum.reduceat(np.where((weight == top[doc]) & (weight > 0), term.astype(np.int32), 1 << 20), start)
+            best[have] = np.where(at < 1 << 20, at, END)
+        out.append(best)
+        weight = np.where(term == best[doc], 0, weight)
+    return out[0], out[1]
+
+
 class Index:
     """A BM25 inverted index of a shard's documents."""
 
@@ -188,13 +262,13 @@ class Index:
         size = np.array([len(d) for d in docs])
         chunk = np.cumsum(size) // CHUNK  # documents are counted some at a time, for memory
         doc, term, weight = [], [], []
-        idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
+        idf = idf_of(frequency, documents)
         for r in common.runs_of(chunk):
-            pair, tf = np.unique(np.repeat(np.arange(r.start, r.stop, dtype=np.uint64) << np.uint64(16), size[r]) | np.concatenate(docs[r]), return_counts=True)
-            at, own = (pair >> np.uint64(16)).astype(np.int32), (pair & np.uint64(0xFFFF)).astype(np.uint16)
+            at, own, tf = counted(np.concatenate(docs[r]), np.concatenate([[0], np.cumsum(size[r])]))
+            at = at + np.int32(r.start)
             doc.append(at)
             term.append(own)
-            weight.append((idf[own] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[at] / mean))).astype(np.float32))
+            weight.append(weights_of(own, tf, size[at], idf, mean))
         doc, term, weight = np.concatenate(doc), np.concatenate(term), np.concatenate(weight)
         self.doc_first = np.searchsorted(doc, np.arange(len(docs) + 1))
         self.doc_term, self.doc_weight = term, weight
@@ -203,56 +277,66 @@ class Index:
         self.first = np.searchsorted(term[order], np.arange(len(frequency) + 1))
         self.n = len(docs)
 
-    def scores(self, seed: int) -> np.ndarray:
-        """Scores of all documents for the seed's heaviest terms."""
+    def scores(self, seed: int, terms: int | None = QUERY_TERMS) -> np.ndarray:
+        """Scores of all documents for the seed's heaviest terms, or all of them."""
         lo, hi = self.doc_first[seed], self.doc_first[seed + 1]
         term, weight = self.doc_term[lo:hi], self.doc_weight[lo:hi]
-        if len(term) > QUERY_TERMS:
-            term = term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
+        if terms is not None and len(term) > terms:
+            term = term[np.argpartition(-weight, terms)[:terms]]
         parts = [slice(self.first[t], self.first[t + 1]) for t in term]
         doc = np.concatenate([self.doc[p] for p in parts])
         return np.bincount(doc, np.concatenate([self.weight[p] for p in parts]), self.n)
 
 
-def order_by_retrieval(sizes: np.ndarray, index: Index, length: int) -> list[int]:
+def ranked(score: np.ndarray):
+    """Documents of a positive score by falling score, then number; sorted as far as they are asked for."""
+    best = np.flatnonzero(score > 0)
+    done, step = 0, 32
+    while done < len(best):
+        take = min(len(best), done + step)
+        if take < len(best):  # everything above the next bound, ties included
+            bound = -np.partition(-score[best], take - 1)[take - 1]
+            some = best[score[best] >= bound]
+        else:
+            some = best
+        some = some[np.lexsort((some, -score[some]))]
+        yield from some[done:].tolist()
+        done, step = len(some), 4 * step
+
+
+def order_by_retrieval(sizes: np.ndarray, index: Index, length: int, terms: int | None = QUERY_TERMS) -> list[int]:
     """The shard's documents in the order they enter windows."""
     n = len(sizes)
     unused = np.ones(n, bool)
     out: list[int] = []
     room, at = length, 0
 
-    def put(d: int) -> None:
+    def put(d: int) -> bool:
+        """Whether the window is full with it."""
         nonlocal room
         unused[d] = False
         out.append(d)
-        room = length - (length - room + int(sizes[d])) % length
+        size = int(sizes[d])
+        full = size >= room
+        room = length - (length - room + size) % length
+        return full
 
     while True:
-        if room == length or not out:  # a new window starts with a document of its own
-            while at < n and not unused[at]:
-                at += 1
-            if at == n:
-                return out
-            put(at)
+        while at < n and not unused[at]:
+            at += 1
+        if at == n:
+            return out
+        if room == length and put(at):  # the window begins with a document of its own, which fills it
             continue
-        seed = out[-1]  # first of its window or cut by the window's start
-        score = index.scores(seed)
+        score = index.scores(out[-1], terms)  # the seed: first of its window, or cut by the window's start
         score[~unused] = 0
-        best = np.flatnonzero(score > 0)
-        if len(best) > 64:
-            best = best[np.argpartition(-score[best], 64)[:64]]
-        best = best[np.lexsort((best, -score[best]))]
-        if not len(best):
+        full = any(put(d) for d in ranked(score))
+        while not full:  # nothing unused is like the seed
             while at < n and not unused[at]:
                 at += 1
             if at == n:
                 return out
-            best = [at]
-        for d in best:
-            before = room
-            put(int(d))
-            if room == length or room > before:  # the window is full
-                break
+            full = put(at)
 
 
 def pieces_of(order: list[int], sizes: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
@@ -276,21 +360,22 @@ def pieces_of(order: list[int], sizes: np.ndarray, length: int) -> list[tuple[in
     return out
 
 
-def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: int = 49408) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: int = 49408, shard_tokens: int = SHARD_TOKENS, terms: int | None = QUERY_TERMS) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), ids_crc32, doc_tokens, sequence_id, offset.
 
     `tokenizer` is the path of a `word_bpe` file, on every machine. A null text
     counts as empty: its only id is the end. Rows are packed one by one, so
     repeated rows and null ids are no special case. An empty table gives an
-    empty one. Other columns are left out. `length` must be a power of two.
+    empty one. Other columns are left out. An id that is no integer counts as
+    null. `length` must be a power of two. `shard_tokens` bounds what a task
+    holds; `terms` is how many of a seed's terms are looked up (None: all).
     """
     if length & (length - 1) or vocabulary > 1 << 16:
         raise ValueError("length must be a power of two and ids fit in 16 bits")
     spark = docs.sparkSession
     common.ship(spark)
-    n = common.partitions(spark)
-    src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
-    src = src.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
+    src = docs.select(docs[f"`{id_col}`"].try_cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
+    src = src.withColumn("own", F.xxhash64("i", "t"))
 
     def tokenise(batches):
         encoder = WordTokenizer.of(tokenizer)
@@ -302,13 +387,13 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                 pair = common.distinct(np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(16), np.diff(begin)) | ids)
                 seen += np.bincount((pair & np.uint64(0xFFFF)).astype(np.int64), minlength=vocabulary)
                 raw = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("shard"), pa.array(np.diff(begin)), raw], ["i", "shard", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("own"), pa.array(np.diff(begin)), raw], ["i", "own", "n", "ids"])
         used = np.flatnonzero(seen)
         if len(used):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([pack(used.astype(np.int32), seen[used])], pa.binary())], ["i", "shard", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([pack(used.astype(np.int32), seen[used])], pa.binary())], ["i", "own", "n", "ids"])
 
-    held = common.checkpoint(src.mapInArrow(tokenise, "i long, shard int, n long, ids binary"))
-    tokens = held.where("shard >= 0")
+    held = common.checkpoint(src.mapInArrow(tokenise, "i long, own long, n long, ids binary"))
+    tokens = held.where("n >= 0")
 
     def count(batches):
         for batch in batches:
@@ -317,12 +402,37 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(k)], ["term", "n"])
 
     frequency = np.zeros(vocabulary, np.int64)
-    counts = held.where("shard < 0").select("ids").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n"))
+    counts = held.where("n < 0").select("ids").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n"))
     for term, k in counts.collect():  # at most one row an entry of the vocabulary
         frequency[term] = k
     documents, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     known = spark.sparkContext.broadcast(frequency)
     mean = max(1.0, total / max(1, documents))
+    n = max(1, -(-total // shard_tokens))
+
+    def lead(batches):
+        """The two leading terms of each document."""
+        for batch in batches:
+            for part in common.pieces(batch, "ids"):
+                buf, off = common.flat(part.column("ids"))
+                a, b = leading_terms(buf.view(np.uint16), off // 2, known.value, documents, mean)
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("own"), part.column("n"), pa.array(a, pa.int32()), pa.array(b, pa.int32()), part.column("ids")], ["i", "own", "n", "a", "b", "ids"])
+
+    led = tokens.mapInArrow(lead, "i long, own long, n long, a int, b int, ids binary")
+    if n > 1:
+        pairs = common.checkpoint(led.groupBy("a", "b").agg(F.sum("n").alias("n")))
+        by_term = np.zeros(vocabulary, np.int64)
+        for term, k in pairs.groupBy("a").agg(F.sum("n")).collect():  # at most one row an entry of the vocabulary
+            by_term[term] = k
+        large = {(r.a, r.b) for r in pairs.where(F.col("n") >= shard_tokens // 2).collect()}  # at most two a shard
+        places = spark.sparkContext.broadcast(Places(by_term, large))
+
+    def deal(batches):
+        for batch in batches:
+            a, b, own = (batch.column(c).to_numpy() for c in ("a", "b", "own"))
+            shard = np.minimum((places.value.of(a, b, own) * n).astype(np.int32), n - 1) if n > 1 else np.zeros(len(a), np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(shard), batch.column("ids")], ["i", "shard", "ids"])
+
     schema = pa.schema([("i", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def fill(batches):
@@ -339,7 +449,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         docs_ = [np.frombuffer(parcels[k], np.uint16) for k in place]
         del parcels
         sizes = np.array([len(d) for d in docs_])
-        order = order_by_retrieval(sizes, Index(docs_, known.value, documents, mean), length)
+        order = order_by_retrieval(sizes, Index(docs_, known.value, documents, mean), length, terms)
         out: list[tuple] = []
         for d, start, size, sequence, offset in pieces_of(order, sizes, length):
             raw = docs_[d][start : start + size].astype("<u4").tobytes()
@@ -351,5 +461,5 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     ddl = "i long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    out = tokens.select("i", "shard", "ids").repartitionById(n, F.col("shard")).mapInArrow(fill, ddl)
+    out = led.mapInArrow(deal, "i long, shard int, ids binary").repartitionById(n, F.col("shard")).mapInArrow(fill, ddl)
     return out.withColumnRenamed("i", id_col)

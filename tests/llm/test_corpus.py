@@ -149,3 +149,64 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == ids
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.select(F.sum("length")).first()[0] == last.select(F.sum("length")).first()[0]
+
+
+def test_documents_are_dealt_by_their_heaviest_common_terms():
+    rng = np.random.default_rng(1)
+    docs = [np.append(rng.integers(3, 40, rng.integers(0, 50)), 2).astype(np.uint16) for _ in range(60)]
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=64)
+    mean = np.mean([len(d) for d in docs])
+    begin = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    first, second = packing.leading_terms(np.concatenate(docs), begin, frequency, 60, mean, 0.3)
+    for d, a, b in zip(docs, first, second):
+        count = Counter(x for x in d.tolist() if x != 2 and frequency[x] >= 18)
+        weight = {t: np.float32(math.log1p((60 - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / mean))) for t, n in count.items()}
+        want = sorted(weight, key=lambda t: (-weight[t], t))[:2] + [2, 2]
+        assert [a, b] == want[:2]
+
+
+def test_large_groups_are_spread_and_others_stay_together():
+    places = packing.Places(np.array([0, 100, 300]), {(2, 7)})
+    own = np.arange(2000)
+    spread = places.of(np.full(2000, 2), np.full(2000, 7), own)
+    assert 0.25 <= spread.min() < 0.3 and spread.max() > 0.95 and len(set(places.of(np.full(9, 2), np.full(9, 8), own[:9]))) == 1
+    assert (places.of(np.full(9, 1), np.arange(9), own[:9]) < 0.25).all()
+
+
+def test_a_window_goes_on_down_the_seeds_ranking():
+    score = np.array([0.5, 3, 0, 2, 2, -1, 1] + [0.1] * 200)
+    want = [k for _, k in sorted((-x, k) for k, x in enumerate(score) if x > 0)]
+    assert list(packing.ranked(score)) == want
+    # one seed and many short neighbours: all come before the unlike document, however many there are
+    docs = [np.array([5, 6, 2], np.uint16)] * 120 + [np.array([9, 2], np.uint16)] + [np.array([5, 2], np.uint16)] * 40
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=16)
+    index = packing.Index(docs, frequency, len(docs), 3.0)
+    order = packing.order_by_retrieval(np.array([len(d) for d in docs]), index, 512)
+    assert order[-1] == 120 and sorted(order) == list(range(161))
+
+
+def test_order_by_hand():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(3, 30, rng.integers(1, 40)).astype(np.uint16) for _ in range(50)]
+    sizes = np.array([len(d) for d in docs])
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=30)
+    index = packing.Index(docs, frequency, 50, sizes.mean())
+    unused, want, place = set(range(50)), [], 0
+
+    def take(d):
+        nonlocal place
+        unused.discard(d)
+        want.append(d)
+        full = place % 128 + sizes[d] >= 128
+        place += int(sizes[d])
+        return full
+
+    while unused:
+        if place % 128 == 0 and take(min(unused)):
+            continue
+        score = index.scores(want[-1], None)
+        rank = sorted((d for d in unused if score[d] > 0), key=lambda d: (-score[d], d)) + sorted(d for d in unused if score[d] <= 0)
+        for d in rank:
+            if take(d):
+                break
+    assert packing.order_by_retrieval(sizes, index, 128, None) == want
