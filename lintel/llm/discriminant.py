@@ -6,8 +6,10 @@ logarithms, shares by a shifted logit. Training gathers for each class the numbe
 of documents, the sums and the sums of products, a bounded row for each task, and
 sums them by Spark; no row is sampled. Each class covariance is shrunk to the
 pooled one and to its diagonal, and its Cholesky factor is computed once on the
-driver and sent along. A document's score is the logistic of the difference of the
-two log densities, whose Mahalanobis terms solve against the cached factors.
+driver, inverted, and sent along. A document's score is the logistic of the
+difference of the two log densities, whose Mahalanobis terms are products with the
+cached inverse factors, divided by the softness that makes the learning rows
+likeliest.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ FIGURES = [
 CUT = 5.0
 #: Shares of the pooled covariance and of the diagonal in each class covariance.
 TO_POOLED, TO_DIAGONAL = 0.2, 0.2
-#: Log-density differences are divided by this before the logistic, or they would all round to 0 or 1.
+#: Log-density differences are divided by one of these before the logistic, or they would all round to 0 or 1; the first where nothing is fitted.
 SOFTNESS = 4.0
+SOFTNESSES = 2.0 ** np.arange(-4, 25, 0.5)
 
 
 def _class_table(chars: str | bytes) -> np.ndarray:
@@ -107,16 +110,19 @@ class Model:
     log_prior: np.ndarray
     mean: np.ndarray
     factor: np.ndarray
+    inverse: np.ndarray
+    softness: float = SOFTNESS
 
     @staticmethod
-    def fitted(n: np.ndarray, sums: np.ndarray, products: np.ndarray) -> Model | None:
+    def fitted(n: np.ndarray, sums: np.ndarray, products: np.ndarray, centre=None, scale=None) -> Model | None:
         """From each class's count, sums and sums of products; None without rows of both."""
         if min(n) < 2:
             return None
         d = sums.shape[1]
         total = n.sum()
-        centre = sums.sum(0) / total
-        scale = np.sqrt(np.maximum(np.diag(products.sum(0)) / total - centre**2, 1e-12))
+        if centre is None:
+            centre = sums.sum(0) / total
+            scale = np.sqrt(np.maximum(np.diag(products.sum(0)) / total - centre**2, 1e-12))
         mean = sums / n[:, None]
         own = products / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
         own /= scale[:, None] * scale[None, :]
@@ -126,16 +132,23 @@ class Model:
             s = (1 - TO_POOLED) * own[k] + TO_POOLED * pooled
             s = (1 - TO_DIAGONAL) * s + TO_DIAGONAL * np.diag(np.maximum(np.diag(s), 0.05))
             factor[k] = np.linalg.cholesky(s + 1e-6 * np.eye(d))
-        return Model(centre, scale, np.log(n / total), (mean - centre) / scale, factor)
+        return Model(centre, scale, np.log(n / total), (mean - centre) / scale, factor, np.tril(np.linalg.inv(factor)))
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of class 1, softened."""
-        z = np.clip((x - self.centre) / self.scale, -CUT, CUT)
-        density = []
+    def cut(self, x: np.ndarray) -> np.ndarray:
+        """Standardised figures, cut."""
+        return np.clip((x - self.centre) / self.scale, -CUT, CUT)
+
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """The log density of class 1 less that of class 0."""
+        z, density = self.cut(x), []
         for k in range(2):
-            away = np.linalg.solve(self.factor[k], (z - self.mean[k]).T)
+            away = self.inverse[k] @ (z - self.mean[k]).T
             density.append(self.log_prior[k] - np.log(np.diag(self.factor[k])).sum() - 0.5 * (away**2).sum(0))
-        return 1 / (1 + np.exp(np.clip((density[0] - density[1]) / SOFTNESS, -700, 700)))
+        return density[1] - density[0]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of class 1, softened."""
+        return 1 / (1 + np.exp(np.clip(-self.difference(x) / self.softness, -700, 700)))
 
 
 def with_figures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -147,33 +160,51 @@ def with_figures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 x = figures_of(part.column("t"))
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array([v.tobytes() for v in x], pa.binary())], ["i", "x"])
 
-    return docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text}`"].cast("string").alias("t")).mapInArrow(run, "i long, x binary")
+    return docs.select(docs[f"`{id_col}`"].try_cast("long").alias("i"), docs[f"`{text}`"].cast("string").alias("t")).mapInArrow(run, "i long, x binary")
 
 
 def fit(figures: DataFrame, labels: DataFrame) -> Model | None:
-    """The model of all `labels` (i, y) rows that have figures; y is 0 or 1, one row an id."""
+    """The model of all `labels` (i, y) rows that have figures; y is 0 or 1, one row an id.
+
+    Three passes over the labelled rows, each of which sums a fixed number of
+    figures: means and spreads; the moments of the figures as they are scored, cut;
+    the loss of each softness.
+    """
     d = len(FIGURES)
+    joined = common.checkpoint(figures.join(labels, "i").select("x", "y"))
 
-    def moments(batches):
-        n, sums, products = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float64).reshape(-1, d)
-            y = batch.column("y").to_numpy()
-            for k in range(2):
-                own = x[y == k]
-                n[k] += len(own)
-                sums[k] += own.sum(0)
-                products[k] += own.T @ own
-        flat = np.concatenate([n, sums.ravel(), products.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["at", "v"])
-
-    joined = figures.join(labels, "i").select("x", "y").mapInArrow(moments, "at int, v double")
-    flat = np.zeros(2 + 2 * d + 2 * d * d)
-    for at, v in joined.groupBy("at").agg(F.sum("v")).collect():  # a fixed number of rows
-        flat[at] = v
-    return Model.fitted(flat[:2], flat[2 : 2 + 2 * d].reshape(2, d), flat[2 + 2 * d :].reshape(2, d, d))
+    def summed(of, size: int) -> np.ndarray:
+        def run(batches):
+            flat = np.zeros(size)
+            for batch in batches:
+                if batch.num_rows:
+                    flat += of(np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float64).reshape(-1, d), batch.column("y").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(flat)], ["at", "v"])
+
+        out = np.zeros(size)
+        for at, v in joined.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v")).collect():  # a fixed number of rows
+            out[at] = v
+        return out
+
+    def moments(x, y):
+        own = [x[y == k] for k in range(2)]
+        return np.concatenate([[len(v) for v in own], *(v.sum(0) for v in own), *((v.T @ v).ravel() for v in own)])
+
+    def parts(flat):
+        return flat[:2], flat[2 : 2 + 2 * d].reshape(2, d), flat[2 + 2 * d :].reshape(2, d, d)
+
+    size = 2 + 2 * d + 2 * d * d
+    rough = Model.fitted(*parts(summed(moments, size)))
+    if rough is None:
+        return None
+    model = Model.fitted(*parts(summed(lambda x, y: moments(rough.centre + rough.cut(x) * rough.scale, y), size)), rough.centre, rough.scale)
+
+    def losses(x, y):
+        margin = np.where(y == 1, 1, -1) * model.difference(x)
+        return np.logaddexp(0, -margin[:, None] / SOFTNESSES).sum(0)
+
+    model.softness = float(SOFTNESSES[np.argmin(summed(losses, len(SOFTNESSES)))])
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -183,12 +214,12 @@ def scored(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", te
     `i` saying which of them to learn from. Labels that are null or neither 0 nor
     1 and ids that are null are not learnt from; an id labelled more than once
     counts once, with its lowest label; rows that repeat an id are all learnt
-    from. A null text counts as empty. Without two rows of each class all scores
+    from. An id that is no integer counts as null. A null text counts as empty. Without two rows of each class all scores
     are 0.5. An empty table gives an empty one. Other columns are left out.
     """
     common.ship(docs.sparkSession)
     figures = common.checkpoint(with_figures(docs, id_col, text))
-    y = labels.select(labels[f"`{id_col}`"].cast("long").alias("i"), labels[f"`{label}`"].cast("int").alias("y"))
+    y = labels.select(labels[f"`{id_col}`"].try_cast("long").alias("i"), labels[f"`{label}`"].cast("int").alias("y"))
     y = y.where("i IS NOT NULL AND y IN (0, 1)").where(learn).groupBy("i").agg(F.min("y").alias("y"))
     model = fit(figures, y)
 

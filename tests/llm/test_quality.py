@@ -1,9 +1,11 @@
 """Repetition rules and the classifier."""
 
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,27 @@ def test_discriminant_densities():
     assert np.isclose(m.scores(x[1][:1])[0], 1 / (1 + np.exp((by_hand[0] - by_hand[1]) / discriminant.SOFTNESS)))
 
 
+def test_figures_by_hand():
+    texts = ["One two THREE!! 44, four. five\none two\n\none two", "", None, "Ää #x|y extraordinarily", "a b c a b c a b c"]
+    share = lambda part, whole: math.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+    for t, row in zip(texts, discriminant.figures_of(pa.array(texts))):
+        t = t or ""
+        words, raw, lines = brute.WORD.findall(t), t.encode(), t.split("\n")
+        size = [len(w) for w in words]
+        mean = sum(size) / max(1, len(words))
+        letters = sum(c.isascii() and c.isalpha() for c in t)
+        among = lambda chars: sum(t.count(c) for c in chars)
+        real = [x for x in lines if brute.WORD.search(x)]
+        want = {
+            "words": math.log1p(len(words)), "word_length": math.log1p(mean), "word_spread": math.log1p(math.sqrt(max(0, sum(n * n for n in size) / max(1, len(words)) - mean**2))),
+            "symbols": share(among(repetition.SYMBOLS), len(raw)), "capitals": share(sum(c.isascii() and c.isupper() for c in t), letters), "digits": share(among("0123456789"), len(raw)), "stops": share(among(".,;:"), len(raw)), "shouts": share(among("!?"), len(raw)),
+            "other_marks": share(among("\"'()[]{}/\\@^_`~+=-"), len(raw)), "accents": share(sum(194 <= b < 245 for b in raw), len(raw)), "repeated_windows": share(brute.covered(words, 3), len(words)), "covered": share(brute.covered(words, 8), len(words)),
+            "repeated_lines": share(len(real) - len(set(real)), len(lines)), "distinct_words": share(len(set(words)), len(words)), "distinct_letters": math.log1p(len(set(raw))), "line_words": math.log1p(len(words) / len(lines)), "line_ends": share(t.count(".\n"), len(lines)),
+            "capital_words": share(sum("A" <= w[0] <= "Z" for w in words), len(words)), "short_words": share(sum(n <= 3 for n in size), len(words)), "long_words": share(sum(n >= 12 for n in size), len(words)),
+        }
+        assert dict(zip(discriminant.FIGURES, row)) == pytest.approx(want), t
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 1), (2, 1), (3, None), (None, 0), (4, 7)]])
 def test_discriminant_without_two_classes(spark, labels):
     df = brute.messy(spark, [(1, "a b"), (2, None), (3, ""), (None, "x" * 100_000)])
