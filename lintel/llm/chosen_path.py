@@ -1,22 +1,26 @@
 """Jaccard join of word shingles by chosen paths.
 
 Texts with equal shingle sets form one class from the start. Of each class one
-set goes through several independent runs. A run splits a set over a tree: at a
-node of the tree each of the set's tokens is chosen when its hash, seeded by the
-path to the node, is below 1 / (threshold x size). Two sets with the wanted
-similarity share a chosen token once per node on average or more, so a path they
-share survives DEPTH levels in a fixed part of the runs, while sets without
-common tokens part at once. Sets that meet at a leaf of the tree are compared; a
-leaf is a bucket of one shuffle.
-
-In a bucket, sketches of 256 one-bit min-hashes are compared by brute force. Larger
-buckets are walked set by set, each against those not yet reached, so that a
-bucket of near copies costs a few passes and gives a spanning tree of links
-instead of all pairs. The components of these links are candidate groups, small
-supersets of the true ones. Each group's texts are brought together once and
-compared exactly, in blocks of bounded size: a group above one block is dealt as
-pairs of blocks. That yields exact link counts and, again, spanning trees, whose
-components are the classes of the result.
+set goes through several independent runs, as many as the wanted recall takes. A
+run splits a set over a tree: at a node of the tree each of the set's tokens is
+chosen when its hash, seeded by the path to the node, is below 1 / (threshold x
+size). Two sets with the wanted similarity share a chosen token once per node on
+average or more, so a path they share survives a number of levels in a known part
+of the runs, while sets without common tokens part at once.
+
+All sets are split DEPTH times; sets that meet at a node are a bucket there. In a
+bucket, sketches of 256 one-bit min-hashes are compared by brute force, set by set,
+each against those not yet reached, so that a bucket of near copies costs a few
+passes and gives a spanning tree of links instead of all pairs. A bucket that is
+not done after EFFORT comparisons a set is a large one of unlike sets: what is left
+of it is split again, level by level, until its buckets are small; at LAST levels
+they are compared by pairs of chunks, each in a task of its own.
+
+The components of the links are candidate groups, small supersets of the true
+ones. Each group's texts are brought together once and compared exactly, in blocks
+of bounded size: a group above one block is dealt as pairs of blocks, each on its
+own. That yields exact link counts and, again, spanning trees, whose components are
+the classes of the result.
 
 Hashes are 64 bits wide, so that at n distinct shingles equal hashes of unequal
 ones are expected n^2 / 2^65 times.
@@ -25,6 +29,7 @@ ones are expected n^2 / 2^65 times.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,12 +39,15 @@ from pyspark.sql import functions as F
 
 from lintel.llm import common
 from lintel.llm.common import mix64, pack, unpack
-from lintel.llm.components import components, star_batch
+from lintel.llm.components import components, spanning_stars
 
 WORDS = 5
 THRESHOLD = 0.8
-DEPTH = 3
-RUNS = 12
+DEPTH, LAST = 3, 8
+#: The chance to bring a pair at the threshold together that the number of runs is for.
+RECALL = 0.995
+#: Comparisons for each set of a bucket before it is split again.
+EFFORT = 64
 #: Agreeing bits of 256 that make a pair a candidate: 4.5 deviations below what similarity 0.8 gives.
 SKETCH_WORDS, SKETCH_LEAST = 4, 202
 #: Texts in a block of exact comparison.
@@ -64,6 +72,9 @@ def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = DEPTH) ->
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth)))
 
 
+RUNS = runs_for(RECALL)
+
+
 def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, text of each), by text and ascending.
 
@@ -126,46 +137,63 @@ def sketches(token: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def paths_of(token: np.ndarray, row: np.ndarray, n: int, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray]:
-    """(set, leaf) of each path that each set takes in all runs; a leaf is a 64-bit hash."""
-    at = _starts(row, n)
-    size = np.diff(at)
-    limit = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+def _limits(size: np.ndarray) -> np.ndarray:
+    """Up to which hash a token of a set of each size is chosen."""
+    limit = np.full(len(size), np.iinfo(np.uint64).max, np.uint64)
     many = size > 1
     limit[many] = (2.0**64 / np.maximum(THRESHOLD * size[many], 1.0000001)).astype(np.uint64)
-    owners, leaves = [], []
+    return limit
+
+
+def split(token: np.ndarray, at: np.ndarray, owner: np.ndarray, path: np.ndarray, depth) -> tuple[np.ndarray, np.ndarray]:
+    """(set, path) one level below each (set, path); `at` has where the sets' tokens begin, `depth` the level they are at."""
+    size = np.diff(at)
+    limit = _limits(size)
+    count = size[owner]
+    which = np.repeat(np.arange(len(owner)), count)
+    t = token[np.arange(len(which)) - np.repeat(np.cumsum(count) - count - at[owner], count)]
+    chosen = mix64(t ^ path[which]) <= limit[owner][which]
+    t, which = t[chosen], which[chosen]
+    level = np.broadcast_to(np.asarray(depth, np.uint64) + np.uint64(1), len(owner))[which]
+    return owner[which], mix64((path[which] + level) ^ t * _MULT[2])
+
+
+def paths_of(token: np.ndarray, row: np.ndarray, n: int, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray]:
+    """(set, path) of each path of DEPTH levels that each set takes in all runs; a path is a 64-bit hash."""
+    at = _starts(row, n)
+    owners, paths = [], []
     for r in range(runs):
-        owner = np.flatnonzero(size)
+        owner = np.flatnonzero(np.diff(at))
         path = np.full(len(owner), int(_MULT[40 + r]), np.uint64)
         for depth in range(DEPTH):
-            count = size[owner]
-            which = np.repeat(np.arange(len(owner)), count)
-            t = token[np.arange(len(which)) - np.repeat(np.cumsum(count) - count - at[owner], count)]
-            chosen = mix64(t ^ path[which]) <= limit[owner][which]
-            t, which = t[chosen], which[chosen]
-            path = mix64((path[which] + np.uint64(depth + 1)) ^ t * _MULT[2])
-            owner = owner[which]
+            owner, path = split(token, at, owner, path, depth)
         owners.append(owner)
-        leaves.append(path)
-    return np.concatenate(owners), np.concatenate(leaves)
+        paths.append(path)
+    return np.concatenate(owners), np.concatenate(paths)
 
 
-def bucket_links(sketch: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a bucket whose sketches agree enough.
+def bucket_links(sketch: np.ndarray, effort: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(a spanning forest of the pairs of a bucket whose sketches agree enough, sets that are not done).
 
-    Each set reached is compared with all not yet reached, as one matrix row.
+    Each set reached is compared with all not yet reached, as one matrix row. With
+    `effort`, the walk ends after so many comparisons for each set; those whose
+    pairs were not all compared are handed back.
     """
-    links, left = [], np.arange(len(sketch))
+    links, left, done = [], np.arange(len(sketch)), 0
+    most = None if effort is None else effort * len(sketch)
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
+            if most is not None and done > most:
+                return links, np.concatenate([left, np.array(queue, np.int64)])
             x = queue.pop()
+            done += len(left)
             same = 64 * SKETCH_WORDS - np.bitwise_count(sketch[left] ^ sketch[x]).sum(1, dtype=np.int64)
             near = same >= SKETCH_LEAST
             links += [(x, int(y)) for y in left[near]]
             queue += left[near].tolist()
             left = left[~near]
-    return links
+    return links, np.zeros(0, np.int64)
 
 
 def _sparse_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -235,12 +263,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run
     least this similarity to the row. Texts without a word (null, empty, blank) are
     linked to nothing. Rows without an id are left out. Rows of one id and unlike
     texts get rows of their own, in the class of the rows of that id, if their
-    classes meet. An empty table gives an empty one. Other columns are left out.
+    classes meet. An id that is no integer counts as missing. An empty table gives
+    an empty one. Other columns are left out.
     """
     spark = docs.sparkSession
     common.ship(spark)
     n = common.partitions(spark)
-    src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t")).where("i IS NOT NULL")
+    src = docs.select(docs[f"`{id_col}`"].try_cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t")).where("i IS NOT NULL")
 
     def set_keys(batches):
         for batch in batches:
@@ -255,70 +284,126 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run
     # an id may stand for several classes when it comes with several texts: the set hash is the node
     first = src.join(classes.select(F.col("rep").alias("i")).distinct(), "i", "left_semi")
 
-    parcels = pa.schema([("kind", pa.int32()), ("to", pa.int32()), ("parcel", pa.binary())])
-    ddl = "kind int, to int, parcel binary"
+    LINKS, AGAIN, CHUNKS = range(3)
 
-    def batch_of(rows):
-        columns = zip(*rows) if rows else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, parcels.types)], schema=parcels)
+    def to_nodes(names, bits, owner, path, depth: int) -> pa.RecordBatch:
+        """Sets and the nodes they are at, by the node's shard; a set's sketch goes once to a shard."""
+        shard = (mix64(path) % np.uint64(n)).astype(np.uint32)
+        order = np.lexsort((owner, shard))
+        out = []
+        for r in common.runs_of(shard[order]):
+            part = order[r]
+            which, place = np.unique(owner[part], return_inverse=True)
+            out.append((depth, int(shard[part[0]]), pack(names[which], bits[which], place.reshape(-1).astype(np.uint32), path[part])))
+        return common.parcel_batch(out)
 
     def leaves(batches):
         node, held, sk = [], [], []
-
-        def send():
-            owner, leaf = (np.concatenate([h[k] for h in held]) for k in range(2))
-            names, bits = np.concatenate(node), np.concatenate(sk)
-            shard = (mix64(leaf) % np.uint64(n)).astype(np.uint32)
-            order = np.lexsort((owner, shard))
-            out = []
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                which, place = np.unique(owner[part], return_inverse=True)
-                out.append((0, int(shard[part[0]]), pack(names[which], bits[which], place.astype(np.uint32), leaf[part])))
-            return batch_of(out)
-
         base = 0
         for batch in batches:
             for part in common.pieces(batch, "t"):
                 token, row = shingles_of(part.column("t"))
                 rows = part.num_rows
-                owner, leaf = paths_of(token, row, rows, runs)
+                owner, path = paths_of(token, row, rows, runs)
                 node.append(set_hash(token, row, rows)[:, 0].copy())
                 sk.append(sketches(token, row, rows))
-                held.append((owner + base, leaf))
+                held.append((owner + base, path))
                 base += rows
                 if base > 50_000:
-                    yield send()
+                    yield to_nodes(np.concatenate(node), np.concatenate(sk), *(np.concatenate([h[k] for h in held]) for k in range(2)), DEPTH)
                     node, held, sk, base = [], [], [], 0
         if base and sum(len(h[0]) for h in held):
-            yield send()
+            yield to_nodes(np.concatenate(node), np.concatenate(sk), *(np.concatenate([h[k] for h in held]) for k in range(2)), DEPTH)
 
     def meet(batches):
-        got = [unpack(p) for batch in batches for p in batch.column("parcel").to_pylist()]
+        """Links as parcels of stars; sets of buckets that must be split again; chunks of those that cannot."""
+        got, depth = [], DEPTH
+        for batch in batches:
+            for kind, p in zip(batch.column("kind").to_pylist(), batch.column("parcel").to_pylist()):
+                got.append(unpack(p))
+                depth = kind
         if not got:
             return
         base = np.cumsum([0, *(len(g[0]) for g in got)])
         names, bits = (np.concatenate([g[k] for g in got]) for k in range(2))
         owner = np.concatenate([g[2].astype(np.int64) + b for g, b in zip(got, base)])
-        leaf = np.concatenate([g[3] for g in got])
-        order = np.lexsort((names[owner], leaf))
-        owner, leaf = owner[order], leaf[order]
-        first = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
-        size = np.diff(np.append(first, len(leaf)))
-        links, done = set(), set()
-        for at, m in zip(first[size > 1], size[size > 1]):
+        path = np.concatenate([g[3] for g in got])
+        order = np.lexsort((names[owner], path))
+        owner, path = owner[order], path[order]
+        first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        size = np.diff(np.append(first, len(path)))
+        u, v, done = [], [], set()
+        for at, m in zip(first[size > 1].tolist(), size[size > 1].tolist()):
             members = np.unique(names[owner[at : at + m]], return_index=True)
             if len(members[0]) < 2:
                 continue
-            mark = members[0].tobytes()
-            if mark in done:  # the same sets met at another leaf
+            mark = hash(members[0].tobytes())
+            if (mark, len(members[0])) in done:  # the same sets met at another node
                 continue
-            done.add(mark)
+            done.add((mark, len(members[0])))
             own = owner[at : at + m][members[1]]
-            links.update((int(names[own[x]]), int(names[own[y]])) for x, y in bucket_links(bits[own]))
-        yield star_batch(links)
+            links, rest = bucket_links(bits[own], EFFORT)
+            u += [names[own[x]] for x, _ in links]
+            v += [names[own[y]] for _, y in links]
+            if len(rest) and depth < LAST:
+                yield common.parcel_batch([(AGAIN, depth, pack(names[own[rest]], np.full(len(rest), path[at])))])
+            elif len(rest):
+                own = own[rest]
+                parts = [own[k : k + block] for k in range(0, len(own), block)]
+                for x in range(len(parts)):
+                    for y in range(x, len(parts)):
+                        both = parts[x] if x == y else np.concatenate([parts[x], parts[y]])
+                        to = int(mix64(path[at : at + 1] + np.uint64(65537 * x + y))[0] % np.uint64(n))
+                        yield common.parcel_batch([(CHUNKS, to, pack(names[both], bits[both]))])
+        x, y = spanning_stars(np.array(u, np.int64), np.array(v, np.int64))
+        yield common.parcel_batch([(LINKS, 0, pack(x, y))])
+
+    def meet_chunks(batches):
+        for batch in batches:
+            for p in batch.column("parcel").to_pylist():
+                names, bits = unpack(p)
+                links, _ = bucket_links(bits)
+                u, v = (np.array([names[link[k]] for link in links], np.int64) for k in range(2))
+                yield common.parcel_batch([(LINKS, 0, pack(*spanning_stars(u, v)))])
+
+    def nodes(batches):
+        for batch in batches:
+            for p in batch.column("parcel").to_pylist():
+                name, path = unpack(p)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(path.view(np.int64))], ["h1", "path"])
+
+    def deeper(batches, depth: int):
+        """The next level of the nodes that sets are asked to leave."""
+        for batch in batches:
+            for part in common.pieces(batch, "t"):
+                token, row = shingles_of(part.column("t"))
+                rows = part.num_rows
+                asked = part.column("paths").combine_chunks() if isinstance(part.column("paths"), pa.ChunkedArray) else part.column("paths")
+                owner = np.repeat(np.arange(rows), np.diff(np.asarray(asked.offsets)))
+                path = asked.flatten().to_numpy().view(np.uint64)
+                owner, path = split(token, _starts(row, rows), owner, path, depth)
+                if len(owner):
+                    yield to_nodes(set_hash(token, row, rows)[:, 0].copy(), sketches(token, row, rows), owner, path, depth + 1)
+
+    level = first.mapInArrow(leaves, common.PARCEL_DDL)
+    met = None
+    for depth in range(DEPTH, LAST + 1):
+        now = common.checkpoint(level.repartitionById(n, F.col("to")).mapInArrow(meet, common.PARCEL_DDL))
+        met = now if met is None else met.unionByName(now)
+        again = now.where(F.col("kind") == AGAIN)
+        if depth == LAST or again.isEmpty():
+            break
+        asked = again.mapInArrow(nodes, "h1 long, path long").join(classes.select("h1", "rep"), "h1").groupBy("rep").agg(F.collect_set("path").alias("paths"))
+        level = src.join(asked, src["i"] == asked["rep"]).select("t", "paths").mapInArrow(partial(deeper, depth=depth), common.PARCEL_DDL)
+    chunks = met.where(F.col("kind") == CHUNKS).repartitionById(n, F.col("to")).mapInArrow(meet_chunks, common.PARCEL_DDL)
+
+    def as_rows(batches):
+        for batch in batches:
+            for p in batch.column("parcel").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(p)], ["u", "v"])
 
-    met = first.mapInArrow(leaves, ddl).repartitionById(n, F.col("to")).mapInArrow(meet, "u long, v long")
-    groups = components(met)  # of set hashes
+    links = met.where(F.col("kind") == LINKS).unionByName(chunks).mapInArrow(as_rows, "u long, v long")
+    groups = components(links)  # of set hashes
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     held = classes.join(groups, classes["h1"] == groups["node"]).select("root", "h1", "rep", "members")
     held = common.checkpoint(held)
@@ -326,12 +411,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run
     sizes = held.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
     dealt = held.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    to_pairs = dealt.select("root", "h1", "rep", "members", "part", other.alias("with"))
-    to_pairs = to_pairs.select("root", "h1", "rep", "members", "part", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"))
+    to_pairs = dealt.select("root", "h1", "rep", "members", "part", "blocks", other.alias("with"))
+    to_pairs = to_pairs.select("root", "h1", "rep", "members", "part", "blocks", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"))
     # one text of each class, then to every pair of blocks its block is in
     texts = src.join(held.select(F.col("rep").alias("i")).distinct(), "i", "left_semi")
-    brought = to_pairs.join(texts, to_pairs["rep"] == texts["i"]).select("root", "x", "y", "part", "h1", "members", "t")
-    blocks = brought.withColumn("g", F.xxhash64("root", "x", "y")).withColumn("g", F.pmod("g", F.lit(8 * n)).cast("int"))
+    brought = to_pairs.join(texts, to_pairs["rep"] == texts["i"]).select("root", "x", "y", "part", "blocks", "h1", "members", "t")
+    # groups of one block are gathered in bins, a pair of blocks of a larger one stands alone
+    bin_ = F.pmod(F.xxhash64("root"), F.lit(8 * n))
+    blocks = brought.withColumn("g", F.when(F.col("blocks") == 1, bin_).otherwise(F.xxhash64("root", "x", "y").bitwiseOR(F.lit(1 << 62)))).drop("blocks")
 
     def compare(table: pa.Table) -> pa.Table:
         """All block pairs of a bin: exact links as counts, and a spanning forest."""

@@ -66,7 +66,7 @@ def op5_layout_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.near_groups(read_table(spark, sf_dir, "documents"))
+    return chosen_path.near_groups(read_table(spark, sf_dir, "documents"), runs=chosen_path.runs_for(0.995))
 
 
 #: Domains by source, and the weights of the mixture. What the lists do not name goes by "other".
