@@ -16,6 +16,7 @@ import ctypes
 import gc
 import os
 import pickle
+import sys
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -49,7 +50,8 @@ def _return_memory() -> None:
         libc.mallopt(m_trim_threshold, 64 << 20)
 
 
-_return_memory()
+if "pyspark.worker" in sys.modules:  # in executors' Python processes only
+    _return_memory()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +102,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
     return sc._jsc.sc().getCheckpointDir().get()
 
 

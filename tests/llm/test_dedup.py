@@ -61,6 +61,31 @@ def test_blocks_of_a_large_group(spark):
     assert sorted(got) == sorted(brute.near_groups(rows))
 
 
+def test_large_buckets_are_split_until_they_are_small(spark, monkeypatch):
+    # a common head and tail with an own middle: unlike texts that share many tokens, and near copies among them
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):
+        own = [f"o{k}x{j}" for j in range(12)]
+        rows.append((k, " ".join([f"h{j}" for j in range(12)] + own)))
+        if k % 5 == 0:
+            rows.append((1000 + k, " ".join([f"h{j}" for j in range(12)] + own + ["more"])))
+    want = sorted(brute.near_groups(rows))
+    for effort, last in ((1, 8), (1, 4), (0, 3)):
+        monkeypatch.setattr(chosen_path, "EFFORT", effort)
+        monkeypatch.setattr(chosen_path, "LAST", last)
+        got = [(r.doc_id, r.class_id, r.n_links) for r in chosen_path.near_groups(brute.messy(spark, rows), block=20).collect()]
+        assert sorted(got) == want
+
+
+def test_a_bucket_hands_back_what_it_did_not_compare():
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(0, 1 << 63, (60, 4)).astype(np.uint64)
+    links, rest = chosen_path.bucket_links(sketch, 2)
+    assert not links and 0 < len(rest) < 60 and chosen_path.bucket_links(np.repeat(sketch[:1], 60, 0), 2)[1].size == 0
+    assert len(chosen_path.bucket_links(np.repeat(sketch[:1], 60, 0))[0]) == 59
+
+
 def test_one_of_each(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words"), (None, "a b c d e f"), (4, None), (5, None)]
     df = brute.messy(spark, rows)
@@ -97,10 +122,23 @@ def test_components(spark):
 def test_edit_distance():
     rng = random.Random(6)
     for _ in range(400):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 30))) for _ in range(2))
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 90))) for _ in range(2))
         if rng.random() < 0.5:
             b = a[:10] + b[:3] + a[10:]
-        assert fuzzy_lines.edit_distance(a, b) == brute.levenshtein(a, b)
+        far = brute.levenshtein(a, b)
+        assert fuzzy_lines.edit_distance(a, b) == far
+        assert all((fuzzy_lines.edit_distance(a, b, most) <= most) == (far <= most) for most in (0, 3, 8))
+
+
+def test_most_edits_are_never_too_few():
+    rng = random.Random(8)
+    for _ in range(600):
+        a = [rng.choice(["ab", "c", "abc", "dd", ""]) for _ in range(rng.randrange(1, 14))]
+        b = [w for w in a if rng.random() < 0.85]
+        for _ in range(rng.randrange(0, 3)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice(["x", "ab"]))
+        a, b = " ".join(a), " ".join(b)
+        assert fuzzy_lines.most_edits(a, b) >= brute.levenshtein(a, b)
 
 
 def test_simhash_counts_by_bits():
