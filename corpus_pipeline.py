@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage's rows are written as Parquet and read by the next."""
+"""A corpus pipeline: each stage's rows are written as Parquet and read by the next.
+
+Every stage takes any table with the columns of documents. A null text goes with
+the quality rules, like an empty one; rows without an id, repeated rows and nulls
+in other columns are no special case; other columns pass through, whatever they are
+called; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -55,11 +61,18 @@ STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_d
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's output lies in the shared folder."""
+    """All stages over `documents`; the last one's output lies in the shared folder, the others' go once they are read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}_{name}")
         docs = spark.read.parquet(f"{base}/{k}_{name}")
+        if k:
+            _remove(spark, f"{base}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
