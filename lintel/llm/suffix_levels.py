@@ -4,23 +4,27 @@ Every byte covered by a 50-byte string that also starts in a document with a
 smaller id is removed. Matches are found on a *sparse* suffix array: of each
 27 consecutive positions the one whose 24-byte gram hashes least is an anchor,
 so any 50 equal bytes hold the same anchor at the same place, and only about one
-suffix in 14 is indexed. An anchor is described by a hash of its gram and a hash
-of its surroundings, the 26 bytes before it to the 50 after its start: all
-50-byte strings through the gram lie in there. Arrays are ordered by these hashes
-instead of by the bytes, which keeps equal strings adjacent, all that matching
-50 bytes needs, at 11 bytes a suffix.
+suffix in 14 is indexed. All 50-byte strings through an anchor's gram lie in its
+surroundings, the 26 bytes before it to the 50 after its start.
 
 Anchors are dealt by gram to shards. A shard takes them in batches of ascending
 document id: a batch gets its sorted array, is scanned against the levels there
 are, and joins them; two levels of one size merge into the next, so n batches
-leave at most log2(n) + 1 levels. Equal surroundings in a level mean the whole
-neighbourhood occurs in a smaller id and is removed. Anchors whose gram recurs
-with other surroundings, at the edges of shared passages, go back to their
-documents for their bytes, and each 50-byte string through the gram is compared
-by its own hash and the smallest id that has it.
-
-Rounds: texts to anchors; anchors to shards; unsettled anchors to texts and
-back; all spans to texts. Texts are moved once in each of the last two.
+leave at most log2(n) + 1 levels. Arrays hold 40 bits of the gram's hash instead of
+its bytes: their scan only says which grams may recur in several documents.
+
+What is removed is decided on bytes. Anchors whose grams recur go back to their
+documents for their surroundings, and these are compared: equal ones are removed
+from all but the smallest id, and of those that differ each 50-byte string is
+compared by itself. Bytes are grouped by hashes and then checked against their
+group's first; where a hash puts unlike bytes together they are sorted instead.
+
+Before anything is sent, equal surroundings that a task or a block holds are
+compared among themselves, and only those of the smallest id go on, so that a
+passage in a third of all documents is sent by each task once.
+
+Rounds: texts to anchors; anchors to shards; recurring anchors to texts and back;
+all spans to texts. Texts are moved once in each of the last two.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ BEFORE = LENGTH - GRAM  # bytes before an anchor that a match through it can rea
 WIDE = BEFORE + LENGTH
 _MULT = mix64(np.arange(1, 24, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Anchors gathered by a task before it sends a parcel to each shard.
-FLUSH = 800_000
+FLUSH = 300_000
 
 
 def _words_at(buf: np.ndarray, n: int) -> np.ndarray:
@@ -55,11 +59,11 @@ def _words_at(buf: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def anchors_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, gram hash, surroundings hash) of the anchors of texts laid end to end."""
+def anchors_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, gram hash) of the anchors of texts laid end to end."""
     n = len(buf)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     w = _words_at(buf, n + 24)
     h = w[:n] * _MULT[0]
     h += w[8 : n + 8] * _MULT[1]
@@ -83,25 +87,19 @@ def anchors_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     k = SPAN - 16
     x = np.maximum(x[:-k], x[k:])
     at = np.flatnonzero(x == h)
-    row = np.searchsorted(off, at, side="right") - 1
-    return at, mix64(h[at]), surroundings(buf, at, off[row], off[row + 1])[1]
+    return at, mix64(h[at])
 
 
-def surroundings(buf: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes around anchors, zero outside the text, and a hash of them and of their extent."""
-    padded = np.zeros(len(buf) + BEFORE + 80, np.uint8)
+def surroundings(buf: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the WIDE bytes around anchors, zero outside the text, how far the text reaches to the left, and to the right)."""
+    padded = np.zeros(len(buf) + WIDE, np.uint8)
     padded[BEFORE : BEFORE + len(buf)] = buf
-    around = np.lib.stride_tricks.sliding_window_view(padded, 80)[at].copy()
-    around[:, WIDE:] = 0
+    around = np.lib.stride_tricks.sliding_window_view(padded, WIDE)[at].copy()
     left, right = np.minimum(BEFORE, at - start), np.minimum(LENGTH, end - at)
     cut = np.flatnonzero((left < BEFORE) | (right < LENGTH))
-    place = np.arange(80)[None, :] - BEFORE
+    place = np.arange(WIDE)[None, :] - BEFORE
     around[cut] *= ((place >= -left[cut, None]) & (place < right[cut, None])).astype(np.uint8)
-    v = around.view("<u8")
-    h = left.astype(np.uint64) * _MULT[10] + right.astype(np.uint64) * _MULT[11]
-    for k in range(10):
-        h += v[:, k] * _MULT[k]
-    return around, mix64(h)
+    return around, left.astype(np.uint8), right.astype(np.uint8)
 
 
 def _grouped(order: np.ndarray, key: np.ndarray):
@@ -121,6 +119,46 @@ def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[first], np.diff(np.append(first, len(row)))
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rows of bytes."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    v, h = wide.view("<u8"), np.zeros(len(rows), np.uint64)
+    for k in range(v.shape[1]):
+        h += v[:, k] * _MULT[k]
+    return mix64(h)
+
+
+def row_codes(rows: np.ndarray) -> np.ndarray:
+    """Equal integers for equal rows of bytes, unequal ones for others; by hash, checked on the bytes."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    h = row_hashes(rows)
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    run = np.cumsum(new) - 1
+    first = order[np.flatnonzero(new)]
+    again = np.flatnonzero(~new)
+    if len(again) and (rows[order[again]] != rows[first[run[again]]]).any():  # unlike bytes of one hash
+        packed = np.ascontiguousarray(rows).view(f"V{rows.shape[1]}")[:, 0]
+        return np.unique(packed, return_inverse=True)[1].reshape(-1)
+    out = np.empty(len(rows), np.int64)
+    out[order] = run
+    return out
+
+
+def least_of(code: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id among the entries of each entry's code."""
+    least = np.full(int(code.max()) + 1 if len(code) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, code, ids)
+    return least[code]
+
+
+def extents(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Surroundings with how far they reach, as rows of bytes."""
+    return np.concatenate([around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
+
+
 class Owners:
     """The documents of a parcel: id, text hash (which tells rows of one id apart) and block."""
 
@@ -187,46 +225,30 @@ class Levels:
         return found
 
 
-def _shard_matches(owners: Owners, row, wide, gram, batches: int) -> tuple[np.ndarray, np.ndarray]:
-    """(covered, unsettled) entries of a shard."""
-    ids = owners.ids[row]
+def _recurring(ids: np.ndarray, gram: np.ndarray, batches: int) -> np.ndarray:
+    """The entries of a shard whose grams occur in several ids."""
     order = np.argsort(ids, kind="stable")
-    levels, covered, at = Levels(), np.zeros(len(ids), bool), 0
+    levels, hit, at = Levels(), np.zeros(len(ids), bool), 0
     for k in range(batches):
         stop = len(order) * (k + 1) // batches
         if 0 < stop < len(order):  # an id is not cut in two
             stop = int(np.searchsorted(ids[order], ids[order[stop - 1]], side="right"))
         part = order[at:stop]
         if len(part):
-            covered[part] = levels.add(wide[part], gram[part], ids[part])
+            hit[part] = levels.add(gram[part], gram[part], ids[part])
         at = max(at, stop)
-    left = np.flatnonzero(~covered)
-    by_gram = left[np.lexsort((ids[left], gram[left]))]
-    g = gram[by_gram]
-    first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
-    which = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    low = ids[by_gram][starts]
-    high = ids[by_gram][np.append(starts[1:], len(g)) - 1] if len(g) else low
-    return covered, by_gram[(low != high)[which]]
-
-
-def _window_matches(ids: np.ndarray, left, right, around: np.ndarray, gram: np.ndarray):
+    again = common.distinct(gram[hit])
+    place = np.minimum(np.searchsorted(again, gram), max(0, len(again) - 1))
+    return np.flatnonzero(again[place] == gram) if len(again) else np.zeros(0, np.int64)
+
+
+def _window_matches(ids: np.ndarray, left, right, around: np.ndarray):
     """(entry, first byte, end) relative to the anchor of spans that a smaller id shares."""
     hit = np.zeros((len(ids), SPAN + 1), bool)
     for o in range(SPAN):
         can = np.flatnonzero((o >= BEFORE - left) & (o <= right - GRAM))
-        if len(can) < 2:
-            continue
-        h = gram[can].copy()
-        for j, at in enumerate((0, 8, 16, 24, 32, 40, 42)):
-            h += np.ascontiguousarray(around[can, o + at : o + at + 8]).view("<u8")[:, 0] * _MULT[j]
-        h = mix64(h)
-        order = np.lexsort((ids[can], h))
-        s = h[order]
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        least = ids[can][order][np.flatnonzero(first)][np.cumsum(first) - 1]
-        hit[can[order], o] = least < ids[can][order]
+        if len(can) > 1:
+            hit[can, o] = least_of(row_codes(around[can, o : o + LENGTH]), ids[can]) < ids[can]
     flat = hit.reshape(-1)
     before = np.concatenate([[False], flat[:-1]])
     opens, closes = np.flatnonzero(flat & ~before), np.flatnonzero(~flat & before)
@@ -306,39 +328,60 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
     One row per input row: the id, `n_bytes`, `spans` (starts and ends of the
     maximal removed runs, in bytes, alternating) and `kept` (the other bytes). A
     null text counts as empty. Rows of one id never remove from each other; a row
-    without an id neither removes nor loses anything. Texts shorter than 50
+    without an id, or with one that is no integer, neither removes nor loses
+    anything. Texts shorter than 50
     bytes stay. An empty table gives an empty one. Other columns are left out.
     """
     spark = docs.sparkSession
     common.ship(spark)
     n = common.partitions(spark)
-    src = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
+    src = docs.select(docs[f"`{id_col}`"].try_cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
     src = src.withColumns({"k": F.xxhash64("t"), "b": common.block_of(src["i"], n)})
 
+    names = ["i", "t", "k", "b"]
+    SPANS, ANCHORS = 0, 1  # kinds of parcels: spans to blocks; anchors to shards, or back
+
+    def spans_of(owners: Owners, row, entries: np.ndarray, start: np.ndarray, end: np.ndarray) -> list:
+        """Spans of entries, by block."""
+        block = owners.blocks[row[entries]]
+        order = np.lexsort((row[entries], block))
+        return [(SPANS, b, owners.parcel(row[entries[part]], start[part].astype(np.uint32), end[part].astype(np.uint32))) for b, part in _grouped(order, block)]
+
+    def among(owners: Owners, row, pos, left, right, around) -> tuple[np.ndarray, list]:
+        """(entries of the smallest id of their surroundings, the others' spans as parcels)."""
+        ids = owners.ids[row]
+        covered = least_of(row_codes(extents(around, left, right)), ids) < ids
+        at = np.flatnonzero(covered)
+        pos = pos.astype(np.int64)
+        return np.flatnonzero(~covered), spans_of(owners, row, at, pos[at] - left[at], pos[at] + right[at])
+
     def anchor_parcels(batches_in):
         docs_of, found, held, base = [], [], 0, 0
 
         def parcels():
             nonlocal docs_of, found, held, base
             owners = Owners(*(np.concatenate([d[k] for d in docs_of]) for k in range(3)))
-            row, pos, gram, wide = (np.concatenate([x[k] for x in found]) for k in range(4))
+            row, pos, gram, left, right, around = (np.concatenate([x[k] for x in found]) for k in range(6))
             docs_of, found, held, base = [], [], 0, 0
+            stay, out = among(owners, row, pos, left, right, around)
+            row, pos, gram = row[stay], pos[stay], gram[stay]
+            # spans travel with the anchors up to the shards, their block in front
+            out = [(SPANS, int(np.uint64(b) % np.uint64(n)), pack(b, p)) for _, b, p in out]
             shard = (gram % np.uint64(n)).astype(np.uint32)
-            order = np.argsort(shard, kind="stable")
-            out = []
-            for s, part in _grouped(order, shard):
-                g, x = gram[part] >> np.uint64(24), wide[part]
-                out.append((0, s, owners.parcel(row[part], g.astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8), x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint16), pos[part].astype(np.uint32))))
+            for s, part in _grouped(np.argsort(shard, kind="stable"), shard):
+                g = gram[part] >> np.uint64(24)
+                out.append((ANCHORS, s, owners.parcel(row[part], g.astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8), pos[part].astype(np.uint32))))
             return _batch(out)
 
         for batch in batches_in:
             batch = batch.filter(pc.is_valid(batch.column("i")))
             for part in common.pieces(batch, "t", 1 << 19):
                 buf, off = common.flat(part.column("t"))
-                at, gram, wide = anchors_of(buf, off)
+                at, gram = anchors_of(buf, off)
                 row = np.searchsorted(off, at, side="right") - 1
+                around, left, right = surroundings(buf, at, off[row], off[row + 1])
                 docs_of.append((part.column("i").to_numpy(), part.column("k").to_numpy(), part.column("b").to_numpy()))
-                found.append((row + base, at - off[row], gram, wide))
+                found.append((row + base, at - off[row], gram, left, right, around))
                 base += part.num_rows
                 held += len(at)
                 if held > FLUSH:
@@ -346,75 +389,95 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
         if held:
             yield parcels()
 
-    def by_block(owners: Owners, row, kind: int, entries: np.ndarray, *columns) -> list:
-        block = owners.blocks[row[entries]]
-        order = np.lexsort((row[entries], block))
-        return [(kind, b, owners.parcel(row[entries[part]], *(c[part] for c in columns))) for b, part in _grouped(order, block)]
-
     def match(batches_in):
-        parcels = [p for batch in batches_in for p in batch.column("parcel").to_pylist()]
+        parcels = []
+        for batch in batches_in:
+            for kind, p in zip(batch.column("kind").to_pylist(), batch.column("parcel").to_pylist()):
+                if kind == SPANS:
+                    block, inner = unpack(p)
+                    yield _batch([(SPANS, block, inner)])
+                else:
+                    parcels.append(p)
         if not parcels:
             return
-        owners, row, (g0, g1, w0, w1, pos) = Owners.opened(parcels)
+        owners, row, (g0, g1, pos) = Owners.opened(parcels)
         del parcels
         gram = g0.astype(np.uint64) | g1.astype(np.uint64) << np.uint64(32)
-        wide = w0.astype(np.uint64) | w1.astype(np.uint64) << np.uint64(32)
-        covered, open_ = _shard_matches(owners, row, wide ^ gram << np.uint64(24), gram, batches)
-        at = np.flatnonzero(covered)
-        start = np.maximum(pos[at].astype(np.int64) - BEFORE, 0)
-        yield _batch(by_block(owners, row, 0, at, start.astype(np.uint32), (pos[at] + LENGTH).astype(np.uint32)))
-        yield _batch(by_block(owners, row, 1, open_, pos[open_], gram[open_]))
-
-    def fetch(table: pa.Table, asked: pa.Table) -> pa.Table:
-        if not asked.num_rows or not table.num_rows:
-            return pa.Table.from_batches([], _PARCELS)
-        table = table.filter(pc.is_valid(table.column("i")))
+        open_ = _recurring(owners.ids[row], gram, batches)
+        block = owners.blocks[row[open_]]
+        order = np.lexsort((row[open_], block))
+        yield _batch([(ANCHORS, b, owners.parcel(row[open_[part]], pos[open_[part]], gram[open_[part]])) for b, part in _grouped(order, block)])
+
+    def fetch(batches_in):
+        table, asked = common.apart(batches_in, names)
+        if table is None or not asked:
+            return
+        table = table.filter(pc.is_valid(table.column("i"))).combine_chunks()
+        if not table.num_rows:
+            return
         ids, keys, buf, off = _table_texts(table)
-        doc, (pos, gram) = _entries(ids, keys, asked.column("parcel").to_pylist())
-        blocks = table.column("b").to_numpy()
-        owners, at = Owners(ids, keys, blocks), off[doc] + pos
-        around, _ = surroundings(buf, at, off[doc], off[doc + 1])
-        left, right = np.minimum(BEFORE, pos).astype(np.uint8), np.minimum(LENGTH, off[doc + 1] - at).astype(np.uint8)
+        doc, (pos, gram) = _entries(ids, keys, [p for _, p in asked])
+        owners, at = Owners(ids, keys, table.column("b").to_numpy()), off[doc] + pos
+        order = np.argsort(doc, kind="stable")
+        doc, pos, gram, at = doc[order], pos[order], gram[order], at[order]
+        stays = []
+        for lo in range(0, len(doc), FLUSH):  # some at a time, for memory
+            some = slice(lo, lo + FLUSH)
+            around, left, right = surroundings(buf, at[some], off[doc[some]], off[doc[some] + 1])
+            stay, out = among(owners, doc[some], pos[some], left, right, around)
+            stays.append((doc[some][stay], pos[some][stay], gram[some][stay], left[stay], right[stay], around[stay]))
+            yield _batch([(SPANS, int(np.uint64(b) % np.uint64(n)), pack(b, p)) for _, b, p in out])
+        doc, pos, gram, left, right, around = (np.concatenate([x[k] for x in stays]) for k in range(6))
         shard = (gram % np.uint64(n)).astype(np.uint32)
         order = np.lexsort((doc, shard))
-        out = [(0, s, owners.parcel(doc[part], pos[part].astype(np.uint32), gram[part], left[part], right[part], around[part, :WIDE])) for s, part in _grouped(order, shard)]
-        return pa.Table.from_batches([_batch(out)])
+        for s, part in _grouped(order, shard):
+            yield _batch([(ANCHORS, s, owners.parcel(doc[part], pos[part].astype(np.uint32), left[part], right[part], around[part]))])
 
     def settle(batches_in):
-        parcels = [p for batch in batches_in for p in batch.column("parcel").to_pylist()]
+        parcels = []
+        for batch in batches_in:
+            for kind, p in zip(batch.column("kind").to_pylist(), batch.column("parcel").to_pylist()):
+                if kind == SPANS:
+                    block, inner = unpack(p)
+                    yield _batch([(SPANS, block, inner)])
+                else:
+                    parcels.append(p)
         if not parcels:
             return
-        owners, row, (pos, gram, left, right, around) = Owners.opened(parcels)
-        around = np.pad(around, ((0, 0), (0, 4)))
-        entry, first, end = _window_matches(owners.ids[row], left.astype(int), right.astype(int), around, gram)
-        at = pos[entry].astype(np.int64)
-        yield _batch(by_block(owners, row, 0, entry, (at + first).astype(np.uint32), (at + end).astype(np.uint32)))
+        owners, row, (pos, left, right, around) = Owners.opened(parcels)
+        del parcels
+        stay, out = among(owners, row, pos, left, right, around)
+        yield _batch(out)
+        row, pos, left, right, around = row[stay], pos[stay].astype(np.int64), left[stay], right[stay], around[stay]
+        entry, first, end = _window_matches(owners.ids[row], left.astype(int), right.astype(int), around)
+        yield _batch(spans_of(owners, row, entry, pos[entry] + first, pos[entry] + end))
 
     result = pa.schema([("i", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
-    def cut(table: pa.Table, spans: pa.Table) -> pa.Table:
+    def cut(batches_in):
+        table, spans = common.apart(batches_in, names)
+        if table is None:
+            return
         table = table.combine_chunks()
         doc = start = end = np.zeros(0, np.int64)
-        if spans.num_rows:
+        if spans and table.num_rows:
             ids, keys = np.asarray(table.column("i").fill_null(0)), table.column("k").to_numpy()
-            doc, (start, end) = _entries(ids, keys, spans.column("parcel").to_pylist())
+            doc, (start, end) = _entries(ids, keys, [p for _, p in spans])
             real = np.asarray(pc.is_valid(table.column("i").combine_chunks()))[doc]
             doc, start, end = doc[real], start[real], end[real]
             order = np.argsort(doc, kind="stable")
             doc, start, end = doc[order], start[order], end[order]
-        out, base = [], 0
+        base = 0
         for batch in table.to_batches():
             for part in common.pieces(batch, "t"):
                 lo, hi = np.searchsorted(doc, [base, base + part.num_rows])
-                out.append(_without(part, doc[lo:hi] - base, start[lo:hi].astype(np.int64), end[lo:hi].astype(np.int64), result))
+                yield _without(part, doc[lo:hi] - base, start[lo:hi].astype(np.int64), end[lo:hi].astype(np.int64), result)
                 base += part.num_rows
-        return pa.Table.from_batches(out, result)
 
     anchors = src.mapInArrow(anchor_parcels, _DDL).repartitionById(n, F.col("to"))
     first = common.checkpoint(anchors.mapInArrow(match, _DDL), free=True)
-    by = src.groupBy("b")
-    asked = first.where("kind = 1").withColumnRenamed("to", "b").groupBy("b")
-    second = by.cogroup(asked).applyInArrow(fetch, _DDL).repartitionById(n, F.col("to")).mapInArrow(settle, _DDL)
-    spans = first.where("kind = 0").unionByName(second).withColumnRenamed("to", "b").groupBy("b")
-    out = by.cogroup(spans).applyInArrow(cut, "i long, n_bytes long, spans array<long>, kept binary")
+    fetched = common.beside(src, first.where(F.col("kind") == ANCHORS), n).mapInArrow(fetch, _DDL)
+    second = common.checkpoint(fetched.repartitionById(n, F.col("to")).mapInArrow(settle, _DDL), free=True)
+    spans = first.where(F.col("kind") == SPANS).unionByName(second)
+    out = common.beside(src, spans, n).mapInArrow(cut, "i long, n_bytes long, spans array<long>, kept binary")
     return out.withColumnRenamed("i", id_col)

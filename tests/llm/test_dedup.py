@@ -18,6 +18,26 @@ def test_removed_spans(spark, seed):
     assert sorted(got, key=repr) == sorted(brute.removed(rows), key=repr)
 
 
+def test_a_clash_of_hashes_removes_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 3, (400, 5)).astype(np.uint8)
+    want = np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1)
+    for hashes in (suffix_levels.row_hashes, lambda r: np.zeros(len(r), np.uint64), lambda r: (r[:, 0] % 2).astype(np.uint64)):
+        monkeypatch.setattr(suffix_levels, "row_hashes", hashes)
+        code = suffix_levels.row_codes(rows)
+        assert ((code[:, None] == code[None]) == (want[:, None] == want[None])).all()
+        ids = rng.integers(0, 50, 400)
+        assert (suffix_levels.least_of(code, ids) == [ids[want == w].min() for w in want]).all()
+
+
+def test_one_passage_in_all_documents(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(k, f"{k} own words {rng.random()} " + passage[rng.randrange(20) :] + f" end {k}") for k in range(60)] + [(70, passage * 3), (71, passage + passage[:40])]
+    got = [(r.doc_id, r.n_bytes, list(r.spans), bytes(r.kept)) for r in suffix_levels.removed_spans(brute.messy(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(brute.removed(rows), key=repr)
+
+
 def test_removed_spans_of_nothing(spark):
     df = brute.messy(spark, [(1, "a")])
     assert suffix_levels.removed_spans(df.where("false")).count() == 0
