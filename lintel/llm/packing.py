@@ -410,17 +410,24 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     mean = max(1.0, total / max(1, documents))
     n = max(1, -(-total // shard_tokens))
 
-    def lead(batches):
-        """The two leading terms of each document."""
+    def led(batch):
+        """(piece of a batch, its documents' two leading terms)."""
+        for part in common.pieces(batch, "ids"):
+            buf, off = common.flat(part.column("ids"))
+            yield part, *leading_terms(buf.view(np.uint16), off // 2, known.value, documents, mean)
+
+    def sizes_by_terms(batches):
+        total: dict[int, int] = {}
         for batch in batches:
-            for part in common.pieces(batch, "ids"):
-                buf, off = common.flat(part.column("ids"))
-                a, b = leading_terms(buf.view(np.uint16), off // 2, known.value, documents, mean)
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("own"), part.column("n"), pa.array(a, pa.int32()), pa.array(b, pa.int32()), part.column("ids")], ["i", "own", "n", "a", "b", "ids"])
+            for part, a, b in led(batch):
+                pair, at = np.unique(a.astype(np.int64) << 16 | b, return_inverse=True)
+                for k, m in zip(pair.tolist(), np.bincount(at.reshape(-1), part.column("n").to_numpy()).astype(np.int64).tolist()):
+                    total[k] = total.get(k, 0) + m
+        pair = np.array(list(total), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((pair >> 16).astype(np.int32)), pa.array((pair & 0xFFFF).astype(np.int32)), pa.array(list(total.values()), pa.int64())], ["a", "b", "n"])
 
-    led = tokens.mapInArrow(lead, "i long, own long, n long, a int, b int, ids binary")
     if n > 1:
-        pairs = common.checkpoint(led.groupBy("a", "b").agg(F.sum("n").alias("n")))
+        pairs = common.checkpoint(tokens.mapInArrow(sizes_by_terms, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
         by_term = np.zeros(vocabulary, np.int64)
         for term, k in pairs.groupBy("a").agg(F.sum("n")).collect():  # at most one row an entry of the vocabulary
             by_term[term] = k
@@ -429,9 +436,12 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
     def deal(batches):
         for batch in batches:
-            a, b, own = (batch.column(c).to_numpy() for c in ("a", "b", "own"))
-            shard = np.minimum((places.value.of(a, b, own) * n).astype(np.int32), n - 1) if n > 1 else np.zeros(len(a), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(shard), batch.column("ids")], ["i", "shard", "ids"])
+            if n == 1:
+                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("ids")], ["i", "shard", "ids"])
+                continue
+            for part, a, b in led(batch):
+                shard = np.minimum((places.value.of(a, b, part.column("own").to_numpy()) * n).astype(np.int32), n - 1)
+                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(shard), part.column("ids")], ["i", "shard", "ids"])
 
     schema = pa.schema([("i", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -461,5 +471,5 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     ddl = "i long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    out = led.mapInArrow(deal, "i long, shard int, ids binary").repartitionById(n, F.col("shard")).mapInArrow(fill, ddl)
+    out = tokens.mapInArrow(deal, "i long, shard int, ids binary").repartitionById(n, F.col("shard")).mapInArrow(fill, ddl)
     return out.withColumnRenamed("i", id_col)
