@@ -225,10 +225,12 @@ class Levels:
         return found
 
 
-def _recurring(ids: np.ndarray, gram: np.ndarray, batches: int) -> np.ndarray:
-    """The entries of a shard whose grams occur in several ids."""
+def _recurring(ids: np.ndarray, gram: np.ndarray, batches: int, stored: list[tuple[int, np.ndarray, np.ndarray]] = ()) -> np.ndarray:
+    """The grams that several ids have, at least one of them among the entries; `stored` has (size, grams, ids) of known levels."""
     order = np.argsort(ids, kind="stable")
     levels, hit, at = Levels(), np.zeros(len(ids), bool), 0
+    for size, known, owners in sorted(stored, key=lambda x: -x[0]):
+        levels.levels.append((size, *Levels.suffix_array(known, known, owners)))
     for k in range(batches):
         stop = len(order) * (k + 1) // batches
         if 0 < stop < len(order):  # an id is not cut in two
@@ -237,9 +239,14 @@ def _recurring(ids: np.ndarray, gram: np.ndarray, batches: int) -> np.ndarray:
         if len(part):
             hit[part] = levels.add(gram[part], gram[part], ids[part])
         at = max(at, stop)
-    again = common.distinct(gram[hit])
-    place = np.minimum(np.searchsorted(again, gram), max(0, len(again) - 1))
-    return np.flatnonzero(again[place] == gram) if len(again) else np.zeros(0, np.int64)
+    return common.distinct(gram[hit])
+
+
+def _among_sorted(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The positions of the x that are among ascending values."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x)
 
 
 def _window_matches(ids: np.ndarray, left, right, around: np.ndarray):
@@ -322,6 +329,12 @@ def _without(part: pa.RecordBatch, doc, start, end, schema: pa.Schema) -> pa.Rec
     return pa.RecordBatch.from_arrays([part.column("i"), pa.array(np.diff(off), pa.int64()), lists, kept], schema=schema)
 
 
+def _documents(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """(i, t, k, b): ids, texts, text hashes and blocks."""
+    src = docs.select(docs[f"`{id_col}`"].try_cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
+    return src.withColumns({"k": F.xxhash64("t"), "b": common.block_of(src["i"], n)})
+
+
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = 8) -> DataFrame:
     """What of each text also starts in a smaller id.
 
@@ -329,17 +342,101 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
     maximal removed runs, in bytes, alternating) and `kept` (the other bytes). A
     null text counts as empty. Rows of one id never remove from each other; a row
     without an id, or with one that is no integer, neither removes nor loses
-    anything. Texts shorter than 50
-    bytes stay. An empty table gives an empty one. Other columns are left out.
+    anything. Texts shorter than 50 bytes stay. An empty table gives an empty one.
+    Other columns are left out.
     """
     spark = docs.sparkSession
     common.ship(spark)
     n = common.partitions(spark)
-    src = docs.select(docs[f"`{id_col}`"].try_cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
-    src = src.withColumns({"k": F.xxhash64("t"), "b": common.block_of(src["i"], n)})
+    return _removed(_documents(docs, id_col, text, n), n, batches)[0].withColumnRenamed("i", id_col)
+
+
+class Family:
+    """The index family in a folder, so that batches can be added in later runs.
 
+    The folder holds the texts of all batches and the levels: tables of anchors,
+    each of a power of two batches, whose sizes all differ after a batch has been
+    added. A batch is scanned against the levels; of earlier texts only those are
+    read again that share a gram with it.
+    """
+
+    def __init__(self, spark, folder: str, id_col: str = "doc_id", text: str = "text"):
+        self.spark, self.folder, self.id_col, self.text = spark, folder, id_col, text
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.store = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, kind: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        return sorted(x.getPath().getName() for x in self.store.listStatus(path)) if self.store.exists(path) else []
+
+    def levels(self) -> list[tuple[int, str]]:
+        """(batches, name) of the levels."""
+        return [(int(name.split("-")[1]), name) for name in self._names("levels") if not name.startswith(("_", "."))]
+
+    def add(self, docs: DataFrame, batches: int = 1) -> DataFrame:
+        """What `removed_spans` says of a batch after all earlier ones.
+
+        Its ids must be above all ids before. Rows without an id lose nothing and
+        are not kept. A run that is lost before its level is complete can be
+        repeated: a batch counts once its level is there.
+        """
+        common.ship(self.spark)
+        done = self.levels()
+        number = sum(size for size, _ in done)
+        shards = [int(x.split("-")[1]) for x in self._names("shards") if x.startswith("n-")]
+        n = shards[0] if shards else common.partitions(self.spark)
+        if not shards:
+            self.store.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/shards/n-{n}"))
+        src = _documents(docs, self.id_col, self.text, n)
+        src.where("i IS NOT NULL").write.mode("overwrite").parquet(f"{self.folder}/texts/{number:08d}")
+        own = self.spark.read.parquet(f"{self.folder}/texts/{number:08d}")
+        old = texts = None
+        if done:
+            texts = self.spark.read.parquet(*[f"{self.folder}/texts/{k:08d}" for k in range(number)])
+            low, high = own.agg(F.min("i")).first()[0], texts.agg(F.max("i")).first()[0]
+            if low is not None and high is not None and low <= high:
+                raise ValueError(f"ids of a batch must be above {high}")
+            for size, name in done:
+                table = self.spark.read.parquet(f"{self.folder}/levels/{name}").select((F.lit(_LEVEL) + size).alias("kind"), "to", "parcel")
+                old = table if old is None else old.unionByName(table)
+        out, anchors = _removed(src, n, batches, old, texts)
+        size, gone = 1, []
+        new = anchors.where(F.col("kind") == _ANCHORS)
+        while done and done[-1][0] == size:
+            _, name = done.pop()
+            gone.append(name)
+            new = new.unionByName(self.spark.read.parquet(f"{self.folder}/levels/{name}"))
+            size *= 2
+        new = new.repartitionById(n, F.col("to")).mapInArrow(_merged, _DDL)
+        temp = f"{self.folder}/levels/_{number:08d}"
+        new.write.mode("overwrite").parquet(temp)
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in gone:  # the new level takes their place
+            self.store.delete(fs(f"{self.folder}/levels/{name}"), True)
+        self.store.rename(fs(temp), fs(f"{self.folder}/levels/{99999999 - size:08d}-{size}"))
+        return out.withColumnRenamed("i", self.id_col)
+
+
+def _merged(batches):
+    """A shard's entries of several levels as one array in gram order."""
+    parcels, shard = [], None
+    for batch in batches:
+        for to, p in zip(batch.column("to").to_pylist(), batch.column("parcel").to_pylist()):
+            shard = to
+            parcels.append(p)
+    if parcels:
+        owners, row, columns = Owners.opened(parcels)
+        yield _batch([(_ANCHORS, shard, owners.parcel(row, *columns))])
+
+
+#: Kinds of parcels: spans to blocks; anchors to shards, or back; anchors of a level of so many batches more.
+_SPANS, _ANCHORS, _LEVEL = 0, 1, 2
+
+
+def _removed(src: DataFrame, n: int, batches: int, levels: DataFrame | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows as of `removed_spans`, the anchors' parcels) of documents after those of some levels, whose texts are given."""
     names = ["i", "t", "k", "b"]
-    SPANS, ANCHORS = 0, 1  # kinds of parcels: spans to blocks; anchors to shards, or back
+    SPANS, ANCHORS = _SPANS, _ANCHORS
 
     def spans_of(owners: Owners, row, entries: np.ndarray, start: np.ndarray, end: np.ndarray) -> list:
         """Spans of entries, by block."""
@@ -390,23 +487,28 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
             yield parcels()
 
     def match(batches_in):
-        parcels = []
+        held: dict[int, list] = {}
         for batch in batches_in:
             for kind, p in zip(batch.column("kind").to_pylist(), batch.column("parcel").to_pylist()):
                 if kind == SPANS:
                     block, inner = unpack(p)
                     yield _batch([(SPANS, block, inner)])
                 else:
-                    parcels.append(p)
-        if not parcels:
+                    held.setdefault(kind, []).append(p)
+        if ANCHORS not in held:
             return
-        owners, row, (g0, g1, pos) = Owners.opened(parcels)
-        del parcels
-        gram = g0.astype(np.uint64) | g1.astype(np.uint64) << np.uint64(32)
-        open_ = _recurring(owners.ids[row], gram, batches)
-        block = owners.blocks[row[open_]]
-        order = np.lexsort((row[open_], block))
-        yield _batch([(ANCHORS, b, owners.parcel(row[open_[part]], pos[open_[part]], gram[open_[part]])) for b, part in _grouped(order, block)])
+        opened = {}
+        for kind in sorted(held):
+            owners, row, (g0, g1, pos) = Owners.opened(held.pop(kind))
+            opened[kind] = owners, row, g0.astype(np.uint64) | g1.astype(np.uint64) << np.uint64(32), pos
+        stored = [(kind - _LEVEL, gram, owners.ids[row]) for kind, (owners, row, gram, _) in opened.items() if kind > _LEVEL]
+        owners, row, gram, _ = opened[ANCHORS]
+        again = _recurring(owners.ids[row], gram, batches, stored)
+        for owners, row, gram, pos in opened.values():
+            open_ = _among_sorted(again, gram)
+            block = owners.blocks[row[open_]]
+            order = np.lexsort((row[open_], block))
+            yield _batch([(ANCHORS, b, owners.parcel(row[open_[part]], pos[open_[part]], gram[open_[part]])) for b, part in _grouped(order, block)])
 
     def fetch(batches_in):
         table, asked = common.apart(batches_in, names)
@@ -474,10 +576,22 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
                 yield _without(part, doc[lo:hi] - base, start[lo:hi].astype(np.int64), end[lo:hi].astype(np.int64), result)
                 base += part.num_rows
 
-    anchors = src.mapInArrow(anchor_parcels, _DDL).repartitionById(n, F.col("to"))
-    first = common.checkpoint(anchors.mapInArrow(match, _DDL), free=True)
-    fetched = common.beside(src, first.where(F.col("kind") == ANCHORS), n).mapInArrow(fetch, _DDL)
+    def asked_ids(batches_in):
+        for batch in batches_in:
+            for p in batch.column("parcel").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(common.distinct(unpack(p)[0]))], ["i"])
+
+    anchors = src.mapInArrow(anchor_parcels, _DDL)
+    everything, known = anchors, src
+    if levels is not None:
+        anchors = common.checkpoint(anchors)
+        everything = anchors.unionByName(levels)
+    first = common.checkpoint(everything.repartitionById(n, F.col("to")).mapInArrow(match, _DDL), free=True)
+    asked = first.where(F.col("kind") == ANCHORS)
+    if texts is not None:
+        again = asked.select("parcel").mapInArrow(asked_ids, "i long").distinct()
+        known = src.unionByName(texts.join(again, "i", "left_semi").select(src.columns))
+    fetched = common.beside(known, asked, n).mapInArrow(fetch, _DDL)
     second = common.checkpoint(fetched.repartitionById(n, F.col("to")).mapInArrow(settle, _DDL), free=True)
     spans = first.where(F.col("kind") == SPANS).unionByName(second)
-    out = common.beside(src, spans, n).mapInArrow(cut, "i long, n_bytes long, spans array<long>, kept binary")
-    return out.withColumnRenamed("i", id_col)
+    return common.beside(src, spans, n).mapInArrow(cut, "i long, n_bytes long, spans array<long>, kept binary"), anchors

@@ -38,6 +38,21 @@ def test_one_passage_in_all_documents(spark):
     assert sorted(got, key=repr) == sorted(brute.removed(rows), key=repr)
 
 
+def test_batches_in_later_runs_give_the_same(spark, tmp_path):
+    rows = [r for r in brute.prose(11, 90) if r[0] is not None]
+    rows += [(200, "x" * 100), (201, "x" * 60), (300, rows[3][1] + " more"), (301, "ab" * 150), (302, "ab" * 90)]
+    want = sorted(brute.removed(rows), key=repr)
+    got = []
+    for k, (low, high) in enumerate(((-1, 30), (30, 60), (60, 95), (95, 250), (250, 999))):
+        part = [r for r in rows if low <= r[0] < high]
+        family = suffix_levels.Family(spark, str(tmp_path / "family"))
+        got += [(r.doc_id, r.n_bytes, list(r.spans), bytes(r.kept)) for r in family.add(brute.messy(spark, part)).collect()]
+        assert sorted(size for size, _ in family.levels()) == [1 << j for j in range(4) if k + 1 >> j & 1]
+    assert sorted(got, key=repr) == want
+    with pytest.raises(ValueError):
+        family.add(brute.messy(spark, [(5, "late")]))
+
+
 def test_removed_spans_of_nothing(spark):
     df = brute.messy(spark, [(1, "a")])
     assert suffix_levels.removed_spans(df.where("false")).count() == 0
