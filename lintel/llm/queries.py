@@ -124,5 +124,29 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
 
+#: All pairs of distinct shingles, and the transitive closure of the links.
+OP6_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS ws FROM documents WHERE doc_id IS NOT NULL),
+sh AS (SELECT DISTINCT r, array_to_string(list_slice(ws, i, i + 4), ' ') AS s FROM d, unnest(range(1, greatest(len(ws) - 3, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS t(i)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM common JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 10 * c >= 8 * (p.n + q.n - c)),
+reach(r, q) AS (SELECT r, r FROM d UNION SELECT reach.r, links.y FROM reach JOIN links ON links.x = reach.q),
+low AS (SELECT reach.r, min(o.doc_id) AS class_id FROM reach JOIN d o ON o.r = reach.q GROUP BY reach.r)
+SELECT d.doc_id, low.class_id, coalesce(k.n, 0) AS n_links FROM d JOIN low USING (r) LEFT JOIN (SELECT x AS r, count(*) AS n FROM links GROUP BY x) k USING (r)"""
+
+#: Every 50-byte window as hexadecimal digits.
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM d, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS t(p) WHERE doc_id IS NOT NULL),
+m AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM w JOIN m USING (g) WHERE first < doc_id),
+i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM c),
+s AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY r, k),
+e AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS was FROM s UNION ALL SELECT d.r, length(h) // 2, NULL, coalesce((SELECT max(b) FROM s WHERE s.r = d.r), 0) FROM d),
+x AS (SELECT e.r, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a, b NULLS LAST) AS kept, count(b) AS n_spans, coalesce(sum(b - a), 0) AS gone FROM e JOIN d USING (r) GROUP BY e.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN x USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_repetition": OP1_SQL}
+    return {"op1_suffix_repetition": OP1_SQL, "op6_chosen_path": OP6_SQL, "op10_suffix_levels": OP10_SQL}
