@@ -235,7 +235,18 @@ def oracle_sql() -> dict[str, str]:
     markers = lambda lines: "\nUNION ALL ".join(f"SELECT path, line_no, {q(k)} AS type, {q('Potential ' + k.replace('_', ' ') + ' usage')} AS description, {_start('line', p)} + 1 AS \"column\", {_trim('line')} AS snippet FROM {lines} WHERE regexp_matches(line, {q(p)})" for k, p in C.MARKERS.items())
     snippet = "array_to_string(list_transform(range(greatest(line_no - 2, 1), least(line_no + 2, len(f.lines)) + 1), lambda i: CASE WHEN i = line_no THEN '> ' ELSE '  ' END || lpad(CAST(i AS VARCHAR), CAST(greatest(4, length(CAST(i AS VARCHAR))) AS INTEGER), ' ') || ' | ' || f.lines[i] || chr(10)), '')"
     catalogue = ", ".join("(" + ", ".join([*(q(x) for x in r[:5]), f"CAST({r[5]} AS DOUBLE)", q(" ".join(r[6]))]) + ")" for r in C.rule_table())
+    literal = q(r"""(?s)^((?:\\.|[^"'`\\])*)("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)""")
     return {
+        "string_literals": f"""WITH RECURSIVE {files()}, walk(path, line_no, rest, behind, lead, lit) AS (SELECT path, line_no, regexp_replace(line, '\\r$', ''), 0, '', '' FROM lines WHERE regexp_matches(line, {q("[" + chr(34) + chr(39) + "`]")})
+ UNION ALL SELECT path, line_no, substr(rest, length(regexp_extract(rest, {literal})) + 1), behind + strlen(regexp_extract(rest, {literal})), regexp_extract(rest, {literal}, 1), regexp_extract(rest, {literal}, 2) FROM walk WHERE regexp_matches(rest, {literal}))
+SELECT path, line_no, lit[2:-2] AS value, CAST(behind - strlen(lit) + 1 AS BIGINT) AS "column", starts_with(lit, '`') AS is_raw, starts_with(lit, '`') AND contains(lit, '${{') AS is_template FROM walk WHERE length(lit) > 2""",
+        "applied_fixes": f"""{one}, fx AS (SELECT file_path, line_start, match_text, replacement FROM found WHERE replacement IS NOT NULL),
+nl AS (SELECT l.path, l.line_no, l.line, CASE WHEN f.match_text IS NULL THEN l.line ELSE substr(l.line, 1, instr(l.line, f.match_text) - 1) || f.replacement || substr(l.line, instr(l.line, f.match_text) + length(f.match_text)) END AS x FROM lines l LEFT JOIN fx f ON f.file_path = l.path AND f.line_start = l.line_no WHERE l.path IN (SELECT file_path FROM fx))
+SELECT path, sha256(string_agg(x, chr(10) ORDER BY line_no)) AS sha, count(*) FILTER (WHERE x <> line) AS changed_lines FROM nl GROUP BY path""",
+        "rate_limiter": """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk(user_id, n, start, used) AS (SELECT user_id, n, ts, 1 FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.n, CASE WHEN e.ts - w.start >= INTERVAL 86400 SECOND THEN e.ts ELSE w.start END, CASE WHEN e.ts - w.start >= INTERVAL 86400 SECOND THEN 1 ELSE w.used + 1 END FROM walk w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.n = w.n + 1)
+SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (WHERE used > 3) AS refused FROM walk GROUP BY user_id""",
         "rule_severity_counts": f"{lined} SELECT rule_id, severity, count(*) AS n FROM ({pattern_hits()}) GROUP BY rule_id, severity",
         "scan_filters": f"WITH {documents()} SELECT path, size, {LANGUAGE} AS language FROM docs WHERE size <= 4000 AND NOT contains(path, 'src/src1/') AND NOT contains(path, 'c9/3') AND NOT starts_with(regexp_replace(path, '/[^/]*$', ''), 'src/src1') AND NOT starts_with(regexp_replace(path, '/[^/]*$', ''), 'c9/3') AND NOT ends_with(path, '.css') AND {LANGUAGE} IS NOT NULL",
         "scan_file_cap": f"WITH {documents()} SELECT path FROM docs ORDER BY string_split(path, '/') LIMIT 100",
