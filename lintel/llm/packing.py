@@ -159,8 +159,9 @@ class WordTokenizer:
         row_of = lambda at: np.searchsorted(off, at, side="right") - 1
         hard = np.zeros(n, bool)
         hard[row_of(np.flatnonzero(bad))] = True
-        owner = np.repeat(np.arange(n), np.diff(off))
-        keep = (kind != _SPACE) & ~hard[owner]
+        keep = kind != _SPACE
+        if hard.any():
+            keep &= ~np.repeat(hard, np.diff(off))
         opens = np.ones(len(buf), bool)
         opens[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
         inner = off[1:-1]
@@ -170,7 +171,7 @@ class WordTokenizer:
         starts = np.append(np.flatnonzero(opens[keep]), len(bytes_)).astype(np.int32)
         parts = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(bytes_)])
         codes, distinct = common.codes_of(parts)
-        row = owner[opens]
+        row = np.repeat(np.arange(n), np.diff(np.searchsorted(np.flatnonzero(opens), off)))
         slot = self.slots(distinct.to_pylist(), self.part)[codes] if len(codes) else np.zeros(0, np.int64)
         if hard.any():  # words are remembered under a mark, for they are not lower-cased parts
             which = np.flatnonzero(hard)

@@ -52,7 +52,7 @@ def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return webp_encode.store_texts(docs).select("doc_id", *[f"webp.{c}" for c in webp_encode.FIGURES.names])
+    return webp_encode.store_texts(docs, columns=["doc_id"]).select("doc_id", *[f"webp.{c}" for c in webp_encode.FIGURES.names])
 
 
 def op4_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
