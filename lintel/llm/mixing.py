@@ -9,9 +9,9 @@ seeded order, epoch after epoch, each epoch in an order of its own.
 
 The tree is configuration, so budgets are settled on the driver over one row for
 each configured leaf. Prefixes are cut without a sort of a whole leaf: documents
-fall into `BUCKETS` ranges of their seeded hash, the ranges' token sums say where
-the cut lies, and only positions within a range are sorted, so a leaf with a third
-of all rows is as parallel as any. Documents stay in place up to the epoch's last
+fall into ranges of their seeded hash of some RANGE_ROWS documents, the ranges'
+token sums say where the cut lies, and only positions within a range are sorted, so
+a leaf with a third of all rows is as parallel as any. Documents stay in place up to the epoch's last
 range; there is one shuffle of ids and token counts, and none of texts.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import checkpoint
 
-#: Ranges of the seeded hash in a leaf and epoch, as hexadecimal digits of it.
-DIGITS = 2
+#: Documents of a range of the seeded hash at most, in the mean.
+RANGE_ROWS = 4096
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,6 +89,14 @@ def seeded(seed: int, epoch: Column, id_: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit(""))).cast("binary"))
 
 
+def digits_for(rows: int) -> int:
+    """The hexadecimal digits of the hash that part so many documents into ranges."""
+    out = 0
+    while rows > RANGE_ROWS << 4 * out:
+        out += 1
+    return out
+
+
 def _leaf_key(path: tuple) -> str:
     return "\x1f".join(path)
 
@@ -112,17 +120,18 @@ def mixed(docs: DataFrame, tree: Mapping, levels: list[Column], tokens: Column,
     rows = docs.select(docs[f"`{id_col}`"].alias("i"), leaf.alias("leaf"), tokens.alias("n"))
     rows = checkpoint(rows.join(F.broadcast(spark.createDataFrame([(k,) for k in names], "leaf string")), "leaf", "left_semi"))
     # one row for each leaf of the configuration, so this is bounded by it
-    have = {r.leaf: int(r.n) for r in rows.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    counted = rows.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    have, digits = {r.leaf: int(r.n) for r in counted}, {r.leaf: digits_for(r.rows) for r in counted}
     room = {p: have.get(_leaf_key(p), 0) * epochs for p in _leaves(tree)}
     wanted = budgets(tree, room, share * sum(have.values()) if amount is None else amount)
     # the order is by 8 hexadecimal digits, then the whole hash, so that ranges are prefixes
     quota = [(_leaf_key(p), e, min(max(a - e * have.get(_leaf_key(p), 0), 0.0), float(have.get(_leaf_key(p), 0)))) for p, a in wanted.items() for e in range(epochs)]
-    plan = spark.createDataFrame([(k, e, q, float(e * have.get(k, 0))) for k, e, q in quota if q > 0], "leaf string, epoch int, quota double, before double")
-    used = rows.join(F.broadcast(plan), "leaf").withColumn("h", seeded(seed, F.col("epoch"), F.col("i"))).withColumn("bucket", F.substring("h", 1, DIGITS))
+    plan = spark.createDataFrame([(k, e, q, float(e * have.get(k, 0)), digits.get(k, 0)) for k, e, q in quota if q > 0], "leaf string, epoch int, quota double, before double, digits int")
+    used = rows.join(F.broadcast(plan), "leaf").withColumn("h", seeded(seed, F.col("epoch"), F.col("i"))).withColumn("bucket", F.substr("h", F.lit(1), F.col("digits")))
     sums = used.groupBy("leaf", "epoch", "bucket").agg(F.sum("n").alias("m"))
-    # at most 16 ** DIGITS rows for each configured leaf and epoch
+    # one row a range; Spark broadcasts them while they are few
     start = sums.withColumn("start", F.sum("m").over(Window.partitionBy("leaf", "epoch").orderBy("bucket")) - F.col("m")).drop("m")
-    placed = used.join(F.broadcast(start), ["leaf", "epoch", "bucket"]).where("start < quota")
+    placed = used.join(start, ["leaf", "epoch", "bucket"]).where("start < quota")
     within = Window.partitionBy("leaf", "epoch", "bucket").orderBy("h", "i", "n").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("at", F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).where("at < quota")
     return placed.select(F.col("i").alias(id_col), F.translate("leaf", "\x1f", "/").alias("leaf"), F.col("n").alias("tokens"), "epoch", (F.col("before") + F.col("at")).cast("long").alias("position"))

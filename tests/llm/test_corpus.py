@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -70,7 +71,9 @@ def hashed(seed, epoch, i):
     return hashlib.md5(f"{seed}:{epoch}:{'' if i is None else i}".encode()).hexdigest()
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("ranges", [4096, 10, 1])
+def test_mixing(spark, monkeypatch, ranges):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", ranges)
     rng = random.Random(1)
     tree = {"web": (0.6, {"en": (0.7, {"s0": (1.0, None), "s1": (2.0, None)}), "de": (0.3, {"s0": (1.0, None)})}), "book": (0.4, {"en": (1.0, {"s2": (1.0, None), "s3": (0.0, None)})})}
     where = [("web", "en", "s0")] * 6 + [("web", "en", "s1"), ("web", "de", "s0"), ("book", "en", "s2"), ("book", "en", "s3"), ("web", "en", "s9"), (None, "en", "s0")]
