@@ -113,3 +113,8 @@ def darkened(colour: Column, factor: float) -> Column:
     """A #rrggbb colour with each channel times a factor; others unchanged."""
     channel = lambda at: F.lpad(F.lower(F.hex((F.conv(F.substring(colour, at, 2), 16, 10).cast("int") * factor).cast("int").cast("bigint"))), 2, "0")
     return F.when(F.regexp_like(colour, F.lit("^#[0-9a-fA-F]{6}$")), F.concat(F.lit("#"), channel(2), channel(4), channel(6))).otherwise(colour)
+
+
+def data_uri(content: Column, mime: Column) -> Column:
+    """Bytes as a data address, null where the type is no image."""
+    return F.when(F.lower(mime).startswith("image/"), F.concat(F.lit("data:"), F.lower(mime), F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))))

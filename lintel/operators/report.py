@@ -138,6 +138,17 @@ def text_rows(findings: DataFrame) -> DataFrame:
     return findings.select("fingerprint", line.alias("line"))
 
 
+def capped(findings: DataFrame, most: int = 200) -> DataFrame:
+    """The first findings of a scan's order with their number, and in each row whether there are more.
+
+    A top-k: no more than `most` + 1 rows are numbered.
+    """
+    first = scan_order(findings).limit(most + 1)
+    order = Window.orderBy("file_path", "line_start", "rule_id", F.coalesce("column_start", F.lit(0)), "fingerprint")
+    numbered = first.withColumn("index", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > most)
+    return numbered.where(F.col("index") <= most)
+
+
 def json_fields(findings: DataFrame) -> DataFrame:
     """Findings with the names of the JSON document."""
     return findings.select(
@@ -179,6 +190,7 @@ class Brand:
     client: str = ""
     primary: str = DEFAULT_COLOURS[0]
     accent: str = DEFAULT_COLOURS[1]
+    logo: str = ""  # a data address; others are not shown, for a page has no remote parts
 
     def colours(self) -> tuple[str, str]:
         return tuple(c if re.fullmatch("#[0-9a-fA-F]{6}", c) else d for c, d in zip((self.primary, self.accent), DEFAULT_COLOURS))
@@ -267,7 +279,8 @@ def to_html(report: dict, title: str = "Security Assessment Report", brand: Bran
     style = f"body{{font-family:sans-serif;margin:2em auto;max-width:60em}}h1,h2{{color:{primary}}}h3{{border-left:4px solid {accent};padding-left:.5em}}table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:.2em .6em;text-align:left}}pre{{background:#f6f6f6;padding:.8em;overflow:auto}}"
     table = lambda rows: "<table>" + "".join("<tr>" + "".join(f"<td>{e(str(c))}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
     who = [(k, v) for k, v in (("Client", brand.client), ("Project", brand.project), ("Assessor", brand.assessor), ("Company", brand.company)) if v]
-    parts = [f"<h1>{e(title)}</h1>", table(who) if who else "", "<h2>Executive Summary</h2>", f"<p>{e(_overview(report, brand))}</p>", table([("Severity", "Count"), *[(_words(k), s[k]) for k in C.SEVERITIES], ("Total", s["total"])])]
+    logo = f'<img alt="" src="{e(brand.logo)}">' if brand.logo.startswith("data:image/") else ""
+    parts = [f"{logo}<h1>{e(title)}</h1>", table(who) if who else "", "<h2>Executive Summary</h2>", f"<p>{e(_overview(report, brand))}</p>", table([("Severity", "Count"), *[(_words(k), s[k]) for k in C.SEVERITIES], ("Total", s["total"])])]
     if report["findings"]:
         parts += ["<h2>Remediation Roadmap</h2>", table([("Priority", "Severity", "Count", "When"), *[(r["priority"], _words(r["severity"]), r["count"], r["sla"]) for r in report["roadmap"]]]), "<h2>Findings</h2>"]
     else:

@@ -280,6 +280,8 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "remediation_roadmap": f"{one} SELECT row_number() OVER (ORDER BY w DESC) AS priority, severity, n AS count, {_case('severity', C.SLA)} AS sla FROM (SELECT severity, count(*) AS n, max(weight) AS w FROM found GROUP BY severity)",
         "report_findings": f"{one} SELECT 'f-' || left(fingerprint, 12) AS anchor, CAST(weight AS BIGINT) AS weight, file_path, line_start, CASE WHEN cvss_score <= 0 THEN '—' ELSE printf('%.1f (%s)', cvss_score, CASE WHEN cvss_score >= 9 THEN 'Critical' WHEN cvss_score >= 7 THEN 'High' WHEN cvss_score >= 4 THEN 'Medium' ELSE 'Low' END) END AS cvss, {title} AS category FROM found",
         "sarif_results": f"{one} SELECT fingerprint, rule_id AS rule, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity IN ('low', 'info') THEN 'note' ELSE 'warning' END AS level, line_start AS line, replacement FROM found",
+        "capped_findings": f"{one} SELECT row_number() OVER (ORDER BY file_path, line_start, rule_id, coalesce(column_start, 0), fingerprint) AS index, (SELECT count(*) FROM found) > 150 AS truncated, file_path, line_start, rule_id, column_start, fingerprint FROM found ORDER BY 1 LIMIT 150",
+        "data_uris": "SELECT item_id, CASE WHEN length(text) % 3 <> 0 THEN 'data:image/png;base64,' || base64(encode(text)) END AS uri FROM benchmark",
         "text_output": f"{one} SELECT fingerprint, '[' || upper(severity) || '] ' || file_path || ':' || line_start || ' ' || title || ' (' || rule_id || ')' AS line FROM found",
         "json_output": f"{one} SELECT fingerprint, rule_id, line_start, severity FROM found",
         "delta_new": f"{both} {_whole('found', 'found2')}",

@@ -192,6 +192,16 @@ def sarif_results(spark, sf_dir):
     return report.sarif_results(_findings(spark, sf_dir)).select("fingerprint", F.get_json_object("result", "$.ruleId").alias("rule"), F.get_json_object("result", "$.level").alias("level"), F.get_json_object("result", "$.locations[0].physicalLocation.region.startLine").cast("long").alias("line"), F.get_json_object("result", "$.fixes[0].artifactChanges[0].replacements[0].insertedContent.text").alias("replacement"))
 
 
+def capped_findings(spark, sf_dir):
+    return _long(report.capped(_findings(spark, sf_dir), 150).select("index", "truncated", "file_path", "line_start", "rule_id", "column_start", "fingerprint"))
+
+
+def data_uris(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    mime = F.when(F.length("text") % 3 == 0, "text/plain").otherwise("IMAGE/png")
+    return d.select("item_id", X.data_uri(F.encode("text", "UTF-8"), mime).alias("uri"))
+
+
 def text_output(spark, sf_dir):
     return report.text_rows(_findings(spark, sf_dir))
 

@@ -26,3 +26,12 @@ def test_nothing_else_imports_the_subpackage():
     for p in (ROOT / "lintel").rglob("*.py"):
         if "llm" not in p.parts:
             assert "lintel.llm" not in p.read_text(), p
+
+
+def test_the_other_tests_stand_without_both_folders(tmp_path):
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    for name in ("lintel", "tests"):
+        shutil.copytree(ROOT / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = [sys.executable, "-B", "-m", "pytest", "tests", "-q", "-p", "no:cacheprovider", "-k", "versions or bounds or options or have_sql or subpackage"]
+    out = subprocess.run(code, cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode == 0 and " passed" in out.stdout, out.stdout + out.stderr
