@@ -45,8 +45,10 @@ SHARD_TOKENS = 1 << 22
 #: The share of all documents in which a term must be to decide a document's place.
 COMMON = 0.05
 CHUNK = 500_000  # tokens counted at a time
+#: Bytes of text tokenised together: the more, the fewer distinct words in all.
+TOKENISED = 4 << 20
 #: Words whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 1_000_000
 
 
 #: Words that lower-casing and composing treat letter by letter: printable ASCII and accented Latin-1 letters.
@@ -101,7 +103,7 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.clear()
 
     @classmethod
@@ -117,28 +119,37 @@ class WordTokenizer:
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
-    def part(self, part: str) -> list[int]:
-        """The ids of a part, already lower-cased."""
-        spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-        return [t.id for t in self.model.tokenize(spelled)]
+    def spelled(self, part: str) -> str:
+        """A part in the letters of the vocabulary."""
+        return part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
 
     def word(self, word: str) -> list[int]:
         """The ids of a word."""
         if _PLAIN.fullmatch(word) and "<|" not in word:
-            return [i for p in _PARTS.findall(word.lower()) for i in self.part(p)]
+            return [t.id for p in _PARTS.findall(word.lower()) for t in self.model.tokenize(self.spelled(p))]
         return self.whole.encode(word, add_special_tokens=False).ids
 
+    def parts_of(self, parts: list[str]) -> tuple[list[int], list[int]]:
+        """(ids of parts one after another, how many each has); parts are lower-cased already."""
+        got = list(map(self.model.tokenize, map(self.spelled, parts)))
+        return [t.id for tokens in got for t in tokens], list(map(len, got))
+
+    def words_of(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """The same of words, each behind its mark."""
+        got = [self.word(w[1:]) for w in words]
+        return list(chain.from_iterable(got)), list(map(len, got))
+
     def slots(self, keys: list[str], ids_of) -> np.ndarray:
         """The remembered places of parts or words; new ones are encoded."""
         known = self.slot
         new = [k for k in keys if k not in known]
         if new:
-            got = [ids_of(k.removeprefix("\n")) for k in new]
+            ids, size = ids_of(new)
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            size = np.fromiter(map(len, got), np.int64, len(got))
+            size = np.array(size, np.int64)
             self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint16, int(size.sum()))])
+            self.pool = np.concatenate([self.pool, np.array(ids, np.uint16)])
         return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,16 +160,17 @@ class WordTokenizer:
         buf, off = common.flat(texts)
         low = _LOWER[buf]
         kind = _KIND[low]
-        lead = buf == 0xC3
-        after = np.zeros(len(buf), bool)
-        after[1:] = lead[:-1]
-        tail = (buf >= 0x80) & (buf < 0xC0)
-        low[after & (buf >= 0x80) & (buf <= 0x9E)] += 0x20
-        bad = (kind == _HARD) | (tail != after) | after & ((buf == 0x97) | (buf == 0xB7))
-        bad[1:] |= (buf[1:] == ord("|")) & (buf[:-1] == ord("<"))
-        row_of = lambda at: np.searchsorted(off, at, side="right") - 1
+        high = np.flatnonzero(buf >= 0x80)
+        byte = buf[high]
+        lead, tail, next_ = byte == 0xC3, byte < 0xC0, np.diff(high) == 1
+        after, before = np.zeros(len(high), bool), np.zeros(len(high), bool)  # a letter's second byte, its first
+        after[1:] = lead[:-1] & next_ & tail[1:]
+        before[:-1] = after[1:]
+        low[high[after & (byte <= 0x9E)]] += 0x20
+        bars = np.flatnonzero(buf[1:] == ord("|"))
+        bad = [np.flatnonzero(kind == _HARD), high[(tail & ~after) | (lead & ~before) | after & ((byte == 0x97) | (byte == 0xB7))], bars[buf[bars] == ord("<")]]
         hard = np.zeros(n, bool)
-        hard[row_of(np.flatnonzero(bad))] = True
+        hard[np.searchsorted(off, np.concatenate(bad), side="right") - 1] = True
         keep = kind != _SPACE
         if hard.any():
             keep &= ~np.repeat(hard, np.diff(off))
@@ -172,13 +184,13 @@ class WordTokenizer:
         parts = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(bytes_)])
         codes, distinct = common.codes_of(parts)
         row = np.repeat(np.arange(n), np.diff(np.searchsorted(np.flatnonzero(opens), off)))
-        slot = self.slots(distinct.to_pylist(), self.part)[codes] if len(codes) else np.zeros(0, np.int64)
+        slot = self.slots(distinct.to_pylist(), self.parts_of)[codes] if len(codes) else np.zeros(0, np.int64)
         if hard.any():  # words are remembered under a mark, for they are not lower-cased parts
             which = np.flatnonzero(hard)
             values, word_row = common.words_of(pc.fill_null(texts, "").take(pa.array(which)))
             codes, distinct = common.codes_of(values)
             if len(codes):
-                slot = np.concatenate([slot, self.slots(["\n" + w for w in distinct.to_pylist()], self.word)[codes]])
+                slot = np.concatenate([slot, self.slots(["\n" + w for w in distinct.to_pylist()], self.words_of)[codes]])
                 row = np.concatenate([row, which[word_row]])
                 order = np.argsort(row, kind="stable")
                 slot, row = slot[order], row[order]
@@ -382,7 +394,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         encoder = WordTokenizer.of(tokenizer)
         seen = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for part in common.pieces(batch, "t"):
+            for part in common.pieces(batch, "t", TOKENISED):
                 ids, begin = encoder.encode(part.column("t"))
                 rows = part.num_rows
                 pair = common.distinct(np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(16), np.diff(begin)) | ids)
