@@ -47,7 +47,9 @@ DEPTH, LAST = 3, 8
 #: The chance to bring a pair at the threshold together that the number of runs is for.
 RECALL = 0.995
 #: Comparisons for each set of a bucket before it is split again.
-EFFORT = 64
+EFFORT = 512
+#: Sets that are split again up to which they are sent to the texts instead of the texts to them.
+SENT = 100_000
 #: Agreeing bits of 256 that make a pair a candidate: 4.5 deviations below what similarity 0.8 gives.
 SKETCH_WORDS, SKETCH_LEAST = 4, 202
 #: Texts in a block of exact comparison.
@@ -394,6 +396,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run
         if depth == LAST or again.isEmpty():
             break
         asked = again.mapInArrow(nodes, "h1 long, path long").join(classes.select("h1", "rep"), "h1").groupBy("rep").agg(F.collect_set("path").alias("paths"))
+        asked = common.checkpoint(asked)
+        if asked.count() <= SENT:  # a node or two each, so some megabytes at most
+            asked = F.broadcast(asked)
         level = src.join(asked, src["i"] == asked["rep"]).select("t", "paths").mapInArrow(partial(deeper, depth=depth), common.PARCEL_DDL)
     chunks = met.where(F.col("kind") == CHUNKS).repartitionById(n, F.col("to")).mapInArrow(meet_chunks, common.PARCEL_DDL)
 
