@@ -18,6 +18,7 @@ import os
 import pickle
 import sys
 import tempfile
+import time
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -37,7 +38,7 @@ _shipped: set[str] = set()
 
 
 def _return_memory() -> None:
-    """Lets freed arrays go back to the system, but for some 64 MB.
+    """Lets freed arrays go back to the system, but for some 16 MB.
 
     Workers live on between tasks; what the C library keeps of their largest
     moment would count against the executor for as long.
@@ -46,8 +47,8 @@ def _return_memory() -> None:
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):  # only glibc has it
         m_trim_threshold, m_mmap_threshold = -1, -3
-        libc.mallopt(m_mmap_threshold, 16 << 20)
-        libc.mallopt(m_trim_threshold, 64 << 20)
+        libc.mallopt(m_mmap_threshold, 4 << 20)
+        libc.mallopt(m_trim_threshold, 16 << 20)
 
 
 if "pyspark.worker" in sys.modules:  # in executors' Python processes only
@@ -98,6 +99,25 @@ def checkpoint(df: DataFrame, free: bool = False) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession, wait: float = 1.2) -> None:
+    """Waits until the shuffle files of what has been cut off are gone, before the next ones take their disk.
+
+    Spark lets go of a finished query a moment later than it ends, and its cleaner
+    works on its own: two rounds with a pause do.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
+
+
+def give_back() -> None:
+    """Hands what a finished task's largest moment took back to the system; the worker lives on."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder."""
     sc = spark.sparkContext

@@ -48,7 +48,7 @@ CHUNK = 500_000  # tokens counted at a time
 #: Bytes of text tokenised together: the more, the fewer distinct words in all.
 TOKENISED = 4 << 20
 #: Words whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 250_000
 
 
 #: Words that lower-casing and composing treat letter by letter: printable ASCII and accented Latin-1 letters.
