@@ -50,13 +50,6 @@ def spanning_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return node[own], node[up[own]]
 
 
-def star_batch(links) -> pa.RecordBatch:
-    """Links found in one partition as spanning stars; fewer rows for the same components."""
-    u, v = (np.array(x, np.int64) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
-    u, v = spanning_stars(u, v)
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-
 def owner_of(node: np.ndarray, n: int) -> np.ndarray:
     """The shard of each node."""
     return (mix64(node.view(np.uint64)) % np.uint64(n)).astype(np.int32)
