@@ -2,10 +2,10 @@
 
 Every byte covered by a 50-byte string that also starts in a document with a
 smaller id is removed. Matches are found on a *sparse* suffix array: of each
-27 consecutive positions the one whose 24-byte gram hashes least is an anchor,
+31 consecutive positions the one whose 20-byte gram hashes least is an anchor,
 so any 50 equal bytes hold the same anchor at the same place, and only about one
-suffix in 14 is indexed. All 50-byte strings through an anchor's gram lie in its
-surroundings, the 26 bytes before it to the 50 after its start.
+suffix in 16 is indexed. All 50-byte strings through an anchor's gram lie in its
+surroundings, the 30 bytes before it to the 50 after its start.
 
 Anchors are dealt by gram to shards. A shard takes them in batches of ascending
 document id: a batch gets its sorted array, is scanned against the levels there
@@ -39,7 +39,7 @@ from lintel.llm import common
 from lintel.llm.common import mix64, pack, unpack
 
 LENGTH = 50  # bytes of a match
-GRAM = 24
+GRAM = 20
 SPAN = LENGTH - GRAM + 1  # positions of which one is an anchor
 BEFORE = LENGTH - GRAM  # bytes before an anchor that a match through it can reach
 WIDE = BEFORE + LENGTH
@@ -67,7 +67,7 @@ def anchors_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     w = _words_at(buf, n + 24)
     h = w[:n] * _MULT[0]
     h += w[8 : n + 8] * _MULT[1]
-    h += w[16 : n + 16] * _MULT[2]
+    h += w[GRAM - 8 : n + GRAM - 8] * _MULT[2]
     h ^= h >> np.uint64(32)
     h *= _MULT[3]
     h ^= h >> np.uint64(29)
@@ -586,12 +586,15 @@ def _removed(src: DataFrame, n: int, batches: int, levels: DataFrame | None = No
     if levels is not None:
         anchors = common.checkpoint(anchors)
         everything = anchors.unionByName(levels)
-    first = common.checkpoint(everything.repartitionById(n, F.col("to")).mapInArrow(match, _DDL), free=True)
+    spark = src.sparkSession
+    first = common.checkpoint(everything.repartitionById(n, F.col("to")).mapInArrow(match, _DDL))
+    common.free_shuffles(spark)
     asked = first.where(F.col("kind") == ANCHORS)
     if texts is not None:
         again = asked.select("parcel").mapInArrow(asked_ids, "i long").distinct()
         known = src.unionByName(texts.join(again, "i", "left_semi").select(src.columns))
     fetched = common.beside(known, asked, n).mapInArrow(fetch, _DDL)
-    second = common.checkpoint(fetched.repartitionById(n, F.col("to")).mapInArrow(settle, _DDL), free=True)
+    second = common.checkpoint(fetched.repartitionById(n, F.col("to")).mapInArrow(settle, _DDL))
+    common.free_shuffles(spark)
     spans = first.where(F.col("kind") == SPANS).unionByName(second)
     return common.beside(src, spans, n).mapInArrow(cut, "i long, n_bytes long, spans array<long>, kept binary"), anchors
