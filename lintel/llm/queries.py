@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import chosen_path, discriminant, fuzzy_lines, layout_html, mixing, packing, ppm, repetition, suffix_levels, webp_encode
+from lintel.llm import chosen_path, discriminant, filter_audit, fuzzy_lines, layout_html, mixing, packing, ppm, repetition, suffix_levels, webp_encode
 from lintel.llm.common import read_table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -120,6 +120,22 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.expr("CAST(size(spans) DIV 2 AS BIGINT)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The failure conditions of the audit's filters; E, repeated texts, is not one of a single document.
+AUDIT_LETTERS = "ABCDE"
+
+
+def audit_conditions(text: Column) -> dict[str, Column]:
+    """Too short, too repetitive, too many capitals, symbols."""
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
+    return {"A": F.size(words) < 200, "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words), "C": 100 * capitals > 2 * F.length(text), "D": F.rlike(text, F.lit(r"[#$%&*|]"))}
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), audit_conditions(text), F.col("source"), AUDIT_LETTERS[-1])
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
@@ -148,5 +164,24 @@ x AS (SELECT e.r, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN x USING (r)"""
 
 
+#: Every document against every edge, then every order's steps.
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+ + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+ + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d),
+m AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN lab USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS l(x, b)),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bs FROM l p JOIN l q ON q.b <> p.b JOIN l r ON r.b NOT IN (p.b, q.b) JOIN l s ON s.b NOT IN (p.b, q.b, r.b) JOIN l t ON t.b NOT IN (p.b, q.b, r.b, s.b)),
+st AS (SELECT filter_order, CAST(k AS INTEGER) AS step, bs[k] AS f, coalesce(list_sum(list_slice(bs, 1, k - 1)), 0)::INTEGER AS s FROM o, unnest(range(1, 6)) AS u(k)),
+e AS (SELECT part, filter_order, step, f, CAST(sum(CASE WHEN mask & (s | f) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+ CAST(sum(CASE WHEN mask & s = 0 AND mask & f <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN mask & s <> 0 AND mask & f <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+ CAST(sum(CASE WHEN mask = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails, CAST(sum(CASE WHEN mask & s = 0 AND mask & f <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+ CAST(sum(CASE WHEN mask & s = 0 AND mask & f <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM c, st GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM e"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_repetition": OP1_SQL, "op6_chosen_path": OP6_SQL, "op10_suffix_levels": OP10_SQL}
+    return {"op1_suffix_repetition": OP1_SQL, "op6_chosen_path": OP6_SQL, "op10_suffix_levels": OP10_SQL, "op11_filter_audit": OP11_SQL}
