@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import chosen_path, discriminant, filter_audit, fuzzy_lines, layout_html, mixing, packing, ppm, repetition, suffix_levels, webp_encode
+from lintel.llm import chosen_path, decontaminate, discriminant, filter_audit, fuzzy_lines, layout_html, mixing, packing, ppm, repetition, suffix_levels, webp_encode
 from lintel.llm.common import read_table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -136,6 +136,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), audit_conditions(text), F.col("source"), AUDIT_LETTERS[-1])
 
 
+def op13_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.flagged(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
@@ -182,6 +187,21 @@ e AS (SELECT part, filter_order, step, f, CAST(sum(CASE WHEN mask & (s | f) = 0
  CAST(sum(CASE WHEN mask & s = 0 AND mask & f <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM c, st GROUP BY part, filter_order, step, f)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM e"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD_13 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: All windows of all documents joined with those of the items.
+OP13_SQL = f"""
+WITH it AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD_13}') AS ws FROM benchmark),
+wi AS (SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(list_slice(ws, i, i + 9), ' ') AS g FROM it, unnest(range(1, greatest(len(ws) - 8, 2))) AS t(i) WHERE len(ws) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_WORD_13}') AS ws FROM documents),
+dw AS (SELECT r, i, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM d, (SELECT DISTINCT k FROM wi) s, unnest(range(1, greatest(len(ws) - k + 2, 1))) AS t(i)),
+h AS (SELECT r, i, k, item_id FROM dw JOIN wi USING (g, k)),
+n AS (SELECT r, count(DISTINCT i + o) AS n_hit FROM h, unnest(range(0, k)) AS u(o) GROUP BY r),
+s AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN s USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_repetition": OP1_SQL, "op6_chosen_path": OP6_SQL, "op10_suffix_levels": OP10_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op1_suffix_repetition": OP1_SQL, "op6_chosen_path": OP6_SQL, "op10_suffix_levels": OP10_SQL, "op11_filter_audit": OP11_SQL, "op13_benchmark_hits": OP13_SQL}

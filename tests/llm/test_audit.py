@@ -1,10 +1,13 @@
 """The audits of filters and of sources, and decontamination, against brute force."""
 
+import random
+import re
 from itertools import permutations
 
+import pytest
 from pyspark.sql import functions as F
 
-from lintel.llm import filter_audit, queries
+from lintel.llm import decontaminate, filter_audit, queries
 from tests.llm import brute
 
 
@@ -74,3 +77,73 @@ def test_lattice_size(spark):
     assert filter_audit.lattice_paths(spark, "ABCDE").count() == 600
     one = spark.createDataFrame([("a", 0, 1, 0, 0)], "part string, failed int, n long, n_good long, n_toxic long")
     assert filter_audit.lattice_edges(one, "ABCDE").count() == 80
+
+
+_W13 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _hits(text, items, n):
+    """(hit word positions, item ids) by comparing every window."""
+    w = _W13.findall(brute.lowered(text).decode())
+    hit, found = set(), set()
+    for i, t in items:
+        v = _W13.findall(brute.lowered(t).decode())
+        grams = {tuple(v[k : k + n]) for k in range(max(1, len(v) - n + 1))} if v else set()
+        for g in grams:
+            for p in range(len(w) - len(g) + 1):
+                if tuple(w[p : p + len(g)]) == g:
+                    hit.update(range(p, p + len(g)))
+                    found.add(i)
+    return len(w), hit, sorted(str(i) for i in found if i is not None)
+
+
+def _contaminated_rows():
+    rng = random.Random(13)
+    vocab = ["Ab", "b", "É", "é9", "d_d", "0", "x", "y"]
+    text = lambda k: rng.choice([" ", "-", ", "]).join(rng.choice(vocab) for _ in range(k))
+    items = [(k, text(rng.choice([12, 15, 30]))) for k in range(12)] + [(20, text(7)), (21, text(2) + " zz"), (22, "zz"), (23, ""), (24, None), (None, text(14)), (100, "x " * 30), (1, text(11))]
+    rows = []
+    for i in range(120):
+        body = [text(rng.randrange(0, 25))]
+        for _ in range(rng.randrange(0, 3)):
+            w = _W13.findall((rng.choice(items)[1] or ""))
+            a = rng.randrange(len(w) + 1)
+            body += [" ".join(w[a : a + rng.choice([5, 9, 10, 11, 40])]).replace("b", "B").replace("É", "é" if rng.random() < 0.1 else "É"), text(rng.randrange(0, 9))]
+        rows.append((i, rng.choice(["! ", " ", "\n"]).join(body)))
+    return rows + [(500, None), (501, ""), (None, items[0][1]), (None, items[0][1]), rows[3], rows[3], (502, items[1][1] * 50)], items
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+@pytest.mark.parametrize("n", [10, 4])
+def test_decontamination(spark, most, n):
+    rows, items = _contaminated_rows()
+    docs, bench = brute.messy(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.flagged(docs, bench, n=n, most=most).collect()
+    want = []
+    for i, t in rows:
+        k, hit, found = _hits(t, items, n)
+        want.append((i, k, len(hit), found))
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert 20 < sum(r.n_hit > 0 for r in got) < len(rows)
+    left = decontaminate.decontaminated(docs, bench, "documents", n=n, most=most)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted((i or 0, t or "") for i, t in rows if not _hits(t, items, n)[1])
+    cut = []
+    for i, t in rows:
+        _, hit, _ = _hits(t, items, n)
+        parts = list(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or ""))
+        if hit:
+            ends = [m.start() for m in parts[1:]] + [len(t)]
+            t = t[: parts[0].start()] + "".join(t[m.start() : e] for k, (m, e) in enumerate(zip(parts, ends)) if k not in hit)
+        cut.append((i or 0, t or ""))
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.decontaminated(docs, bench, n=n, most=most).collect()) == sorted(cut)
+
+
+def test_decontamination_without_a_benchmark(spark):
+    docs, none = brute.messy(spark, [(1, "a b"), (None, None)]), spark.createDataFrame([], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in decontaminate.flagged(docs, none).collect()) == [(0, 0, 0, []), (1, 2, 0, [])]
+    assert decontaminate.decontaminated(docs, none).count() == 2 and decontaminate.flagged(brute.messy(spark, []), none).count() == 0
+    long = brute.messy(spark, [(1, "q " * 200_000 + "a b c d e f g h i j k")])
+    item = spark.createDataFrame([(5, "b c d e f g h i j k")], "item_id long, text string")
+    assert [(r.n_words, r.n_hit, r["items"]) for r in decontaminate.flagged(long, item).collect()] == [(200_011, 10, ["5"])]
