@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import chosen_path, decontaminate, discriminant, filter_audit, fuzzy_lines, layout_html, mixing, packing, ppm, repetition, suffix_levels, webp_encode
+from lintel.llm import chosen_path, decontaminate, discriminant, filter_audit, fuzzy_lines, layout_html, mixing, packing, ppm, repetition, source_audit, suffix_levels, webp_encode
 from lintel.llm.common import read_table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -136,6 +136,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), audit_conditions(text), F.col("source"), AUDIT_LETTERS[-1])
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(read_table(spark, sf_dir, "documents"))
+
+
 def op13_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.flagged(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -190,6 +194,24 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD_13 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+#: Every group against every kept term of its language.
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '{_TERM}')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS size, sum(n) OVER (PARTITION BY lang, term) AS ln, sum(n) OVER (PARTITION BY lang) AS lsize, count(*) OVER (PARTITION BY lang, source) AS v FROM m),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (size + 5 * v) AS p, 1 + (1000000000::HUGEINT * (ln + 5)) // (lsize + 5 * v) AS q FROM s),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50"""
+
 #: All windows of all documents joined with those of the items.
 OP13_SQL = f"""
 WITH it AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD_13}') AS ws FROM benchmark),
@@ -204,4 +226,4 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN s USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_repetition": OP1_SQL, "op6_chosen_path": OP6_SQL, "op10_suffix_levels": OP10_SQL, "op11_filter_audit": OP11_SQL, "op13_benchmark_hits": OP13_SQL}
+    return {"op1_suffix_repetition": OP1_SQL, "op6_chosen_path": OP6_SQL, "op10_suffix_levels": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_benchmark_hits": OP13_SQL}

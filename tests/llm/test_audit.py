@@ -2,12 +2,13 @@
 
 import random
 import re
+from collections import Counter, defaultdict
 from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
 
-from lintel.llm import decontaminate, filter_audit, queries
+from lintel.llm import decontaminate, filter_audit, queries, source_audit
 from tests.llm import brute
 
 
@@ -147,3 +148,55 @@ def test_decontamination_without_a_benchmark(spark):
     long = brute.messy(spark, [(1, "q " * 200_000 + "a b c d e f g h i j k")])
     item = spark.createDataFrame([(5, "b c d e f g h i j k")], "item_id long, text string")
     assert [(r.n_words, r.n_hit, r["items"]) for r in decontaminate.flagged(long, item).collect()] == [(200_011, 10, ["5"])]
+
+
+def _divergence(rows, least, top):
+    """(lang, source, part, item): (value, rank) by the definition."""
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    count, have, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for lang, source, t in rows:
+        lang, source = lang or "", source or ""
+        w = term.findall(brute.lowered(t).decode())
+        groups[lang].add(source)
+        count[lang, source].update(w)
+        have[lang].update(set(w))
+    out = {}
+    for lang, sources in groups.items():
+        kept = [w for w, k in have[lang].items() if k >= least]
+
+        def shares(c, kept=kept):
+            size = sum(c[w] for w in kept)
+            return {w: 1 + 10**9 * (c[w] + 5) // (size + 5 * len(kept)) for w in kept}
+
+        whole = shares(sum((count[lang, s] for s in sources), Counter()))
+        p = {s: shares(count[lang, s]) for s in sources}
+        for s in sources:
+            pairs = [(sum(abs(p[s][w] - p[o][w]) for w in kept), o) for o in sources if o != s]
+            terms = [(p[s][w] - whole[w], w) for w in kept if count[lang, s][w] > 0 and p[s][w] > whole[w]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                for k, (v, x) in enumerate(sorted(found, key=lambda f: (-f[0], f[1].encode()))[:most]):
+                    out[lang, s, part, x] = (v, k + 1)
+    return out
+
+
+def test_source_divergence(spark, monkeypatch):
+    monkeypatch.setattr(source_audit, "COUNT_BYTES", 2000)  # several counts a task, where the task is forked with it
+    rng = random.Random(12)
+    langs, sources = ["en", "en", "de", "", None, "one"], ["a", "b", "é", "", None, "src"]
+    rows = [(rng.choice(langs), rng.choice(sources), t) for _, t in brute.prose(12, 300)] + [("none", "x", "1 2 3"), ("none", "y", None), ("zz", "x", "Ünï\x00Wort wort WORT"), ("en", "late", ""), ("en", "big", "word other " * 40_000)]
+    rows = [(a if a != "one" else "one", s if a != "one" else "only", t) for a, s, t in rows]
+    df = spark.createDataFrame([(k, t, a, s, "x", 1) for k, (a, s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, term string, n int").repartition(5)
+    for least, top in ((30, 50), (5, 3), (10_000, 50)):
+        got = source_audit.divergence(df, min_docs=least, top=top).collect()
+        want = _divergence(rows, least, top)
+        assert len(got) == len(want)
+        assert {(r.lang, r.source, r.part, r["item"]): (r.value, r["rank"]) for r in got} == want
+    assert any(k[2] == "term" for k in _divergence(rows, 30, 50)) and want["none", "x", "pair", "y"] == (0, 1)
+    assert source_audit.divergence(df.where("false")).count() == 0
+
+
+def test_source_divergence_beyond_64_bits(spark):
+    sizes = spark.createDataFrame([("en", "a", "t", 10**12, None, None, 0), ("en", "b", "u", 10**12, None, None, 0), ("en", "a", None, 10**12, 2 * 10**12, 2, 0), ("en", "b", None, 10**12, 2 * 10**12, 2, 0)], "lang string, source string, term string, n long, lang_size long, n_terms long, b int").coalesce(1)
+    got = sizes.mapInArrow(source_audit._compared(5, 10**9, 50), source_audit._FOUND_DDL).collect()
+    p, q, low = 1 + 10**9 * (10**12 + 5) // (10**12 + 10), 1 + 10**9 * (10**12 + 5) // (2 * 10**12 + 10), 1 + 10**9 * 5 // (10**12 + 10)
+    assert sorted(map(tuple, got)) == [("pair", "en", "a", "b", 2 * (p - low)), ("term", "en", "a", "t", p - q), ("term", "en", "b", "u", p - q)]
