@@ -20,6 +20,7 @@ other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,7 +208,10 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, smoothing: int = SMOOT
     pairs = found.where("part = 'pair'").groupBy("part", "lang", "source", "item").agg(F.sum("value").alias("value"))
     both = F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))
     pairs = pairs.select("part", "lang", "value", F.inline(both))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
+    ranked = lambda *by: F.row_number().over(Window.partitionBy("lang", "source", "part", *by).orderBy(F.desc("value"), "item"))
     columns = ["lang", "source", "part", "item", "value"]
-    terms = found.where("part = 'term'").select(*columns).withColumn("rank", rank).where(F.col("rank") <= top)
-    return pairs.select(*columns).withColumn("rank", rank).unionByName(terms)
+    # a group's top lists of all shards would meet in one task: lists of some shards are merged first
+    some = F.pmod(F.xxhash64("item"), F.lit(max(1, math.isqrt(n))))
+    terms = found.where("part = 'term'").select(*columns).withColumn("some", some).withColumn("rank", ranked("some")).where(F.col("rank") <= top)
+    terms = terms.select(*columns).withColumn("rank", ranked()).where(F.col("rank") <= top)
+    return pairs.select(*columns).withColumn("rank", ranked()).unionByName(terms)
