@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.operators import delta, detect, metrics, report, structure
+from lintel.operators import delta, detect, history, metrics, report, structure
 from lintel.sources import files as sources
 
 
@@ -80,3 +80,26 @@ def scan_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> ScanRe
 def scan_path(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> ScanResult:
     """A scan of a directory in any store that Spark reads."""
     return scan_files(sources.directory(spark, root), options)
+
+
+def scan_commit(spark: SparkSession, repository: str, commit: str = "HEAD", since: str | None = None, options: ScanOptions = ScanOptions()) -> ScanResult:
+    """A scan of the files at a commit (an id, a branch, a tag or HEAD) of a repository that Spark reads where it lies.
+
+    With `since`, another commit, only files that differ from it are scanned, and only
+    findings on lines that were added or changed since are kept.
+    """
+    small, references = history.objects(spark, repository, ("commit", "tag")), history.references(spark, repository)
+    ids = [history.resolved(references, small, c) for c in ((commit,) if since is None else (commit, since))]
+    if None in ids:
+        raise ValueError(f"no such commit: {(commit, since)[ids.index(None)]}")
+    commits, entries = history.commits(small), history.entries(history.objects(spark, repository, ("tree",)))
+    blobs = history.objects(spark, repository, ("blob",), max_bytes=options.max_bytes)
+    files = history.files_at(entries, commits, ids[0])
+    if since is None:
+        return scan_files(history.scan_files(files, blobs), options)
+    changed = history.changes(entries, commits, ids[1], ids[0])
+    files = files.join(changed.select("path"), "path", "left_semi")
+    out = scan_files(history.scan_files(files, blobs), options)
+    if options.path_prefix:
+        changed = sources.prefixed(changed, options.path_prefix)
+    return replace(out, findings=history.on_changed_lines(out.findings, history.diff(changed, blobs)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import text as X
 from lintel.sources import files as sources
+from lintel.sources.shared import stored
 
 SUFFIXES = [".go", ".py", ".js", ".ts", ".java", ".php", ".rb", ".cs", ".html", ".sh", ".css", ".md", "/package.json"]
 
@@ -101,6 +102,58 @@ def source_files(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     return sources.parsed(f.withColumn("language", X.language(F.col("path"))).where("language IS NOT NULL"))
 
 
+#: Two commits on the documents: message, author, time, branch. The second one has other fixtures in every fifth file.
+COMMITS = [("First import", "Ada", 1_700_000_000, "release"), ("Change some files\n\nEvery fifth one.", "Bob", 1_700_086_400, "main")]
+
+
+def _bytes(*parts) -> object:
+    return F.concat(*[F.encode(x, "UTF-8") if not isinstance(x, bytes) else F.lit(x) for x in parts])
+
+
+def _object_id(kind: str, content) -> object:
+    return F.sha1(F.concat(_bytes(F.concat(F.lit(f"{kind} "), F.octet_length(content).cast("string")), b"\0"), content))
+
+
+def _repository_files(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
+    """Three levels of folders by the bytes of a document's id, so that none has more than 256 entries but the first."""
+    d = documents(spark, sf_dir, shift)
+    name = F.replace(F.regexp_replace("path", "^src/[^/]*/", ""), F.lit("/"), F.lit("."))
+    k = F.regexp_extract(name, r"^\d+", 0).cast("long")
+    folder = lambda c, w: F.concat(F.lit(c), F.pmod(F.shiftright(k, w), F.lit(256)).cast("string"))
+    content = F.encode("content", "UTF-8")
+    return d.select(F.concat(F.lit("a"), F.shiftright(k, 24).cast("string")).alias("d1"), folder("b", 16).alias("d2"), folder("c", 8).alias("d3"), name.alias("name"), content.alias("content")).withColumn("oid", _object_id("blob", F.col("content")))
+
+
+def repository(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(objects, references, ids of the commits) of a repository that has the documents as files, as Spark makes them."""
+    add = lambda a, e: F.concat(a, _bytes(F.concat(e["mode"], F.lit(" "), e["name"]), b"\0"), F.unhex(e["oid"]))
+    made, blobs, ids = None, None, []
+    for shift, (message, author, at, _) in enumerate(COMMITS):
+        files = _repository_files(spark, sf_dir, shift)
+        some = files.select("oid", "content")
+        blobs = some if blobs is None else blobs.unionByName(some)
+        rows = files.select("d1", "d2", "d3", F.lit("100644").alias("mode"), "name", "oid", F.col("name").alias("key"))
+        for by in (["d1", "d2", "d3"], ["d1", "d2"], ["d1"], []):
+            entry = F.struct("key", "mode", "name", "oid")
+            content = F.aggregate(F.array_sort(F.collect_list(entry)), F.lit(b""), add)
+            trees = rows.groupBy(*by).agg(content.alias("content")).select(*by, _object_id("tree", F.col("content")).alias("oid"), "content")
+            trees = stored(trees)
+            new = trees.select("oid", F.lit("tree").alias("type"), "content")
+            made = new if made is None else made.unionByName(new)
+            if by:
+                last = F.col(by[-1])
+                rows = trees.select(*by[:-1], F.lit("40000").alias("mode"), last.alias("name"), "oid", F.concat(last, F.lit("/")).alias("key"))
+        person = f"{author} <{author.lower()}@example.org> {at} +0000"
+        parents = "".join(f"parent {i}\n" for i in ids[-1:])
+        text = F.concat(F.lit("tree "), "oid", F.lit(f"\n{parents}author {person}\ncommitter {person}\n\n{message}\n"))
+        commit = stored(trees.select(F.encode(text, "UTF-8").alias("content")).select(_object_id("commit", F.col("content")).alias("oid"), F.lit("commit").alias("type"), "content"))
+        made = made.unionByName(commit)
+        ids.append(commit.first().oid)
+    objects = made.unionByName(blobs.select("oid", F.lit("blob").alias("type"), "content")).dropDuplicates(["oid"])
+    names = [(f"refs/heads/{branch}", i, None) for i, (*_, branch) in zip(ids, COMMITS)] + [("HEAD", ids[-1], f"refs/heads/{COMMITS[-1][-1]}")]
+    return objects, spark.createDataFrame(names, "name string, oid string, target string"), ids
+
+
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest for each document."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id")

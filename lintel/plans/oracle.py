@@ -219,6 +219,19 @@ GO_IMPORTS = f"""SELECT path, language, CASE WHEN regexp_matches(line, {q(C.GO_I
 COMPLEXITY = "complexity AS (SELECT path, sum(" + " + ".join(f"CAST(contains({_trim('line')}, {q(w)}) AS INTEGER)" for w in C.COMPLEXITY_WORDS) + " + CASE WHEN length(regexp_extract(line, '^[ \\t]*')) > 16 THEN 0.5 ELSE 0 END)::DOUBLE / count(*) * 100 AS complexity FROM lines GROUP BY path)"
 
 
+def _repository() -> str:
+    """The files of both commits, with their objects' ids."""
+    side = lambda k: f"""f{k} AS (SELECT 'a' || (i >> 24) || '/b' || (i >> 16) % 256 || '/c' || (i >> 8) % 256 || '/' || name AS path, sha1('blob ' || strlen(content) || chr(0) || content) AS oid,
+ string_split(content, chr(10)) AS lines FROM (SELECT *, CAST(regexp_extract(name, '^[0-9]+') AS BIGINT) AS i FROM (SELECT replace(regexp_replace(path, '^src/[^/]*/', ''), '/', '.') AS name, content FROM docs{k})))"""
+    return f"WITH {documents(0, 'docs0')},\n{documents(1, 'docs1')},\n{side(0)},\n{side(1)}"
+
+
+def _ended(lines: str) -> str:
+    """Lines with their line ends; what follows the last one is a line if it is not empty."""
+    each = f"list_transform({lines}, lambda x, i: CASE WHEN i < len({lines}) THEN x || chr(10) ELSE x END)"
+    return f"CASE WHEN {lines}[len({lines})] = '' THEN {each}[:-2] ELSE {each} END"
+
+
 def oracle_sql() -> dict[str, str]:
     """By query name."""
     one, lined = f"WITH {findings()}", f"WITH {files()}"
@@ -313,6 +326,10 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "url_validation": f"WITH {URLS} SELECT page_id, lower({part(1)}) IN ('https', 'ssh') AND NOT (regexp_matches({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#@]*@') AND (lower({part(1)}) = 'https' OR contains({part(2)}, ':'))) AND lower({part(3)}) IN ('github.com', 'gitlab.com', 'bitbucket.org') AND NOT contains({part(4)}, '..') AS allowed FROM urls",
         "repository_from_url": f"WITH {URLS} SELECT page_id, string_split({full}, '/')[-1] AS name, {full} AS full_name, CASE WHEN contains({host}, 'github') THEN 'github' WHEN contains({host}, 'gitlab') THEN 'gitlab' WHEN contains({host}, 'bitbucket') THEN 'bitbucket' ELSE 'generic' END AS provider FROM urls WHERE starts_with(url, 'https://')",
         "changed_files": "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, md5(coalesce(text, '')) AS hash, doc_id FROM documents), a AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old/' || path ELSE path END AS path, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE hash END AS was FROM d), b AS (SELECT path, hash AS now FROM d) SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b USING (path) WHERE was IS NULL OR now IS NULL OR was <> now",
+        "git_files": f"{_repository()} SELECT path, '100644' AS mode, oid FROM f1",
+        "git_changes": f"{_repository()} SELECT path, CASE WHEN f0.oid IS NULL THEN 'added' WHEN f1.oid IS NULL THEN 'deleted' ELSE 'modified' END AS change, f0.oid AS old_oid, f1.oid AS new_oid FROM f0 FULL JOIN f1 USING (path) WHERE f0.oid IS DISTINCT FROM f1.oid",
+        "git_line_changes": f"{_repository()} SELECT path, CAST(len(n) - len(o) AS BIGINT) AS gained, (SELECT min(i) FROM unnest(range(1, 2 + greatest(len(o), len(n)))) AS t(i) WHERE o[i] IS DISTINCT FROM n[i]) AS first_line FROM (SELECT path, {_ended('f0.lines')} AS o, {_ended('f1.lines')} AS n FROM f0 JOIN f1 USING (path) WHERE f0.oid <> f1.oid)",
+        "git_branches": "SELECT name, author, last_commit, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS files FROM (VALUES " + ", ".join(f"({q(b)}, {q(a)}, CAST({t} AS BIGINT))" for _, a, t, b in corpus.COMMITS) + ") AS b(name, author, last_commit)",
         "recent_commits": "SELECT event_id AS commit_id FROM events ORDER BY ts DESC, event_id LIMIT 25",
         "rule_catalogue": f"SELECT * FROM (VALUES {catalogue}) AS t(rule_id, title, severity, category, cwe, confidence, refs)",
         "branding_colours": f"WITH c AS (SELECT doc_id, '#' || left(md5(CAST(doc_id AS VARCHAR)), 6) || CASE WHEN doc_id % 10 = 0 THEN 'g' ELSE '' END AS c FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id, CASE WHEN regexp_matches(c, '^#[0-9a-fA-F]{{6}}$') THEN '#' || {dark(2)} || {dark(4)} || {dark(6)} ELSE c END AS dark FROM c",

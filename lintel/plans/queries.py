@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import text as X
-from lintel.operators import delta, dependency, detect, metrics, report, structure
+from lintel.operators import delta, dependency, detect, history, metrics, report, structure
 from lintel.plans import catalog as C
 from lintel.plans import corpus
 from lintel.sources import files as sources
@@ -359,6 +359,34 @@ def recent_commits(spark, sf_dir):
     return sources.most_recent(e, 25).select("commit_id")
 
 
+def git_files(spark, sf_dir):
+    """The files at the last commit of a repository that Spark makes of the documents."""
+    objects, _, ids = corpus.repository(spark, sf_dir)
+    return history.files_at(history.entries(objects), history.commits(objects), ids[-1])
+
+
+def git_changes(spark, sf_dir):
+    objects, _, ids = corpus.repository(spark, sf_dir)
+    return history.changes(history.entries(objects), history.commits(objects), *ids)
+
+
+def git_line_changes(spark, sf_dir):
+    """Of each changed file the lines it gains and the first line that differs."""
+    objects, _, ids = corpus.repository(spark, sf_dir)
+    d = history.diff(history.changes(history.entries(objects), history.commits(objects), *ids), objects)
+    gained = F.aggregate("hunks", F.lit(0).cast("long"), lambda a, h: a + h["added"] - h["removed"])
+    return d.select("path", gained.alias("gained"), F.col("hunks")[0]["old_start"].alias("first_line"))
+
+
+def git_branches(spark, sf_dir):
+    """The branches with their last commits and how many files these have."""
+    objects, references, ids = corpus.repository(spark, sf_dir)
+    commits, entries = history.commits(objects), history.entries(objects)
+    files = [history.files_at(entries, commits, i).agg(F.count("*").alias("files")).withColumn("sha", F.lit(i)) for i in ids]
+    b = history.branches(references, commits).join(files[0].unionByName(files[1]), "sha")
+    return b.select("name", "author", F.unix_timestamp("last_commit").alias("last_commit"), "files")
+
+
 def rule_catalogue(spark, sf_dir):
     rows = [(*r[:6], " ".join(r[6])) for r in C.rule_table()]
     return spark.createDataFrame(rows, "rule_id string, title string, severity string, category string, cwe string, confidence double, refs string").orderBy("rule_id")
