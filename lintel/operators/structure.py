@@ -1,14 +1,18 @@
-"""Imports, functions and string literals of source lines.
+"""Imports, functions, calls and string literals of source files.
 
-Go is read as its formatter writes it: a function begins with `func` at the start of
-a line and ends with the next line that starts with a brace, or on its own line.
+Go is read by its tokens (`functions.go_code`). What does not parse as a Go file, such as a
+part of one, is read as its formatter would write it: a function begins with `func` at the start
+of a line and ends with the next line that starts with a brace, or on its own line; calls are
+then unknown.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintel.functions import go_code
 from lintel.functions import regex as R
 from lintel.functions import text as X
 from lintel.operators.detect import all_lines
@@ -24,6 +28,40 @@ def _matched(files: DataFrame, table: dict, trim: tuple) -> DataFrame:
     return rows.select("path", "language", "line_no", "line", F.explode(F.array_compact(hits)).alias("name"))
 
 
+#: What a Go file is read as; null if it is none.
+GO = "struct<imports:array<struct<name:string,alias:string,line_no:int>>,functions:array<struct<name:string,start_line:int,end_line:int,is_exported:boolean,complexity:int,parameters:array<string>,return_type:string>>,calls:array<struct<name:string,receiver:string,line_no:int,column:int,is_method:boolean>>>"
+_KINDS = {"imports": ("name", "alias", "line_no"), "functions": ("name", "start_line", "end_line", "is_exported", "complexity", "parameters", "return_type"), "calls": ("name", "receiver", "line_no", "column", "is_method")}
+
+
+def _go_structure(contents: pd.Series) -> pd.DataFrame:
+    rows = [go_code.structure(c or "") for c in contents]
+    return pd.DataFrame({kind: [None if r is None else [dict(zip(names, x)) for x in r[kind]] for r in rows] for kind, names in _KINDS.items()}, index=contents.index)
+
+
+def _go(files: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(path, language and what files of Go have of a kind, the files that only look like Go)."""
+    named = files.where(F.col("language") == "go")
+    clause = F.coalesce(F.col("content").rlike(r"(?m)^\s*package\s"), F.lit(False))  # none, so nothing to parse
+    read = named.where(clause).withColumn("go", F.pandas_udf(_go_structure, GO)("content"))
+    odd = named.where(~clause).unionByName(read.where("go.imports IS NULL").drop("go"))
+    return read.select("path", "language", F.inline(f"go.{kind}")), odd
+
+
+def call_sites(files: DataFrame) -> DataFrame:
+    """(path, name, receiver, line_no, column, is_method) of the calls by name in Go files."""
+    return _go(files, "calls")[0].drop("language")
+
+
+def go_functions(files: DataFrame) -> DataFrame:
+    """(path, name, start_line, end_line, is_exported, complexity, parameters, return_type) of Go files."""
+    return _go(files, "functions")[0].drop("language")
+
+
+def go_imports(files: DataFrame) -> DataFrame:
+    """(path, name, alias, line_no) of Go files."""
+    return _go(files, "imports")[0].drop("language")
+
+
 def _go_imports(files: DataFrame) -> DataFrame:
     """Single imports, and the lines between `import (` and the next closing bracket."""
     row = F.transform("lines", lambda x, i: F.struct(x.alias("x"), (i + 1).cast("int").alias("n")))
@@ -38,7 +76,9 @@ def _go_imports(files: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     """(path, language, name, line_no)."""
-    return _matched(files, C.IMPORTS, ("python", "java")).select("path", "language", "name", "line_no").unionByName(_go_imports(files))
+    read, odd = _go(files, "imports")
+    found = _matched(files, C.IMPORTS, ("python", "java")).select("path", "language", "name", "line_no")
+    return found.unionByName(read.drop("alias")).unionByName(_go_imports(odd))
 
 
 def _go_functions(files: DataFrame) -> DataFrame:
@@ -70,7 +110,8 @@ def functions(files: DataFrame) -> DataFrame:
         F.when(F.col("language").isin("javascript", "typescript"), F.col("line").contains("export")).when(F.col("language") == "java", F.col("line").contains("public")).when(F.col("language") == "php", False).otherwise(~F.col("name").startswith("_"))
     )
     rows = rows.select("path", "language", "name", F.col("line_no").alias("start_line"), F.lit(0).alias("end_line"), exported.alias("is_exported"), F.lit(0).alias("complexity"))
-    return rows.unionByName(_go_functions(files))
+    read, odd = _go(files, "functions")
+    return rows.unionByName(read.drop("parameters", "return_type")).unionByName(_go_functions(odd))
 
 
 #: What lies between literals, then a literal; each match begins where the last one ended, so an open quote ends the line's literals.

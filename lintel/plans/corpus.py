@@ -102,6 +102,62 @@ def source_files(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     return sources.parsed(f.withColumn("language", X.language(F.col("path"))).where("language IS NOT NULL"))
 
 
+#: Go files, and by hand what is in them: functions (name, first and last line, exported, complexity, parameters, results),
+#: calls (name, receiver, line, column, selected) and imports (name, alias, line).
+GO_FILES = [
+    (
+        r"""package main
+
+import (
+	"fmt"
+	q "net/http"
+	_ "embed" // x
+	. `raw`
+)
+import "os"; import z "zz"
+
+type I interface { Run(a int) error; fmt.Stringer
+	Stop()
+}
+type T[K comparable, V any] struct { f func(int) bool; m map[K]V }
+
+func (t *T[K, V]) Get(k K, _ ...int) (v V, err error) {
+	if v, ok := t.m[k]; ok && t.f(1) || false { return v, nil }
+	f := func(a int) int { for i := range 3 { _ = i }; return a }
+	go f(2)
+	defer func() { recover() }()
+	switch x := any(v).(type) {
+	case int, string:
+	default:
+	}
+	select { case <-ch: default: }
+	return
+}
+func one() { fmt.Println("if for", 'x', []byte("a"), map[string]int(nil)) }
+func ext(a, b int, c []string, *d) 
+func Str(x fmt.Stringer, y []int) interface{} {
+	return a.b.c(1).d(x)[0].e(f[int](3), T{1}.g(), (h)(2), x.
+		y("é", z()))
+}
+var v = func(x int) { g(x) }
+func Map(int, string) map[string][]*os.File { return nil }
+func Ch() (chan int, func() int, T[int]) { é(1); w := "é" + s(2); return
+	(3) }
+""",
+        [("Get", 16, 27, True, 9, "k _", "V, error"), ("one", 28, 28, False, 1, "", ""), ("ext", 29, 29, False, 1, "a b c", ""), ("Str", 30, 33, True, 1, "x y", "interface{}"), ("Map", 35, 35, True, 1, "", "map[string][]*os.File"), ("Ch", 36, 37, True, 1, "", "unknown, unknown, unknown")],
+        [("f", "t", 17, 28, True), ("f", "", 19, 5, False), ("recover", "", 20, 17, False), ("any", "", 21, 14, False), ("Println", "fmt", 28, 14, True), ("c", "", 31, 9, True), ("d", "", 31, 9, True), ("e", "", 31, 9, True), ("g", "", 31, 39, True), ("y", "x", 31, 57, True), ("z", "", 32, 11, False), ("g", "", 34, 23, False), ("é", "", 36, 44, False), ("s", "", 36, 63, False)],
+        [("fmt", "", 4), ("net/http", "q", 5), ("embed", "_", 6), ("`raw`", ".", 7), ("os", "", 9), ("zz", "z", 9)],
+    ),
+    (
+        'package a; import "fmt"; func F(a, b int) int { if a > 0 { return G(a) }; return b }; func (r *R) m() (n int, err error) {fmt.Println(`x\n`, "if (")\n}\n',
+        [("F", 1, 1, True, 2, "a b", "int"), ("m", 1, 3, False, 1, "", "int, error")],
+        [("G", "", 1, 67, False), ("Println", "fmt", 1, 123, True)],
+        [("fmt", "", 1)],
+    ),
+    ("/* c\n*/ package b\n\nfunc open() {\n", [], [], []),
+    ("package c\n\nvar x = 'a'\nfunc\tΩ(p ...string)  {\n\tfor {\n\t\tif p == nil || len(p) == 0 && true { continue }\n\t\tfunc() { go h() }()\n\t}\n}\n", [("Ω", 4, 9, True, 5, "p", "")], [("len", "", 6, 18, False), ("h", "", 7, 15, False)], []),
+]
+
 #: Two commits on the documents: message, author, time, branch. The second one has other fixtures in every fifth file.
 COMMITS = [("First import", "Ada", 1_700_000_000, "release"), ("Change some files\n\nEvery fifth one.", "Bob", 1_700_086_400, "main")]
 
@@ -154,6 +210,15 @@ def repository(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return objects, spark.createDataFrame(names, "name string, oid string, target string"), ids
 
 
+def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a comment in front of one of `GO_FILES`."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    k = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(len(GO_FILES))).cast("int") + 1
+    head = F.concat(F.lit("// "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n// ")), F.lit("\n"))
+    f = d.select(F.concat(F.lit("go/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".go")).alias("path"), F.concat(head, F.element_at(_array(c for c, *_ in GO_FILES), k)).alias("content"))
+    return sources.parsed(f.withColumn("size", F.octet_length("content").cast("long")).withColumn("language", F.lit("go")))
+
+
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest for each document."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id")

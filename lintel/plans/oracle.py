@@ -219,6 +219,15 @@ GO_IMPORTS = f"""SELECT path, language, CASE WHEN regexp_matches(line, {q(C.GO_I
 COMPLEXITY = "complexity AS (SELECT path, sum(" + " + ".join(f"CAST(contains({_trim('line')}, {q(w)}) AS INTEGER)" for w in C.COMPLEXITY_WORDS) + " + CASE WHEN length(regexp_extract(line, '^[ \\t]*')) > 16 THEN 0.5 ELSE 0 END)::DOUBLE / count(*) * 100 AS complexity FROM lines GROUP BY path)"
 
 
+def _go(kind: int, names: str, lines: str) -> str:
+    """What was put into the Go files, moved down by the comment in front; `lines` are the columns that move."""
+    value = lambda v: q(v) if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"CAST({v} AS BIGINT)"
+    rows = ", ".join(f"({k}, {', '.join(map(value, r))})" for k, f in enumerate(corpus.GO_FILES) for r in f[kind])
+    moved = ", ".join(f"{c} + below AS {c}" if c in lines.split() else f'"{c}"' for c in names.split())
+    return f"""WITH d AS (SELECT 'go/' || coalesce(CAST(doc_id AS VARCHAR), 'none') || '.go' AS path, coalesce(doc_id, 0) % {len(corpus.GO_FILES)} AS k, len(string_split(coalesce(text, ''), chr(10))) AS below FROM documents)
+SELECT path, {moved} FROM d JOIN (VALUES {rows}) AS v(k, {", ".join(f'"{c}"' for c in names.split())}) USING (k)"""
+
+
 def _repository() -> str:
     """The files of both commits, with their objects' ids."""
     side = lambda k: f"""f{k} AS (SELECT 'a' || (i >> 24) || '/b' || (i >> 16) % 256 || '/c' || (i >> 8) % 256 || '/' || name AS path, sha1('blob ' || strlen(content) || chr(0) || content) AS oid,
@@ -326,6 +335,9 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "url_validation": f"WITH {URLS} SELECT page_id, lower({part(1)}) IN ('https', 'ssh') AND NOT (regexp_matches({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#@]*@') AND (lower({part(1)}) = 'https' OR contains({part(2)}, ':'))) AND lower({part(3)}) IN ('github.com', 'gitlab.com', 'bitbucket.org') AND NOT contains({part(4)}, '..') AS allowed FROM urls",
         "repository_from_url": f"WITH {URLS} SELECT page_id, string_split({full}, '/')[-1] AS name, {full} AS full_name, CASE WHEN contains({host}, 'github') THEN 'github' WHEN contains({host}, 'gitlab') THEN 'gitlab' WHEN contains({host}, 'bitbucket') THEN 'bitbucket' ELSE 'generic' END AS provider FROM urls WHERE starts_with(url, 'https://')",
         "changed_files": "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, md5(coalesce(text, '')) AS hash, doc_id FROM documents), a AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old/' || path ELSE path END AS path, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE hash END AS was FROM d), b AS (SELECT path, hash AS now FROM d) SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b USING (path) WHERE was IS NULL OR now IS NULL OR was <> now",
+        "go_functions": _go(1, "name start_line end_line is_exported complexity parameters return_type", "start_line end_line"),
+        "go_call_sites": _go(2, "name receiver line_no column is_method", "line_no"),
+        "go_imports": _go(3, "name alias line_no", "line_no"),
         "git_files": f"{_repository()} SELECT path, '100644' AS mode, oid FROM f1",
         "git_changes": f"{_repository()} SELECT path, CASE WHEN f0.oid IS NULL THEN 'added' WHEN f1.oid IS NULL THEN 'deleted' ELSE 'modified' END AS change, f0.oid AS old_oid, f1.oid AS new_oid FROM f0 FULL JOIN f1 USING (path) WHERE f0.oid IS DISTINCT FROM f1.oid",
         "git_line_changes": f"{_repository()} SELECT path, CAST(len(n) - len(o) AS BIGINT) AS gained, (SELECT min(i) FROM unnest(range(1, 2 + greatest(len(o), len(n)))) AS t(i) WHERE o[i] IS DISTINCT FROM n[i]) AS first_line FROM (SELECT path, {_ended('f0.lines')} AS o, {_ended('f1.lines')} AS n FROM f0 JOIN f1 USING (path) WHERE f0.oid <> f1.oid)",

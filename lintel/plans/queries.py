@@ -145,6 +145,19 @@ def functions(spark, sf_dir):
     return _long(structure.functions(_files(spark, sf_dir)))
 
 
+def go_functions(spark, sf_dir):
+    f = structure.go_functions(corpus.go_files(spark, sf_dir))
+    return _long(f.withColumn("parameters", F.array_join("parameters", " ")))
+
+
+def go_call_sites(spark, sf_dir):
+    return _long(structure.call_sites(corpus.go_files(spark, sf_dir)).na.fill("", ["receiver"]))
+
+
+def go_imports(spark, sf_dir):
+    return _long(structure.go_imports(corpus.go_files(spark, sf_dir)).na.fill("", ["alias"]))
+
+
 def string_literals(spark, sf_dir):
     return _long(structure.string_literals(_files(spark, sf_dir)))
 
