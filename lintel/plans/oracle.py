@@ -319,6 +319,7 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "query_builder_count": f"WITH {STORED} SELECT count(*) AS n FROM stored WHERE severity = 'low' AND line >= 3",
         "baseline_selection": f"WITH {SCANS}, me AS (SELECT * FROM scans WHERE scan_id = 33) SELECT scan_id, (SELECT p.scan_id FROM scans p WHERE p.repository_id = me.repository_id AND p.created_at < me.created_at AND p.status = 'completed' ORDER BY p.completed_at DESC, p.scan_id DESC LIMIT 1) AS baseline_id, NULL AS problem FROM me UNION ALL SELECT me.scan_id, o.scan_id, CASE WHEN o.scan_id IS NULL THEN 'baseline not found' WHEN o.scan_id = me.scan_id THEN 'baseline is the scan itself' WHEN o.repository_id IS DISTINCT FROM me.repository_id THEN 'baseline is of another repository' WHEN o.status <> 'completed' THEN 'baseline is not completed' END FROM me, (VALUES (33), (1), (3), (-7)) v(b) LEFT JOIN scans o ON o.scan_id = v.b",
         "vulnerability_statistics": f"WITH {SCANS}, {STORED} SELECT repository_id, strftime(v.created_at, '%Y-%m-%d') AS date, severity, category, count(*) AS count, count(*) FILTER (WHERE is_false_positive) AS false_positive_count, count(*) FILTER (WHERE suppressed) AS suppressed_count, count(*) FILTER (WHERE fixed_at IS NOT NULL) AS fixed_count FROM stored v JOIN scans s USING (scan_id) GROUP BY ALL",
+        "database_findings": f"WITH {STORED} SELECT severity, category, count(*) AS n, max(scan_id) AS last_scan FROM (SELECT scan_id, line, max(severity) AS severity, max(category) AS category, bool_or(suppressed) AS off FROM stored WHERE scan_id IS NOT NULL AND line IS NOT NULL GROUP BY scan_id, line) WHERE NOT coalesce(off, false) GROUP BY severity, category",
         "scan_counters": f"WITH {STORED}, {COUNTERS} SELECT * FROM counters",
         "repository_scan_summary": f"WITH {SCANS}, {STORED}, {COUNTERS}, per AS (SELECT repository_id, count(*) AS total_scans, max((created_at, scan_id))[2] AS last_scan_id FROM scans GROUP BY repository_id) SELECT c_custkey AS repository_id, c_name AS full_name, coalesce(total_scans, 0) AS total_scans, last_scan_id, s.status AS last_scan_status, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(k.total_vulnerabilities, 0) END AS last_scan_vulnerabilities, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(k.critical_count, 0) END AS last_scan_critical, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(k.high_count, 0) END AS last_scan_high FROM customer LEFT JOIN per ON c_custkey = per.repository_id LEFT JOIN scans s ON s.scan_id = last_scan_id LEFT JOIN counters k ON k.scan_id = last_scan_id",
         "code_totals": f"WITH RECURSIVE {files()}, {_classes()} SELECT count(*) AS total_files, CAST(sum(line_count) AS BIGINT) AS total_lines, CAST(sum(code) AS BIGINT) AS code_lines, CAST(sum(comment) AS BIGINT) AS comment_lines, CAST(sum(blank) AS BIGINT) AS blank_lines, round(avg(size), 4) AS average_file_size FROM files JOIN classes USING (path)",

@@ -9,8 +9,8 @@ from lintel.functions import text as X
 from lintel.operators import delta, dependency, detect, history, metrics, report, structure
 from lintel.plans import catalog as C
 from lintel.plans import corpus
+from lintel.sources import database, store
 from lintel.sources import files as sources
-from lintel.sources import store
 from lintel.streaming import incremental
 
 HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
@@ -321,6 +321,21 @@ def repository_scan_summary(spark, sf_dir):
     return delta.repository_scan_summary(repos, counted)
 
 
+def database_findings(spark, sf_dir):
+    """Open findings by severity and category, counted by the database that holds them.
+
+    Some rows are written before in another form; the others' transaction replaces them.
+    """
+    db = database.of_session(spark)
+    rows = _stored_findings(spark, sf_dir).groupBy("scan_id", "line").agg(F.max("severity").alias("severity"), F.max("category").alias("category"), F.max(F.col("suppressed").cast("int")).alias("suppressed"), F.max("created_at").alias("created_at")).where("scan_id IS NOT NULL AND line IS NOT NULL")
+    db.drop("stored_findings")
+    db.create("stored_findings", {"scan_id": "BIGINT NOT NULL", "line": "INTEGER NOT NULL", "severity": "VARCHAR(16)", "category": "VARCHAR(64)", "suppressed": "INTEGER", "created_at": "TIMESTAMP", "PRIMARY KEY": "(scan_id, line)"})
+    first = rows.where("severity = 'low'").withColumn("category", F.lit("unknown"))
+    for part in (first, rows):
+        db.upsert(part, "stored_findings", ("scan_id", "line"))
+    return db.frame("stored_findings").where("suppressed = 0").groupBy("severity", "category").agg(F.count("*").alias("n"), F.max("scan_id").alias("last_scan"))
+
+
 def code_totals(spark, sf_dir):
     return metrics.totals(_files(spark, sf_dir)).withColumn("average_file_size", F.round("average_file_size", 4))
 
