@@ -37,7 +37,10 @@ def _put(text: str, to: str | None) -> None:
 def scan(args) -> int:
     """Prints or writes a scan; 1 if it has critical findings and is asked to fail on them."""
     r = _scan(args)
-    if args.format == "sarif":
+    if args.output and args.format != "text":  # written by the executors
+        where = str(Path(args.output).resolve())
+        r.write_sarif(where, args.most, VERSION) if args.format == "sarif" else r.write_json(where, args.most)
+    elif args.format == "sarif":
         _put(report.to_sarif(r.findings, version=VERSION, most=args.most), args.output)
     elif args.format == "text":
         _put("\n".join(x.line for x in report.text_rows(report.scan_order(r.findings)).toLocalIterator()), args.output)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import text as X
 from lintel.plans import catalog as C
+from lintel.sources.document_sink import write_document
 
 
 def histogram(findings: DataFrame) -> DataFrame:
@@ -79,20 +80,24 @@ def sarif_level(severity: Column) -> Column:
     return F.when(severity.isin("critical", "high"), "error").when(severity.isin("low", "info"), "note").otherwise("warning")
 
 
-def sarif_results(findings: DataFrame, key: str = "lintel/v1") -> DataFrame:
-    """One SARIF result a row, as JSON; fixes only where a replacement and its span are known."""
+def _sarif(key: str) -> Column:
+    """A finding as a SARIF result; fixes only where a replacement and its span are known."""
     first = F.greatest(F.col("line_start"), F.lit(1))
     region = F.struct(first.alias("startLine"), F.when(F.col("line_end") >= first, F.col("line_end")).alias("endLine"))
     uri = F.struct(F.col("file_path").alias("uri"))
     deleted = F.struct(first.alias("startLine"), F.col("column_start").alias("startColumn"), F.col("column_end").alias("endColumn"))
     change = F.struct(uri.alias("artifactLocation"), F.array(F.struct(deleted.alias("deletedRegion"), F.struct(F.col("fix.replacement").alias("text")).alias("insertedContent"))).alias("replacements"))
     fixes = F.array(F.struct(F.struct(F.col("fix.summary").alias("text")).alias("description"), F.array(change).alias("artifactChanges")))
-    result = F.struct(
+    return F.struct(
         F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.create_map(F.lit(key), F.col("fingerprint")).alias("partialFingerprints"), F.struct(F.col("description").alias("text")).alias("message"),
         F.array(F.struct(F.struct(uri.alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))).alias("locations"),
         F.when((F.col("fix.kind") == "safe_replace") & F.col("column_start").isNotNull(), fixes).alias("fixes"),
     )
-    return findings.select("fingerprint", F.to_json(result).alias("result"))
+
+
+def sarif_results(findings: DataFrame, key: str = "lintel/v1") -> DataFrame:
+    """One SARIF result a row, as JSON."""
+    return findings.select("fingerprint", F.to_json(_sarif(key)).alias("result"))
 
 
 _SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
@@ -127,6 +132,40 @@ def to_sarif(findings: DataFrame, name: str = "Lintel", version: str = "0", most
     return json.dumps(json.loads("".join(sarif_parts(findings, name, version, most))), indent=2)
 
 
+def _rows(findings: DataFrame, section: int, value: Column, most: int | None = None) -> DataFrame:
+    """Rows of a document's section in the order of the scan, the first `most` of them."""
+    some = findings if most is None else scan_order(findings).limit(most)
+    order = [F.col("file_path"), F.col("line_start"), F.col("rule_id"), F.coalesce("column_start", F.lit(0)), F.col("fingerprint")]
+    return some.select(F.lit(section).alias("section"), value.alias("value"), *[c.alias(n) for c, n in zip(order, _ORDER)])
+
+
+_ORDER = ["by_path", "by_line", "by_rule", "by_column", "by_print"]
+
+
+def write_sarif(findings: DataFrame, path: str, name: str = "Lintel", version: str = "0", most: int | None = None) -> None:
+    """A SARIF 2.1.0 document written by the executors, with the results of `sarif_parts`."""
+    more = most is not None and findings.limit(most + 1).count() > most
+    head = f'{{\n"$schema": "{_SCHEMA}",\n"version": "2.1.0",\n"runs": [{{"tool": {json.dumps({"driver": {"name": name, "version": version}})}, "results": [\n'
+    tail = f'\n], "properties": {{"truncated": {json.dumps(more)}}}}}]\n}}\n'
+    write_document(_rows(findings, 0, F.to_json(_sarif("lintel/v1")), most), path, [head, tail], _ORDER)
+
+
+def write_json(findings: DataFrame, path: str, files_scanned: int = 0, lines_scanned: int = 0, metrics: dict | None = None, most: int | None = None, delta: tuple | None = None) -> None:
+    """The JSON document of `document`, written by the executors; `delta` is (new, resolved, one row with `unchanged`)."""
+    total = histogram(findings).first().asDict()
+    value = F.to_json(F.struct(*_json_columns()))
+    top = {"files_scanned": files_scanned, "lines_scanned": lines_scanned, "summary": total, "total_findings": total["total"], "truncated": most is not None and total["total"] > most, "metrics": metrics or {}}
+    texts = [json.dumps(top, default=str)[:-1] + ', "vulnerabilities": [\n', "\n]}\n"]
+    rows = _rows(findings, 0, value, most)
+    if delta is not None:
+        new, resolved, same = delta
+        one = F.to_json(F.array("fingerprint"))
+        gone = resolved.select(F.lit(2).alias("section"), F.substring(one, F.lit(2), F.length(one) - 2).alias("value"), F.col("fingerprint").alias(_ORDER[0]))
+        rows = rows.unionByName(_rows(new, 1, value, most)).unionByName(gone, allowMissingColumns=True)
+        texts[1:] = [f'\n], "delta": {{"unchanged": {same.first()[0]}, "new": [\n', '\n], "resolved_fingerprints": [\n', "\n]}}\n"]
+    write_document(rows, path, texts, _ORDER)
+
+
 def json_rows(findings: DataFrame) -> DataFrame:
     """One JSON object a finding."""
     return findings.select("fingerprint", F.to_json(F.struct("rule_id", "title", "severity", "category", "file_path", "line_start", "cvss_score", "confidence", "fingerprint")).alias("json"))
@@ -149,12 +188,16 @@ def capped(findings: DataFrame, most: int = 200) -> DataFrame:
     return numbered.where(F.col("index") <= most)
 
 
+def _json_columns() -> list:
+    return [
+        *["rule_id", "fingerprint", "title", "description", "severity", "category", "file_path", "line_start", "line_end", "code_snippet", "confidence"], F.col("refs.cwe").alias("cwe"), F.col("refs.owasp").alias("owasp"),
+        *["cvss_score", "cvss_vector", "fix", "column_start", "column_end"],
+    ]
+
+
 def json_fields(findings: DataFrame) -> DataFrame:
     """Findings with the names of the JSON document."""
-    return findings.select(
-        "rule_id", "fingerprint", "title", "description", "severity", "category", "file_path", "line_start", "line_end", "code_snippet", "confidence", F.col("refs.cwe").alias("cwe"), F.col("refs.owasp").alias("owasp"),
-        "cvss_score", "cvss_vector", "fix", "column_start", "column_end",
-    )
+    return findings.select(*_json_columns())
 
 
 def document(findings: DataFrame, files_scanned: int = 0, lines_scanned: int = 0, metrics: dict | None = None, most: int | None = None, new: DataFrame | None = None, unchanged: int = 0, resolved: list[str] | None = None) -> dict:

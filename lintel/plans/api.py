@@ -51,7 +51,7 @@ class ScanResult:
         return report.model(self.findings, most)
 
     def document(self, most: int | None = None, baseline: DataFrame | None = None) -> dict:
-        """The scan as one JSON document, with what is new against a baseline if there is one."""
+        """The scan as one JSON document, with what is new against a baseline if there is one; `write_json` is for large ones."""
         files, lines = self.totals().first()
         extra = {}
         if baseline is not None:
@@ -59,6 +59,14 @@ class ScanResult:
             extra = {"new": new, "unchanged": same.first()[0], "resolved": [r.fingerprint for r in gone.select("fingerprint").collect()]}
         return report.document(self.findings, files, lines, self.metrics().first().asDict(recursive=True), most, **extra)
 
+    def write_json(self, path: str, most: int | None = None, baseline: DataFrame | None = None) -> None:
+        """The same document as a file that the executors write, whatever its size."""
+        files, lines = self.totals().first()
+        report.write_json(self.findings, path, files, lines, self.metrics().first().asDict(recursive=True), most, None if baseline is None else self.delta(baseline))
+
+    def write_sarif(self, path: str, most: int | None = None, version: str = "0") -> None:
+        report.write_sarif(self.findings, path, version=version, most=most)
+
     def sarif(self) -> str:
         return report.to_sarif(self.findings)
 

@@ -309,6 +309,7 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "delta_new": f"{both} {_whole('found', 'found2')}",
         "delta_resolved": f"{both} {_whole('found2', 'found')}",
         "delta_classified": f"{both} SELECT change, count(*) AS n FROM (SELECT DISTINCT fingerprint, CASE WHEN fingerprint IN (SELECT fingerprint FROM found2) THEN 'unchanged' ELSE 'new' END AS change FROM found UNION ALL SELECT DISTINCT fingerprint, 'resolved' FROM found2 WHERE fingerprint NOT IN (SELECT fingerprint FROM found)) GROUP BY change",
+        "stored_delta": f"{both} SELECT change, count(*) AS n FROM (SELECT DISTINCT fingerprint, CASE WHEN fingerprint IN (SELECT fingerprint FROM found2) THEN 'unchanged' ELSE 'new' END AS change FROM found UNION ALL SELECT DISTINCT fingerprint, 'resolved' FROM found2 WHERE fingerprint NOT IN (SELECT fingerprint FROM found)) GROUP BY change",
         "delta_counts": f"{both} SELECT count(*) FILTER (WHERE fingerprint NOT IN (SELECT fingerprint FROM found2)) AS new, (SELECT count(DISTINCT fingerprint) FROM found2 WHERE fingerprint NOT IN (SELECT fingerprint FROM found)) AS resolved, count(*) FILTER (WHERE fingerprint IN (SELECT fingerprint FROM found2)) AS unchanged FROM found",
         "baseline_validity": f"{one}, b AS (SELECT CASE WHEN line_start % 5 = 0 THEN upper(fingerprint) ELSE fingerprint END AS f FROM found) SELECT count(*) AS entries, count(*) FILTER (WHERE regexp_matches(f, '^[0-9a-f]{{32}}$')) AS valid, count(*) <= 10000 AND count(*) = count(*) FILTER (WHERE regexp_matches(f, '^[0-9a-f]{{32}}$')) AS accepted FROM b",
         "findings_page": f"{one} SELECT severity, line_start, file_path, fingerprint FROM found ORDER BY severity, line_start, file_path, fingerprint LIMIT 200 OFFSET 200",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lintel.plans import catalog as C
 from lintel.plans import corpus
 from lintel.sources import database, store
 from lintel.sources import files as sources
+from lintel.sources.shared import shared_dir
 from lintel.streaming import incremental
 
 HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
@@ -242,6 +245,14 @@ def delta_classified(spark, sf_dir):
     return delta.classified(*_both(spark, sf_dir)).groupBy("change").agg(F.count("*").alias("n"))
 
 
+def stored_delta(spark, sf_dir):
+    """A scan against one that is saved before and read back; the saved side is not shuffled."""
+    now, old = _both(spark, sf_dir)
+    root = f"{shared_dir(spark)}/scans-{uuid.uuid4().hex}"
+    store.save_findings(old, root, "before")
+    return delta.classified(now, store.load_findings(spark, root, "before").select(_DELTA)).groupBy("change").agg(F.count("*").alias("n"))
+
+
 def delta_counts(spark, sf_dir):
     return delta.compared_counts(_findings(spark, sf_dir).select("fingerprint"), _findings(spark, sf_dir, 1).select("fingerprint"))
 

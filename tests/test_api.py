@@ -1,8 +1,13 @@
 """Whole scans, stored scans and options."""
 
-from lintel.operators import delta
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from lintel.operators import delta, report
 from lintel.plans import api
-from lintel.sources import store
+from lintel.sources import document_sink, store
+from lintel.sources import files as sources
 
 
 def test_scan_path(spark, tmp_path):
@@ -49,6 +54,44 @@ def test_document(spark, tmp_path):
     assert api.scan_path(spark, str(tmp_path)).document()["vulnerabilities"] == []
 
 
+def test_documents_written_by_executors(spark, tmp_path):
+    import json
+
+    for k in range(30):
+        (tmp_path / f"x{k:02d}.py").write_text("pickle.load(f)  # é \"q\"\n" * (k % 3 + 1))
+    r = api.scan_path(spark, str(tmp_path))
+    r = replace(r, findings=r.findings.persist())
+    (tmp_path / "out").mkdir()
+    base = r.findings.where("line_start = 1").unionByName(r.findings.limit(1).withColumn("fingerprint", F.lit("gone")))
+    for most, baseline in ((7, base), (None, base)):
+        path = tmp_path / "out" / "d.json"
+        r.write_json(str(path), most, baseline)
+        want = json.loads(json.dumps(r.document(most, baseline), default=str))
+        assert json.loads(path.read_text()) == want and len(want["vulnerabilities"]) == (60 if most is None else most)
+    for most in (None, 5):
+        path = tmp_path / "out" / "d.sarif"
+        r.write_sarif(str(path), most)
+        assert json.loads(path.read_text()) == json.loads("".join(report.sarif_parts(r.findings, most=most)))
+    empty = api.scan_files(sources.directory(spark, str(tmp_path)).where("false"))
+    empty.write_sarif(str(path))
+    assert json.loads(path.read_text())["runs"][0]["results"] == []
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["d.json", "d.sarif"]
+    r.findings.unpersist()
+
+
+def test_a_document_that_fails_leaves_the_old_one(spark, tmp_path):
+    import pytest
+
+    path = tmp_path / "d.txt"
+    rows = spark.range(0, 5000, numPartitions=6).select(F.lit(0).alias("section"), F.col("id").cast("string").alias("value"), "id")
+    document_sink.write_document(rows.unionByName(rows.withColumn("section", F.lit(1))), str(path), ["a", "b", "c"], [F.desc("id")], "-")
+    down = "-".join(str(k) for k in range(4999, -1, -1))
+    assert path.read_text() == f"a{down}b{down}c"
+    with pytest.raises(Exception):
+        document_sink.write_document(rows.withColumn("value", F.when(F.col("id") == 4000, F.raise_error(F.lit("lost"))).otherwise("x")), str(path), ["a", "b"], ["id"])
+    assert path.read_text() == f"a{down}b{down}c"
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     from lintel import __main__ as cli
 
@@ -79,12 +122,69 @@ def test_stored_scans(spark, tmp_path):
     scans = store.load_scans(spark, str(tmp_path))
     assert {(r.scan_id, r.total_vulnerabilities, r.critical_count) for r in scans.collect()} == {("1", 2, 1), ("2", 0, 0)}
     assert tuple(delta.baseline_of(scans, "2").first()) == ("2", "1", None)
-    (tmp_path / "broken" / "findings").mkdir(parents=True)
-    (tmp_path / "broken" / "findings" / "x.parquet").write_text("no parquet")
+    (tmp_path / "broken" / "scans").mkdir(parents=True)
+    (tmp_path / "broken" / "scans" / "1.json").write_text('{"scan_id": "1", "folder": "findings/1/x"}')
     with pytest.raises(Exception):
         store.load_findings(spark, str(tmp_path / "broken")).count()
 
 
+def test_a_save_that_dies_leaves_the_scan(spark, tmp_path, monkeypatch):
+    import datetime
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    root, day = str(tmp_path / "a b'c"), datetime.datetime(2024, 1, 1)
+    f = spark.createDataFrame([("a", "critical"), ("b", "low")], "fingerprint string, severity string")
+    store.save_scan(spark, f, root, "x/1", "r", day, day)
+    begun = store.load_findings(spark, root, "x/1")
+
+    def state():
+        rows = store.load_findings(spark, root, "x/1").collect()
+        return sorted((r.fingerprint, r.scan_id) for r in rows), [(r.repository_id, r.total_vulnerabilities, str(r.created_at)) for r in store.load_scans(spark, root).collect()]
+
+    was = state()
+    assert was == ([("a", "x/1"), ("b", "x/1")], [("r", 2, "2024-01-01 00:00:00")])
+    with pytest.raises(Exception):  # dies while findings are written
+        store.save_scan(spark, f.withColumn("severity", F.raise_error(F.lit("lost"))), root, "x/1", "other", day, day)
+    assert state() == was
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store, "_replace", dies)
+    with pytest.raises(KeyboardInterrupt):  # dies before the record is replaced
+        store.save_scan(spark, f.limit(1), root, "x/1", "other", day, day)
+    monkeypatch.undo()
+    assert state() == was
+    store.save_scan(spark, f.limit(0), root, "x/1", "r2", day, day)
+    assert state() == ([], [("r2", 0, "2024-01-01 00:00:00")]) and begun.count() == 2
+    assert store.remove_unnamed(spark, root) == [] and len(store.remove_unnamed(spark, root, -1)) >= 2 and state()[0] == []
+    assert not [p for p in (tmp_path / "a b'c" / "scans").iterdir() if "json." in p.name and not p.name.endswith(".crc")]
+
+
+def test_stored_baselines_are_not_shuffled(spark, tmp_path):
+    import re
+
+    f = spark.range(300).selectExpr("md5(CAST(id AS STRING)) AS fingerprint", "id AS line_start")
+    store.save_findings(f, str(tmp_path), "1")
+    old = store.load_findings(spark, str(tmp_path), "1").select("fingerprint", "line_start")
+    new = spark.range(100, 400).selectExpr("md5(CAST(id AS STRING)) AS fingerprint", "id AS line_start")
+    rows = delta.classified(new, old).groupBy("change").agg(F.count("*").alias("n"))
+    assert {tuple(r) for r in rows.collect()} == {("new", 100), ("resolved", 100), ("unchanged", 200)}
+    plan = delta.classified(new, old)._jdf.queryExecution().executedPlan().toString()
+    below = plan[: plan.index("FileScan parquet")].split("\n")
+    # from the stored scan up to the join there is no exchange
+    depth, steps = len(re.match(r"[ :+-]*", below[-1])[0]), []
+    for line in reversed(below[:-1]):
+        if (d := len(re.match(r"[ :+-]*", line)[0])) < depth:
+            depth = d
+            steps.append(line)
+            if "Join" in line:
+                break
+    assert "Join" in steps[-1] and not any("Exchange" in x for x in steps) and plan.count("Exchange hashpartitioning") == 1, plan
+
+
 def test_options():
     o = api.ScanOptions(rules=("xss",)).requested(exclude=("gen/",))
     assert o.rules == ("xss",) and o.exclude[-1] == "gen/"
