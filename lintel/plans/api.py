@@ -7,8 +7,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.functions import text as X
 from lintel.operators import delta, detect, history, metrics, report, structure
 from lintel.sources import files as sources
+from lintel.sources import walk
 
 
 @dataclass(frozen=True)
@@ -71,13 +73,14 @@ class ScanResult:
         return report.to_sarif(self.findings)
 
 
-def scan_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> ScanResult:
-    """A scan of (path, content binary, size)."""
+def scan_files(files: DataFrame, options: ScanOptions = ScanOptions(), read=None) -> ScanResult:
+    """A scan of (path, content binary, size); `read` adds the contents to the rows that are admitted, if they have none."""
     kept = sources.admitted(files, options.exclude, options.exclude_extensions, options.max_bytes)
     named = files
     if options.max_files is not None:  # unreadable files count, too
         kept = sources.capped(kept, options.max_files)
     skipped = sources.left_out(named, kept, options.max_bytes)
+    kept = read(kept).withColumn("language", X.language(F.col("path"))) if read else kept
     if options.path_prefix:
         kept, skipped = (sources.prefixed(x, options.path_prefix) for x in (kept, skipped))
     text, errors = sources.readable(kept)
@@ -86,8 +89,16 @@ def scan_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> ScanRe
 
 
 def scan_path(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> ScanResult:
-    """A scan of a directory in any store that Spark reads."""
-    return scan_files(sources.directory(spark, root), options)
+    """A scan of a directory in any store that Spark reads.
+
+    In a folder that driver and executors see only regular files are read: no link
+    is followed, and excluded folders are not opened.
+    """
+    base = sources.qualified(spark, root)
+    if not base.startswith("file:"):
+        return scan_files(sources.directory(spark, root), options)
+    folder = base.removeprefix("file:").rstrip("/") or "/"
+    return scan_files(walk.listed(spark, folder, options.exclude), options, lambda kept: walk.with_contents(kept, folder))
 
 
 def scan_commit(spark: SparkSession, repository: str, commit: str = "HEAD", since: str | None = None, options: ScanOptions = ScanOptions()) -> ScanResult:

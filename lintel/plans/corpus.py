@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import text as X
 from lintel.sources import files as sources
-from lintel.sources.shared import stored
+from lintel.sources.shared import shared_dir, stored
 
 SUFFIXES = [".go", ".py", ".js", ".ts", ".java", ".php", ".rb", ".cs", ".html", ".sh", ".css", ".md", "/package.json"]
 
@@ -210,6 +214,34 @@ def repository(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return objects, spark.createDataFrame(names, "name string, oid string, target string"), ids
 
 
+def _placed(folder: str):
+    """Writes documents as files, some of them below folders to leave out, some as links to others."""
+
+    def run(batches):
+        for batch in batches:
+            for i, text in zip(batch["doc_id"], batch["text"]):
+                below = f"{folder}/{'node_modules/' if i % 5 == 0 else ''}d{i % 16}/e{i % 3}"
+                os.makedirs(below, exist_ok=True)
+                for name, make in ((f"{i}.txt", None), (f"{i}.py", f"{below}/{i}.txt")):
+                    path, fresh = f"{below}/{name}", f"{below}/{name}.{os.getpid()}.tmp"
+                    if make is None:
+                        Path(fresh).write_bytes((text or "").encode())
+                    else:
+                        os.symlink(make, fresh)
+                    os.replace(fresh, path)  # a task that runs twice changes nothing
+            yield batch[["doc_id"]]
+
+    return run
+
+
+def file_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder in the shared one with a file and a link to it for each document."""
+    folder = f"{shared_dir(spark).removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id", "text")
+    d.mapInPandas(_placed(folder), "doc_id long").agg(F.count("*")).collect()
+    return folder
+
+
 def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a comment in front of one of `GO_FILES`."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -274,6 +274,7 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "scan_file_cap": f"WITH {documents()} SELECT path FROM docs ORDER BY string_split(path, '/') LIMIT 100",
         "scan_path_prefix": f"WITH {documents()} SELECT 'repo/y/' || path AS path FROM docs",
         "binary_test": r"SELECT doc_id, doc_id % 11 = 0 OR (CASE WHEN doc_id % 7 = 0 THEN 800 ELSE 0 END) > 0.3 * least(8000, strlen(coalesce(text, '')) + CASE WHEN doc_id % 7 = 0 THEN 800 ELSE 0 END) AS is_binary FROM documents WHERE doc_id IS NOT NULL",
+        "regular_files": "SELECT 'd' || doc_id % 16 || '/e' || doc_id % 3 || '/' || doc_id || '.txt' AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents WHERE doc_id % 5 <> 0",
         "lines_by_language": f"{lined} SELECT language, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines FROM files GROUP BY language",
         "pages_line_counts": "SELECT 'pages/' || page_id || '.html' AS path, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size, CAST(len(string_split(coalesce(html, ''), chr(10))) AS BIGINT) AS line_count FROM pages",
         "conversations_line_counts": "SELECT path, CAST(strlen(content) AS BIGINT) AS size, CAST(len(string_split(content, chr(10))) AS BIGINT) AS line_count FROM (SELECT 'chats/' || conv_id || '.md' AS path, string_agg(text, chr(10) ORDER BY turn, text) AS content FROM conversations GROUP BY conv_id)",

@@ -11,7 +11,7 @@ from lintel.functions import text as X
 from lintel.operators import delta, dependency, detect, history, metrics, report, structure
 from lintel.plans import catalog as C
 from lintel.plans import corpus
-from lintel.sources import database, store
+from lintel.sources import database, store, walk
 from lintel.sources import files as sources
 from lintel.sources.shared import shared_dir
 from lintel.streaming import incremental
@@ -59,6 +59,11 @@ def binary_test(spark, sf_dir):
     return d.select("doc_id", sources.is_binary(F.encode(content, "UTF-8")).alias("is_binary"))
 
 
+def regular_files(spark, sf_dir):
+    """The files of a tree that Spark makes of the documents, without links and excluded folders."""
+    return walk.listed(spark, corpus.file_tree(spark, sf_dir), sources.EXCLUDED_DIRS)
+
+
 def lines_by_language(spark, sf_dir):
     return metrics.languages(_files(spark, sf_dir))
 

@@ -81,9 +81,10 @@ def is_binary(content: Column) -> Column:
 
 
 def readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(text files, scan errors) of binary contents."""
+    """(text files, scan errors) of contents that are binary or, null, could not be read."""
     text = files.where(~is_binary(F.col("content"))).withColumn("content", F.col("content").cast("string"))
-    errors = files.where(is_binary(F.col("content"))).select(F.col("path").alias("file"), F.lit("binary file").alias("message"), F.lit("parse").alias("phase"))
+    message = F.when(F.col("content").isNull(), "cannot be read").otherwise("binary file")
+    errors = files.where(F.coalesce(is_binary(F.col("content")), F.lit(True))).select(F.col("path").alias("file"), message.alias("message"), F.lit("parse").alias("phase"))
     return text, errors
 
 
