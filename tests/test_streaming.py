@@ -1,9 +1,12 @@
-"""Incremental scans and the limit of requests."""
+"""Incremental scans, the limit of requests, counters kept by increments."""
+
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lintel.streaming import incremental
+from lintel.operators import delta
+from lintel.streaming import counters, incremental
 
 
 def test_watch(spark, tmp_path):
@@ -34,3 +37,24 @@ def test_limit_stream(spark, tmp_path):
     got = {r.event_id: r.allowed for r in spark.table("limited").collect()}
     assert got == {r.event_id: r.allowed for r in incremental.rate_limited(_events(spark), 2, 60).collect()}
     assert spark.table("limited").where(F.col("allowed")).count() == 5
+
+
+def test_counters_equal_a_recount(spark, tmp_path):
+    rng = random.Random(4)
+    severities = ["critical", "high", "medium", "low", "info", "odd", None]
+    rows = [(rng.choice("abc"), f"f{rng.randrange(40)}", v, rng.choice(severities), rng.random() < 0.25) for v in range(400)]
+    late = rng.sample(rows, 150)
+    batches = [rows[:100], rows[200:300], rows[100:200], rows[:50] + late, rows[300:], [("d", "x", 1, "low", True)]]
+    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for b in batches:
+        rng.shuffle(b)
+        spark.createDataFrame(b, counters.CHANGES).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(counters.CHANGES).parquet(src)
+        counters.maintain(stream, sink, str(tmp_path / "cp")).awaitTermination()
+    last = {}
+    for scan, finding, version, severity, gone in rows:
+        last[scan, finding] = (version, scan, severity, gone)
+    alive = spark.createDataFrame([(s, v) for _, s, v, gone in last.values() if not gone], "scan_id string, severity string")
+    want = {r.scan_id: tuple(r)[1:] for r in delta.scan_counters(alive).select("scan_id", *counters.COUNTS).collect()}
+    got = {r.scan_id: tuple(r)[1:] for r in counters.latest(spark, sink).collect()}
+    assert got == want | {"d": (0,) * 6} and sum(x[0] for x in want.values()) > 50
