@@ -253,7 +253,6 @@ def oracle_sql() -> dict[str, str]:
     host = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1))"
     dark = lambda at: f"format('{{:02x}}', CAST(floor(CAST('0x' || substr(c, {at}, 2) AS INTEGER) * 0.5) AS INTEGER))"
     functions = f"fn AS (SELECT path, language, name, line_no AS start_line, CAST(0 AS BIGINT) AS end_line, CASE WHEN language IN ('javascript', 'typescript') THEN contains(line, 'export') WHEN language = 'java' THEN contains(line, 'public') WHEN language = 'php' THEN FALSE ELSE NOT starts_with(name, '_') END AS is_exported, CAST(0 AS BIGINT) AS complexity FROM ({_structure(C.FUNCTIONS, ('ruby',))}) WHERE NOT (language = 'java' AND name IN ('if', 'for', 'while', 'switch')) UNION ALL {GO_FUNCTIONS})"
-    versions = ", ".join(f"({q(v)})" for v in [*corpus.VERSIONS, "", "latest", "9.9", "1.2.0", "1.2"])
     markers = lambda lines: "\nUNION ALL ".join(f"SELECT path, line_no, {q(k)} AS type, {q('Potential ' + k.replace('_', ' ') + ' usage')} AS description, {_start('line', p)} + 1 AS \"column\", {_trim('line')} AS snippet FROM {lines} WHERE regexp_matches(line, {q(p)})" for k, p in C.MARKERS.items())
     snippet = "array_to_string(list_transform(range(greatest(line_no - 2, 1), least(line_no + 2, len(f.lines)) + 1), lambda i: CASE WHEN i = line_no THEN '> ' ELSE '  ' END || lpad(CAST(i AS VARCHAR), CAST(greatest(4, length(CAST(i AS VARCHAR))) AS INTEGER), ' ') || ' | ' || f.lines[i] || chr(10)), '')"
     catalogue = ", ".join("(" + ", ".join([*(q(x) for x in r[:5]), f"CAST({r[5]} AS DOUBLE)", q(" ".join(r[6]))]) + ")" for r in C.rule_table())
@@ -295,7 +294,7 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "functions": f"{lined}, {functions} SELECT * FROM fn",
         "dependencies": f"WITH {_manifests()} SELECT path, name, version, line_no FROM deps",
         "vulnerable_dependencies": f"WITH {_manifests()}, {KNOWN} SELECT path, line_no, 'Vulnerable dependency: ' || name AS title, severity, name || ' version ' || version || ' is vulnerable to ' || cve || ': ' || description AS description, name || ' ' || version AS match_text FROM deps JOIN known USING (name) WHERE version <> '' AND {_key('version')} < {_key('bound')}",
-        "version_comparison": f"WITH v(v) AS (VALUES {versions}) SELECT a.v AS a, b.v AS b, CAST(CASE WHEN {_key('a.v')} < {_key('b.v')} THEN -1 WHEN {_key('a.v')} > {_key('b.v')} THEN 1 ELSE 0 END AS BIGINT) AS c FROM v a JOIN v b ON a.v <= b.v",
+        "version_comparison": f"SELECT p_partkey, a, b, CAST(CASE WHEN {_key('a')} < {_key('b')} THEN -1 WHEN {_key('a')} > {_key('b')} THEN 1 ELSE 0 END AS BIGINT) AS c FROM (SELECT p_partkey, {_list(Q.VERSIONS)}[p_partkey % {len(Q.VERSIONS)} + 1] AS a, {_list(Q.VERSIONS)}[p_size % {len(Q.VERSIONS)} + 1] AS b FROM part)",
         "severity_histogram": f"{one} SELECT count(*) AS total, {_counts(C.SEVERITIES)} FROM found",
         "exit_gate": f"{one} SELECT count(*) FILTER (WHERE severity = 'critical') > 0 AS failed FROM found",
         "findings_by_category": f"{one} SELECT category, count(*) AS n FROM found GROUP BY category",
@@ -324,6 +323,8 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "database_findings": f"WITH {STORED} SELECT severity, category, count(*) AS n, max(scan_id) AS last_scan FROM (SELECT scan_id, line, max(severity) AS severity, max(category) AS category, bool_or(suppressed) AS off FROM stored WHERE scan_id IS NOT NULL AND line IS NOT NULL GROUP BY scan_id, line) WHERE NOT coalesce(off, false) GROUP BY severity, category",
         "scan_counters": f"WITH {STORED}, {COUNTERS} SELECT * FROM counters",
         "repository_scan_summary": f"WITH {SCANS}, {STORED}, {COUNTERS}, per AS (SELECT repository_id, count(*) AS total_scans, max((created_at, scan_id))[2] AS last_scan_id FROM scans GROUP BY repository_id) SELECT c_custkey AS repository_id, c_name AS full_name, coalesce(total_scans, 0) AS total_scans, last_scan_id, s.status AS last_scan_status, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(k.total_vulnerabilities, 0) END AS last_scan_vulnerabilities, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(k.critical_count, 0) END AS last_scan_critical, CASE WHEN s.scan_id IS NOT NULL THEN coalesce(k.high_count, 0) END AS last_scan_high FROM customer LEFT JOIN per ON c_custkey = per.repository_id LEFT JOIN scans s ON s.scan_id = last_scan_id LEFT JOIN counters k ON k.scan_id = last_scan_id",
+        "streamed_counters": f"WITH stored AS (SELECT DISTINCT l_orderkey AS scan_id, l_linenumber, l_partkey, l_suppkey, {_list(C.SEVERITIES)}[l_linenumber % 5 + 1] AS severity, l_quantity > 45 AS gone FROM lineitem) SELECT scan_id, count(*) FILTER (WHERE NOT gone) AS total_vulnerabilities, {', '.join(f"count(*) FILTER (WHERE NOT gone AND severity = '{x}') AS {x}_count" for x in C.SEVERITIES)} FROM stored GROUP BY scan_id",
+        "decoded_metadata": f"{one} SELECT fingerprint, CASE WHEN line_start % 7 <> 0 THEN cwe END AS cwe, CASE WHEN line_start % 7 <> 0 THEN urls END AS urls, CASE WHEN line_start % 5 <> 0 THEN replacement END AS replacement, concat_ws(' ', CASE WHEN line_start % 7 = 0 THEN 'refs' END, CASE WHEN line_start % 5 = 0 THEN 'fix' END) AS damaged FROM found",
         "code_totals": f"WITH RECURSIVE {files()}, {_classes()} SELECT count(*) AS total_files, CAST(sum(line_count) AS BIGINT) AS total_lines, CAST(sum(code) AS BIGINT) AS code_lines, CAST(sum(comment) AS BIGINT) AS comment_lines, CAST(sum(blank) AS BIGINT) AS blank_lines, round(avg(size), 4) AS average_file_size FROM files JOIN classes USING (path)",
         "largest_files": f"{lined} SELECT path, line_count, size FROM files ORDER BY line_count DESC, path DESC LIMIT 10",
         "file_complexity": f"{lined}, {COMPLEXITY} SELECT path, round(complexity, 6) AS complexity FROM complexity",
@@ -331,8 +332,8 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "duplication_score": f"{lined}, t AS (SELECT {_trim('line')} AS t FROM lines) SELECT round(coalesce(count(DISTINCT t)::DOUBLE / nullif(count(*), 0) * 100, 100), 6) AS duplication_score FROM t WHERE strlen(t) >= 10",
         "function_metrics": f"{lined}, {functions} SELECT count(*) AS total_functions, round(coalesce(avg(greatest(end_line - start_line + 1, 1)), 0), 6) AS average_function_size, coalesce(max(greatest(end_line - start_line + 1, 1)), 0) AS largest_function, count(*) FILTER (WHERE is_exported) AS exported_functions, round(coalesce(avg(complexity), 0), 6) AS average_complexity FROM fn",
         "code_summary": f"{lined}, {COMPLEXITY}, {functions} SELECT (SELECT count(*) FROM files) AS total_files, round(coalesce(greatest(0, least(100, 100 - (SELECT avg(complexity) FROM complexity) * 5)), 100), 6) AS complexity_score, (SELECT count(*) FROM files WHERE language = 'python') AS python_files, (SELECT path FROM files ORDER BY line_count DESC, path DESC LIMIT 1) AS largest, (SELECT least(10, count(*)) FROM files) AS n_largest, (SELECT count(*) FROM fn) AS total_functions",
-        "scan_lifecycle": "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, bs in store.NEXT.items() for b in bs) + ") AS t(status, target)",
-        "language_extensions": "SELECT language, string_agg(extension, ' ' ORDER BY extension) AS extensions FROM (VALUES " + ", ".join(f"({q(v)}, {q(k)})" for k, v in C.EXTENSIONS.items()) + ") AS t(language, extension) GROUP BY language",
+        "scan_lifecycle": f"SELECT status, target, count(*) AS scans, (status, target) IN ({', '.join(f'({q(a)}, {q(b)})' for a, bs in store.NEXT.items() for b in bs)}) AS allowed FROM (SELECT {_case('o_orderpriority[1]', Q.STATUSES)} AS status, {_case('CAST(o_custkey % 5 + 1 AS VARCHAR)', Q.STATUSES)} AS target FROM orders) GROUP BY status, target",
+        "language_extensions": f"{lined}, e AS (SELECT language, string_agg(extension, ' ' ORDER BY extension) AS extensions FROM (VALUES {', '.join(f'({q(v)}, {q(k)})' for k, v in C.EXTENSIONS.items())}) AS t(language, extension) GROUP BY language) SELECT e.language, e.extensions, (SELECT count(*) FROM files f WHERE f.language = e.language) AS files FROM e",
         "severity_bars": f"{one} SELECT severity, count(*) * 100 // (SELECT count(*) FROM found) AS percent FROM found GROUP BY severity",
         "cvss_bands": f"{one} SELECT CASE WHEN cvss_score >= 9 THEN 'Critical' WHEN cvss_score >= 7 THEN 'High' WHEN cvss_score >= 4 THEN 'Medium' WHEN cvss_score > 0 THEN 'Low' ELSE 'None' END AS band, count(*) AS n FROM found GROUP BY band",
         "url_validation": f"WITH {URLS} SELECT page_id, lower({part(1)}) IN ('https', 'ssh') AND NOT (regexp_matches({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#@]*@') AND (lower({part(1)}) = 'https' OR contains({part(2)}, ':'))) AND lower({part(3)}) IN ('github.com', 'gitlab.com', 'bitbucket.org') AND NOT contains({part(4)}, '..') AS allowed FROM urls",
@@ -346,6 +347,6 @@ SELECT user_id, count(*) FILTER (WHERE used <= 3) AS allowed, count(*) FILTER (W
         "git_line_changes": f"{_repository()} SELECT path, CAST(len(n) - len(o) AS BIGINT) AS gained, (SELECT min(i) FROM unnest(range(1, 2 + greatest(len(o), len(n)))) AS t(i) WHERE o[i] IS DISTINCT FROM n[i]) AS first_line FROM (SELECT path, {_ended('f0.lines')} AS o, {_ended('f1.lines')} AS n FROM f0 JOIN f1 USING (path) WHERE f0.oid <> f1.oid)",
         "git_branches": "SELECT name, author, last_commit, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS files FROM (VALUES " + ", ".join(f"({q(b)}, {q(a)}, CAST({t} AS BIGINT))" for _, a, t, b in corpus.COMMITS) + ") AS b(name, author, last_commit)",
         "recent_commits": "SELECT event_id AS commit_id FROM events ORDER BY ts DESC, event_id LIMIT 25",
-        "rule_catalogue": f"SELECT * FROM (VALUES {catalogue}) AS t(rule_id, title, severity, category, cwe, confidence, refs)",
+        "rule_catalogue": f"{lined}, n AS (SELECT rule_id, count(*) AS n FROM ({pattern_hits()}) GROUP BY rule_id) SELECT t.*, coalesce(n.n, 0) AS n FROM (VALUES {catalogue}) AS t(rule_id, title, severity, category, cwe, confidence, refs) LEFT JOIN n USING (rule_id)",
         "branding_colours": f"WITH c AS (SELECT doc_id, '#' || left(md5(CAST(doc_id AS VARCHAR)), 6) || CASE WHEN doc_id % 10 = 0 THEN 'g' ELSE '' END AS c FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id, CASE WHEN regexp_matches(c, '^#[0-9a-fA-F]{{6}}$') THEN '#' || {dark(2)} || {dark(4)} || {dark(6)} ELSE c END AS dark FROM c",
     }

@@ -14,7 +14,7 @@ from lintel.plans import corpus
 from lintel.sources import database, store, walk
 from lintel.sources import files as sources
 from lintel.sources.shared import shared_dir
-from lintel.streaming import incremental
+from lintel.streaming import counters, incremental
 
 HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
 #: Addresses made from page ids, in turn; % stands for the id.
@@ -178,10 +178,15 @@ def vulnerable_dependencies(spark, sf_dir):
     return _long(dependency.dependency_findings(corpus.manifest_files(spark, sf_dir)).select("path", "line_no", "title", "severity", "description", "match_text"))
 
 
+VERSIONS = [*corpus.VERSIONS, "", "latest", "9.9", "1.2.0", "1.2"]
+
+
 def version_comparison(spark, sf_dir):
-    v = spark.createDataFrame([(x,) for x in [*corpus.VERSIONS, "", "latest", "9.9", "1.2.0", "1.2"]], "v string")
-    a, b = v.select(F.col("v").alias("a")), v.select(F.col("v").alias("b"))
-    return _long(a.join(b, F.col("a") <= F.col("b")).select("a", "b", X.compare_versions(F.col("a"), F.col("b")).alias("c")))
+    """Two versions for each part, one by its key, one by its size."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    one = lambda c: F.element_at(F.array(*[F.lit(v) for v in VERSIONS]), F.pmod(F.col(c), F.lit(len(VERSIONS))).cast("int") + 1)
+    v = p.select("p_partkey", one("p_partkey").alias("a"), one("p_size").alias("b"))
+    return _long(v.select("p_partkey", "a", "b", X.compare_versions(F.col("a"), F.col("b")).alias("c")))
 
 
 def severity_histogram(spark, sf_dir):
@@ -432,8 +437,11 @@ def git_branches(spark, sf_dir):
 
 
 def rule_catalogue(spark, sf_dir):
+    """The rules, and how often each of them matches."""
     rows = [(*r[:6], " ".join(r[6])) for r in C.rule_table()]
-    return spark.createDataFrame(rows, "rule_id string, title string, severity string, category string, cwe string, confidence double, refs string").orderBy("rule_id")
+    rules = spark.createDataFrame(rows, "rule_id string, title string, severity string, category string, cwe string, confidence double, refs string")
+    n = detect.pattern_findings(_files(spark, sf_dir)).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return rules.join(n, "rule_id", "left").na.fill(0, ["n"])
 
 
 def branding_colours(spark, sf_dir):
@@ -453,15 +461,46 @@ def code_summary(spark, sf_dir):
     return out.select("total_files", F.round("complexity_score", 6).alias("complexity_score"), F.element_at("language_breakdown", "python").alias("python_files"), F.col("largest_files")[0]["path"].alias("largest"), F.size("largest_files").cast("long").alias("n_largest"), "functions.total_functions")
 
 
+#: What the priority of an order stands for, by its first character.
+STATUSES = {"1": "pending", "2": "running", "3": "completed", "4": "failed", "5": "cancelled"}
+
+
 def scan_lifecycle(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in store.NEXT], "s string")
-    a, b = names.select(F.col("s").alias("status")), names.select(F.col("s").alias("target"))
-    return a.join(b, F.col("status") != F.col("target")).where(store.may_become(F.col("status"), F.col("target")))
+    """Orders as scans of a status, each asked to take another one by its customer: how many may."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    pick = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in STATUSES.items() for x in kv]), c)
+    rows = o.select(pick(F.substring("o_orderpriority", 1, 1)).alias("status"), pick((F.pmod("o_custkey", F.lit(5)) + 1).cast("string")).alias("target"))
+    return rows.groupBy("status", "target").agg(F.count("*").alias("scans")).withColumn("allowed", store.may_become(F.col("status"), F.col("target")))
 
 
 def language_extensions(spark, sf_dir):
+    """The extensions of each language, and how many files there are of it."""
     df = spark.createDataFrame([(v, k) for k, v in C.EXTENSIONS.items()], "language string, extension string")
-    return df.groupBy("language").agg(F.array_join(F.array_sort(F.collect_list("extension")), " ").alias("extensions"))
+    known = df.groupBy("language").agg(F.array_join(F.array_sort(F.collect_list("extension")), " ").alias("extensions"))
+    n = _files(spark, sf_dir).groupBy("language").agg(F.count("*").alias("files"))
+    return known.join(n, "language", "left").na.fill(0, ["files"])
+
+
+def streamed_counters(spark, sf_dir):
+    """Counts by scan from a stream of findings, the last of them a replay with older versions."""
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    li = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parque[t]")  # a pattern, for a stream does not take the name of one file
+    severity = F.element_at(F.array(*[F.lit(s) for s in C.SEVERITIES]), F.pmod(F.col("l_linenumber"), F.lit(5)) + 1)
+    one = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    new = li.select(F.col("l_orderkey").cast("string").alias("scan_id"), one.alias("finding_id"), F.lit(2).alias("version"), severity.alias("severity"), (F.col("l_quantity") > 45).alias("gone"))
+    # a file that a scan read before: all its findings, none of them gone
+    old = new.withColumn("version", F.lit(1)).withColumn("gone", F.lit(False))
+    base = f"{shared_dir(spark)}/counters-{uuid.uuid4().hex}"
+    counters.maintain(old.unionByName(new), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return counters.latest(spark, f"{base}/out").select(F.col("scan_id").cast("bigint").alias("scan_id"), *counters.COUNTS)
+
+
+def decoded_metadata(spark, sf_dir):
+    """Findings whose nested columns were stored as JSON, some of them damaged, read back."""
+    f = _findings(spark, sf_dir)
+    hurt = lambda c, k: F.when(F.col("line_start") % k == 0, F.concat(F.lit("{"), F.to_json(c))).otherwise(F.to_json(c))
+    back = database.decoded(f.select("fingerprint", hurt("refs", 7).alias("refs"), hurt("fix", 5).alias("fix")))
+    return back.select("fingerprint", F.array_join("refs.cwe", " ").alias("cwe"), F.array_join("refs.urls", " ").alias("urls"), F.col("fix.replacement").alias("replacement"), F.array_join("damaged", " ").alias("damaged"))
 
 
 def severity_bars(spark, sf_dir):
