@@ -13,7 +13,7 @@ from lintel.operators import report
 from lintel.plans import api
 from lintel.plans import catalog as C
 
-VERSION = "0.2"
+VERSION = "0.3"
 
 
 def _session() -> SparkSession:
@@ -24,6 +24,8 @@ def _session() -> SparkSession:
 
 def _scan(args) -> api.ScanResult:
     options = api.ScanOptions(max_files=args.max_files, path_prefix=args.path_prefix).requested(tuple(x for x in args.rules.split(",") if x.strip()), tuple(args.exclude))
+    if args.commit or args.since:
+        return api.scan_commit(_session(), str(Path(args.path).resolve()), args.commit or "HEAD", args.since, options)
     return api.scan_path(_session(), args.path, options)
 
 
@@ -58,6 +60,8 @@ def fix(args) -> int:
     Each file is compared with what was scanned just before it is written; one that
     has changed since is left alone.
     """
+    if args.commit or args.since:
+        raise SystemExit("fix works on files, not on a commit")
     r = _scan(args)
     root, applied, skipped = Path(args.path), 0, 0
     old = r.files.select("path", "content")
@@ -102,6 +106,8 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--exclude", action="append", default=[])
         p.add_argument("--max-files", type=int, default=None)
         p.add_argument("--path-prefix", default="")
+        p.add_argument("--commit", help="scan the files at this commit, branch or tag of the repository at the path" if formats else argparse.SUPPRESS)
+        p.add_argument("--since", help="only what was added or changed since this commit" if formats else argparse.SUPPRESS)
         if formats:
             p.add_argument("--format", choices=formats, default=formats[0])
             p.add_argument("--output")

@@ -13,17 +13,23 @@ from lintel.operators import detect
 from lintel.sources import files as sources
 
 
-def watch(spark: SparkSession, folder: str, sink: str, checkpoint: str, **trigger):
+def watch(spark: SparkSession, folder: str, sink: str, checkpoint: str, skipped: str | None = None, **trigger):
     """Scans Parquet files of (path, content) as they come; findings are appended by batch.
 
     Fingerprints need the findings of one file together and a file comes whole,
-    so no state is kept between batches.
+    so no state is kept between batches. Files that are left out (too large, excluded, binary) go
+    to `skipped` as (path, reason), by batch as well.
     """
     stream = spark.readStream.schema("path string, content string").parquet(folder)
 
     def batch(df: DataFrame, number: int) -> None:
-        files = df.withColumn("size", F.octet_length("content").cast("long"))
-        found = detect.scan(sources.parsed(sources.admitted(files)))
+        files = df.select("path", F.encode("content", "UTF-8").alias("content")).withColumn("size", F.octet_length("content").cast("long"))
+        kept = sources.admitted(files)
+        text, errors = sources.readable(kept)
+        if skipped:
+            out = sources.left_out(files, kept).unionByName(errors.select(F.col("file").alias("path"), F.col("message").alias("reason")))
+            out.write.mode("overwrite").parquet(f"{skipped}/batch={number}")
+        found = detect.scan(sources.parsed(text))
         found.write.mode("overwrite").parquet(f"{sink}/batch={number}")  # a batch that is run again replaces itself
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,5 +1,6 @@
 """Repositories as a source, walks of trees, edit scripts."""
 
+import json
 import os
 import random
 import shutil
@@ -9,6 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from lintel import __main__ as cli
 from lintel.functions import edits
 from lintel.operators import history
 from lintel.plans import api
@@ -148,9 +150,12 @@ def test_scan_of_a_commit(spark, repo):
     path, made = repo
     find = lambda *a: sorted((r.file_path, r.line_start) for r in api.scan_commit(spark, str(path), *a).findings.collect())
     assert find("v2") == [("src/deep/er/x.py", 1)]
-    assert find("main", made[0]) == [("src/deep/new.py", 1)]
     with pytest.raises(ValueError):
         api.scan_commit(spark, str(path), "nothing")
+    out = path.parent / "out.sarif"
+    assert cli.main(["scan", str(path), "--since", made[0], "--format", "sarif", "--output", str(out)]) == 0
+    results = json.loads(out.read_text())["runs"][0]["results"]
+    assert [x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for x in results] == ["src/deep/new.py"]
     skipped = api.scan_commit(spark, str(path), options=api.ScanOptions(max_bytes=10)).skipped
     assert ("src/big.py", "too large") in {tuple(r) for r in skipped.collect()}
 

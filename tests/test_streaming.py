@@ -18,6 +18,15 @@ def test_watch(spark, tmp_path):
     assert sorted(r.rule_id for r in got.collect()) == ["RULE-CRYPTO-002", "xss"] and got.select("batch").distinct().count() == 2
 
 
+def test_watch_tells_what_it_leaves_out(spark, tmp_path):
+    src, sink, gone = (str(tmp_path / x) for x in ("in", "out", "gone"))
+    rows = [("a.js", "eval(x)"), ("big.js", "eval(x) " * 150_000), ("b.js", "eval(x)\0"), ("vendor/c.js", "eval(x)"), ("d.unknown", "eval(x)")]
+    spark.createDataFrame(rows, "path string, content string").write.parquet(src)
+    incremental.watch(spark, src, sink, str(tmp_path / "cp"), gone).awaitTermination()
+    assert {r.file_path for r in spark.read.parquet(sink).collect()} == {"a.js"}
+    assert {(r.path, r.reason) for r in spark.read.parquet(gone).collect()} == {("big.js", "too large"), ("b.js", "binary file"), ("vendor/c.js", "excluded or over the cap")}
+
+
 def _events(spark):
     base = pd.Timestamp("2024-01-01")
     rows = [(k, 1, (base + pd.Timedelta(seconds=s)).to_pydatetime()) for k, s in enumerate([0, 10, 20, 59, 60, 61])] + [(9, 2, base.to_pydatetime())]
