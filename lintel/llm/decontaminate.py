@@ -57,14 +57,17 @@ def _stride(size: int) -> tuple[int, int]:
     return s, size - s + 1
 
 
-def _probed(w: Column, size: int, probes: list[int], grams: list[str]) -> Column:
-    """The occurrences of windows of one size: around found probes, compared as texts."""
+def _probed(size: int, probes: list[int]) -> Column:
+    """The windows of one size in __words around found probes, which may be those of the benchmark.
+
+    The set is written as SQL, which is one call for all its members.
+    """
     s, g = _stride(size)
-    found = F.filter(F.sequence(F.lit(1), F.size(w) - (g - 1), F.lit(s)), lambda q: F.xxhash64(F.slice(w, q, g)).isin(probes))
+    w = F.col("__words")
+    found = F.expr(f"filter(sequence(1, size(__words) - {g - 1}, {s}), q -> xxhash64(slice(__words, q, {g})) IN ({', '.join(f'{h}L' for h in probes)}))")
     near = F.flatten(F.transform(found, lambda q: F.sequence(F.greatest(q - (s - 1), F.lit(1)), F.least(q, F.size(w) - (size - 1)))))
     seen = F.transform(near, lambda p: F.struct(p.alias("at"), F.lit(size).alias("size"), _window(w, p, size).alias("gram")))
-    # a probe may lie so near the end that no window begins before it
-    return F.when(F.size(w) >= size, F.filter(seen, lambda x: x["gram"].isin(grams)))
+    return F.when(F.size(w) >= size, seen)
 
 
 def _all_windows(w: Column, sizes: list[int]) -> Column:
@@ -96,8 +99,11 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: int
             runs = sorted({" ".join(x[k : k + g]) for x in (gram.split(" ") for gram in grams) for k in range(size - g + 1)})
             spark = docs.sparkSession
             hashed = spark.createDataFrame([(x,) for x in runs], "x string").select(F.xxhash64(F.split("x", " ")).alias("h"))
-            per.append(F.coalesce(_probed(w, size, [r.h for r in hashed.collect()], grams), none))
-        return rows.withColumn("__hits", F.array_sort(F.concat(*per)) if len(per) > 1 else per[0])
+            per.append(F.coalesce(_probed(size, [r.h for r in hashed.collect()]), none))
+        # words have neither quotes nor backslashes
+        every = ", ".join(f"'{r.gram}'" for r in few)
+        found = rows.withColumn("__seen", F.array_sort(F.concat(*per)) if len(per) > 1 else per[0])
+        return found.withColumn("__hits", F.expr(f"filter(__seen, x -> x.gram IN ({every}))")).drop("__seen")
     sizes = sorted(r["size"] for r in own.select("size").distinct().collect())
     tried = rows.select(*_key(), F.explode(_all_windows(w, sizes)).alias("x"))
     hits = tried.join(own.select("gram"), F.col("x.gram") == F.col("gram"), "left_semi").groupBy("__i", "__h").agg(F.array_sort(F.collect_set("x")).alias("__hits"))
