@@ -16,10 +16,13 @@ each way to take out as many characters as the similarity allows, so that of the
 no pair is missed.
 
 Lines that share a block are candidates if their whole SimHashes are near; hot
-blocks are compared by pairs of chunks in tasks of their own. Of a block with many
-lines a smallest spanning forest of the near pairs is taken instead of all of them.
-Each distinct candidate pair has its two texts brought together once and is
-compared by edit similarity. Of each component of the alike pairs the first
+blocks are compared by pairs of chunks in tasks of their own. Of a block with more
+than SMALL lines a smallest spanning forest of the near pairs is taken first. Each
+distinct candidate pair has its two texts brought together once and is compared by
+edit similarity. Then such blocks are looked at once more: of their near pairs all
+whose lines are still in different components are compared as well, so what comes
+out is what comparing all near pairs of all blocks gives, without comparing those
+within a group that is joined already. Of each component of the alike pairs the first
 occurrence stays, by document id (null last), hash of the text and line number.
 """
 
@@ -54,8 +57,10 @@ TOKEN = 16
 APART = 36
 #: Pieces of text whose lines are dealt together.
 PIECES = 4
-#: Lines in a chunk of a hot block.
-BLOCK = 2048
+#: Lines of a block up to which its pairs are all compared at once, and lines in a chunk of a hot block.
+SMALL, BLOCK = 12, 2048
+#: Lines that are compared with a block's lines at a time.
+ROWS = 256
 _MULT = mix64(np.arange(1, 12, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -400,20 +405,20 @@ def chunk_links(h: np.ndarray, size: np.ndarray) -> tuple[list, list]:
 def bucket_links(key: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
     """(links' ends, hot buckets) of rows in key and name order.
 
-    Buckets of up to 12 rows have all pairs compared, all buckets at a time;
-    larger ones have a smallest spanning forest of the near pairs; those above
-    BLOCK rows are handed back.
+    Buckets of up to SMALL rows have all pairs compared, all buckets at a time;
+    larger ones have a smallest spanning forest of the near pairs, what it leaves
+    out being for `apart_links`; those above BLOCK rows are handed back.
     """
     first = starts_of(key)
     many = np.diff(np.append(first, len(key)))
-    small = np.repeat(many <= 12, many)
+    small = np.repeat(many <= SMALL, many)
     us, vs, hot = [], [], []
-    for d in range(1, min(12, int(many.max(initial=1)))):
+    for d in range(1, min(SMALL, int(many.max(initial=1)))):
         at = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
         at = at[sketches_near(h[at], h[at + d], size[at], size[at + d])]
         us.append(at)
         vs.append(at + d)
-    for f, m in zip(first[many > 12].tolist(), many[many > 12].tolist()):
+    for f, m in zip(first[many > SMALL].tolist(), many[many > SMALL].tolist()):
         if m > BLOCK:
             hot.append(slice(f, f + m))
             continue
@@ -424,6 +429,25 @@ def bucket_links(key: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.n
     return np.concatenate(us + none), np.concatenate(vs + none), hot
 
 
+def apart_links(x: tuple, y: tuple | None = None):
+    """(names, names) of near pairs of rows (name, SimHash, length, component) in different components.
+
+    Of one chunk's rows among themselves, or of one chunk's with another's; some
+    rows at a time.
+    """
+    name, h, size, root = x
+    other, g, length, top = y or x
+    for a in range(0, len(name), ROWS):
+        r = slice(a, a + ROWS)
+        near = root[r, None] != top
+        if y is None:
+            near &= np.arange(len(name))[r, None] < np.arange(len(name))
+        u, v = np.nonzero(near)
+        if len(u):
+            ok = sketches_near(h[u + a], g[v], size[u + a], length[v])
+            yield name[u[ok] + a], other[v[ok]]
+
+
 def allowed(longer):
     """The edits that the similarity allows between texts of which one has so many characters."""
     return longer * (10 - round(10 * SIMILARITY)) // 10
@@ -619,7 +643,16 @@ def line_drops(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         u, v = u[new], v[new]
         return [(kind, to, pack(u[p], v[p])) for to, p in _shards(mix64(u.view(np.uint64)) ^ v.view(np.uint64), n)]
 
-    NEAR, SURE, HOT = range(3)
+    NEAR, SURE, HOT, LARGE = range(4)
+
+    def chunk_pairs(block: tuple, key: int, same: bool):
+        """Parcels of a hot block's pairs of chunks, each to a task of its own; with `same` also of one chunk alone."""
+        edges = [*range(0, len(block[0]), BLOCK), len(block[0])]
+        chunk = [tuple(c[a:b] for c in block) for a, b in zip(edges[:-1], edges[1:])]
+        for x in range(len(chunk)):
+            for y in range(x + (not same), len(chunk)):
+                to = int(mix64(np.array([key + x * 65537 + y & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] % np.uint64(n))
+                yield common.parcel_batch([(HOT, to, pack(chunk[x], chunk[y] if x < y else None))])
 
     def meet(batches):
         parts = _gathered(batches)
@@ -646,24 +679,30 @@ def line_drops(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             sim, chars = np.concatenate([p[4] for p in got])[order], np.concatenate([p[5] for p in got])[order].astype(np.int64)
             u, v, hot = bucket_links(key, sim, chars)
             yield common.parcel_batch(pairs_of(NEAR, name[u], name[v]))
-            for r in hot:  # the forests of all pairs of chunks hold one of the whole; each to a task of its own
-                edges = np.arange(r.start, r.stop + BLOCK, BLOCK).clip(max=r.stop)
-                chunk = [(name[a:b], sim[a:b], chars[a:b]) for a, b in zip(edges[:-1], edges[1:]) if b > a]
-                for x in range(len(chunk)):
-                    for y in range(x + 1, len(chunk)):
-                        to = int(mix64(key[r.start : r.start + 1] + np.uint64(x * 65537 + y))[0] % np.uint64(n))
-                        yield common.parcel_batch([(HOT, to, pack(*(np.concatenate(c) for c in zip(chunk[x], chunk[y]))))])
+            for r in hot:  # the forests of all pairs of chunks hold one of the whole
+                yield from chunk_pairs((name[r], sim[r], chars[r]), int(key[r.start]), False)
+            if len(key):  # lines that are near to no other need no second look
+                first = starts_of(key)
+                many = np.diff(np.append(first, len(key)))
+                near = np.zeros(len(key), bool)
+                near[u] = near[v] = True
+                for r in hot:
+                    near[r] = True
+                at = np.flatnonzero(near & np.repeat(many > SMALL, many))
+                if len(at):
+                    yield common.parcel_batch([(LARGE, int(mix64(key[:1])[0] % np.uint64(n)), pack(key[at], name[at], sim[at], chars[at]))])
 
     def meet_chunks(batches):
         for batch in batches:
             for p in batch.column("parcel").to_pylist():
-                name, sim, chars = unpack(p)
+                name, sim, chars = (np.concatenate(c) for c in zip(*unpack(p)))
                 u, v = chunk_links(sim, chars)
                 yield common.parcel_batch(pairs_of(NEAR, name[np.array(u, np.int64)], name[np.array(v, np.int64)]))
 
     met = common.checkpoint(stored.select("to", "signs").mapInArrow(deal, "to int, parcel binary").repartitionById(n, F.col("to")).mapInArrow(meet, common.PARCEL_DDL), free=True)
     hot = met.where(F.col("kind") == HOT)
-    met = met.where(F.col("kind") != HOT)
+    large = met.where(F.col("kind") == LARGE)
+    met = met.where(F.col("kind") <= SURE)
     if not hot.isEmpty():
         met = met.unionByName(hot.repartitionById(n, F.col("to")).mapInArrow(meet_chunks, common.PARCEL_DDL))
 
@@ -715,10 +754,6 @@ def line_drops(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     question = pairs.mapInArrow(asked, common.PARCEL_DDL)
     firsts = common.checkpoint(occurrences.unionByName(question).repartitionById(n, F.col("to")).mapInArrow(answered, f"form long, first {_FIRST}, need array<int>"), free=True)
-    wanted = firsts.where("size(need) > 0").select(F.col("first.i").alias("i"), F.col("first.k").alias("k"), F.struct(F.col("first.line").alias("line"), "form", "need").alias("w"))
-    wanted = wanted.groupBy("i", "k").agg(F.collect_list("w").alias("w"))
-    held = docs.join(wanted, docs["i"].eqNullSafe(wanted["i"]) & (docs["k"] == wanted["k"])).select("t", "w")
-
     def texts_of(batches):
         """Lines' texts to the shards that compare them."""
         for batch in batches:
@@ -750,10 +785,97 @@ def line_drops(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         text.clear()
         common.give_back()
 
-    links = pairs.unionByName(held.mapInArrow(texts_of, common.PARCEL_DDL)).repartitionById(n, F.col("to")).mapInArrow(compare, "u long, v long")
-    linked = components(links)
-    linked = linked.withColumnsRenamed({"node": "form", "root": "top"})
-    linked = common.checkpoint(linked.unionByName(linked.select(F.col("top").alias("form"), "top").distinct()), free=True)
+    def alike_pairs(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        """The alike pairs (u, v) of distinct pairs by shard, of forms with their first occurrences and who needs their texts."""
+        wanted = asked.select(F.col("first.i").alias("i"), F.col("first.k").alias("k"), F.struct(F.col("first.line").alias("line"), "form", "need").alias("w"))
+        wanted = wanted.groupBy("i", "k").agg(F.collect_list("w").alias("w"))
+        held = docs.join(wanted, docs["i"].eqNullSafe(wanted["i"]) & (docs["k"] == wanted["k"])).select("t", "w")
+        return pairs.unionByName(held.mapInArrow(texts_of, common.PARCEL_DDL)).repartitionById(n, F.col("to")).mapInArrow(compare, "u long, v long")
+
+    def grouped(links: DataFrame) -> DataFrame:
+        """(form, top) of all lines that have a link."""
+        linked = components(links).withColumnsRenamed({"node": "form", "root": "top"})
+        return common.checkpoint(linked.unionByName(linked.select(F.col("top").alias("form"), "top").distinct()), free=True)
+
+    linked = grouped(alike_pairs(pairs, firsts.where("size(need) > 0")))
+
+    def second_look(batches):
+        """Large blocks' lines to the shards of their forms."""
+        for batch in batches:
+            for own, p in zip(batch.column("to").to_pylist(), batch.column("parcel").to_pylist()):
+                key, name, sim, chars = unpack(p)
+                for to, at in _dealt((name >> 32).astype(np.int32)):
+                    yield common.parcel_batch([(LARGE, to, pack(own, key[at], name[at], sim[at], chars[at]))])
+
+    def tops(batches):
+        """Forms' components to the shards of the forms."""
+        for batch in batches:
+            form, top = (np.asarray(batch.column(c)) for c in ("form", "top"))
+            yield common.parcel_batch([(NEAR, to, pack(form[at], top[at])) for to, at in _dealt((form >> 32).astype(np.int32))])
+
+    def told_tops(batches):
+        """Large blocks' lines with their components, back to the blocks' shards; a line without links is its own."""
+        known, lines = [], []
+        for batch in batches:
+            for kind, p in zip(batch.column("kind").to_pylist(), batch.column("parcel").to_pylist()):
+                (known if kind == NEAR else lines).append(p)
+        form, top = _joined([unpack(p) for p in known], "i8 i8")
+        order = np.argsort(form)
+        form, top = form[order], top[order]
+        for p in lines:
+            own, key, name, sim, chars = unpack(p)
+            root = name
+            if len(form):
+                at = np.minimum(np.searchsorted(form, name), len(form) - 1)
+                root = np.where(form[at] == name, top[at], name)
+            yield common.parcel_batch([(LARGE, own, pack(key, name, sim, chars, root))])
+
+    def still_apart(batches):
+        """Near pairs of large blocks' lines in different components."""
+        parts = _gathered(batches)
+        if not parts:
+            return
+        key, name, sim, chars, root = (np.concatenate(c) for c in zip(*parts))
+        parts.clear()
+        order = np.lexsort((name, key))
+        key, root = key[order], root[order]
+        for r in common.runs_of(key):
+            if (root[r] == root[r.start]).all():
+                continue
+            block = tuple(c[order[r]] for c in (name, sim)) + (chars[order[r]].astype(np.int64), root[r])
+            if len(block[0]) > BLOCK:
+                yield from chunk_pairs(block, int(key[r.start]), True)
+                continue
+            for u, v in apart_links(block):
+                yield common.parcel_batch(pairs_of(NEAR, u, v))
+
+    def apart_chunks(batches):
+        for batch in batches:
+            for p in batch.column("parcel").to_pylist():
+                for u, v in apart_links(*unpack(p)):
+                    yield common.parcel_batch(pairs_of(NEAR, u, v))
+
+    def needed(batches):
+        """Which shard needs which line's text, as rows."""
+        for batch in batches:
+            for to, p in zip(batch.column("to").to_pylist(), batch.column("parcel").to_pylist()):
+                node = common.distinct(np.concatenate(unpack(p)))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), to, np.int32))], ["form", "by"])
+
+    if not large.isEmpty():
+        told = large.mapInArrow(second_look, common.PARCEL_DDL).unionByName(linked.mapInArrow(tops, common.PARCEL_DDL))
+        told = told.repartitionById(n, F.col("to")).mapInArrow(told_tops, common.PARCEL_DDL)
+        left = common.checkpoint(told.repartitionById(n, F.col("to")).mapInArrow(still_apart, common.PARCEL_DDL), free=True)
+        hot = left.where(F.col("kind") == HOT)
+        left = left.where(F.col("kind") != HOT)
+        if not hot.isEmpty():
+            left = left.unionByName(hot.repartitionById(n, F.col("to")).mapInArrow(apart_chunks, common.PARCEL_DDL))
+        left = common.checkpoint(left.repartitionById(n, F.col("to")).mapInArrow(once, common.PARCEL_DDL), free=True)
+        if not left.isEmpty():  # each of these lines has a near one, so its first occurrence was asked for before
+            need = left.mapInArrow(needed, "form long, by int").groupBy("form").agg(F.collect_set("by").alias("need"))
+            more = alike_pairs(left, firsts.select("form", "first").join(need, "form"))
+            linked = grouped(more.unionByName(linked.where("form <> top").select(F.col("form").alias("u"), F.col("top").alias("v"))))
+
     firsts = firsts.select("form", "first").join(linked, "form")
     kept = firsts.groupBy("top").agg(F.min("first").alias("stay"))
     moved = firsts.join(kept, "top").where("first <> stay").select("form", "stay.*")
