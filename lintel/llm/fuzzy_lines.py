@@ -176,10 +176,10 @@ def blocks(token: np.ndarray, letters: np.ndarray, line: np.ndarray, chars: np.n
     blocks.
     """
     owners, keys = [], []
-    low = np.maximum(np.floor(np.log2(np.maximum(chars, 1) / span / 1.767)), 0).astype(np.int64)
+    low = np.ceil(np.log2(np.maximum(chars, 1) / span / 1.7678)).astype(np.int64)  # the smallest that is not too small
     for up in range(2):
-        g = low + up
-        fits = (chars >= 0.7071 * span * 2.0**g) & (chars <= 1.7678 * span * 2.0**g) | (up == 0) & (low == 0) & (chars < 0.7071 * span)
+        g = np.maximum(low + up, 0)
+        fits = np.ones(len(chars), bool) if not up else (low >= 0) & (chars >= 0.7071 * span * 2.0**g)
         groups = np.int64(1) << np.maximum(g, 1)
         turns = np.where(fits, np.maximum(most // groups, 1), 0)
         for turn in range(int(turns.max(initial=0))):

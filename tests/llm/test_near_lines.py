@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from lintel.llm import fuzzy_lines
 from tests.llm import brute
@@ -84,6 +85,55 @@ def test_a_hot_block_is_compared_in_chunks(spark, monkeypatch):
     assert sorted(r.doc_id for r in out.where("i = 0").collect()) == [0]
 
 
+def families(p, seed=5, many=5, size=60):
+    """Distinct lines of 30 random words of a few kinds, of which each word is replaced with chance p."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    base = [[word() for _ in range(30)] for _ in range(many)]
+    return sorted({" ".join(word() if rng.random() < p else w for w in b) for b in base for _ in range(size)})
+
+
+def groups(pairs, n):
+    """How many groups of n lines the pairs leave."""
+    up = list(range(n))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[top(a)] = top(b)
+    return len({top(x) for x in range(n)})
+
+
+@pytest.mark.parametrize(("p", "block"), [(0.08, 2048), (0.12, 2048), (0.12, 25), (0.16, 25)])
+def test_large_blocks_lose_no_link(spark, monkeypatch, p, block):
+    """Groups are those of all near pairs of all blocks, in blocks above SMALL and above BLOCK lines."""
+    monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+    lines = families(p)
+    items, sim, own, key = fuzzy_lines.signatures(fuzzy_lines.Forms(pa.array(lines)), np.arange(len(lines)))
+    held, sketch = [set() for _ in lines], dict(zip(items.tolist(), sim))
+    for x, k in zip(items[own].tolist(), key.tolist()):
+        held[x].add(k)
+    alike = list(pairs_of(lines))
+    met = [(a, b) for a, b in alike if held[a] & held[b] and np.bitwise_count(sketch[a] ^ sketch[b]).sum() <= fuzzy_lines.APART]
+    assert len(met) >= 0.9 * len(alike)
+    out = fuzzy_lines.without_near_lines(brute.messy(spark, list(enumerate(lines))), n_removed="i")
+    left = out.where("i = 0").count()
+    assert left == groups(met, len(lines)) and left <= 1.1 * groups(alike, len(lines)) + 1
+
+
+def test_lengths_that_may_be_alike_have_a_class_in_common():
+    """Lines that hold the same tokens share a block at any two lengths that the similarity allows."""
+    token = fuzzy_lines.mix64(np.arange(1, 9, dtype=np.uint64))
+    for span in (fuzzy_lines.WORD_SPAN, fuzzy_lines.TRIGRAM_SPAN):
+        for longer in range(4, 1500, 3):
+            sizes = np.array([longer, longer - fuzzy_lines.allowed(longer)])
+            own, key = fuzzy_lines.blocks(np.tile(token, 2), np.full(16, 9), np.repeat([0, 1], 8), sizes, span, 1 << 11, least, 1)
+            assert set(key[own == 0].tolist()) & set(key[own == 1].tolist()), (span, longer)
+
+
 def test_long_runs_without_spaces_are_cut_alike():
     rng = random.Random(10)
     text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(400))
