@@ -61,6 +61,8 @@ PIECES = 4
 SMALL, BLOCK = 12, 2048
 #: Lines that are compared with a block's lines at a time.
 ROWS = 256
+#: Pairs whose characters are counted at a time.
+PAIRS = 2000
 _MULT = mix64(np.arange(1, 12, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -466,6 +468,32 @@ def letters(texts: list[str]) -> np.ndarray:
     return out
 
 
+def bigrams(texts: list[str]) -> np.ndarray:
+    """Counts of each text's pairs of neighbouring characters, dealt to 256 classes, up to 255."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    inner = owner[1:] == owner[:-1]
+    kind = (code[:-1] * 31 + code[1:]) * 0x9E3779B1 >> 16 & 255
+    counts = np.bincount((owner[1:] * 256 + kind)[inner], minlength=256 * len(texts))
+    return np.minimum(counts, 255).astype(np.int16).reshape(-1, 256)
+
+
+def may_be_alike(text: dict[int, str], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs of named texts their pairs of characters do not show to be unlike.
+
+    An edit takes away at most two such pairs and brings at most two, so no alike
+    pair is ruled out.
+    """
+    size = np.array([[len(text[x]), len(text[y])] for x, y in zip(u.tolist(), v.tolist())], np.int64).reshape(-1, 2)
+    out = np.zeros(len(u), bool)
+    for r in common.runs_of(np.arange(len(u)) // PAIRS + np.cumsum(size.sum(1)) // common.PIECE_BYTES):
+        names, at = np.unique(np.concatenate([u[r], v[r]]), return_inverse=True)
+        count = bigrams([text[x] for x in names.tolist()])
+        x, y = np.split(at, 2)
+        out[r] = np.abs(count[x] - count[y]).sum(1) <= 4 * allowed(size[r].max(1))
+    return out
+
+
 def _spanning(texts: list[str]) -> list[tuple[int, int]]:
     """A spanning forest of the alike pairs of short texts.
 
@@ -780,7 +808,8 @@ def line_drops(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     u, v = unpack(p)
                 else:  # known already
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(p)], ["u", "v"])
-        good = [k for k, (x, y) in enumerate(zip(u.tolist(), v.tolist())) if alike(text[x], text[y])]
+        can = np.flatnonzero(may_be_alike(text, u, v))
+        good = [k for k, x, y in zip(can.tolist(), u[can].tolist(), v[can].tolist()) if alike(text[x], text[y])]
         yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], ["u", "v"])
         text.clear()
         common.give_back()

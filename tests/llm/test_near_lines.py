@@ -124,13 +124,30 @@ def test_large_blocks_lose_no_link(spark, monkeypatch, p, block):
     assert left == groups(met, len(lines)) and left <= 1.1 * groups(alike, len(lines)) + 1
 
 
+def test_counted_characters_rule_out_no_alike_pair():
+    rng = random.Random(6)
+    text, pairs = {}, []
+    for k in range(0, 1200, 2):
+        a = "".join(rng.choice("abcd é字") for _ in range(rng.randrange(1, 80)))
+        b = list(a)
+        for _ in range(rng.randrange(len(a) // 3 + 1)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "字"])
+        text |= {k: a, k + 1: "".join(b)}
+        pairs.append((k, k + 1))
+    u, v = np.array(pairs + [(a, rng.randrange(1200)) for a, _ in pairs]).T
+    can = fuzzy_lines.may_be_alike(text, u, v)
+    alike = np.array([fuzzy_lines.alike(text[x], text[y]) for x, y in zip(u.tolist(), v.tolist())])
+    assert alike.sum() > 200 and not (alike & ~can).any() and can.sum() < len(u)
+
+
 def test_lengths_that_may_be_alike_have_a_class_in_common():
     """Lines that hold the same tokens share a block at any two lengths that the similarity allows."""
     token = fuzzy_lines.mix64(np.arange(1, 9, dtype=np.uint64))
     for span in (fuzzy_lines.WORD_SPAN, fuzzy_lines.TRIGRAM_SPAN):
-        for longer in range(4, 1500, 3):
+        for longer in [*range(5, 60, 5), 92, 184, 185, 230, 368, 369, 735, 800, 1471]:
             sizes = np.array([longer, longer - fuzzy_lines.allowed(longer)])
-            own, key = fuzzy_lines.blocks(np.tile(token, 2), np.full(16, 9), np.repeat([0, 1], 8), sizes, span, 1 << 11, least, 1)
+            own, key = fuzzy_lines.blocks(np.tile(token, 2), np.full(16, 9), np.repeat([0, 1], 8), sizes, span, 512, 1, 1)
             assert set(key[own == 0].tolist()) & set(key[own == 1].tolist()), (span, longer)
 
 
