@@ -115,16 +115,30 @@ def functions(files: DataFrame) -> DataFrame:
 
 
 #: What lies between literals, then a literal; each match begins where the last one ended, so an open quote ends the line's literals.
-_LITERAL = r"""(?s)\G((?:\\.|[^"'`\\])*)("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)"""
+#: Repeats are possessive: Java matches those in a loop, where others take stack for each character.
+_LITERAL = r"""(?s)\G((?:[^"'`\\]++|\\.)*+)("(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`)"""
+#: Literals to a block, as a power of two: sums of blocks stand for all literals before.
+_BLOCK = 7
+
+
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is made once, however often a lambda inside asks for it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _strings(line: Column) -> Column:
     """The literals of a line, with the byte columns of their quotes; empty ones are left out."""
     before, quoted = (F.regexp_extract_all(line, F.lit(_LITERAL), F.lit(k)) for k in (1, 2))
-    pair = F.arrays_zip(before.alias("b"), quoted.alias("q"))
-    size = F.transform(pair, lambda p: F.octet_length(p["b"]) + F.octet_length(p["q"]))
-    start = lambda k: F.aggregate(F.slice(size, 1, k), F.lit(0), lambda a, x: a + x)
-    each = F.transform(pair, lambda p, k: F.struct(F.substring(p["q"], 2, F.length(p["q"]) - 2).alias("value"), (start(k) + F.octet_length(p["b"]) + 1).alias("column"), p["q"].startswith("`").alias("raw")))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    sizes = lambda pairs: F.transform(pairs, lambda p: F.octet_length(p["b"]) + F.octet_length(p["q"]))
+    blocks = lambda size: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(size), _BLOCK)), lambda i: total(F.slice(size, F.shiftleft(i, _BLOCK) + 1, 1 << _BLOCK)))
+
+    def placed(pairs: Column, size: Column, sums: Column) -> Column:
+        rest = lambda k: k.bitwiseAND((1 << _BLOCK) - 1)
+        start = lambda k: total(F.slice(sums, F.lit(1), F.shiftright(k, _BLOCK))) + total(F.slice(size, k - rest(k) + 1, rest(k)))
+        return F.transform(pairs, lambda p, k: F.struct(F.substring(p["q"], 2, F.length(p["q"]) - 2).alias("value"), (start(k) + F.octet_length(p["b"]) + 1).alias("column"), p["q"].startswith("`").alias("raw")))
+
+    each = _bound(F.arrays_zip(before.alias("b"), quoted.alias("q")), lambda pairs: _bound(sizes(pairs), lambda size: _bound(blocks(size), lambda sums: placed(pairs, size, sums))))
     return F.filter(each, lambda x: x["value"] != "")
 
 

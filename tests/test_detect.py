@@ -246,3 +246,16 @@ def test_page_is_alphabetical(spark):
     rows = [("medium", 1), ("critical", 2), ("low", 3), ("info", 4), ("high", 5)]
     df = spark.createDataFrame([(s, n, "p", str(n)) for s, n in rows], "severity string, line_start int, file_path string, fingerprint string")
     assert [r.severity for r in delta.page(df, 3).collect()] == ["critical", "high", "info"] and delta.page(df, 3, 2).count() == 2
+
+
+def test_strings_of_long_lines(spark):
+    """No stack for each character, no second look at a line for each of its literals."""
+    words = "x" * 400_000
+    many = "".join(f"é 'a{k}' " for k in range(5000))
+    got = structure.string_literals(files_of(spark, ("a.js", f'{words}"{words}\\"" `'), ("b.js", many))).collect()
+    assert [(r.column, len(r.value)) for r in got if r.path == "a.js"] == [(400_001, 400_002)]
+    at, want = 1, []
+    for k in range(5000):
+        want.append((f"a{k}", at + 3))
+        at += len(f"é 'a{k}' ".encode())
+    assert sorted((r.value, r.column) for r in got if r.path == "b.js") == sorted(want)
