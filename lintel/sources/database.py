@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.sources.shards import Shards
+
 #: Columns of the tables, with SQL types that databases share.
 SCANS = {"scan_id": "VARCHAR(64) NOT NULL PRIMARY KEY", "repository_id": "VARCHAR(256)", "status": "VARCHAR(16)", "created_at": "TIMESTAMP", "completed_at": "TIMESTAMP"}
 SCANS |= {c: "BIGINT" for c in ("total_vulnerabilities", "critical_count", "high_count", "medium_count", "low_count", "info_count")}
@@ -111,6 +113,10 @@ class Database:
         df = self.spark.table(name)
         return df.select(*[F.col(c).alias(c.lower()) for c in df.columns])
 
+    def grouped(self, table: str, by: tuple[str, ...], largest: dict[str, str], where: str) -> DataFrame:
+        """Rows that fit by group: `n`, and the largest value of some columns; the database counts."""
+        return self.frame(table).where(where).groupBy(*by).agg(F.count("*").alias("n"), *[F.max(c).alias(name) for name, c in largest.items()])
+
     def ranges(self, table: str, column: str, parts: int) -> DataFrame:
         """A table read in `parts` ranges of a number or time; rows without one come with the first range."""
         low, high = self.frame(table).agg(F.min(column), F.max(column)).first()
@@ -187,11 +193,11 @@ class Database:
         return self.frame("scans")
 
 
-def of_session(spark: SparkSession) -> Database:
-    """The database that `spark.lintel.database` names, as JSON of the arguments; in local sessions one in memory if none is named."""
+def of_session(spark: SparkSession) -> Database | Shards:
+    """The database that `spark.lintel.database` names, as JSON of the arguments; if none is named, one in memory in local sessions, elsewhere shards in the shared folder."""
     named = spark.conf.get("spark.lintel.database", None)
     if named:
         return Database(spark, **json.loads(named))
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.lintel.database must name a database that all executors reach")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        return Shards(spark)
     return Database(spark, "jdbc:derby:memory:lintel;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver", "lintel_memory", "APP")

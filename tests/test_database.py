@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintel.operators import delta, detect
-from lintel.sources import database
+from lintel.plans import oracle, queries
+from lintel.sources import database, shards
 from lintel.sources import files as sources
+from lintel.sources.shared import shared_dir
 
 DAY = datetime.datetime(2024, 1, 2, 3, 4, 5)
 
@@ -83,3 +85,33 @@ def test_damaged_columns(spark):
     assert got[2].refs is None and got[2].damaged == ["refs"] and got[2].refs_text == "{broken" and got[2].fix.kind == "x"
     assert got[3].damaged == ["refs", "fix"] and got[3].refs_text == '{"cwe":"no list"}'
     assert got[4].damaged == ["fix"] and got[5].damaged[0] == "refs"
+
+
+def test_shards(spark, tmp_path):
+    db = shards.Shards(spark, str(tmp_path), 3)
+    db.create("things", {"k": "BIGINT NOT NULL", "kind": "VARCHAR(20)", "v": "DOUBLE PRECISION", "at": "TIMESTAMP", "PRIMARY KEY": "(k)"})
+    assert db.frame("things").count() == 0
+    df = spark.range(2000).select(F.col("id").alias("k"), F.concat(F.lit("k"), F.col("id") % 3).alias("kind"), (F.col("id") * 0.5).alias("v"), F.lit(DAY).alias("at"))
+    assert db.upsert(df, "things", ("k",)) == 2000
+    before = db.frame("things")
+    new = spark.range(1500, 2500).select(F.col("id").alias("k"), F.lit("new").alias("kind"), F.lit(1.0).alias("v"))
+    assert db.upsert(new.repartition(3), "things", ("k",)) == 1000
+    assert before.where("kind = 'new'").count() == 0  # what was begun before
+    with pytest.raises(Exception):
+        db.upsert(new.unionByName(new), "things", ("k",))  # keys that are not distinct
+    t = db.frame("things")
+    assert t.count() == 2500 and t.where("kind = 'new'").count() == 1000
+    assert {tuple(r) for r in db.grouped("things", ("kind",), {"last": "k"}, "v >= 100").collect()} == {("k0", 433, 1497), ("k1", 433, 1498), ("k2", 434, 1499)}
+    assert t.where("at is null").count() == 500 and {r[0] for r in t.where("k < 2000").select(F.date_format("at", "yyyy-MM-dd HH:mm:ss")).collect()} == {"2024-01-02 03:04:05"}
+    assert db.upsert(new, "things", ("k",)) == 1000 and db.frame("things").count() == 2500
+    db.drop("things")
+    assert not db.tables() and not list(tmp_path.iterdir())
+
+
+def test_sessions_with_executors_need_no_server(spark, sf_dir, same_rows, monkeypatch):
+
+
+    shared_dir(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    assert isinstance(database.of_session(spark), shards.Shards)
+    same_rows(queries.database_findings(spark, sf_dir), oracle.oracle_sql()["database_findings"])
