@@ -67,3 +67,15 @@ def test_counters_equal_a_recount(spark, tmp_path):
     want = {r.scan_id: tuple(r)[1:] for r in delta.scan_counters(alive).select("scan_id", *counters.COUNTS).collect()}
     got = {r.scan_id: tuple(r)[1:] for r in counters.latest(spark, sink).collect()}
     assert got == want | {"d": (0,) * 6} and sum(x[0] for x in want.values()) > 50
+
+
+def test_counters_ask_the_store_by_bucket(spark, tmp_path):
+    """As many groups as buckets, not as scans, and steps of one large scan from all of them."""
+    src = str(tmp_path / "in")
+    spark.range(3000).selectExpr("IF(id < 1000, 'big', CAST(id AS string)) AS scan_id", "CAST(id AS string) AS finding_id", "1L AS version", "'low' AS severity", "id % 10 = 0 AS gone").write.parquet(src)
+    stream = spark.readStream.schema(counters.CHANGES).parquet(src)
+    done = counters.maintain(stream, str(tmp_path / "out"), str(tmp_path / "cp"), buckets=16)
+    done.awaitTermination()
+    assert done.lastProgress.stateOperators[0].numRowsTotal == 16
+    got = counters.latest(spark, str(tmp_path / "out"))
+    assert got.count() == 2001 and tuple(got.where("scan_id = 'big'").first()) == ("big", 900, 0, 0, 0, 900, 0)
