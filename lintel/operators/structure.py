@@ -8,15 +8,19 @@ then unknown.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from lintel.functions import go_code
 from lintel.functions import regex as R
 from lintel.functions import text as X
 from lintel.operators.detect import all_lines
 from lintel.plans import catalog as C
+from lintel.sources.files import parsed
 
 
 def _matched(files: DataFrame, table: dict, trim: tuple) -> DataFrame:
@@ -28,23 +32,48 @@ def _matched(files: DataFrame, table: dict, trim: tuple) -> DataFrame:
     return rows.select("path", "language", "line_no", "line", F.explode(F.array_compact(hits)).alias("name"))
 
 
-#: What a Go file is read as; null if it is none.
-GO = "struct<imports:array<struct<name:string,alias:string,line_no:int>>,functions:array<struct<name:string,start_line:int,end_line:int,is_exported:boolean,complexity:int,parameters:array<string>,return_type:string>>,calls:array<struct<name:string,receiver:string,line_no:int,column:int,is_method:boolean>>>"
-_KINDS = {"imports": ("name", "alias", "line_no"), "functions": ("name", "start_line", "end_line", "is_exported", "complexity", "parameters", "return_type"), "calls": ("name", "receiver", "line_no", "column", "is_method")}
-
-
-def _go_structure(contents: pd.Series) -> pd.DataFrame:
-    rows = [go_code.structure(c or "") for c in contents]
-    return pd.DataFrame({kind: [None if r is None else [dict(zip(names, x)) for x in r[kind]] for r in rows] for kind, names in _KINDS.items()}, index=contents.index)
+#: What a Go file holds of each kind.
+_KINDS = {
+    "imports": "struct<name:string,alias:string,line_no:int>",
+    "functions": "struct<name:string,start_line:int,end_line:int,is_exported:boolean,complexity:int,parameters:array<string>,return_type:string>",
+    "calls": "struct<name:string,receiver:string,line_no:int,column:int,is_method:boolean>",
+}
+#: Files of Go that Python holds at a time, and bytes of them; a file is never cut.
+_FILES, _BYTES = 64, 1 << 20
+
+
+def _go_structure(kind: str):
+    """Batches of (path, language, content) with what files have of a kind, null if they are no Go; a batch is worked off in small parts."""
+    item = to_arrow_type(_parse_datatype_string(_KINDS[kind]))
+    names = [f.name for f in item]
+
+    def run(batches):
+        for batch in batches:
+            at, sizes = 0, pc.fill_null(pc.binary_length(batch.column("content")), 0).to_pylist()
+            while at < batch.num_rows:
+                end, size = at + 1, sizes[at]
+                while end < min(at + _FILES, batch.num_rows) and size + sizes[end] <= _BYTES:
+                    size += sizes[end]
+                    end += 1
+                part = batch.slice(at, end - at)
+                texts = part.column("content").to_pylist()
+                found = [go_code.structure(c or "", (kind,)) for c in texts]
+                rows = pa.array([None if f is None else [dict(zip(names, x)) for x in f[kind]] for f in found], pa.list_(item))
+                # only files that cannot be read go on with their contents
+                rest = pa.array([c if f is None else None for c, f in zip(texts, found)], part.column("content").type)
+                yield pa.RecordBatch.from_arrays([part.column("path"), part.column("language"), rest, rows], ["path", "language", "content", "go"])
+                at = end
+
+    return run
 
 
 def _go(files: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """(path, language and what files of Go have of a kind, the files that only look like Go)."""
     named = files.where(F.col("language") == "go")
     clause = F.coalesce(F.col("content").rlike(r"(?m)^\s*package\s"), F.lit(False))  # none, so nothing to parse
-    read = named.where(clause).withColumn("go", F.pandas_udf(_go_structure, GO)("content"))
-    odd = named.where(~clause).unionByName(read.where("go.imports IS NULL").drop("go"))
-    return read.select("path", "language", F.inline(f"go.{kind}")), odd
+    read = named.where(clause).select("path", "language", "content").mapInArrow(_go_structure(kind), f"path string, language string, content string, go array<{_KINDS[kind]}>")
+    odd = parsed(named.where(~clause).select("path", "language", "content").unionByName(read.where("go IS NULL").drop("go")))
+    return read.select("path", "language", F.inline("go")), odd
 
 
 def call_sites(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Go by its tokens."""
 
+import pyarrow as pa
 import pytest
 
 from lintel.functions import go_code
@@ -39,3 +40,15 @@ def test_files_that_are_no_go_are_read_by_lines(spark):
     assert got == [("a.go", "A", 3, 4, 2), ("b.go", "B", 3, 5, 2), ("c.go", "C", 2, 3, 1)]
     assert sorted((r.path, r["name"], r.line_no) for r in structure.imports(f).collect()) == [("a.go", "x", 2), ("b.go", "y", 2)]
     assert structure.call_sites(f).count() == 0
+
+
+def test_files_are_read_in_small_parts(spark, monkeypatch):
+    """Whatever a batch holds, a part is a few files, and what is read leaves without its text."""
+    parts = []
+    monkeypatch.setattr(structure.go_code, "structure", lambda code, kinds: parts.append(kinds) or {k: [("f", None, 1, 1, False)] for k in kinds})
+    run = structure._go_structure("calls")
+    texts = ["package a\n"] * 300 + ["package b\n" + "x" * structure._BYTES] * 3 + [None]
+    batch = pa.RecordBatch.from_pydict({"path": pa.array(map(str, range(304))), "language": pa.array(["go"] * 304), "content": pa.array(texts, pa.string())})
+    out = list(run([batch]))
+    assert [x.num_rows for x in out] == [64, 64, 64, 64, 44, 1, 1, 1, 1] and set(parts) == {("calls",)}
+    assert [i for x in out for i in x.column("path").to_pylist()] == list(map(str, range(304))) and all(x.column("content").null_count == x.num_rows for x in out)
