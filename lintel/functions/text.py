@@ -11,6 +11,11 @@ from lintel.plans import catalog
 _SPACES = "\\t\\n\\u000b\\f\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is made once, however often `use` or a lambda in it asks for it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, f"^[{_SPACES}]+|[{_SPACES}]+$", "")

@@ -42,8 +42,7 @@ def file_complexity(files: DataFrame) -> DataFrame:
     """(path, complexity): control words and deep lines for each hundred lines."""
 
     def of(line):
-        t = X.trimmed(line)
-        words = sum((t.contains(w).cast("double") for w in C.COMPLEXITY_WORDS), F.lit(0.0))
+        words = X.bound(X.trimmed(line), lambda t: sum((t.contains(w).cast("double") for w in C.COMPLEXITY_WORDS), F.lit(0.0)))
         indent = F.length(line) - F.length(F.ltrim(line, F.lit(" \t")))
         return words + F.when(indent > 16, 0.5).otherwise(0.0)
 

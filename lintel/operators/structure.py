@@ -150,11 +150,6 @@ _LITERAL = r"""(?s)\G((?:[^"'`\\]++|\\.)*+)("(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\
 _BLOCK = 7
 
 
-def _bound(value: Column, use) -> Column:
-    """`use` of a value that is made once, however often a lambda inside asks for it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _strings(line: Column) -> Column:
     """The literals of a line, with the byte columns of their quotes; empty ones are left out."""
     before, quoted = (F.regexp_extract_all(line, F.lit(_LITERAL), F.lit(k)) for k in (1, 2))
@@ -167,7 +162,7 @@ def _strings(line: Column) -> Column:
         start = lambda k: total(F.slice(sums, F.lit(1), F.shiftright(k, _BLOCK))) + total(F.slice(size, k - rest(k) + 1, rest(k)))
         return F.transform(pairs, lambda p, k: F.struct(F.substring(p["q"], 2, F.length(p["q"]) - 2).alias("value"), (start(k) + F.octet_length(p["b"]) + 1).alias("column"), p["q"].startswith("`").alias("raw")))
 
-    each = _bound(F.arrays_zip(before.alias("b"), quoted.alias("q")), lambda pairs: _bound(sizes(pairs), lambda size: _bound(blocks(size), lambda sums: placed(pairs, size, sums))))
+    each = X.bound(F.arrays_zip(before.alias("b"), quoted.alias("q")), lambda pairs: X.bound(sizes(pairs), lambda size: X.bound(blocks(size), lambda sums: placed(pairs, size, sums))))
     return F.filter(each, lambda x: x["value"] != "")
 
 
