@@ -57,7 +57,7 @@ def start(text: Column, pattern: str) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case as far as `(?i)` sees it, for literals that a match must have."""
-    return F.translate(F.lower(text), "ſK", "sk")
+    return F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k"))
 
 
 def has_any(text: Column, literals) -> Column:

@@ -35,11 +35,15 @@ def _section(opens, closes) -> Column:
     Openings and closings are few, so each line looks for the last of them; no
     rows are copied from line to line.
     """
-    rows = _numbered()
+    return X.bound(_numbered(), lambda rows: X.bound(_spans(rows, opens, closes), lambda spans: F.filter(rows, lambda r: F.exists(spans, lambda s: (r["n"] > s["a"]) & (r["n"] < s["b"])))))
+
+
+def _spans(rows: Column, opens, closes) -> Column:
+    """Where sections are open: the numbers of the lines before and after each."""
     marks = F.transform(F.filter(rows, lambda r: opens(r) | closes(r)), lambda r: F.struct(r["n"].alias("n"), opens(r).alias("open")))
     # from here on a section is open or not up to the next mark
-    spans = F.filter(F.transform(marks, lambda m, i: F.struct(m["n"].alias("a"), F.coalesce(F.get(marks, i + 1)["n"], F.size("lines") + 1).alias("b"), m["open"].alias("open"))), lambda s: s["open"])
-    return F.filter(rows, lambda r: F.exists(spans, lambda s: (r["n"] > s["a"]) & (r["n"] < s["b"])))
+    spans = lambda ms: F.transform(ms, lambda m, i: F.struct(m["n"].alias("a"), F.coalesce(F.get(ms, i + 1)["n"], F.size("lines") + 1).alias("b"), m["open"].alias("open")))
+    return F.filter(X.bound(marks, spans), lambda s: s["open"])
 
 
 def _npm() -> Column:

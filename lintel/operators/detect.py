@@ -85,15 +85,14 @@ def _tries(patterns, languages, secrets: bool) -> list[tuple]:
     return out
 
 
-def _wanted(tries: list[tuple], folded: Column) -> Column:
-    """Whether a line has a literal that some expression for its file's language needs."""
+def _wanted(tries: list[tuple]) -> Column:
+    """The literals that expressions for a file's language need and that its folded content has."""
     by_language: dict[tuple, set] = {}
     for _, _, _, need, langs, _ in tries:
         by_language.setdefault(tuple(langs), set()).update(need)
-    out = F.lit(False)
-    for langs, need in by_language.items():
-        out = out | _applies(langs) & R.has_any(folded, sorted(need))
-    return out
+    none = F.array().cast("array<string>")
+    every = F.concat(*[F.when(_applies(langs), F.array(*[F.lit(x) for x in sorted(need)])).otherwise(none) for langs, need in by_language.items()])
+    return X.bound(R.folded(F.col("content")), lambda c: F.filter(every, lambda x: c.contains(x)))
 
 
 def findings_of(files: DataFrame, patterns=None, languages=None, secrets: bool = True, dependencies: bool = True, prefix: str = DIRECTIVE) -> DataFrame:
@@ -103,11 +102,12 @@ def findings_of(files: DataFrame, patterns=None, languages=None, secrets: bool =
     tries = _tries(C.PATTERN_RULES if patterns is None else patterns, C.LANGUAGE_RULES if languages is None else languages, secrets)
     bad = F.array().cast(VULNERABLE)
     none = F.lit(None).cast(VULNERABLE.removeprefix("array<")[:-1])
-    at = F.array().cast("array<int>")
+    at = at_none = F.array().cast("array<int>")
     if tries:
-        # the folded line is bound to a variable, or each literal would fold it again
-        good = lambda i: F.exists(F.array(R.folded(F.element_at("lines", i))), lambda x: _wanted(tries, x))
-        at = F.filter(F.sequence(F.lit(1), F.size("lines")), good)
+        # a line can only have literals that its file has
+        good = lambda i, some: X.bound(R.folded(F.element_at("lines", i)), lambda line: F.exists(some, lambda x: line.contains(x)))
+        lines = F.sequence(F.lit(1), F.size("lines"))
+        at = X.bound(_wanted(tries), lambda some: F.when(F.size(some) > 0, F.filter(lines, lambda i: good(i, some))).otherwise(at_none))
     row = lambda i, dep: F.struct(i.alias("line_no"), F.element_at("lines", i).alias("line"), around("lines", i).alias("around"), dep.alias("dep"))
     rows = F.concat(F.transform(at, lambda i: row(i, none)), F.transform(vulnerable() if dependencies else bad, lambda d: row(d["line"], d)))
     rows = files.select("path", "language", off_of(prefix).alias("off"), F.explode(rows).alias("c")).select("path", "language", "off", "c.*")

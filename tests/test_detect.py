@@ -259,3 +259,12 @@ def test_strings_of_long_lines(spark):
         want.append((f"a{k}", at + 3))
         at += len(f"é 'a{k}' ".encode())
     assert sorted((r.value, r.column) for r in got if r.path == "b.js") == sorted(want)
+
+
+def test_values_are_made_once(spark):
+    """A line is trimmed once for all control words, and a manifest's lines are numbered once for all its sections."""
+    f = files_of(spark, ("a.js", "if x for y"))
+    plan = metrics.file_complexity(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+    plan = f.select(dependency._section(lambda r: r["t"].contains("a"), lambda r: r["t"] == "}").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
