@@ -7,11 +7,14 @@ and `(?i)` folds by Unicode. Java's defaults differ in all four.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACE = r"\t\n\f\r "
-_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+# `\w` is ASCII whatever the flags; as a class with ranges it would under `(?i)` also take what folds to ASCII, and is several times slower
+_EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 
 
 def to_java(pattern: str) -> str:
@@ -38,6 +41,28 @@ def to_java(pattern: str) -> str:
     return flags + "".join(out)
 
 
+def fixed(pattern: str) -> tuple[str, ...]:
+    """The runs of characters that every match has, lower-cased; none where there are alternatives outside groups.
+
+    What is in groups or classes or may be repeated is left out, so these are
+    not all, but a folded line without one of them does not match.
+    """
+    runs, depth = [""], 0
+    for m in re.finditer(r"(\\.|\[\^?[^\]]*\]|.)([*+?]|\{[0-9,]+\})?", pattern.removeprefix("(?i)"), re.S):
+        token, times = m.groups()
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            return ()
+        plain = token[1:] if token[0] == "\\" and not token[1].isalnum() else token if len(token) == 1 and token not in "()|.^$\\" else ""
+        if depth or not plain or times not in (None, "+"):
+            runs.append("")
+            continue
+        runs[-1] += plain.lower()
+        if times:
+            runs.append("")
+    return tuple(dict.fromkeys(r for r in runs if r))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Whether the expression matches anywhere."""
     return F.regexp_like(text, F.lit(to_java(pattern)))
@@ -60,6 +85,14 @@ def folded(text: Column) -> Column:
     return F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k"))
 
 
+def has_all(text: Column, literals) -> Column:
+    """Whether the folded text has all of the literals."""
+    out = F.lit(True)
+    for x in literals:
+        out = out & text.contains(x)
+    return out
+
+
 def has_any(text: Column, literals) -> Column:
     """Whether the folded text has one of the literals."""
     out = F.lit(False)

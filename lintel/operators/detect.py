@@ -63,36 +63,57 @@ def _hits(rows: DataFrame, tries: list[tuple[Column, str]]) -> DataFrame:
     run only where its condition holds.
     """
     line = F.col("line")
-    rows = rows.withColumn("folded", R.folded(line))
-    hit = lambda k, p: F.struct(F.lit(k).alias("pattern"), R.start(line, p).alias("first"), R.found(line, p).alias("text"))
-    hits = F.array(*[F.when(cond & R.matches(line, p), hit(k, p)) for k, (cond, p) in enumerate(tries)])
-    rows = rows.withColumn("hit", F.explode(F.array_compact(hits)))
-    text = F.col("hit.text")
-    return rows.withColumns({"pattern": F.col("hit.pattern"), "match_start": F.col("hit.first"), "match_text": text, "match_end": F.col("hit.first") + F.octet_length(text)}).drop("hit")
+    if "folded" not in rows.columns:
+        rows = rows.withColumn("folded", R.folded(line))
+    # no expression of a rule matches nothing, so one search tells whether it matches and what; None stands for a row as it is
+    text = lambda p: F.nullif(R.found(line, p), F.lit("")) if p else F.lit("")
+    hits = F.array(*[F.when(cond, F.struct(F.lit(k).alias("pattern"), text(p).alias("text"))) for k, (cond, p) in enumerate(tries)])
+    # a projection of its own: below a lambda the expressions would not be compiled
+    rows = rows.withColumn("hits", hits)
+    rows = rows.withColumn("hit", F.explode(F.filter("hits", lambda h: h["text"].isNotNull()))).drop("hits")
+    rows = rows.withColumns({"pattern": F.col("hit.pattern"), "match_text": F.col("hit.text")})
+    first = F.lit(0)
+    for k, (_, p) in enumerate(tries):
+        first = F.when(F.col("pattern") == k, R.start(line, p)).otherwise(first) if p else first
+    rows = rows.withColumn("match_start", first)
+    return rows.withColumn("match_end", F.col("match_start") + F.octet_length("match_text")).drop("hit")
 
 
 def _by_pattern(values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("pattern") + 1)
 
 
+def _needed(pattern: str, literals: tuple) -> tuple:
+    """What stands for an expression when lines are looked for: one long run that it always has, or any of its literals.
+
+    Where one of these is so short that prose is full of it, a sign that each match has.
+    """
+    runs = R.fixed(pattern)
+    signs = [r for r in runs if not any(c.isalnum() for c in r)]
+    long = max(runs, key=len, default="")
+    if len(long) > 3:
+        return (long,)
+    return (max(signs, key=lambda r: (len(r), r != "=")),) if signs and min(map(len, literals)) < 3 else literals
+
+
 def _tries(patterns, languages, secrets: bool) -> list[tuple]:
     """(rule, condition, expression, literals, languages, whether the description ends with the line)."""
-    out = [(r, F.lit(True) if not r.exclude else ~R.matches(F.col("line"), r.exclude), r.regex, r.need, r.languages, False) for r in patterns]
+    out = [(r, F.lit(True) if not r.exclude else ~R.matches(F.col("line"), r.exclude), r.regex, _needed(r.regex, r.need), r.languages, False) for r in patterns]
     for rule in languages:
-        out += [(rule, F.lit(True), p, rule.needed(p), langs, True) for langs, p in rule.patterns()]
+        out += [(rule, F.lit(True), p, _needed(p, rule.needed(p)), langs, True) for langs, p in rule.patterns()]
     if secrets:
         out.append((C.SECRETS, F.lit(True), C.SECRETS_REGEX, ("basic",), (), False))
     return out
 
 
-def _wanted(tries: list[tuple]) -> Column:
-    """The literals that expressions for a file's language need and that its folded content has."""
+def _wanted(tries: list[tuple], content: Column) -> Column:
+    """The literals that expressions for a file's language need and that its content, folded, has."""
     by_language: dict[tuple, set] = {}
     for _, _, _, need, langs, _ in tries:
         by_language.setdefault(tuple(langs), set()).update(need)
     none = F.array().cast("array<string>")
     every = F.concat(*[F.when(_applies(langs), F.array(*[F.lit(x) for x in sorted(need)])).otherwise(none) for langs, need in by_language.items()])
-    return X.bound(R.folded(F.col("content")), lambda c: F.filter(every, lambda x: c.contains(x)))
+    return F.filter(every, lambda x: content.contains(x))
 
 
 def findings_of(files: DataFrame, patterns=None, languages=None, secrets: bool = True, dependencies: bool = True, prefix: str = DIRECTIVE) -> DataFrame:
@@ -102,18 +123,23 @@ def findings_of(files: DataFrame, patterns=None, languages=None, secrets: bool =
     tries = _tries(C.PATTERN_RULES if patterns is None else patterns, C.LANGUAGE_RULES if languages is None else languages, secrets)
     bad = F.array().cast(VULNERABLE)
     none = F.lit(None).cast(VULNERABLE.removeprefix("array<")[:-1])
-    at = at_none = F.array().cast("array<int>")
+    at = F.array().cast("array<int>")
+    # a file is folded once and its folded lines go along with the plain ones: no line's folding looks beyond its end
+    files = files.select("path", "language", "content", "lines", off_of(prefix).alias("off"), R.folded(F.col("content")).alias("low"))
     if tries:
         # a line can only have literals that its file has
-        good = lambda i, some: X.bound(R.folded(F.element_at("lines", i)), lambda line: F.exists(some, lambda x: line.contains(x)))
-        lines = F.sequence(F.lit(1), F.size("lines"))
-        at = X.bound(_wanted(tries), lambda some: F.when(F.size(some) > 0, F.filter(lines, lambda i: good(i, some))).otherwise(at_none))
-    row = lambda i, dep: F.struct(i.alias("line_no"), F.element_at("lines", i).alias("line"), around("lines", i).alias("around"), dep.alias("dep"))
-    rows = F.concat(F.transform(at, lambda i: row(i, none)), F.transform(vulnerable() if dependencies else bad, lambda d: row(d["line"], d)))
-    rows = files.select("path", "language", off_of(prefix).alias("off"), F.explode(rows).alias("c")).select("path", "language", "off", "c.*")
+        files = files.withColumn("some", _wanted(tries, F.col("low")))
+        low = F.when(F.size("some") > 0, F.split("low", "\n", -1)).otherwise(F.array().cast("array<string>"))
+        files = files.withColumn("low", low)
+        good = lambda i: X.bound(F.element_at("low", i), lambda line: F.exists("some", lambda x: line.contains(x)))
+        at = F.filter(F.when(F.size("low") > 0, F.sequence(F.lit(1), F.size("low"))).otherwise(at), good)
+    row = lambda i, low, dep: F.struct(i.alias("line_no"), F.element_at("lines", i).alias("line"), low.alias("folded"), around("lines", i).alias("around"), dep.alias("dep"))
+    rows = F.transform(at, lambda i: row(i, F.element_at("low", i), none)) if tries else None
+    deps = F.transform(vulnerable() if dependencies else bad, lambda d: row(d["line"], F.lit(""), d))
+    rows = files.select("path", "language", "off", F.explode(deps if rows is None else F.concat(rows, deps)).alias("c")).select("path", "language", "off", "c.*")
     line, dep, folded = F.col("line"), F.col("dep"), F.col("folded")
-    every = [(dep.isNull() & _applies(langs) & R.has_any(folded, need) & cond, p) for _, cond, p, need, langs, _ in tries]
-    hits = _hits(rows, [*every, (dep.isNotNull(), "^")])
+    every = [(dep.isNull() & _applies(langs) & R.has_any(folded, need) & R.has_all(folded, [x for x in R.fixed(p) if (x,) != need]) & cond, p) for _, cond, p, need, langs, _ in tries]
+    hits = _hits(rows, [*every, (dep.isNotNull(), None)])
     is_dep = F.col("pattern") == len(tries)
     col = lambda name, other: F.when(is_dep, other).otherwise(_by_pattern([getattr(t[0], name) for t in tries])) if tries else other
     with_line = F.when(_by_pattern([t[5] for t in tries]), X.trimmed(line)).otherwise("") if tries else F.lit("")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lintel.functions import regex as R
 from lintel.functions import text as X
 from lintel.operators import delta, dependency, detect, metrics, report, structure
 from lintel.plans import catalog as C
@@ -268,3 +269,23 @@ def test_values_are_made_once(spark):
     assert plan.count("regexp_replace(") == 1
     plan = f.select(dependency._section(lambda r: r["t"].contains("a"), lambda r: r["t"] == "}").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1
+
+
+def test_edges_are_ascii_under_folding(spark):
+    """A character that folds to an ASCII letter is no part of a word."""
+    rows = spark.createDataFrame([("\u017fDES x",), ("\u212aDES",), ("sDES x",), ("DES",)], "line string")
+    assert [r.m for r in rows.select(R.matches(F.col("line"), r"(?i)\bDES\b").alias("m")).collect()] == [True, True, False, True]
+
+
+def test_fixed_runs():
+    """What every match of an expression has: nothing from groups, classes, repeats or alternatives."""
+    assert R.fixed(r"(?i)on\w+\s*=\s*[\"'][^\"']*\+") == ("on", "=", "+")
+    assert R.fixed(r"(?i)response\.getWriter\(\)\.print(ln)?x{2,}y?") == ("response.getwriter().print",)
+    assert R.fixed("a|bc") == () and R.fixed("(a|b)c") == ("c",)
+
+
+def test_lines_of_prose_are_not_searched():
+    """The literals that lines are picked by: a long run of the expression, not a syllable that prose is full of."""
+    every = {p: need for _, _, p, need, _, _ in detect._tries(C.PATTERN_RULES, C.LANGUAGE_RULES, True)}
+    assert not any(x in ("on", "print") for p, need in every.items() for x in need if not p.startswith(("(?i)print", "(?i)echo")))
+    assert every[r"(?i)response\.getWriter\(\)\.print"] == ("response.getwriter().print",)
