@@ -6,13 +6,14 @@ so that equal payloads have equal files:
 
 * few different bytes: an image 64 pixels wide with a palette, several indexes to a
   pixel, and copies;
-* short and mostly repetition: an image 16 pixels wide with four samples to a pixel,
+* mostly repetition: an image 16 pixels wide with four samples to a pixel,
   predictor and cross-colour tiles of the least residuals, a colour cache and copies;
 * some repetition: the bytes as green samples, 64 to a row, with copies, under a
   fixed prefix code;
 * all else: the same without copies; these files are written a batch at a time.
 
-All of them are read by `webp.decode`.
+What is taken goes by content alone, never by length. All of them are read by
+`webp.decode`.
 """
 
 from __future__ import annotations
@@ -332,8 +333,8 @@ def encode_copies(payload: np.ndarray, before: np.ndarray) -> bytes:
 
 #: Different bytes up to which a palette is taken; the share of places whose eight bytes came before from which on copies are, and four samples a pixel.
 PALETTE_MOST, SOME_REPEATS, MUCH_REPEATED = 16, 0.1, 0.5
-#: Bytes up to which a payload may have four samples a pixel, and its colour cache.
-SHORT, CACHE_BITS = 2048, 6
+#: The colour cache of payloads with four samples a pixel.
+CACHE_BITS = 6
 
 
 def encode_payloads(payloads: list[np.ndarray]) -> list[bytes]:
@@ -342,11 +343,11 @@ def encode_payloads(payloads: list[np.ndarray]) -> list[bytes]:
     plain = []
     for k, p in enumerate(payloads):
         if (np.bincount(p, minlength=256) > 0).sum() <= PALETTE_MOST:
-            files[k] = encode(p.astype(np.uint32).reshape(-1, WIDTH) << np.uint32(8) | np.uint32(255 << 24), (PALETTE,), 0, len(p) <= FILE_BYTES // 16, seed=None)
+            files[k] = encode(p.astype(np.uint32).reshape(-1, WIDTH) << np.uint32(8) | np.uint32(255 << 24), (PALETTE,), 0, True, seed=None)
             continue
         before = earlier(p)
         repeated = np.count_nonzero(before >= 0) / len(p)
-        if repeated >= MUCH_REPEATED and len(p) <= SHORT:
+        if repeated >= MUCH_REPEATED:
             files[k] = encode(p.view("<u4").reshape(-1, WIDTH // 4), (PREDICTOR, CROSS_COLOUR), CACHE_BITS, True, seed=None)
         elif repeated >= SOME_REPEATS:
             files[k] = encode_copies(p, before)

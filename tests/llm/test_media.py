@@ -133,3 +133,16 @@ def test_pixels_of_a_column(spark):
     got = {r.id: r.image for r in webp_encode.read_pixels(df).collect()}
     assert (got[1].width, got[1].height) == (4, 3) and bytes(got[1].pixels) == a.astype("<u4").tobytes()
     assert got[2].error and got[3] is None
+
+
+def test_steps_go_by_content_not_by_length(monkeypatch):
+    """Long payloads take the transforms, cache and copies that short ones of the same kind take."""
+    seen, plain = [], webp_encode.encode
+    monkeypatch.setattr(webp_encode, "encode", lambda argb, *a, **k: seen.append((argb.shape[1], *a)) or plain(argb, *a, **k))
+    line = b"The same line comes again and again, %d\n"
+    for n in (30, 3000):
+        long, few = (webp_encode.payload_of(np.frombuffer(x, np.uint8)) for x in (b"".join(line % (i % 7) for i in range(n)), b"abcdabca" * 40 * n))
+        files = webp_encode.encode_payloads([long, few])
+        assert [webp_encode.samples_of(f).tobytes() for f in files] == [long.tobytes(), few.tobytes()]
+        assert seen[-2:] == [(16, (webp.PREDICTOR, webp.CROSS_COLOUR), webp_encode.CACHE_BITS, True), (64, (webp.PALETTE,), 0, True)]
+    assert len(few) > webp_encode.FILE_BYTES // 16
