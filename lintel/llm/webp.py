@@ -3,9 +3,10 @@
 Decoding a prefix-coded stream is sequential: where a symbol starts is known only
 when the one before it has been read. The decoder here reads every bit offset as
 if a pixel started there, all at once with numpy (code lookup, extra bits,
-distance, total length), and then only walks the chain of starts. Images with
-several prefix-code groups, where the tables depend on the pixel's place, or with a
-colour cache are read pixel by pixel.
+distance, total length), and then only walks the chain of starts. Of images whose
+pixels differ in green alone, without copies, as many pixels as 16 bits hold are
+looked up together. Images with several prefix-code groups, where the tables depend
+on the pixel's place, or with a colour cache are read pixel by pixel.
 
 The container is RIFF/WEBP with one VP8L chunk.
 """
@@ -24,6 +25,8 @@ SIGNATURE = 0x2F
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 MAX_SIDE = 16384
 MAX_BITS = 15
+#: Bits whose symbols are looked up together: one symbol at least.
+RUN = 16
 
 
 @lru_cache(1)
@@ -92,7 +95,7 @@ def code_lengths(freq: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
         out[used] = 1
     floor = 1
     while len(used) > 1:  # until the tree is shallow enough
-        heap = [(max(int(freq[s]), floor), k) for k, s in enumerate(used)]
+        heap = [(max(f, floor), k) for k, f in enumerate(freq[used].tolist())]
         heapify(heap)
         up, n = [0] * (2 * len(used) - 1), len(used)
         while len(heap) > 1:
@@ -143,7 +146,7 @@ class Code:
     def __init__(self, lengths: np.ndarray):
         lengths = np.asarray(lengths, np.int64)
         used = np.flatnonzero(lengths)
-        self.width = 0
+        self.width, self.again, self._runs = 0, False, None
         self.symbol, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
         if len(used) == 1:
             self.symbol[0] = used[0]
@@ -156,6 +159,31 @@ class Code:
             which = which[_reversed_bits()[: 1 << self.width] >> 16 - self.width]
             self.symbol, self.length = order[which], lengths[order][which]
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits, number, symbols) of the whole symbols below 256 that each value of RUN bits begins with."""
+        if self._runs is None:
+            used, count = np.zeros(1 << RUN, np.int64), np.zeros(1 << RUN, np.uint8)
+            symbols = np.zeros((1 << RUN, RUN // int(self.length.min())), np.uint8)
+            for k in range(symbols.shape[1]):  # bits beyond the run count as 0: a symbol that needs them is too long
+                at = np.arange(1 << RUN) >> used & (1 << self.width) - 1
+                size = self.length[at]
+                fits = used + size <= RUN
+                symbols[fits, k] = self.symbol[at[fits]]
+                count[fits] = k + 1
+                used = np.where(fits, used + size, RUN)
+            ends = self._ends(symbols, count)
+            self._runs = ends.astype(np.uint8), count, symbols
+        return self._runs
+
+    def sizes(self) -> np.ndarray:
+        """The bits of each symbol."""
+        out = np.zeros(int(self.symbol.max()) + 1, np.int64)
+        out[self.symbol] = self.length
+        return out
+
+    def _ends(self, symbols: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.where(np.arange(symbols.shape[1]) < count[:, None], self.sizes()[symbols], 0).sum(1)
+
     def read(self, bits: Bits) -> int:
         if not self.width:
             return int(self.symbol[0])
@@ -177,9 +205,11 @@ def read_code(bits: Bits, size: int) -> Code:
     byte, shift = divmod(bits.at, 8)
     head = int.from_bytes(bits.data[byte : byte + _READ_BYTES], "little") >> shift
     known = _READ.setdefault(size, [])
-    for n, value, code in known:
+    for k, (n, value, code) in enumerate(known):
         if head & (1 << n) - 1 == value and bits.at + n <= bits.size:
             bits.at += n
+            code.again = True
+            known.insert(0, known.pop(k))
             return code
     start = bits.at
     code = _parsed_code(bits, size)
@@ -231,23 +261,20 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
         if len(used) == 2:
             w.put(int(used[1]), 8)
         return
-    tokens, i = [], 0
-    while i < len(lengths):
-        run = 1
-        while i + run < len(lengths) and lengths[i + run] == lengths[i]:
-            run += 1
-        if lengths[i] == 0 and run >= 3:
+    tokens = []
+    edges = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]
+    for value, run in zip(np.asarray(lengths)[edges[:-1]].tolist(), np.diff(edges).tolist()):
+        while value == 0 and run >= 3:
             n = min(run, 138)
             tokens.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
-            i += n
-        else:
-            tokens.append((int(lengths[i]), 0, 0))
-            i += 1
+            run -= n
+        while run:
+            tokens.append((value, 0, 0))
             run -= 1
-            while run >= 3 and lengths[i - 1]:
+            while value and run >= 3:
                 n = min(run, 6)
                 tokens.append((16, n - 3, 2))
-                i, run = i + n, run - n
+                run -= n
     meta = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     if (meta > 0).sum() == 1:  # a lone symbol's code takes no bits, so give it a partner
         meta[0 if meta[0] == 0 else 1] = 1
@@ -357,21 +384,36 @@ def _read_pixels(bits: Bits, width: int, height: int, cache_bits: int, groups: l
     total = width * height
     out: list[int] = []
     cache = [0] * (1 << cache_bits) if cache_bits else None
-    cached = 0
-    while len(out) < total:
-        i = len(out)
-        group = groups[0 if choose is None else int(choose[(i // width) >> shift, (i % width) >> shift])]
-        s = group[0].read(bits)
+    cached = i = 0
+    data, size, p = bits.data, bits.size, bits.at
+    tables = [[((1 << c.width) - 1, memoryview(c.symbol), memoryview(c.length)) for c in group] for group in groups]
+    table = tables[0]
+    while i < total:
+        if choose is not None:
+            table = tables[int(choose[(i // width) >> shift, (i % width) >> shift])]
+        word = int.from_bytes(data[p >> 3 : (p >> 3) + 10], "little") >> (p & 7)  # a token has 60 bits at most
+        mask, symbol, length = table[0]
+        s, used = symbol[word & mask], length[word & mask]
         if s < 256:
-            r, b, a = (c.read(bits) for c in group[1:4])
-            out.append(a << 24 | r << 16 | s << 8 | b)
+            v = s << 8
+            for at, (mask, symbol, length) in zip((16, 0, 24), table[1:4]):
+                if mask:
+                    look = word >> used & mask
+                    v |= symbol[look] << at
+                    used += length[look]
+                else:
+                    v |= symbol[0] << at
+            out.append(v)
+            p, i = p + used, i + 1
         elif s < 280:
-            length = _extended(s - 256, bits)
-            far = _distance(_extended(group[4].read(bits), bits), width)
-            if far > i or i + length > total:
+            bits.at = p + used
+            many = _extended(s - 256, bits)
+            far = _distance(_extended(groups[tables.index(table)][4].read(bits), bits), width)
+            p = bits.at
+            if far > i or i + many > total:
                 raise ValueError("copy outside the image")
-            block = out[i - far : i - far + length] if far >= length else (out[i - far :] * (length // far + 1))[:length]
-            out += block
+            out += out[i - far : i - far + many] if far >= many else (out[i - far :] * (many // far + 1))[:many]
+            i += many
         else:
             if cache is None or s - 280 >= len(cache):
                 raise ValueError("no such colour cache slot")
@@ -379,15 +421,52 @@ def _read_pixels(bits: Bits, width: int, height: int, cache_bits: int, groups: l
                 cache[(v * HASH_MULTIPLIER & 0xFFFFFFFF) >> 32 - cache_bits] = v
             cached = i
             out.append(cache[s - 280])
+            p, i = p + used, i + 1
+        if p > size:
+            raise ValueError("truncated VP8L stream")
+    bits.at = p
     return np.array(out, np.uint32)
 
 
+def _read_greens(bits: Bits, total: int, green: Code, rest: int) -> np.ndarray:
+    """Pixels that differ in green alone, a run of them at a time; `rest` holds the other channels."""
+    data = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 :]
+    data = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint32)
+    three = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
+    window = np.empty((len(three), 8), np.uint16)
+    for k in range(8):
+        window[:, k] = three >> np.uint32(k)
+    window = window.reshape(-1)[bits.at & 7 :]
+    n = len(window)
+    used, count, symbols = green.runs()
+    step, starts, p = used[window].tobytes(), [], 0
+    add = starts.append
+    while p < n:
+        add(p)
+        p += step[p]
+    starts = np.array(starts, np.int64)
+    run = window[starts]
+    ends = np.cumsum(count[run], dtype=np.int64)
+    last = int(np.searchsorted(ends, total))
+    if last >= len(ends):
+        raise ValueError("truncated VP8L stream")
+    run = run[: last + 1]
+    out = symbols[run][np.arange(symbols.shape[1]) < count[run][:, None]]
+    left = total - int(ends[last - 1] if last else 0)
+    if starts[last] + green.sizes()[out[total - left : total]].sum() > n:  # the stream's end cuts it
+        raise ValueError("truncated VP8L stream")
+    return out[:total].astype(np.uint32) << np.uint32(8) | np.uint32(rest)
+
+
 def _read_at_once(bits: Bits, width: int, height: int, codes: list[Code]) -> np.ndarray:
     """One group, no colour cache: all offsets at once, then the chain of starts."""
     total = width * height
     if not any(c.width for c in codes[:4]) and codes[0].symbol[0] < 256:
         g, r, b, a = (int(c.symbol[0]) for c in codes[:4])
         return np.full(total, a << 24 | r << 16 | g << 8 | b, np.uint32)
+    if not any(c.width for c in codes[1:4]) and codes[0].symbol.max() < 256 and (codes[0].again or total >= 1 << RUN):
+        r, b, a = (int(c.symbol[0]) for c in codes[1:4])
+        return _read_greens(bits, total, codes[0], a << 24 | r << 16 | b)
     data = np.frombuffer(bits.data, np.uint8)
     window = windows(data, bits.at, bits.size)
     n = len(window)
@@ -516,6 +595,50 @@ def predict(mode: int, left, top, top_left, top_right):
     return np.broadcast_to(np.array([0, 0, 0, 255]), left.shape)
 
 
+def _half(x: int, y: int) -> int:
+    """The mean of each channel, rounded down."""
+    return (x & y) + ((x ^ y) >> 1 & 0x7F7F7F7F)
+
+
+def predicted(mode: int, left: int, top: int, top_left: int, top_right: int) -> int:
+    """What `predict` gives, of single pixels as ARGB integers."""
+    if mode == 1:
+        return left
+    if mode == 2:
+        return top
+    if mode == 3:
+        return top_right
+    if mode == 4:
+        return top_left
+    if mode == 5:
+        return _half(_half(left, top_right), top)
+    if mode == 6:
+        return _half(left, top_left)
+    if mode == 7:
+        return _half(left, top)
+    if mode == 8:
+        return _half(top_left, top)
+    if mode == 9:
+        return _half(top, top_right)
+    if mode == 10:
+        return _half(_half(left, top_left), _half(top, top_right))
+    if mode not in (11, 12, 13):
+        return 0xFF000000
+    if mode == 13:
+        left, top = _half(left, top), 0
+    to_left = to_top = out = 0
+    for at in (0, 8, 16, 24):
+        x, y, z = left >> at & 255, top >> at & 255, top_left >> at & 255
+        if mode == 11:
+            to_left, to_top = to_left + abs(y - z), to_top + abs(x - z)
+        else:
+            v = x + y - z if mode == 12 else x + (x - z + (x < z) >> 1)
+            out |= (0 if v < 0 else 255 if v > 255 else v) << at
+    if mode == 11:
+        return left if to_left < to_top else top
+    return out
+
+
 def guesses(pixels: np.ndarray, mode: int) -> np.ndarray:
     """What a mode predicts for each pixel from its neighbours, all known."""
     height, width, _ = pixels.shape
@@ -539,20 +662,18 @@ def predictor_pass(pixels: np.ndarray, modes: np.ndarray, shift: int, undo: bool
             at = which == mode
             out[at] = (pixels - guesses(pixels, int(mode)))[at] & 255
         return out
-    seen = pixels.copy()
+    residual, which, seen = _join(pixels & 255).reshape(-1).tolist(), modes.tolist(), []
     for y in range(height):
+        row = which[y >> shift]
         for x in range(width):
-            if x == 0 and y == 0:
-                guess = np.array([0, 0, 0, 255])
-            elif y == 0:
-                guess = seen[y, x - 1]
-            elif x == 0:
-                guess = seen[y - 1, x]
-            else:
-                right = seen[y - 1, x + 1] if x + 1 < width else seen[y, 0]
-                guess = predict(int(modes[y >> shift, x >> shift]), seen[y, x - 1], seen[y - 1, x], seen[y - 1, x - 1], right)
-            seen[y, x] = (pixels[y, x] + guess) & 255
-    return seen
+            i = y * width + x
+            if x == 0 or y == 0:
+                guess = seen[i - width] if y else seen[i - 1] if x else 0xFF000000
+            else:  # right of the last pixel of a row is the first of the next
+                guess = predicted(row[x >> shift], seen[i - 1], seen[i - width], seen[i - width - 1], seen[i - width + 1])
+            v = residual[i]
+            seen.append((v & 0xFF00FF00) + (guess & 0xFF00FF00) & 0xFF00FF00 | (v & 0xFF00FF) + (guess & 0xFF00FF) & 0xFF00FF)
+    return _channels(np.array(seen, np.uint32).reshape(height, width))
 
 
 def cross_colour_pass(pixels: np.ndarray, tiles: np.ndarray, shift: int, undo: bool) -> np.ndarray:

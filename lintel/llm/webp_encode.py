@@ -46,27 +46,27 @@ def container(stream: bytes) -> bytes:
 def tokens_of(argb: np.ndarray, width: int, cache_bits: int, copies: bool) -> list[tuple[int, int, int]]:
     """(kind, a, b) of each token: 0 a plain pixel, 1 a copy (length, distance), 2 a cache slot."""
     flat, out, i = argb.reshape(-1).tolist(), [], 0
+    size = len(flat)
+    three = list(zip(flat, flat[1:], flat[2:])) if copies else []
     last: dict = {}
     cache = [0] * (1 << cache_bits) if cache_bits else None
-    slot = lambda v: (v * webp.HASH_MULTIPLIER & 0xFFFFFFFF) >> 32 - cache_bits
-    while i < len(flat):
-        n = 0
-        if copies:
-            j = last.get(tuple(flat[i : i + 3]))
-            if j is not None:
-                while n < 4096 and i + n < len(flat) and flat[j + n] == flat[i + n]:
-                    n += 1
-        if n >= 3:
+    slots = webp.colour_slot(argb.reshape(-1), cache_bits).tolist() if cache_bits else []
+    while i < size:
+        j = last.get(three[i]) if i < len(three) else None
+        if j is not None:
+            n, most = 3, min(4096, size - i)
+            while n < most and flat[j + n] == flat[i + n]:
+                n += 1
             out.append((1, n, i - j))
         else:
             n = 1
-            hit = cache is not None and cache[slot(flat[i])] == flat[i]
-            out.append((2, slot(flat[i]), 0) if hit else (0, flat[i], 0))
-        for k in range(i, i + n):
-            if copies:
-                last[tuple(flat[k : k + 3])] = k
-            if cache is not None:
-                cache[slot(flat[k])] = flat[k]
+            hit = cache is not None and cache[slots[i]] == flat[i]
+            out.append((2, slots[i], 0) if hit else (0, flat[i], 0))
+        if copies:
+            last.update(zip(three[i : i + n], range(i, i + n)))
+        if cache is not None:
+            for k in range(i, i + n):
+                cache[slots[k]] = flat[k]
         i += n
     return out
 
@@ -130,30 +130,35 @@ def write_image(w: Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, co
             write_image(w, tiles << np.uint32(8), False)
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     count = 1 if tiles is None else int(tiles.max()) + 1
-    freq = [[np.zeros(n, np.int64) for n in sizes] for _ in range(count)]
-    plan, i = [], 0  # (group, channel, symbol, extra value, extra bits)
-    for kind, a, b in tokens_of(argb, width, cache_bits, copies):
-        g = 0 if tiles is None else int(tiles[(i // width) >> group_shift, (i % width) >> group_shift])
-        if kind == 0:
-            parts = [(0, a >> 8 & 255, 0, 0), (1, a >> 16 & 255, 0, 0), (2, a & 255, 0, 0), (3, a >> 24, 0, 0)]
-        elif kind == 1:
-            s, x, n = webp.split_prefix(a)
-            t, y, m = webp.split_prefix(distance_code(b, width))
-            parts = [(0, 256 + s, x, n), (4, t, y, m)]
-        else:
-            parts = [(0, 280 + a, 0, 0)]
-        for c, s, x, n in parts:
-            freq[g][c][s] += 1
-            plan.append((g, c, s, x, n))
-        i += a if kind == 1 else 1
-    lengths = [[webp.code_lengths(f) for f in group] for group in freq]
-    for group in lengths:
-        for x in group:
-            webp.write_code(w, x)
-    codes = [[(webp.canonical(x).tolist(), (x if (x > 0).sum() > 1 else x * 0).tolist()) for x in group] for group in lengths]
-    for g, c, s, x, n in plan:
-        code, size = codes[g][c]
-        w.put(code[s] | x << size[s] if size[s] else x, size[s] + n)
+    kind, a, b = np.array(tokens_of(argb, width, cache_bits, copies), np.int64).reshape(-1, 3).T
+    plain, copy = kind == 0, np.flatnonzero(kind == 1)
+    # up to four symbols a token, each with its channel's code and extra bits
+    channel = np.tile(np.arange(4), (len(kind), 1))
+    symbol, extra, more = (np.zeros(channel.shape, np.int64) for _ in range(3))
+    symbol[:] = np.stack([a >> 8 & 255, a >> 16 & 255, a & 255, a >> 24], 1)
+    symbol[kind == 2, 0] = 280 + a[kind == 2]
+    use = np.ones(channel.shape, bool)
+    use[~plain, 1:] = False
+    if len(copy):
+        use[copy, 1], channel[copy, 1] = True, 4
+        far = [distance_code(x, width) for x in b[copy].tolist()]
+        for c, values in enumerate((a[copy].tolist(), far)):
+            symbol[copy, c], extra[copy, c], more[copy, c] = np.array([webp.split_prefix(x) for x in values], np.int64).T
+        symbol[copy, 0] += 256
+    size = np.where(kind == 1, a, 1)
+    at = np.cumsum(size) - size
+    group = np.zeros(len(kind), np.int64) if tiles is None else tiles[(at // width) >> group_shift, (at % width) >> group_shift].astype(np.int64)
+    table = (5 * group[:, None] + channel)[use]
+    symbol, extra, more = symbol[use], extra[use], more[use]
+    codes, lengths = [], []
+    for k in range(5 * count):
+        x = webp.code_lengths(np.bincount(symbol[table == k], minlength=sizes[k % 5]))
+        webp.write_code(w, x)
+        codes.append(webp.canonical(x))
+        lengths.append(x if (x > 0).sum() > 1 else x * 0)
+    first = np.cumsum([0, *map(len, codes)])[table] + symbol
+    code, length = np.concatenate(codes)[first], np.concatenate(lengths)[first]
+    w.codes(np.where(length > 0, code, 0) | extra << length, length + more)
 
 
 def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copies: bool = False, group_shift: int = 0, seed: int | None = 0) -> bytes:

@@ -146,3 +146,26 @@ def test_steps_go_by_content_not_by_length(monkeypatch):
         assert [webp_encode.samples_of(f).tobytes() for f in files] == [long.tobytes(), few.tobytes()]
         assert seen[-2:] == [(16, (webp.PREDICTOR, webp.CROSS_COLOUR), webp_encode.CACHE_BITS, True), (64, (webp.PALETTE,), 0, True)]
     assert len(few) > webp_encode.FILE_BYTES // 16
+
+
+def test_plain_files_are_read_in_runs_of_symbols(monkeypatch):
+    text = b"The files of the store have one code, so its runs are looked up together. \xc3\xa9\xff" * 3
+    payloads = [webp_encode.payload_of(np.frombuffer(text[k:] + bytes([k]), np.uint8)) for k in range(4)]
+    files = webp_encode.encode_samples(payloads)
+    webp_encode.samples_of(files[0])
+    monkeypatch.setattr(webp, "token_lengths", lambda *_: pytest.fail("every bit offset was looked at"))
+    for p, f in zip(payloads, files):
+        assert (webp_encode.samples_of(f) == p).all()
+    size = int.from_bytes(files[0][16:20], "little")
+    for cut in (1, 2, 40):
+        stream = files[0][20 : 20 + size - cut - 1]
+        with pytest.raises(ValueError):
+            webp.decode(webp_encode.container(stream))
+
+
+@pytest.mark.parametrize("mode", range(16))
+def test_single_pixels_are_predicted_as_arrays(mode):
+    near = np.random.default_rng(mode).integers(0, 256, (4, 300, 4))
+    near[:, :100] //= 64
+    whole = webp._join(webp.predict(mode, *near))
+    assert [webp.predicted(mode, *p) for p in webp._join(near).T.tolist()] == whole.tolist()
