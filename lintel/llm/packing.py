@@ -373,6 +373,31 @@ def pieces_of(order: list[int], sizes: np.ndarray, length: int) -> list[tuple[in
     return out
 
 
+def tokenised(batches, tokenizer: str, vocabulary: int):
+    """(i, own, n, ids) of rows (i, own, t); last the tokens' document counts as a parcel, with -1 for n.
+
+    Memory goes back after each piece: many small things of one are freed
+    among those that stay, and what earlier stages left in the worker counts
+    beside them.
+    """
+    encoder = WordTokenizer.of(tokenizer)
+    seen = np.zeros(vocabulary, np.int64)
+    common.give_back()
+    for batch in batches:
+        for part in common.pieces(batch, "t", TOKENISED):
+            ids, begin = encoder.encode(part.column("t"))
+            rows = part.num_rows
+            pair = common.distinct(np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(16), np.diff(begin)) | ids)
+            seen += np.bincount((pair & np.uint64(0xFFFF)).astype(np.int64), minlength=vocabulary)
+            del pair
+            common.give_back()
+            raw = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("own"), pa.array(np.diff(begin)), raw], ["i", "own", "n", "ids"])
+    used = np.flatnonzero(seen)
+    if len(used):
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([pack(used.astype(np.int32), seen[used])], pa.binary())], ["i", "own", "n", "ids"])
+
+
 def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: int = 49408, shard_tokens: int = SHARD_TOKENS, terms: int | None = QUERY_TERMS) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -390,22 +415,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     src = docs.select(docs[f"`{id_col}`"].try_cast("long").alias("i"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
     src = src.withColumn("own", F.xxhash64("i", "t"))
 
-    def tokenise(batches):
-        encoder = WordTokenizer.of(tokenizer)
-        seen = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for part in common.pieces(batch, "t", TOKENISED):
-                ids, begin = encoder.encode(part.column("t"))
-                rows = part.num_rows
-                pair = common.distinct(np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(16), np.diff(begin)) | ids)
-                seen += np.bincount((pair & np.uint64(0xFFFF)).astype(np.int64), minlength=vocabulary)
-                raw = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("own"), pa.array(np.diff(begin)), raw], ["i", "own", "n", "ids"])
-        used = np.flatnonzero(seen)
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([pack(used.astype(np.int32), seen[used])], pa.binary())], ["i", "own", "n", "ids"])
-
-    held = common.checkpoint(src.mapInArrow(tokenise, "i long, own long, n long, ids binary"))
+    held = common.checkpoint(src.mapInArrow(lambda batches: tokenised(batches, tokenizer, vocabulary), "i long, own long, n long, ids binary"))
     tokens = held.where("n >= 0")
 
     def count(batches):
@@ -436,6 +446,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                 pair, at = np.unique(a.astype(np.int64) << 16 | b, return_inverse=True)
                 for k, m in zip(pair.tolist(), np.bincount(at.reshape(-1), part.column("n").to_numpy()).astype(np.int64).tolist()):
                     total[k] = total.get(k, 0) + m
+        common.give_back()
         pair = np.array(list(total), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array((pair >> 16).astype(np.int32)), pa.array((pair & 0xFFFF).astype(np.int32)), pa.array(list(total.values()), pa.int64())], ["a", "b", "n"])
 
@@ -482,6 +493,8 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        del ids, docs_, out
+        common.give_back()
 
     ddl = "i long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     out = tokens.mapInArrow(deal, "i long, shard int, ids binary").repartitionById(n, F.col("shard")).mapInArrow(fill, ddl)

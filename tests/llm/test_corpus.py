@@ -213,3 +213,16 @@ def test_order_by_hand():
             if take(d):
                 break
     assert packing.order_by_retrieval(sizes, index, 128, None) == want
+
+
+def test_tokenising_gives_memory_back_after_each_piece(monkeypatch):
+    path, calls = public_tokenizers.path("word_bpe_49k.json"), []
+    monkeypatch.setattr(packing, "TOKENISED", 1000)
+    monkeypatch.setattr(packing.common, "give_back", lambda: calls.append(1))
+    texts = ["some words of a text " * 40] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), pa.array(texts)], ["i", "own", "t"])
+    out = []
+    for k, rows in enumerate(packing.tokenised(iter([batch]), path, 49408)):
+        out.append(rows)
+        assert len(calls) == min(k + 2, 6)  # before the first piece, and after each
+    assert [r.column("n").to_pylist() for r in out] == [[201]] * 5 + [[-1]]
