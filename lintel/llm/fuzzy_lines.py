@@ -19,7 +19,7 @@ Lines that share a block are candidates if their whole SimHashes are near; hot
 blocks are compared by pairs of chunks in tasks of their own. Of a block with more
 than SMALL lines a smallest spanning forest of the near pairs is taken first. Each
 distinct candidate pair has its two texts brought together once and is compared by
-edit similarity. Then such blocks are looked at once more: of their near pairs all
+edit similarity, many pairs side by side. Then such blocks are looked at once more: of their near pairs all
 whose lines are still in different components are compared as well, so what comes
 out is what comparing all near pairs of all blocks gives, without comparing those
 within a group that is joined already. Of each component of the alike pairs the first
@@ -63,6 +63,10 @@ SMALL, BLOCK = 12, 2048
 ROWS = 256
 #: Pairs whose characters are counted at a time.
 PAIRS = 2000
+#: Edit distances that are computed side by side: pairs by the diagonals they need, how much longer than the shortest, and steps between two looks at which are decided.
+CELLS, LONGER, STEPS = 40_000, 1.3, 32
+#: Characters from which pairs are first tried by their words and by counts of their characters.
+LONG = 4000
 _MULT = mix64(np.arange(1, 12, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -279,15 +283,9 @@ def normal_form(line: str) -> str:
     return " ".join(w for w in line.lower().translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "}).split(" ") if w)
 
 
-def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Levenshtein distance by bit vectors, after what begins and ends alike is cut.
-
-    With `most`, some number above it stands for all distances above it.
-    """
-    if a == b:
-        return 0
-    i, n = 0, min(len(a), len(b))
-    step = 64
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Two texts without what both begin and end with."""
+    i, n, step = 0, min(len(a), len(b)), 64
     while i < n:
         if a[i : i + step] == b[i : i + step]:
             i = min(i + step, n)
@@ -304,7 +302,15 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
             step //= 8
         else:
             break
-    a, b = a[: len(a) - i], b[: len(b) - i]
+    return a[: len(a) - i], b[: len(b) - i]
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by bit vectors, after what begins and ends alike is cut.
+
+    With `most`, some number above it stands for all distances above it.
+    """
+    a, b = trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
     if len(a) > len(b):
@@ -361,6 +367,99 @@ def alike(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= most and (a == b or len(a) > 40 and most_edits(a, b) <= most or edit_distance(a, b, most) <= most)
 
 
+def _codes(texts: list[str], size: np.ndarray, before: int, rows: int, other: int, kind: type) -> np.ndarray:
+    """A column of code points for each text, with `before` rows of `other` in front and what is left of `rows` behind."""
+    out = np.full((len(texts), rows), other, kind)
+    at = np.arange(rows) - before
+    out[(at >= 0) & (at < size[:, None])] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out.T
+
+
+def _banded(a: list[str], b: list[str], n: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs of texts, of n and m characters, are at most so many edits apart.
+
+    The tables of all pairs are filled side by side, an antidiagonal at a time, in
+    the band of diagonals that so few edits can reach. Even and odd diagonals have
+    an array each; what lies before a table's first row or column stays beyond all
+    limits, what lies behind its last is not asked for. A pair is given up once none
+    of its cells can lead to its corner with few enough edits.
+    """
+    end, total = m - n, n + m
+    low = min(2 * (int((end - most).min()) // 4) - 2, -2)
+    high = max(-2 * (int(-(end + most).max()) // 4) + 2, 2)
+    last, pad = int(total.max()), max(high, -low) + 2
+    rows = last // 2 + 2 * pad + 2
+    kind = np.uint16 if last < 10_000 and max(map(max, (*a, *b))) < "\ufff0" else np.uint32
+    none, unit = 20_000 if kind == np.uint16 else 1 << 30, kind(1)
+    x = np.ascontiguousarray(_codes(a, n, pad, rows, np.iinfo(kind).max, kind)[::-1])  # backwards, so that both are read upwards
+    y = np.ascontiguousarray(_codes(b, m, pad, rows, np.iinfo(kind).max - 1, kind))
+    who, out, ends = np.arange(len(a)), np.zeros(len(a), bool), set(total.tolist())
+    even = np.arange(low, high + 1, 2)
+    one = np.full((len(even), len(a)), none, kind)
+    two = np.full((len(even) + 1, len(a)), none, kind)  # with an edge on each side
+    one[-low // 2] = 0
+    away, away_odd = (np.abs(d[:, None] - end).astype(kind) for d in (even, even[:-1] + 1))
+    for t in range(1, last + 1):
+        odd = t & 1
+        i, j, k = rows - pad - (t - low - odd) // 2, pad - 1 + (t + low + odd) // 2, len(even) - odd
+        differ = x[i : i + k] ^ y[j : j + k]
+        np.minimum(differ, unit, out=differ)
+        here, other = (two[1:-1], one) if odd else (one, two)
+        step = np.minimum(other[:-1], other[1:])
+        step += unit
+        here += differ
+        np.minimum(here, step, out=here)
+        if t in ends:
+            p = np.flatnonzero(total == t)
+            out[who[p]] = here[(end[p] - low - odd) // 2, p] <= most[p]
+        if t % STEPS == 0 and t < last:
+            # each way passes one of two neighbouring antidiagonals
+            best = np.minimum((one + away).min(0), (two[1:-1] + away_odd).min(0))
+            stay = (total > t) & (best <= most)
+            if not stay.any():
+                break
+            if 4 * np.count_nonzero(stay) < 3 * len(stay):
+                one, two, x, y, away, away_odd = (np.compress(stay, z, axis=1) for z in (one, two, x, y, away, away_odd))
+                who, end, total, most = who[stay], end[stay], total[stay], most[stay]
+    return out
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs of texts, none empty, are at most so many edits apart; pairs of like lengths go together."""
+    n, m = (np.array([len(t) for t in x], np.int64) for x in (a, b))
+    out = np.zeros(len(a), bool)
+    order = np.flatnonzero(np.abs(n - m) <= most)
+    order = order[np.argsort((n + m)[order], kind="stable")]
+    total, start = (n + m)[order], 0
+    while start < len(order):
+        like = int(np.searchsorted(total, LONGER * total[start] + 16))
+        at = order[start : min(like, start + max(1, CELLS // (int(most[order[start]]) + 2)))]
+        out[at] = _banded([a[k] for k in at], [b[k] for k in at], n[at], m[at], most[at])
+        start += len(at)
+    return out
+
+
+def alike_of(text: dict[int, str], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """`alike` of pairs of named texts."""
+    out = np.zeros(len(u), bool)
+    size = np.array([[len(text[x]), len(text[y])] for x, y in zip(u.tolist(), v.tolist())], np.int64).reshape(-1, 2)
+    can = np.abs(size[:, 0] - size[:, 1]) <= allowed(size.max(1))
+    long = np.flatnonzero(can & (size.max(1) > LONG))
+    can[long] = may_be_alike(text, u[long], v[long])
+    left = []
+    for k in np.flatnonzero(can).tolist():
+        a, b, most = text[int(u[k])], text[int(v[k])], int(allowed(size[k].max()))
+        a, b = trimmed(a, b)
+        if max(len(a), len(b)) <= most or len(a) > LONG and most_edits(a, b) <= most:
+            out[k] = True
+        elif a and b:
+            left.append((k, a, b, most))
+    if left:
+        k, a, b, most = zip(*left)
+        out[list(k)] = within(a, b, np.array(most, np.int64))
+    return out
+
+
 def sketches_near(h: np.ndarray, x, size: np.ndarray, y) -> np.ndarray:
     """Which SimHashes differ in at most APART bits, their lines' lengths allowing the similarity."""
     return (np.bitwise_count(h ^ x).sum(-1) <= APART) & keyed_alike(size, y)
@@ -754,47 +853,60 @@ def line_drops(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = common.checkpoint(pairs, free=True)
 
     def asked(batches):
-        """Which shards need which line's text; -1 where only its first occurrence is asked for."""
+        """Which shard has which lines of the pairs, and whether their texts are asked for or only their first occurrences."""
         for batch in batches:
             for kind, own, p in zip(*(batch.column(c).to_pylist() for c in ("kind", "to", "parcel"))):
                 node = common.distinct(np.concatenate(unpack(p)))
-                yield common.parcel_batch([(1, to, pack(node[at], -1 if kind == SURE else own)) for to, at in _dealt((node >> 32).astype(np.int32))])
+                yield common.parcel_batch([(1, to, pack(kind != SURE, own, node[at])) for to, at in _dealt((node >> 32).astype(np.int32))])
 
     occurrences = stored.select(F.lit(0).alias("kind"), "to", F.col("seen").alias("parcel"))
 
     def answered(batches):
-        """First occurrences of the lines that were asked for, and who needs their texts."""
+        """First occurrences of the lines that were asked for."""
         seen, questions = _by_kind(batches)
         if not questions:
             return
-        node = np.concatenate([p[0] for p in questions])
-        by = np.repeat([p[1] for p in questions], [len(p[0]) for p in questions])
-        order = np.lexsort((by, node))
-        node, by = node[order], by[order]
-        first = starts_of(node)
-        ends = np.append(first, len(node))
-        node = node[first]
+        node = common.distinct(np.concatenate([p[2] for p in questions]))
+        near = np.zeros(len(node), bool)
+        for text, _, some in questions:
+            near[np.searchsorted(node, some)] |= text
         none, i, k, line, start = seen
         at = start[node & 0xFFFFFFFF]
         told = pa.StructArray.from_arrays([pa.array(none[at]), pa.array(i[at], mask=none[at]), pa.array(k[at]), pa.array(line[at])], ["none", "i", "k", "line"])
-        need = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(by >= 0, first))]).astype(np.int32)), pa.array(by[by >= 0].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(node), told, need], ["form", "first", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(node), told, pa.array(near)], ["form", "first", "near"])
+
+    firsts = occurrences.unionByName(pairs.mapInArrow(asked, common.PARCEL_DDL)).repartitionById(n, F.col("to"))
+    firsts = common.checkpoint(firsts.mapInArrow(answered, f"form long, first {_FIRST}, near boolean"), free=True)
 
-    question = pairs.mapInArrow(asked, common.PARCEL_DDL)
-    firsts = common.checkpoint(occurrences.unionByName(question).repartitionById(n, F.col("to")).mapInArrow(answered, f"form long, first {_FIRST}, need array<int>"), free=True)
     def texts_of(batches):
-        """Lines' texts to the shards that compare them."""
+        """Normal forms of lines to the shards of the forms."""
         for batch in batches:
-            out: dict[int, tuple[list, list]] = {}
+            node, form = [], []
             for text, want in zip(batch.column("t").to_pylist(), batch.column("w").to_pylist()):
                 lines = text.split("\n")
-                for w in want:
-                    form = normal_form(lines[w["line"]])
-                    for to in w["need"]:
-                        names, forms = out.setdefault(to, ([], []))
-                        names.append(w["form"])
-                        forms.append(form)
-            yield common.parcel_batch([(HOT, to, pack(np.array(a, np.int64), b)) for to, (a, b) in out.items()])
+                node += [w["form"] for w in want]
+                form += [normal_form(lines[w["line"]]) for w in want]
+            node, form = np.array(node, np.int64), np.array(form, object)
+            yield common.parcel_batch([(0, to, pack(node[at], form[at])) for to, at in _dealt((node >> 32).astype(np.int32))])
+
+    # of all lines of candidate pairs once: the second look's lines are among them
+    wanted = firsts.where("near").select("first.i", "first.k", F.struct("first.line", "form").alias("w")).groupBy("i", "k").agg(F.collect_list("w").alias("w"))
+    texts = docs.join(wanted, docs["i"].eqNullSafe(wanted["i"]) & (docs["k"] == wanted["k"])).select("t", "w")
+    texts = common.checkpoint(texts.mapInArrow(texts_of, common.PARCEL_DDL), free=True)
+
+    def handed(batches):
+        """Normal forms to the shards that compare them."""
+        parts: list[list] = [[], []]
+        for batch in batches:
+            for kind, p in zip(batch.column("kind").to_pylist(), batch.column("parcel").to_pylist()):
+                parts[kind].append(unpack(p))
+        if not parts[1]:
+            return
+        node, form = (np.concatenate(c) for c in zip(*parts[0]))
+        order = np.argsort(node, kind="stable")
+        node, form = node[order], form[order]
+        for _, by, some in parts[1]:
+            yield common.parcel_batch([(HOT, by, pack(some, form[np.searchsorted(node, some)]))])
 
     def compare(batches):
         """The pairs whose texts are alike."""
@@ -803,30 +915,29 @@ def line_drops(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             for kind, p in zip(batch.column("kind").to_pylist(), batch.column("parcel").to_pylist()):
                 if kind == HOT:
-                    text.update(zip(*(list(x) for x in unpack(p))))
+                    names, forms = unpack(p)
+                    text.update(zip(names.tolist(), forms.tolist()))
                 elif kind == NEAR:
                     u, v = unpack(p)
                 else:  # known already
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(p)], ["u", "v"])
-        can = np.flatnonzero(may_be_alike(text, u, v))
-        good = [k for k, x, y in zip(can.tolist(), u[can].tolist(), v[can].tolist()) if alike(text[x], text[y])]
+        good = alike_of(text, u, v)
         yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], ["u", "v"])
         text.clear()
         common.give_back()
 
-    def alike_pairs(pairs: DataFrame, asked: DataFrame) -> DataFrame:
-        """The alike pairs (u, v) of distinct pairs by shard, of forms with their first occurrences and who needs their texts."""
-        wanted = asked.select(F.col("first.i").alias("i"), F.col("first.k").alias("k"), F.struct(F.col("first.line").alias("line"), "form", "need").alias("w"))
-        wanted = wanted.groupBy("i", "k").agg(F.collect_list("w").alias("w"))
-        held = docs.join(wanted, docs["i"].eqNullSafe(wanted["i"]) & (docs["k"] == wanted["k"])).select("t", "w")
-        return pairs.unionByName(held.mapInArrow(texts_of, common.PARCEL_DDL)).repartitionById(n, F.col("to")).mapInArrow(compare, "u long, v long")
+    def alike_pairs(pairs: DataFrame) -> DataFrame:
+        """The alike pairs (u, v) of distinct pairs by shard."""
+        question = pairs.where(F.col("kind") == NEAR).mapInArrow(asked, common.PARCEL_DDL)
+        held = texts.unionByName(question).repartitionById(n, F.col("to")).mapInArrow(handed, common.PARCEL_DDL)
+        return pairs.unionByName(held).repartitionById(n, F.col("to")).mapInArrow(compare, "u long, v long")
 
     def grouped(links: DataFrame) -> DataFrame:
         """(form, top) of all lines that have a link."""
         linked = components(links).withColumnsRenamed({"node": "form", "root": "top"})
         return common.checkpoint(linked.unionByName(linked.select(F.col("top").alias("form"), "top").distinct()), free=True)
 
-    linked = grouped(alike_pairs(pairs, firsts.where("size(need) > 0")))
+    linked = grouped(alike_pairs(pairs))
 
     def second_look(batches):
         """Large blocks' lines to the shards of their forms."""
@@ -884,13 +995,6 @@ def line_drops(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 for u, v in apart_links(*unpack(p)):
                     yield common.parcel_batch(pairs_of(NEAR, u, v))
 
-    def needed(batches):
-        """Which shard needs which line's text, as rows."""
-        for batch in batches:
-            for to, p in zip(batch.column("to").to_pylist(), batch.column("parcel").to_pylist()):
-                node = common.distinct(np.concatenate(unpack(p)))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), to, np.int32))], ["form", "by"])
-
     if not large.isEmpty():
         told = large.mapInArrow(second_look, common.PARCEL_DDL).unionByName(linked.mapInArrow(tops, common.PARCEL_DDL))
         told = told.repartitionById(n, F.col("to")).mapInArrow(told_tops, common.PARCEL_DDL)
@@ -901,9 +1005,7 @@ def line_drops(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             left = left.unionByName(hot.repartitionById(n, F.col("to")).mapInArrow(apart_chunks, common.PARCEL_DDL))
         left = common.checkpoint(left.repartitionById(n, F.col("to")).mapInArrow(once, common.PARCEL_DDL), free=True)
         if not left.isEmpty():  # each of these lines has a near one, so its first occurrence was asked for before
-            need = left.mapInArrow(needed, "form long, by int").groupBy("form").agg(F.collect_set("by").alias("need"))
-            more = alike_pairs(left, firsts.select("form", "first").join(need, "form"))
-            linked = grouped(more.unionByName(linked.where("form <> top").select(F.col("form").alias("u"), F.col("top").alias("v"))))
+            linked = grouped(alike_pairs(left).unionByName(linked.where("form <> top").select(F.col("form").alias("u"), F.col("top").alias("v"))))
 
     firsts = firsts.select("form", "first").join(linked, "form")
     kept = firsts.groupBy("top").agg(F.min("first").alias("stay"))

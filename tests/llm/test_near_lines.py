@@ -1,6 +1,7 @@
 """Near-duplicate lines against edit similarity of all pairs."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -179,3 +180,44 @@ def test_the_forest_of_a_chunk_is_the_smallest():
                 up[top(i)] = top(j)
                 want.append((i, j))
         assert sorted(zip(*fuzzy_lines.chunk_links(h, np.full(n, 100)))) == sorted(want)
+
+
+def test_edit_distances_side_by_side(monkeypatch):
+    """Pairs of all lengths together are judged as one by one, also when long ones are first tried by their words."""
+    rng = random.Random(3)
+    text, pairs = {}, []
+    for k in range(0, 3000, 2):
+        kinds = "abcd é字😀"[: rng.choice([4, 7, 8])]
+        a = "".join(rng.choice(kinds) for _ in range(rng.randrange(1, rng.choice([2, 4, 10, 60, 150, 400]))))
+        b = list(a)
+        for _ in range(rng.randrange(len(a) // 3 + 2)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "字"])
+        text |= {k: a, k + 1: "".join(b)}
+        pairs.append((k, k + 1))
+    u, v = np.array(pairs + [(a, rng.randrange(3000)) for a, _ in pairs]).T
+    want = [fuzzy_lines.alike(text[a], text[b]) for a, b in zip(u.tolist(), v.tolist())]
+    assert 500 < sum(want) < len(want) and fuzzy_lines.alike_of(text, u, v).tolist() == want
+    monkeypatch.setattr(fuzzy_lines, "LONG", 50)
+    assert fuzzy_lines.alike_of(text, u, v).tolist() == want
+    a, b = zip(*[(text[x], text[y]) for x, y in pairs if text[y]])
+    for top in (0, 1, 3, 10, 50):
+        most = np.array([rng.randrange(top + 1) for _ in a])
+        assert fuzzy_lines.within(a, b, most).tolist() == [fuzzy_lines.edit_distance(x, y) <= m for x, y, m in zip(a, b, most.tolist())]
+
+
+def test_unlike_lines_of_the_same_words_are_told_apart_quickly():
+    """Lines that share much, as those of large blocks do, cost a fraction of one distance after another."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(120)]
+    text = {k: " ".join(rng.sample(words, 95)) for k in range(60)}
+    u, v = np.triu_indices(60, 1)
+
+    def took(run):
+        start = time.process_time()
+        return run(), time.process_time() - start
+
+    got, fast = took(lambda: fuzzy_lines.alike_of(text, u, v).tolist())
+    some = range(0, len(u), 10)
+    want, slow = took(lambda: [fuzzy_lines.alike(text[int(u[k])], text[int(v[k])]) for k in some])
+    assert [got[k] for k in some] == want and fast < 10 * slow / 2
