@@ -34,6 +34,13 @@ def classified(current: DataFrame, baseline: DataFrame | None) -> DataFrame:
     return both.select("fingerprint", change.alias("change"), "now", "before")
 
 
+def changed_paths(files: DataFrame, before: DataFrame) -> DataFrame:
+    """(path) of the files that a scan before did not see as they are; of files that share a path, all together."""
+    content = F.sort_array(F.collect_list(F.coalesce(F.sha2("content", 256), F.lit(""))))
+    now, was = (f.groupBy("path").agg(content.alias(name)) for f, name in ((files, "now"), (before, "was")))
+    return now.join(was, "path", "left").where(~F.col("now").eqNullSafe(F.col("was"))).select("path")
+
+
 def compared(current: DataFrame, baseline: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new, resolved, one row with `unchanged`) by fingerprint, each fingerprint once.
 

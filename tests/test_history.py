@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lintel import __main__ as cli
 from lintel.functions import edits
-from lintel.operators import history
+from lintel.operators import delta, history
 from lintel.plans import api
 from lintel.sources import git_store
 
@@ -226,3 +226,11 @@ def test_loose_objects_without_git(spark, tmp_path):
     (tmp_path / "HEAD").write_text("ref: refs/heads/none\n")
     assert [(r.oid, bytes(r.content)) for r in history.objects(spark, str(tmp_path)).collect()] == [(oid, blob)]
     assert {tuple(r) for r in history.references(spark, str(tmp_path)).collect()} == {("refs/tags/t", oid, None), ("HEAD", None, "refs/heads/none")}
+
+
+def test_only_files_that_changed_are_scanned_again(spark):
+    """Of files that share a path all count together, and repeated contents by their number."""
+    schema = "path string, content string"
+    before = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("c", "y"), ("d", "x"), ("gone", "x")], schema)
+    now = spark.createDataFrame([("a", "x"), ("b", "z"), ("c", "y"), ("c", "x"), ("d", "x"), ("d", "x"), ("new", "")], schema)
+    assert sorted(r.path for r in delta.changed_paths(now, before).collect()) == ["b", "d", "new"]
